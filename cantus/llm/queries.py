@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, packing
+from . import exact_dedup, jaccard_join, langid, packing
 from .shared import table
 
 TOKENIZERS = None  #: folder of the public tokenizers; None: where the installed package keeps them
@@ -20,6 +20,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -46,7 +50,7 @@ FROM d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_pack": op6_pack, "op8_exact_dedup": op8_exact_dedup, "op9_language": op9_language}
+    return {"op3_jaccard_join": op3_jaccard_join, "op6_pack": op6_pack, "op8_exact_dedup": op8_exact_dedup, "op9_language": op9_language}
 
 
 def oracle_sql() -> dict[str, str]:
