@@ -93,10 +93,11 @@ def exact_groups(docs: DataFrame, keep: str = "largest", memtables: int = 16) ->
     hits = index.entries.filter("n > 1").select("digest", F.col(winner).alias("keep_id"))
     texts = docs.select("doc_id", ascii_lower(F.col("text")).alias("norm"))
     texts = texts.withColumn("digest", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)))
-    suspects = probe(texts, digest_filter(hits)).join(hits, "digest")
+    suspects = save(probe(texts, digest_filter(hits)).join(hits, "digest"), "digest-hits")
     stays = suspects.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.max("norm").alias("kept_norm"))
     verified = suspects.join(stays, "digest").select("digest", "doc_id", F.when(F.col("norm") != F.col("kept_norm"), F.col("norm")).alias("other"))
-    verified = save(verified.groupBy("digest", "other", "doc_id").agg(F.count("*").alias("copies")), "verified-hits")
+    # Dealt anew by id, so that a join partition of one hot digest can be split.
+    verified = save(verified.repartition("doc_id").groupBy("digest", "other", "doc_id").agg(F.count("*").alias("copies")), "verified-hits")
     pick = F.max if keep == "largest" else F.min
     classes = verified.groupBy("digest", "other").agg(pick("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
     same = (F.col("v.digest") == F.col("c.digest")) & F.col("v.other").eqNullSafe(F.col("c.other"))
