@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right, insort
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 TIERS = (256, 512, 1024, 2048)
 #: Rests that a task holds before it packs them; bounds memory to about POOL * 1024 ids.
 POOL = 4096
+#: Documents that are tokenised together.
+TOGETHER = 128
 #: Word cache of a tokeniser process.
-CACHE = 400_000
+CACHE = 1_000_000
 
 Piece = tuple[object, int, bytes, int]  # doc_id, start, ids (little-endian 32 bit), tokens of the document
 
@@ -33,9 +35,9 @@ Piece = tuple[object, int, bytes, int]  # doc_id, start, ids (little-endian 32 b
 class WordTokenizer:
     """Ids of whole texts by a ``tokenizers`` file that never joins across white space.
 
-    White-space separated words are looked up in a bounded cache; the words
-    that it lacks are encoded together as one text and cut where a token
-    ends a pre-token.  Texts that hold a special token's string are encoded
+    White-space separated words are looked up in a cache that stops growing
+    at CACHE words; the words that it lacks are encoded together as one text
+    and cut where a token ends a pre-token.  Texts that hold a special token's string are encoded
     whole.
     """
 
@@ -49,48 +51,88 @@ class WordTokenizer:
             self.ends[i] = token.endswith("</w>")
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.cache: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if any(s in text for s in self.special):
-            return self.whole(text)
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        try:
-            return b"".join([self.cache[w] for w in words])
-        except KeyError:
-            self._learn({w for w in words if w not in self.cache})
-            return b"".join([self.cache[w] for w in words])
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        simple: list[tuple[bytes, int]] = []
+        return self.many([text])[0]
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text.  The words that the cache lacks are learnt for all texts at once."""
+        get = self.cache.get
+        found: list[list[bytes]] = []
+        holes: list[tuple[list, int, bytes]] = []
+        for t in texts:
+            if t and any(s in t for s in self.special):
+                found.append([self.whole(t)])
+                continue
+            words = (t or "").encode("utf-8", "surrogatepass").lower().split()
+            ids = list(map(get, words))
+            found.append(ids)
+            if None in ids:
+                i, n = ids.index(None), ids.count(None)
+                for k in range(n):
+                    holes.append((ids, i, words[i]))
+                    if k < n - 1:
+                        i = ids.index(None, i + 1)
+        learnt = self._learn({w for _, _, w in holes})
+        for ids, i, w in holes:
+            ids[i] = learnt[w]
+        if len(self.cache) < CACHE:
+            self.cache.update(learnt)
+        return [b"".join(x) for x in found]
+
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words.  A word of letters, with full stops and commas behind it or not, is its letters' ids and theirs."""
+        out: dict[bytes, bytes] = {}
+        tailed: list[tuple[bytes, bytes, bytes]] = []
+        fresh: dict[bytes, bytes | None] = {}
         for w in words:
-            s = w.decode("utf-8", "surrogatepass")
-            core = s.rstrip(".,")
-            if core.isalpha() and core.isascii() or core.isalpha() and core == core.lower():
-                simple.append((w, 1 if core == s else 2))
+            core = w.rstrip(b".,")
+            if not (core.isalpha() or core and not core.isascii() and self._letters(core)):
+                out[w] = self.whole(w.decode("utf-8", "surrogatepass"))
+                continue
+            known = self.cache.get(core)
+            if known is None:
+                fresh[core] = None
             else:
-                self.cache[w] = self.whole(s)
-        for i in range(0, len(simple), 2000):
-            part = simple[i : i + 2000]
-            ids = np.array(self.tok.encode(b" ".join(w for w, _ in part).decode(), add_special_tokens=False).ids, "<u4")
+                out[core] = known
+            if len(core) < len(w):
+                tailed.append((w, core, w[len(core) :]))
+        cores = list(fresh)
+        for i in range(0, len(cores), 4000):
+            part = cores[i : i + 4000]
+            ids = np.array(self.tok.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
-            last = np.cumsum([n for _, n in part]) - 1
-            if len(stops) != last[-1] + 1:  # a word that isn't cut as expected: ask for each alone
-                self.cache.update((w, self.whole(w.decode())) for w, _ in part)
+            if len(stops) != len(part):  # a word that isn't one pre-token: ask for each alone
+                out.update((w, self.whole(w.decode())) for w in part)
                 continue
-            at = 0
-            for (w, _), end in zip(part, stops[last].tolist(), strict=True):
-                self.cache[w] = ids[at:end].tobytes()
+            data, at = ids.tobytes(), 0
+            for w, end in zip(part, (4 * stops).tolist(), strict=True):
+                out[w] = data[at:end]
                 at = end
-        missing = [w for w in words if w not in self.cache]
-        for w in missing:
-            self.cache[w] = self.whole(w.decode("utf-8", "surrogatepass"))
+        for w, core, tail in tailed:
+            if tail not in self.tails:
+                self.tails[tail] = self.whole(tail.decode())
+            out[w] = out[core] + self.tails[tail]
+        return out
+
+    @staticmethod
+    def _letters(core: bytes) -> bool:
+        s = core.decode("utf-8", "surrogatepass")
+        return s.isalpha() and s == s.lower()
+
+
+_loaded: dict[str, WordTokenizer] = {}
+
+
+def tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of this process, so that tasks share its word cache."""
+    if path not in _loaded:
+        _loaded[path] = WordTokenizer(path)
+    return _loaded[path]
 
 
 class Packer:
@@ -183,7 +225,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers: tuple[int
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 36
-        tok, packer = WordTokenizer(tokenizer_path), Packer(tiers)
+        tok, packer = tokenizer(tokenizer_path), Packer(tiers)
         tail = np.array([end_id], "<u4").tobytes()
         cols: list[list] = [[] for _ in range(10)]
         serial = tokens = 0
@@ -210,8 +252,10 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers: tuple[int
 
         for b in batches:
             kind = b.schema.field("doc_id").type
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                put(packer.add(doc_id, tok.ids(text.as_py()) + tail))
+            for at in range(0, b.num_rows, TOGETHER):
+                part = b.slice(at, TOGETHER)
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), tok.many(part.column("text").to_pylist()), strict=True):
+                    put(packer.add(doc_id, ids + tail))
                 if packer.held() >= POOL:
                     put(packer.pack(False))
                 if len(cols[0]) >= 5000:
@@ -232,5 +276,3 @@ def sequences(pieces: DataFrame) -> DataFrame:
     n = F.col("tokens")
     return out.withColumn("padding", F.when(n.bitwiseAND(n - 1) == 0, F.lit(0)).otherwise(F.lit(TIERS[-1]) - n))
 
-
-Emit = Callable[[Iterator[tuple[int, list[Piece]]]], None]
