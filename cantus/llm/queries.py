@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, kd_topk, langid, packing, suffix_tree
-from .shared import table
+from . import exact_dedup, jaccard_join, kd_topk, langid, packing, pseudonyms, suffix_tree
+from .shared import new_path, table
+from .token_rollup import Rollup, count_with, count_words
 
 TOKENIZERS = None  #: folder of the public tokenizers; None: where the installed package keeps them
 
@@ -25,6 +26,28 @@ def op1_kd_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
+def _rollup(spark: SparkSession, sf_dir: str, counters: dict) -> DataFrame:
+    """Loads all documents under each tokenizer version, takes a tenth back, puts it in again and replays a batch."""
+    docs = table(spark, sf_dir, "documents")
+    tenth = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 3)
+    store = Rollup(spark, new_path(spark, "token-rollup"))
+    for version, counter in counters.items():
+        store.apply(f"load-{version}", version, inserts=docs, counter=counter)
+        store.apply(f"take-{version}", version, deletes=tenth)
+        store.apply(f"again-{version}", version, inserts=tenth, counter=counter)
+        store.apply(f"load-{version}", version, inserts=docs, counter=counter)
+    return store.totals()
+
+
+def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rollup(spark, sf_dir, {"words-1": count_words, "word_bpe_49k-1": count_with(tokenizer_path("word_bpe_49k.json"))})
+
+
+def word_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup with the tokenizer that SQL can express."""
+    return _rollup(spark, sf_dir, {"words-1": count_words})
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -37,6 +60,11 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = spark.conf.get("spark.cantus.pii.key", "cantus")
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -69,17 +97,26 @@ WITH v AS (
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+WORD_ROLLUP_SQL = r"""
+SELECT source, lang, 'words-1' AS version, count(*) AS docs,
+       CAST(sum(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))) AS BIGINT) AS tokens
+FROM documents GROUP BY source, lang
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_kd_topk": op1_kd_topk,
+        "op2_token_rollup": op2_token_rollup,
+        "word_rollup": word_rollup,
         "op3_jaccard_join": op3_jaccard_join,
         "op5_suffix_tree": op5_suffix_tree,
         "op6_pack": op6_pack,
+        "op7_pseudonyms": op7_pseudonyms,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_language": op9_language,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_kd_topk": OP1_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op1_kd_topk": OP1_SQL, "word_rollup": WORD_ROLLUP_SQL, "op8_exact_dedup": OP8_SQL}
