@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import ascii_lower, save
@@ -57,22 +57,47 @@ def build(docs: DataFrame, memtables: int = 16) -> DigestIndex:
     return DigestIndex(runs, save(compact(runs), "digest-entries"))
 
 
-def _bit(digest):
-    return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS))
+def bitmap_of(rows: DataFrame, column: str) -> DataFrame:
+    """At most FILTER_BITS / 32,768 rows (bucket, bits): a bitmap that holds every value of ``column``."""
+    bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    return rows.groupBy((bit / _BUCKET).cast("int").alias("bucket")).agg(F.bitmap_construct_agg((bit % _BUCKET).cast("long")).alias("bits"))
 
 
-def digest_filter(digests: DataFrame) -> DataFrame:
-    """At most FILTER_BITS / 32,768 rows (bucket, bits): a bitmap that holds every digest given."""
-    bit = _bit(F.col("digest"))
-    return digests.groupBy((bit / _BUCKET).cast("int").alias("bucket")).agg(F.bitmap_construct_agg((bit % _BUCKET).cast("long")).alias("bits"))
+def probe(rows: DataFrame, column: str, bitmap: DataFrame, held: bool = True) -> DataFrame:
+    """The rows whose value the bitmap may hold, or with ``held`` false those that it surely doesn't hold.
+
+    The bitmap is bounded by FILTER_BITS, so it is broadcast.
+    """
+    placed = rows.withColumn("__bit", F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))).withColumn("__bucket", (F.col("__bit") / _BUCKET).cast("int"))
+    joined = placed.join(F.broadcast(bitmap.toDF("__bucket", "__bits")), "__bucket", "left")
+    byte = f"conv(hex(substring(__bits, cast((__bit % {_BUCKET}) div 8 as int) + 1, 1)), 16, 10)"
+    has = F.coalesce(F.expr(f"shiftright(cast({byte} as int), cast(__bit % 8 as int)) & 1") == 1, F.lit(False))
+    return joined.filter(has if held else ~has).select(rows.columns)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id isn't in ``gone`` (doc_id), columns as they are.
+
+    Rows outside the bitmap of what goes stay where they are; only the rest
+    is shuffled to be compared exactly.
+    """
+    gone = gone.select(F.col("doc_id").alias("__gone")).distinct()
+    bitmap = bitmap_of(gone, "__gone")
+    suspects = probe(docs, "doc_id", bitmap)
+    stay = suspects.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    return probe(docs, "doc_id", bitmap, held=False).unionByName(stay)
 
 
-def probe(rows: DataFrame, bitmap: DataFrame) -> DataFrame:
-    """The rows whose digest the bitmap may hold.  The bitmap is bounded by FILTER_BITS, so it is broadcast."""
-    placed = rows.withColumn("bit", _bit(F.col("digest"))).withColumn("bucket", (F.col("bit") / _BUCKET).cast("int"))
-    byte = f"conv(hex(substring(bits, cast((bit % {_BUCKET}) div 8 as int) + 1, 1)), 16, 10)"
-    held = F.expr(f"shiftright(cast({byte} as int), cast(bit % 8 as int)) & 1") == 1
-    return placed.join(F.broadcast(bitmap), "bucket").filter(held).drop("bit", "bucket", "bits")
+def keep_one(docs: DataFrame, keep: str = "largest") -> DataFrame:
+    """``docs`` with one row of each group of equal texts, all columns as they are."""
+    groups = save(exact_groups(docs, keep).select("doc_id", "kept", "text_sha256"), "exact-groups")
+    bitmap = bitmap_of(groups.filter("NOT kept"), "doc_id")
+    suspects = probe(docs, "doc_id", bitmap).withColumn("__sha", F.sha2(ascii_lower(F.col("text")).cast("binary"), 256))
+    kept = groups.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept_sha"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__kept_sha"))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "__sha").orderBy(F.lit(0)))
+    stay = suspects.join(kept, same, "left_semi").withColumn("__nth", nth).filter("__nth = 1").select(docs.columns)
+    return probe(docs, "doc_id", bitmap, held=False).unionByName(stay)
 
 
 def exact_groups(docs: DataFrame, keep: str = "largest", memtables: int = 16) -> DataFrame:
@@ -93,7 +118,7 @@ def exact_groups(docs: DataFrame, keep: str = "largest", memtables: int = 16) ->
     hits = index.entries.filter("n > 1").select("digest", F.col(winner).alias("keep_id"))
     texts = docs.select("doc_id", ascii_lower(F.col("text")).alias("norm"))
     texts = texts.withColumn("digest", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)))
-    suspects = save(probe(texts, digest_filter(hits)).join(hits, "digest"), "digest-hits")
+    suspects = save(probe(texts, "digest", bitmap_of(hits, "digest")).join(hits, "digest"), "digest-hits")
     stays = suspects.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.max("norm").alias("kept_norm"))
     verified = suspects.join(stays, "digest").select("digest", "doc_id", F.when(F.col("norm") != F.col("kept_norm"), F.col("norm")).alias("other"))
     # Dealt anew by id, so that a join partition of one hot digest can be split.

@@ -49,10 +49,22 @@ def test_exact_groups_empty(spark):
 def test_filter_holds_every_digest(spark):
     rows = spark.range(5000).selectExpr("id AS doc_id", "unhex(sha2(cast(id AS string), 256)) AS digest")
     some = rows.filter("doc_id % 10 = 0")
-    found = {r["doc_id"] for r in exact_dedup.probe(rows, exact_dedup.digest_filter(some)).collect()}
+    found = {r["doc_id"] for r in exact_dedup.probe(rows, "digest", exact_dedup.bitmap_of(some, "digest")).collect()}
     assert {i for i in range(0, 5000, 10)} <= found and len(found) < 600
 
 
+def test_keep_one_and_without(docs):
+    key = lambda r: (lower(r["text"]), str(r["doc_id"]))
+    kept = exact_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    best = {}
+    for i, t, *_ in DOCS:
+        best[lower(t)] = max(best.get(lower(t), -1), -1 if i is None else i)
+    assert sorted(map(key, kept.collect())) == sorted((t, str(None if i < 0 else i)) for t, i in best.items())
+    left = exact_dedup.without(docs, docs.filter("doc_id IN (5, 6) OR doc_id IS NULL").select("doc_id"))
+    assert sorted(r["doc_id"] for r in left.collect()) == [1, 2, 3, 4, 7, 8, 9]
+
+
 def test_language(spark):
     words = {"en": "the river of stone and light", "de": "der fluss aus stein und licht"}
     rows = [(i, " ".join(np.random.default_rng(i).permutation((words[x] + " " + words[x]).split())), x) for i in range(200) for x in [("en", "de")[i % 2]]]
