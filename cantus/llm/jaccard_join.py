@@ -15,8 +15,9 @@ looks for all pairs of classes with ``100 * intersection >= percent * union``.
    similar documents.  The best representative of each family is compared
    with its members first.  Then the token-group matrix: members of each
    family are dealt into groups of at most ``group_size``, and each group
-   stores the union of its tokens.  A query's overlap with the union bounds
-   its overlap with any member, and only groups that can qualify are opened.
+   stores the union of its frequent prefix tokens.  A query's overlap with
+   the union bounds its overlap with any member, and only groups that can
+   qualify are opened for it.
    Group pairs whose members are all connected already need no look.
 4. Every candidate is verified on its whole sets of hashes.
 
@@ -252,6 +253,8 @@ def _rare_pairs(percent: int):
             ns.append(docs[:, 1])
             hots.append(docs[:, 2])
         h, c, n, hot = map(np.concatenate, (hashes, cls, ns, hots))
+        if not len(h):
+            return pa.table({x: np.empty(0, np.int64) for x in ("a", "b", "na", "nb", "hot_a", "hot_b", "shared")})
         order = np.lexsort((c, h))
         h, c, n, hot = h[order], c[order], n[order], hot[order]
         fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])  # a class counts once
@@ -331,46 +334,58 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _open_groups(percent: int):
-    """Links between the members of two token groups (sides 0 and 1; one group alone has side 0 only)."""
+    """Candidate pairs between the members of two token groups (sides 0 and 1; one group alone has side 0 only).
+
+    A group stores the union of the frequent prefix tokens of its members.
+    Pairs that share a smaller token are left to that token's groups.
+    """
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        side, cls, comp = (t.column(c).to_numpy() for c in ("side", "cls", "comp"))
-        sets = [np.frombuffer(x, np.uint64) for x in t.column("tokens").to_pylist()]
+        token = np.array([key[0].as_py()], np.int64).view(np.uint64)[0]
+        side, cls, comp, n = (t.column(c).to_numpy() for c in ("side", "cls", "comp", "n"))
+        lists = t.column("frequent").combine_chunks()
+        size = np.diff(lists.offsets.to_numpy())
+        flat = lists.flatten().to_numpy().view(np.uint64)
+        starts = np.cumsum(size) - size
         store = np.flatnonzero(side == side.max())
-        size = np.array([len(s) for s in sets])
-        flat = np.concatenate([sets[i] for i in store])
+        held = np.concatenate([flat[starts[i] : starts[i] + size[i]] for i in store])
         owner = np.repeat(np.arange(len(store)), size[store])
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        union, ends = flat[first], np.append(first[1:], len(flat))  # the matrix: token of the union -> members
+        order = np.argsort(held, kind="stable")
+        held, owner = held[order], owner[order]
+        first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+        union, ends = held[first], np.append(first[1:], len(held))  # the matrix: token of the union -> members
+        behind = -(-percent * n // 100) - 1  # what a set holds behind its prefix
         a, b = [], []
         for q in np.flatnonzero(side == 0):
-            at = np.searchsorted(union, sets[q])
+            needed = _needed(n[q], n[store], percent) - np.maximum(behind[q], behind[store])
+            mine = flat[starts[q] : starts[q] + size[q]]
+            at = np.searchsorted(union, mine)
             at[at == len(union)] = 0
-            at = at[union[at] == sets[q]]
-            if 100 * len(at) < percent * size[q]:
-                continue  # no member can hold enough of the query
-            starts, counts = first[at], ends[at] - first[at]
-            spots = np.repeat(starts - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-            inter = np.bincount(owner[spots], minlength=len(store))
-            link = (100 * inter >= percent * (size[q] + size[store] - inter)) & (comp[store] != comp[q])
-            a += [cls[q]] * int(link.sum())
-            b += cls[store][link].tolist()
+            at = at[union[at] == mine]
+            if len(at) < needed.min():
+                continue  # no member can share enough with the query
+            lo, counts = first[at], ends[at] - first[at]
+            spots = np.repeat(lo - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            shared = np.bincount(owner[spots], minlength=len(store))
+            early = np.bincount(owner[spots], weights=np.repeat(union[at] < token, counts), minlength=len(store))
+            open_ = (shared >= needed) & (shared > 0) & (early == 0) & (comp[store] != comp[q])
+            open_ &= 100 * np.minimum(n[q], n[store]) >= percent * np.maximum(n[q], n[store])
+            a += [cls[q]] * int(open_.sum())
+            b += cls[store][open_].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _family_links(members: DataFrame, sets: DataFrame, percent: int, group_size: int) -> DataFrame:
-    """Links between classes of different components that share a frequent prefix shingle.
+def _family_pairs(classes: DataFrame, percent: int, group_size: int) -> DataFrame:
+    """Candidate pairs of classes in different components that share a frequent prefix shingle.
 
-    members: token, cls, n, comp.
+    classes: cls, n, comp, frequent.
     """
+    members = classes.select("cls", "n", "comp", F.explode("frequent").alias("token"))
     mixed = members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    inside = members.join(mixed, "token")
     order = Window.partitionBy("token").orderBy("comp", "n", "cls")
-    dealt = save(inside.withColumn("g", ((F.row_number().over(order) - 1) / group_size).cast("long")), "token-groups")
+    dealt = save(members.join(mixed, "token").withColumn("g", ((F.row_number().over(order) - 1) / group_size).cast("long")), "token-groups")
     groups = dealt.groupBy("token", "g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
     x, y = (groups.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("g", "lo", "hi", "least", "most")]) for k in "01")
     apart = F.expr("g0 <= g1 AND NOT (lo0 = hi0 AND lo1 = hi1 AND lo0 = lo1)")
@@ -379,8 +394,9 @@ def _family_links(members: DataFrame, sets: DataFrame, percent: int, group_size:
     sides = [F.struct(F.lit(0).alias("side"), F.col("g0").alias("g")), F.struct(F.lit(1).alias("side"), F.col("g1").alias("g"))]
     both = F.when(F.col("g0") == F.col("g1"), F.array(sides[0])).otherwise(F.array(*sides))
     wanted = pairs.select("token", "g0", "g1", F.explode(both).alias("s")).select("token", "g0", "g1", "s.side", "s.g")
-    opened = wanted.join(dealt, ["token", "g"]).join(sets, "cls").select("token", "g0", "g1", "side", "cls", "comp", "tokens")
-    return opened.groupBy("token", "g0", "g1").applyInArrow(_open_groups(percent), "a long, b long")
+    opened = wanted.join(dealt.select("token", "g", "cls"), ["token", "g"]).join(classes, "cls")
+    found = opened.groupBy("token", "g0", "g1").applyInArrow(_open_groups(percent), "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 # The join --------------------------------------------------------------------
@@ -403,22 +419,25 @@ def class_links(docs: DataFrame, width: int = 5, percent: int = 75, frequent: in
     summed = shared.groupBy("a", "b").agg(F.sum("shared").alias("shared"), *[F.max(c).alias(c) for c in ("na", "nb", "hot_a", "hot_b")])
     pairs = save(summed.filter(_enough(percent)).select("a", "b"), "candidates")
 
-    part = F.col("hot") / (F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100 - F.lit(1e-9)) + 1)
-    family = save(rows.filter("hot > 0").select("cls", "n", part.alias("centre"), F.explode("frequent").alias("token")).distinct(), "families")
-    best = family.groupBy("token").agg(F.max(F.struct("centre", "cls", "n")).alias("best")).select("token", F.col("best.cls").alias("b"), F.col("best.n").alias("nb"))
-    star = family.join(best, "token").filter(F.col("cls") != F.col("b")).filter(F.lit(100) * F.least("n", "nb") >= F.lit(percent) * F.greatest("n", "nb"))
+    centre = F.col("hot") / (F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100 - F.lit(1e-9)) + 1)
+    families = save(rows.filter("hot > 0").select("cls", "n", centre.alias("centre"), "frequent").dropDuplicates(["cls"]), "families")
+    member = families.select("cls", "n", "centre", F.explode("frequent").alias("token"))
+    best = member.groupBy("token").agg(F.max(F.struct("centre", "cls", "n")).alias("best")).select("token", F.col("best.cls").alias("b"), F.col("best.n").alias("nb"))
+    star = member.join(best, "token").filter(F.col("cls") != F.col("b")).filter(F.lit(100) * F.least("n", "nb") >= F.lit(percent) * F.greatest("n", "nb"))
     first = save(pairs.union(star.select(F.least("cls", "b"), F.greatest("cls", "b"))).distinct(), "pairs")
+    reps = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
 
-    wanted = first.select(F.col("a").alias("cls")).union(first.select("b")).union(family.select("cls")).distinct()
-    reps = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(wanted, "cls")
-    sets = save(_class_sets(docs, reps, width, bits).join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
-    links = save(_verify(first, sets, percent), "links")
-    roots = components(links)
+    def linked(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+        sets = _class_sets(docs, reps.join(wanted, "cls"), width, bits).join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
+        return save(_verify(pairs, save(sets, "sets"), percent), "links")
 
-    comp = family.select("cls", "n", "token").join(roots.toDF("cls", "root"), "cls", "left").select("token", "cls", "n", F.coalesce("root", "cls").alias("comp"))
-    more = save(_family_links(comp, sets, percent, group_size), "links")
+    links = linked(first)
+    roots = components(links)
+    placed = families.join(roots.toDF("cls", "root"), "cls", "left").select("cls", "n", F.coalesce("root", "cls").alias("comp"), "frequent")
+    more = save(_family_pairs(placed, percent, group_size), "pairs")
     if more.limit(1).count():
-        roots = components(links.union(more))
+        roots = components(links.union(linked(more)))
     return rows.select("doc_id", "cls", "n"), roots
 
 

@@ -8,6 +8,7 @@ folder of this process is used.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,8 +32,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of finished steps, which stay until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def save(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again, which cuts its lineage."""
+    release(df.sparkSession)
     path = new_path(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
     if partition_by:
