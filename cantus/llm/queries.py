@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, kd_topk, langid, packing, pseudonyms, secrets, suffix_tree
+from . import exact_dedup, jaccard_join, kd_topk, langid, lattice, packing, pseudonyms, secrets, suffix_tree
 from .shared import new_path, table
 from .token_rollup import Rollup, count_with, count_words
 
@@ -77,6 +77,13 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether they decode to the text again."""
+    docs, pieces = table(spark, sf_dir, "documents").select("doc_id", "text"), lattice.Pieces.load(tokenizer_path("piece_bpe_32k.model"))
+    found = lattice.decode(lattice.encode(docs, pieces), pieces)
+    return found.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.length("decoded").cast("long").alias("decoded_chars"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP8_SQL = f"""
@@ -123,6 +130,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_pseudonyms": op7_pseudonyms,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_language": op9_language,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 
