@@ -1,9 +1,15 @@
-"""Registered queries of the music-structure operators."""
+"""Registered queries of the music-structure operators and their DuckDB SQL."""
+
+from __future__ import annotations
+
+from .plans import q_eval, q_lyrics, q_series
+
+MODULES = [q_series, q_eval, q_lyrics]
 
 
 def queries():
-    return {}
+    return {name: f for m in MODULES for name, (f, _) in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
