@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import q_eval, q_lyrics, q_series
+from .plans import q_eval, q_lyrics, q_series, q_story
 
-MODULES = [q_series, q_eval, q_lyrics]
+MODULES = [q_series, q_eval, q_lyrics, q_story]
 
 
 def queries():
