@@ -150,18 +150,18 @@ def correction_template(spark, sf):
 
 @query("taps", V.with_views(
     """WITH o AS (SELECT *, row_number() OVER w AS i, coalesce(lead(line_idx) OVER w <> line_idx, true) AS closes FROM words WINDOW w AS (PARTITION BY song ORDER BY line_idx, word_idx)),
-       tp AS (SELECT song, i, round(start_s + 0.03::DOUBLE, 3) AS t FROM o WHERE i <= 40), tq AS (SELECT song, t, row_number() OVER w AS i, lead(t) OVER w AS nt FROM tp WINDOW w AS (PARTITION BY song ORDER BY t)),
+       tp AS (SELECT song, i, floor(start_s * 100) / 100 + 0.03::DOUBLE AS t FROM o WHERE i <= 40), tq AS (SELECT song, t, row_number() OVER w AS i, lead(t) OVER w AS nt FROM tp WINDOW w AS (PARTITION BY song ORDER BY t)),
        j AS (SELECT o.*, tq.t, tq.nt FROM o LEFT JOIN tq ON tq.song = o.song AND tq.i = o.i)
        SELECT song, line_idx, word_idx, round(coalesce(t, start_s), 3) AS start_s, round(CASE WHEN t IS NOT NULL THEN greatest(round(CASE WHEN closes OR nt IS NULL THEN le ELSE nt - 0.05 END, 3), round(t + 0.02, 3)) ELSE end_s END, 3) AS end_s, t IS NOT NULL AS tapped,
-       CASE WHEN max(CASE WHEN t IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY song, line_idx) = 1 THEN 'corrected' ELSE 'auto' END AS status FROM j""", "lines", more=_WORDS))
+       'corrected' AS status FROM j WHERE t IS NOT NULL""", "lines", more=_WORDS))
 def taps(spark, sf):
     from pyspark.sql import Window
 
     lines = V.lyric_lines(spark, sf).select("song", "line_idx", F.col("end_s").alias("line_end"))
     w = _words(spark, sf).join(lines, ["song", "line_idx"])
     i = F.row_number().over(Window.partitionBy("song").orderBy("line_idx", "word_idx"))
-    t = w.withColumn("i", i).filter("i <= 40").select("song", F.round(F.col("start_s") + 0.03, 3).alias("t"))
-    return L.taps_to_words(w, t)
+    t = w.withColumn("i", i).filter("i <= 40").select("song", (F.floor(F.col("start_s") * 100) / 100 + 0.03).alias("t"))
+    return L.taps_to_words(w, t).filter("tapped")
 
 
 @query("token_similarity", None)

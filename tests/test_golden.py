@@ -145,7 +145,7 @@ def test_scalars(spark):
     one = spark.range(1)
     get = lambda c: one.select(c).first()[0]
     assert get(S.note_name(F.lit(60.0))) == "C4" and get(S.pitch_class(F.lit(-1.0))) == 11
-    assert [get(S.fold_register(F.lit(float(m)))) for m in (28, 41, 66, 90)] == [52, 41, 54, 54 + 12]
+    assert [get(S.fold_register(F.lit(float(m)))) for m in (28, 41, 66, 90)] == [52, 41, 54, 54]
     assert [get(S.section_label(F.lit(i))) for i in (0, 25, 26, 27)] == ["A", "Z", "AA", "AB"]
     assert get(S.hz_to_midi(F.lit(440.0))) == 69 and get(S.octave_distance(F.lit(1), F.lit(11))) == 2
 
