@@ -126,6 +126,44 @@ def match_onsets(det: DataFrame, ref: DataFrame, tol: float = 0.05) -> DataFrame
     return onset_scores(n.select("track", F.size("ref").cast("long").alias("n_ref"), F.size("det").cast("long").alias("n_det"), F.size("used").cast("long").alias("matched")))
 
 
+#: Extra conditions of a note match between detection ``d`` and reference ``r``.
+PITCH = {"onset": "true", "pitch": "abs(d.midi - r.midi) <= 1.0D", "class": "least(pmod(round(abs(d.midi - r.midi)), 12), 12 - pmod(round(abs(d.midi - r.midi)), 12)) <= 1"}
+
+
+def match_notes(det: DataFrame, ref: DataFrame, variant: str = "onset", tol: float = 0.05) -> DataFrame:
+    """One-to-one note matches by onset and, by variant, pitch within a semitone or pitch class within one.
+
+    det, ref: track, onset_s, note_id, midi.  References in time order take
+    the nearest free detection that fits; the earlier of equals.  Returns
+    track, n_ref, n_det, matched, pitch_hits (matches with pitch within a
+    semitone) and mean_error of onsets.
+    """
+    item = F.struct("onset_s", "note_id", "midi")
+    d = det.groupBy("track").agg(F.array_sort(F.collect_list(item)).alias("det"))
+    r = ref.groupBy("track").agg(F.array_sort(F.collect_list(item)).alias("ref"))
+    both = d.join(r, "track", "full_outer")
+    both = both.select("track", F.coalesce("det", F.slice("ref", 1, 0)).alias("det"), F.coalesce("ref", F.slice("det", 1, 0)).alias("ref"))
+    fits = f"transform(array(det[i]), d -> abs(d.onset_s - r.onset_s) <= {tol}D AND {PITCH[variant]})[0]"
+    free = f"filter(sequence(0, size(det) - 1), i -> NOT exists(used, u -> u.i = i) AND {fits})"
+    best = f"array_min(transform({free}, i -> struct(abs(det[i].onset_s - r.onset_s) AS e, i AS i, abs(det[i].midi - r.midi) AS p)))"
+    empty = "cast(array() AS array<struct<e: double, i: int, p: double>>)"
+    fold = f"aggregate(ref, {empty}, (used, r) -> transform(array({best}), m -> if(m IS NULL, used, array_append(used, m)))[0])"
+    m = both.withColumn("used", F.when((F.size("det") > 0) & (F.size("ref") > 0), F.expr(fold)).otherwise(F.expr(empty)))
+    total = F.aggregate("used", F.lit(0.0), lambda acc, u: acc + u["e"])
+    n = F.size("used")
+    return m.select("track", F.size("ref").cast("long").alias("n_ref"), F.size("det").cast("long").alias("n_det"), n.cast("long").alias("matched"), F.size(F.filter("used", lambda u: u["p"] <= 1.0)).cast("long").alias("pitch_hits"), ratio(total, n).alias("mean_error"))
+
+
+def transcription_summary(det: DataFrame, ref: DataFrame, tol: float = 0.05) -> DataFrame:
+    """F1 of the three match variants, fragmentation, pitch accuracy and mean onset error of each track."""
+    parts = {v: match_notes(det, ref, v, tol) for v in PITCH}
+    score = lambda v: onset_scores(parts[v].select("track", "n_ref", "n_det", "matched")).select("track", F.col("f1").alias(f"f1_{v}"))
+    base = parts["onset"].select("track", F.round(ratio(F.col("n_det"), F.col("n_ref")), 4).alias("fragmentation"), F.round(ratio(F.col("pitch_hits"), F.col("matched")), 4).alias("pitch_accuracy"), F.round("mean_error", 4).alias("mean_error"))
+    for v in PITCH:
+        base = base.join(score(v), "track")
+    return base
+
+
 def onset_scores(counts: DataFrame) -> DataFrame:
     """Precision, recall and F1 of match counts; an empty side gives 0, and no fp without detections, no fn without references."""
     p, r = ratio(F.col("matched"), F.col("n_det")), ratio(F.col("matched"), F.col("n_ref"))

@@ -99,6 +99,48 @@ def snap_to_onsets(words: DataFrame, onsets: DataFrame, within: float = 0.20, le
     return j.withColumn("snapped", F.coalesce(ok, F.lit(False))).withColumn("start_s", F.when(F.col("snapped"), F.round(new, 6)).otherwise(F.col("start_s"))).drop("onset")
 
 
+def snap_to_energy(words: DataFrame, frames: DataFrame, quiet: float = 0.10, rise: float = 0.15, lead_in: float = 0.05, least: float = 0.03) -> DataFrame:
+    """Moves the start of a word that begins quietly to its first loud frame, less a lead-in, if that is far enough.
+
+    words: track, word_id, start_s, end_s.  frames: track, t, rms.
+    """
+    from .joins import interval_join
+
+    j = interval_join(frames.select("track", "t", "rms"), words.select("track", "word_id", "start_s", "end_s"), "t", 5.0)
+    peak = F.max("rms").over(Window.partitionBy("track", "word_id"))
+    g = j.withColumn("peak", peak).groupBy("track", "word_id", "start_s").agg(F.min_by("rms", "t").alias("first"), F.max("peak").alias("peak"), F.min(F.when(F.col("rms") >= rise * F.col("peak"), F.col("t"))).alias("loud"))
+    new = F.greatest(F.col("start_s"), F.col("loud") - lead_in)
+    ok = (F.col("first") <= quiet * F.col("peak")) & (new - F.col("start_s") >= least)
+    return g.select("track", "word_id", F.when(F.coalesce(ok, F.lit(False)), F.round(new, 6)).otherwise(F.col("start_s")).alias("start_s"), F.coalesce(ok, F.lit(False)).alias("snapped"))
+
+
+def normalise_segments(segments: DataFrame) -> DataFrame:
+    """Recogniser output (song, words array<struct<word, start_s, end_s, probability, score>>) without empty words; probability, else score, else 0."""
+    clean = F.transform("words", lambda w: F.struct(F.trim(w["word"]).alias("word"), w["start_s"].alias("start_s"), w["end_s"].alias("end_s"), F.coalesce(w["probability"], w["score"], F.lit(0.0)).alias("confidence")))
+    return segments.withColumn("words", F.filter(clean, lambda w: w["word"] != ""))
+
+
+def merge_lines(lines: DataFrame, heard: DataFrame, slack: float = 0.6) -> DataFrame:
+    """Timed words of lines from heard words whose middle lies within ``slack`` of the line; a line without any is timed in proportion.
+
+    lines: track, idx, text, start_s, end_s.  heard: track, word, start_s,
+    end_s.  A heard word may serve two lines.  Returns track, idx, word_idx,
+    word, start_s, end_s, confidence.
+    """
+    from .joins import interval_join
+
+    h = heard.withColumn("mid", (F.col("start_s") + F.col("end_s")) / 2).select("track", "mid", F.struct("start_s", "end_s", token_norm(F.col("word")).alias("w")).alias("h"))
+    wide = lines.select("track", "idx", (F.col("start_s") - slack).alias("start_s"), (F.col("end_s") + slack).alias("end_s"))
+    near = interval_join(h, wide, "mid", 10.0).groupBy("track", "idx").agg(F.array_sort(F.collect_list("h")).alias("heard"))
+    w = lines.select("track", "idx", F.col("start_s").alias("line_start"), F.col("end_s").alias("line_end"), F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("ws")).join(near, ["track", "idx"], "left")
+    toks = w.select(F.col("track").alias("song"), F.col("idx").cast("long").alias("line_idx"), F.transform("ws", token_norm).alias("left"), F.coalesce(F.transform("heard", lambda x: x["w"]), F.array().cast("array<string>")).alias("right"))
+    pairs = align_words(toks).select(F.col("song").alias("track"), F.col("line_idx").alias("idx"), "word_idx", "partner")
+    each = w.select("track", F.col("idx").cast("long").alias("idx"), "line_start", "line_end", "heard", F.posexplode("ws").alias("word_idx", "word")).join(pairs, ["track", "idx", "word_idx"], "left")
+    hit = F.get("heard", F.col("partner"))
+    timed = each.select("track", "idx", "word_idx", "word", "line_start", "line_end", hit["start_s"].alias("start_s"), hit["end_s"].alias("end_s"))
+    return fill_gaps(timed, ["track", "idx"])
+
+
 def fill_gaps(words: DataFrame, keys: list[str], least: float = 0.06) -> DataFrame:
     """Times for words without one, in proportion to their length between the timed words around them.
 

@@ -188,3 +188,14 @@ def clean_bass(notes: DataFrame) -> DataFrame:
     merged = merge_adjacent(octave_dedup(notes, keys), keys, 0.10).withColumn("note_id", F.row_number().over(Window.partitionBy("track").orderBy("onset_s")).cast("long"))
     fixed = octave_context(fix_register(merged, 34, 55), keys).withColumn("rms", F.col("velocity"))
     return gate_and_prune(rescale_velocity(fixed, "rms"), "rms").drop("rms")
+
+
+def from_pitch(frames: DataFrame, beats: DataFrame, hop_s: float = 0.5, min_frames: int = 3, max_gap: int = 3) -> DataFrame:
+    """Notes of a pitch track (track, frame_idx, t, midi, rms): runs, their level, velocity and nearest beat."""
+    from .joins import beat_align, interval_join
+    from .series import pitch_runs, robust01
+
+    runs = pitch_runs(frames, "midi", min_frames, max_gap).select("track", (F.col("first") * hop_s).alias("start_s"), ((F.col("last") + 1) * hop_s).alias("end_s"), F.col("midi").cast("double").alias("midi"))
+    level = interval_join(frames.select("track", "t", "rms"), runs, "t", 5.0).groupBy("track", "start_s", "end_s", "midi").agg(F.sqrt(F.avg(F.col("rms") * F.col("rms"))).alias("level"))
+    aligned = beat_align(robust01(level, "level", "velocity"), beats, "start_s")
+    return aligned.select("track", F.col("start_s").alias("onset_s"), F.col("end_s").alias("offset_s"), "midi", "velocity", "beat_idx", "beat_phase")

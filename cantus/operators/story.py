@@ -239,3 +239,34 @@ def visual_behaviour(roles: DataFrame) -> DataFrame:
     for k, v in BEHAVIOUR.items():
         b = b.when(F.col("role") == k, v)
     return roles.select("track", "idx", b.alias("behaviour"))
+
+
+def subsections(frames: DataFrame, sections: DataFrame, value: str = "tension", smooth_s: float = 4.0, hop_s: float = 0.5, per_s: float = 25.0, min_len: float = 8.0) -> DataFrame:
+    """Inner cuts of long sections at deep valleys: track, idx, t, in time order.
+
+    A section of at least 20 s and ten frames is smoothed, and its valleys of
+    at least 15 % of its range are taken deepest first, ``min_len`` apart and
+    from its ends, round(length / per_s) at most.
+    """
+    from .series import box_smooth
+
+    inside = interval_join(frames, sections, "t", 60.0)
+    w = Window.partitionBy("track", "idx").orderBy("frame_idx")
+    win = max(3, round(smooth_s / hop_s) | 1)
+    g = inside.withColumn("x", box_smooth(F.col(value), win, w))
+    d = F.col("x") - F.coalesce(F.lag("x").over(w), F.col("x"))
+    g = g.withColumn("d", d).withColumns({"prev": F.lag("d").over(w), "left": F.max("x").over(w.rowsBetween(-2 * win, 0)), "right": F.max("x").over(w.rowsBetween(0, 2 * win)), "spread": F.max("x").over(Window.partitionBy("track", "idx")) - F.min("x").over(Window.partitionBy("track", "idx")), "n": F.count("*").over(Window.partitionBy("track", "idx"))})
+    deep = (F.col("left") + F.col("right")) / 2 - F.col("x")
+    v = g.filter((F.col("prev") < 0) & (F.col("d") >= 0) & (F.col("n") >= 10) & (F.col("end_s") - F.col("start_s") >= 20)).withColumn("depth", deep).filter(F.col("depth") >= 0.15 * F.col("spread"))
+
+    def choose(pdf: pd.DataFrame) -> list[tuple]:
+        lo, hi = float(pdf["start_s"].iloc[0]), float(pdf["end_s"].iloc[0])
+        taken: list[float] = []
+        for t in pdf.sort_values(["depth", "t"], ascending=[False, True])["t"]:
+            if len(taken) >= round((hi - lo) / per_s):
+                break
+            if all(abs(t - u) >= min_len for u in [lo, hi, *taken]):
+                taken.append(t)
+        return [(pdf["track"].iloc[0], pdf["idx"].iloc[0], t) for t in sorted(taken)]
+
+    return per_track(v.select("track", "idx", "start_s", "end_s", "t", "depth"), "track long, idx int, t double", choose, ("track", "idx"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import q_eval, q_lyrics, q_series, q_story
+from .plans import q_eval, q_lyrics, q_more, q_series, q_story
 
-MODULES = [q_series, q_eval, q_lyrics, q_story]
+MODULES = [q_series, q_eval, q_lyrics, q_story, q_more]
 
 
 def queries():

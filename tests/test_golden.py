@@ -156,3 +156,40 @@ def test_as_of_sides(spark):
     get = lambda **k: [x["ref"] for x in J.as_of(p, r, "t", "r", **k).orderBy("t").collect()]
     assert get() == [1.0, 1.0] and get(inclusive=False) == [None, 1.0]
     assert get(forward=True) == [1.0, 3.0] and get(forward=True, inclusive=False) == [3.0, 3.0]
+
+
+def test_note_match_variants(spark):
+    det = notes(spark, [(1.0, 2, 60, 1), (2.0, 3, 72, 1), (3.0, 4, 65, 1)])
+    ref = notes(spark, [(1.01, 2, 60, 1), (2.02, 3, 60, 1), (3.0, 4, 60, 1), (9.0, 10, 60, 1)])
+    got = {v: E.match_notes(det, ref, v).first()["matched"] for v in E.PITCH}
+    assert got == {"onset": 3, "pitch": 1, "class": 2}
+
+
+def test_line_merge_falls_back_to_proportional_times(spark):
+    lines = spark.createDataFrame([(1, 0, "one two", 0.0, 2.0), (1, 1, "three four", 10.0, 12.0)], "track long, idx int, text string, start_s double, end_s double")
+    heard = spark.createDataFrame([(1, "One!", 0.5, 0.8), (1, "two", 1.0, 1.4)], "track long, word string, start_s double, end_s double")
+    got = {(r["idx"], r["word_idx"]): (r["start_s"], r["end_s"], r["confidence"]) for r in L.merge_lines(lines, heard).collect()}
+    assert got[0, 0] == (0.5, 0.8, 1.0) and got[0, 1] == (1.0, 1.4, 1.0)
+    assert got[1, 0][0] == 10.0 and got[1, 1][2] == 0.65 and got[1, 1][1] <= 12.0
+
+
+def test_tiers(spark):
+    df = spark.createDataFrame([(1, "merge", 2), (1, "synced", 1), (2, "proportional", 3)], "song long, tier string, priority int")
+    assert sorted((r["song"], r["tier"]) for r in L.choose_tier(df).collect()) == [(1, "synced"), (2, "proportional")]
+
+
+def test_compare_directions(spark):
+    make = lambda rows: spark.createDataFrame(rows, "layer string, metric string, mean double")
+    now = make([("bass", "f1", 0.5), ("bass", "octave_jump_pct", 5.0), ("bass", "new", 1.0), ("bass", "same", 1.0)])
+    was = make([("bass", "f1", 0.6), ("bass", "octave_jump_pct", 7.0), ("bass", "gone", 1.0), ("bass", "same", 1.01)])
+    got = {r["metric"]: r["verdict"] for r in E.compare_to_baseline(now, was).collect()}
+    assert got == {"f1": "regressed", "octave_jump_pct": "improved", "new": "skipped", "gone": "skipped", "same": "same"}
+
+
+def test_valleys_and_clusters(spark):
+    v = spark.createDataFrame([(1, 20.0, 0.9), (1, 25.0, 0.8), (1, 60.0, 0.5), (1, 5.0, 1.0), (1, 80.0, 0.01)], "track long, t double, depth double")
+    d = spark.createDataFrame([(1, 120.0)], "track long, duration double")
+    assert [r["t"] for r in ST.pick_valleys(v, d).orderBy("rank").collect()] == [20.0, 60.0]
+    b = spark.createDataFrame([(1, t) for t in (0.0, 5.0, 30.0, 33.0, 60.0)], "track long, t double")
+    got = [r["t"] for r in ST.cluster_boundaries(b, 12.0).orderBy("t").collect()]
+    assert all(y - x >= 12 for x, y in zip(got, got[1:])) and len(got) == 3
