@@ -21,7 +21,6 @@ divergences (sent together with the counts of depth d + 1).
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Generator, Iterator
 from dataclasses import dataclass
 
@@ -33,14 +32,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_remainder, save
+from .shared import id_remainder, release, save, small_batches
 from .words import mix, words_of
 
 _U = np.uint64
 END = mix(np.array([0x6C62272E07BB0142], np.uint64))
 START = mix(np.array([0x62B821756295C58D], np.uint64))
 #: Tokens of a block, about.
-BLOCK_TOKENS = 2 << 20
+BLOCK_TOKENS = 1 << 20
 #: Key bits that are kept; two keys that agree on them are counted as one.
 KEY_BITS = 56
 
@@ -195,6 +194,19 @@ def _play(b: _Block, s: Settings, total_docs: int, n: float, v: float) -> Genera
     return {"n_tokens": b.sizes, "n_known": add((count > 0).astype(np.int64), starts), "base_score": add(np.log10(base), starts), "score": add(np.log10(parent), starts)}
 
 
+def _squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _spread(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _kind(round_: int) -> str:
+    """Word counts are answered as doubles; later rounds' counts and divergences as single floats."""
+    return "<f4" if round_ else "<f8"
+
+
 def _planes(x: np.ndarray, kind: str) -> bytes:
     width = int(kind[-1])
     return np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(-1, width).T).tobytes()
@@ -206,12 +218,12 @@ def _from_planes(raw: np.ndarray, kind: str) -> np.ndarray:
 
 def _pack(keys: np.ndarray, values: np.ndarray) -> bytes:
     """Sorted keys as differences and their values, byte planes compressed."""
-    return np.int64(len(keys)).tobytes() + zlib.compress(_planes(np.diff(keys, prepend=_U(0)), "<u8") + _planes(values, "<f4"), 1)
+    return np.int64(len(keys)).tobytes() + _squeeze(_planes(np.diff(keys, prepend=_U(0)), "<u8") + _planes(values, "<f4"))
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = int(np.frombuffer(data, np.int64, 1)[0])
-    raw = np.frombuffer(zlib.decompress(data[8:]), np.uint8)
+    raw = np.frombuffer(_spread(data[8:]), np.uint8)
     return np.cumsum(_from_planes(raw[: 8 * n], "<u8"), dtype=np.uint64), _from_planes(raw[8 * n :], "<f4").astype(np.float64)
 
 
@@ -234,7 +246,7 @@ def _add_up(round_: int):
         first[place] = keys
         words = (first & _U(1)).astype(bool) & (total > 0)
         ends = np.cumsum([0, *[len(k) for k, _ in sent]])
-        data = [zlib.compress(_planes(total[place[a:b]], "<f8"), 1) for a, b in zip(ends, ends[1:], strict=False)]
+        data = [_squeeze(_planes(total[place[a:b]], _kind(round_))) for a, b in zip(ends, ends[1:], strict=False)]
         k = len(blocks)
         return pa.table(
             {
@@ -268,7 +280,7 @@ def _round(s: Settings, rounds: int, parts: int, total_docs: int, n: float, v: f
         sent = next(game)
         for r in range(rounds):
             mine = answers.filter(pc.equal(answers.column("round"), r)).sort_by("part")
-            came = [_from_planes(np.frombuffer(zlib.decompress(x), np.uint8), "<f8") for x in mine.column("data").to_pylist()]
+            came = [_from_planes(np.frombuffer(_spread(x), np.uint8), _kind(r)) for x in mine.column("data").to_pylist()]
             totals = np.empty(len(sent[0]))
             totals[np.argsort(sent[0], kind="stable")] = np.concatenate(came)
             try:
@@ -292,9 +304,10 @@ def score(docs: DataFrame, settings: Settings = Settings(), mod: int = 10) -> Da
     """
     s = settings
     docs = docs.select("doc_id", "text")
+    small_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(12, -(-size // (1 << 25)))
+    parts = max(12, -(-size // (1 << 24)))
     blocks = save(_blocks(docs, mod), "text-blocks")
     total_docs = blocks.agg(F.sum(F.size(F.filter("train", lambda t: t)))).first()[0] or 0
     message = "block long, part int, data binary"
@@ -311,6 +324,8 @@ def score(docs: DataFrame, settings: Settings = Settings(), mod: int = 10) -> Da
             v, n = float(row[0] or 0), float(row[1] or 0)
         new = new.filter("block >= 0").select("block", "round", "part", "data")
         answers = new if answers is None else answers.union(new)
+    del sent, new
+    release(docs.sparkSession)
     schema = f"doc_id {id_type}, n_tokens long, n_known long, base_score double, score double"
     scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_round(s, s.depth + 1, parts, total_docs, n, v), schema)
     held_out: Column = F.coalesce(id_remainder("doc_id", mod) == 0, F.lit(False))
