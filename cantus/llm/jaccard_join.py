@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import save
+from .shared import save, small_batches, trim
 from .words import mix, shingle_set, words_of
 
 _U = np.uint64
@@ -105,7 +105,7 @@ def _class_of(s: np.ndarray) -> int:
 #: Shingles are counted by their upper KEY_BITS bits; a shared key only makes a shingle count as frequent.
 KEY_BITS = 40
 #: Keys of a block before it is sorted and sent off.
-BLOCK_KEYS = 1 << 21
+BLOCK_KEYS = 1 << 20
 
 
 def _frequent(docs: DataFrame, width: int, over: int, parts: int, max_frequent: int, bits: int) -> tuple[Filter, int]:
@@ -133,6 +133,8 @@ def _frequent(docs: DataFrame, width: int, over: int, parts: int, max_frequent:
                     held, size = [], 0
         if size:
             yield out()
+        held = []
+        trim()
 
     def count(key: tuple, t: pa.Table) -> pa.Table:
         all_keys = []
@@ -145,6 +147,8 @@ def _frequent(docs: DataFrame, width: int, over: int, parts: int, max_frequent:
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, int)
         n = np.diff(np.append(first, len(keys)))
         often = n > over
+        del all_keys
+        trim()
         return pa.table({"key": np.append(keys[first[often]].astype(np.int64), -1), "n": np.append(n[often].astype(np.int64), len(keys))})
 
     sent = docs.select("text").mapInArrow(blocks, "part int, keys binary")
@@ -233,6 +237,8 @@ def _prefixes(docs: DataFrame, width: int, percent: int, often: Filter, parts: i
                 held, size = [], 0
         if size:
             yield rare_blocks(kind)
+        held = []
+        trim()
 
     rows = docs.select("doc_id", "text")
     return rows.mapInArrow(run, _PREFIX.format(id=rows.schema["doc_id"].dataType.simpleString()))
@@ -259,6 +265,9 @@ def _rare_pairs(percent: int):
         h, c, n, hot = h[order], c[order], n[order], hot[order]
         fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])  # a class counts once
         h, c, n, hot = h[fresh], c[fresh], n[fresh], hot[fresh]
+        _, who = np.unique(c, return_inverse=True)  # classes of this range as small numbers
+        some = np.empty(who.max() + 1, int)
+        some[who] = np.arange(len(c))
         found = []
         step = 1
         while True:  # members of one list lie next to each other
@@ -267,18 +276,15 @@ def _rare_pairs(percent: int):
                 break
             j = i + step
             fits = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-            i, j = i[fits], j[fits]
-            found.append(np.stack([c[i], c[j], n[i], n[j], hot[i], hot[j]]))
+            found.append(who[i[fits]] * len(some) + who[j[fits]])
             step += 1
         if found:
-            all_pairs = np.concatenate(found, axis=1)
-            order = np.lexsort((all_pairs[1], all_pairs[0]))
-            all_pairs = all_pairs[:, order]
-            first = np.flatnonzero(np.concatenate([[True], (all_pairs[:2, 1:] != all_pairs[:2, :-1]).any(axis=0)])) if all_pairs.shape[1] else np.empty(0, int)
-            shared = np.diff(np.append(first, all_pairs.shape[1]))
-            cols = [*all_pairs[:, first], shared.astype(np.int64)]
+            pairs, shared = np.unique(np.concatenate(found), return_counts=True)
+            i, j = some[pairs // len(some)], some[pairs % len(some)]
+            cols = [c[i], c[j], n[i], n[j], hot[i], hot[j], shared.astype(np.int64)]
         else:
             cols = [np.empty(0, np.int64)] * 7
+        trim()
         return pa.table(dict(zip(("a", "b", "na", "nb", "hot_a", "hot_b", "shared"), cols, strict=True)))
 
     return run
@@ -409,8 +415,9 @@ def class_links(docs: DataFrame, width: int = 5, percent: int = 75, frequent: in
     bits: size of the shipped filters; max_frequent: frequent shingles that go to one.
     """
     docs = docs.select("doc_id", "text")
+    small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(16, -(-size // (1 << 25)))
+    parts = max(16, -(-size // (1 << 24)))
     often, _ = _frequent(docs, width, frequent, parts, max_frequent, bits)
     found = save(_prefixes(docs, width, percent, often, parts), "prefixes", ["kind"])
     rows = found.filter("kind = 'doc'")

@@ -12,8 +12,6 @@ ships with the tasks; prediction reads every whole text.
 
 from __future__ import annotations
 
-import math
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,55 +20,53 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_remainder
+from .shared import id_remainder, small_batches, trim
 
 WORD = regex.compile(r"\p{L}+")
 UNDETERMINED = "und"
 
 
 class Model:
-    """Log frequencies of words and n-grams by language."""
+    """Log frequencies of words and n-grams by language: numbers of rows of one table each, so a process holds it lightly."""
 
     def __init__(self, counts: list[tuple[str, str, int]], docs: dict[str, int], longest: int = 4):
         """counts: (lang, word, n); docs: labelled rows by language, for the prior."""
         self.langs = sorted(docs, key=lambda x: (-docs[x], x))
         at = {x: i for i, x in enumerate(self.langs)}
-        k = len(self.langs)
-        words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(k))
-        grams: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(k)) for _ in range(longest + 1)]
+        self.longest = longest
+        tables: list[dict[str, list[int]]] = [{} for _ in range(longest + 1)]  # 0: words; n: n-grams
+        none = [0] * len(self.langs)
         for lang, word, n in counts:
-            words[word][at[lang]] += n
+            j = at[lang]
+            tables[0].setdefault(word, none[:])[j] += n
             for size in range(1, longest + 1):
                 for i in range(len(word) - size + 1):
-                    grams[size][word[i : i + size]][at[lang]] += n
-        self.longest = longest
-        self.words = self._logs(words)
-        self.grams = [{}, *map(self._logs, grams[1:])]
+                    tables[size].setdefault(word[i : i + size], none[:])[j] += n
+        self.rows = [{w: i for i, w in enumerate(t)} for t in tables]
+        self.logs = [self._logs(np.array(list(t.values()), float).reshape(len(t), len(self.langs))) for t in tables]
         rows = sum(docs.values())
-        self.prior = np.log(np.array([docs[x] / rows for x in self.langs])) if k else np.empty(0)
-        self.cache: dict[str, np.ndarray] = {}
+        self.prior = np.log(np.array([docs[x] / rows for x in self.langs])) if self.langs else np.empty(0)
+        self.cache: dict[str, tuple[float, ...]] = {}
 
     @staticmethod
-    def _logs(table: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        if not table:
-            return {}
-        values = np.array(list(table.values())) + 0.5
-        return dict(zip(table, np.log(values / values.sum(axis=0)), strict=True))
+    def _logs(counts: np.ndarray) -> np.ndarray:
+        values = counts + 0.5
+        return np.log(values / values.sum(axis=0)) if len(counts) else values
 
-    def unseen(self, word: str) -> np.ndarray:
+    def unseen(self, word: str) -> tuple[float, ...]:
         """Backoff: at each place the longest known n-gram, then on behind it."""
         found = self.cache.get(word)
         if found is None:
-            found, i = np.zeros(len(self.langs)), 0
+            total, i = np.zeros(len(self.langs)), 0
             while i < len(word):
                 for size in range(min(self.longest, len(word) - i), 0, -1):
-                    if (row := self.grams[size].get(word[i : i + size])) is not None:
-                        found = found + row
+                    if (row := self.rows[size].get(word[i : i + size])) is not None:
+                        total += self.logs[size][row]
                         break
                 i += size
-            if len(self.cache) >= 200_000:
+            if len(self.cache) >= 50_000:
                 self.cache.clear()
-            self.cache[word] = found
+            found = self.cache[word] = tuple(total)
         return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -78,10 +74,11 @@ class Model:
         words = WORD.findall((text or "").lower())
         if not words or not self.langs:
             return UNDETERMINED, 0.0
-        total, get = self.prior.copy(), self.words.get
-        for word, n in Counter(words).items():
-            row = get(word)
-            total += n * (row if row is not None else self.unseen(word))
+        rows = list(map(self.rows[0].get, words))
+        known = [r for r in rows if r is not None]
+        total = self.prior + self.logs[0][known].sum(axis=0)
+        if len(known) < len(rows):
+            total += np.array([self.unseen(w) for w, r in zip(words, rows, strict=True) if r is None]).sum(axis=0)
         best = int(np.argmax(total))
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
@@ -111,6 +108,7 @@ def fit(docs: DataFrame, sample_rows: int = 2000, max_words: int = 200_000, min_
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` with lang_pred and score added in front of clashes (a clash is replaced)."""
     spark = docs.sparkSession
+    small_batches(spark)
     shipped = spark.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = docs.select(keep).schema.add("lang_pred", "string").add("score", "double")
@@ -123,6 +121,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 [*(batch.column(c) for c in keep), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
                 [*keep, "lang_pred", "score"],
             )
+        trim()
 
     return docs.select(keep).mapInArrow(run, schema)
 

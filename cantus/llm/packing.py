@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 #: Context sizes; the last is the longest window.
 TIERS = (256, 512, 1024, 2048)
 #: Rests that a task holds before it packs them; bounds memory to about POOL * 1024 ids.
@@ -265,6 +267,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers: tuple[int
             yield batch()
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group", "ids"]
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")
     out = rows.mapInArrow(run, SCHEMA.format(id=rows.schema["doc_id"].dataType.simpleString()))
     return out if with_ids else out.drop("ids")

@@ -23,6 +23,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import small_batches
+
 ROUNDS = 10
 DIGITS, LETTERS = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 DAY_0, DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
@@ -255,6 +257,7 @@ def pseudonymise(docs: DataFrame, key: str | bytes, count: str | None = "n_pii")
     the name in ``count`` is replaced.  Rows are treated one by one, so
     repeats and empty tables are plain.
     """
+    small_batches(docs.sparkSession)
     raw = key.encode() if isinstance(key, str) else key
     keep = [c for c in docs.columns if c != count]
     schema = docs.select(keep).schema

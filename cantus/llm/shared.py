@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,10 +33,33 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def trim() -> None:
+    """Gives memory that a Python worker has freed back to the system: workers live on and share an executor's memory."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # glibc
+        libc.malloc_trim(0)
+
+
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Bounds the bytes of an Arrow batch, which by default may hold 10,000 texts or 64 MB; a lower bound stays."""
+    if int(str(spark.conf.get(_BATCH)).rstrip("b")) > most:
+        spark.conf.set(_BATCH, str(most))
+
+
 def release(spark: SparkSession) -> None:
     """Lets go of the shuffle files of finished steps, which stay until the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees may hold on to more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def save(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:

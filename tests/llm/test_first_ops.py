@@ -80,7 +80,7 @@ def test_language(spark):
 
 def test_language_backoff():
     m = langid.Model([("a", "xyz", 5), ("b", "xqq", 5)], {"a": 1, "b": 1})
-    assert np.allclose(m.unseen("xyzq"), m.grams[3]["xyz"] + m.grams[1]["q"])
+    assert np.allclose(m.unseen("xyzq"), m.logs[3][m.rows[3]["xyz"]] + m.logs[1][m.rows[1]["q"]])
     assert m.predict("xyzq xyz")[0] == "a"
 
 
