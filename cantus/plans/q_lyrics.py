@@ -99,13 +99,13 @@ def lyric_activity(spark, sf):
     """WITH k AS (SELECT *, CASE WHEN word_idx % 4 IN (1, 2) THEN NULL ELSE start_s END AS s, CASE WHEN word_idx % 4 IN (1, 2) THEN NULL ELSE end_s END AS e FROM words),
        g AS (SELECT *, coalesce(last_value(e IGNORE NULLS) OVER w, ls) AS l, coalesce(first_value(s IGNORE NULLS) OVER (PARTITION BY song, line_idx ORDER BY word_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), le) AS r, count(s) OVER w AS island FROM k WINDOW w AS (PARTITION BY song, line_idx ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
        t AS (SELECT *, sum(len(word)) OVER p AS total, coalesce(sum(len(word)) OVER (PARTITION BY song, line_idx, island, s IS NULL ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto, greatest(r - l, 0.06::DOUBLE) AS span FROM g WINDOW p AS (PARTITION BY song, line_idx, island, s IS NULL))
-       SELECT song, line_idx, word_idx, word, round(round(CASE WHEN s IS NOT NULL THEN s ELSE l + span * upto / total END, 6), 3) AS start_s, round(round(CASE WHEN s IS NOT NULL THEN e ELSE l + span * upto / total + span * len(word) / total * 0.95::DOUBLE END, 6), 3) AS end_s, CASE WHEN s IS NOT NULL THEN 1.0::DOUBLE ELSE 0.65::DOUBLE END AS confidence FROM t""", "lines", more=_WORDS))
+       SELECT song, line_idx, word_idx, word, floor(round(CASE WHEN s IS NOT NULL THEN s ELSE l + span * upto / total END, 6) * 1000) / 1000 AS start_s, floor(round(CASE WHEN s IS NOT NULL THEN e ELSE l + span * upto / total + span * len(word) / total * 0.95::DOUBLE END, 6) * 1000) / 1000 AS end_s, CASE WHEN s IS NOT NULL THEN 1.0::DOUBLE ELSE 0.65::DOUBLE END AS confidence FROM t""", "lines", more=_WORDS))
 def gap_fill(spark, sf):
     lost = F.col("word_idx") % 4
     w = _words(spark, sf).withColumns({"start_s": F.when(lost.isin(1, 2), None).otherwise(F.col("start_s")), "end_s": F.when(lost.isin(1, 2), None).otherwise(F.col("end_s"))})
     lines = V.lyric_lines(spark, sf).select("song", "line_idx", F.col("start_s").alias("line_start"), F.col("end_s").alias("line_end"))
     out = L.fill_gaps(w.join(lines, ["song", "line_idx"]), ["song", "line_idx"])
-    return out.withColumns({"start_s": F.round("start_s", 3), "end_s": F.round("end_s", 3)})
+    return out.withColumns({c: F.floor(F.col(c) * 1000) / 1000.0 for c in ("start_s", "end_s")})
 
 
 _CORR = """corr_ AS (SELECT song, line_idx, CASE WHEN line_idx % 3 = 2 THEN 'other' ELSE '  ' || text END AS text, word_idx, CASE WHEN line_idx % 11 = 3 THEN 'verified' WHEN line_idx % 2 = 0 THEN 'corrected' ELSE 'auto' END AS status,

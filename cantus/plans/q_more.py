@@ -113,10 +113,10 @@ def asr_normalise(spark, sf):
 
 
 @query("time_shift", V.with_views(
-    "SELECT note_id, round(round(greatest(0, onset_s - 30.5::DOUBLE), 6), 4) AS start_s, round(greatest(round(greatest(0, onset_s - 30.5::DOUBLE), 6), round(offset_s - 30.5::DOUBLE, 6)), 4) AS end_s FROM notes", "notes"))
+    "SELECT note_id, floor(round(greatest(0, onset_s - 30.5::DOUBLE), 6) * 1000) / 1000 AS start_s, floor(greatest(round(greatest(0, onset_s - 30.5::DOUBLE), 6), round(offset_s - 30.5::DOUBLE, 6)) * 1000) / 1000 AS end_s FROM notes", "notes"))
 def time_shift(spark, sf):
     s, e = S.shifted(F.col("onset_s"), F.col("offset_s"), F.lit(-30.5))
-    return V.notes(spark, sf).select("note_id", F.round(s, 4).alias("start_s"), F.round(e, 4).alias("end_s"))
+    return V.notes(spark, sf).select("note_id", (F.floor(s * 1000) / 1000.0).alias("start_s"), (F.floor(e * 1000) / 1000.0).alias("end_s"))
 
 
 @query("cache_compatible", "SELECT p_partkey, p_size % 10 >= 7 AND (p_partkey % 4 = 0 OR p_partkey % 4 = 1) AS usable FROM part")
