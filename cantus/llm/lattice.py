@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-A normalised text is cut into words: a run of meta spaces and what follows,
-and further wherever no piece holds the two characters around a place, so
-that no piece crosses a cut.  Distinct words only are encoded: their
+A normalised text is cut into words: a run of meta spaces and what follows.
+Distinct words are cut further wherever no piece holds the two characters
+around a place, so that no piece crosses a cut.  Distinct parts only are encoded: their
 substrings of bounded length are exploded, equi-joined to the piece table
 (which is bounded by the model and broadcast), grouped by word as the edges of
 its lattice, and folded by Spark's higher-order ``aggregate``.
@@ -25,7 +25,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 import zstandard
@@ -33,13 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import save
+from .shared import drop_table, release, save, small_batches, trim
 
 SPACE = "▁"
 #: Words with more characters are merged by a heap in Arrow batches: a fold is quadratic in a word's length.
 LONG = 48
 #: Words of a block, about.
-BLOCK_WORDS = 1 << 21
+BLOCK_WORDS = 1 << 20
 _WORDS = regex.compile(r" *[^ ]+| +")
 
 
@@ -172,16 +171,14 @@ class Pieces:
 UNKNOWN = -100.0
 
 
-def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, ids) for distinct words, by the lattice."""
+def encode_words(words: DataFrame, pieces: Pieces, tasks: int = 16) -> DataFrame:
+    """(word, ids) for distinct words, by the lattice, in ``tasks`` tasks so that no task's edges spill."""
     spark = words.sparkSession
     short = words.filter(F.length("word") <= LONG)
-    spans = F.expr(
-        f"flatten(transform(sequence(0, length(word) - 1), i -> transform(sequence(1, least({pieces.longest}, length(word) - i)), "
-        "n -> struct(cast(i * 64 + i + n AS int) AS span, substring(word, i + 1, n) AS piece))))"
-    )
     # Dealt by word once: exploding and the broadcast join keep that, so grouping needs no shuffle.
-    lattice = short.filter("word <> ''").repartition("word").select("word", F.explode(spans).alias("e")).select("word", "e.span", "e.piece")
+    starts = short.filter("word <> ''").repartition(tasks, "word").select("word", F.explode(F.expr("sequence(0, length(word) - 1)")).alias("i"))
+    spans = starts.select("word", "i", F.explode(F.expr(f"sequence(1, least({pieces.longest}, length(word) - i))")).alias("n"))
+    lattice = spans.select("word", F.expr("i * 64 + i + n").alias("span"), F.expr("substring(word, i + 1, n)").alias("piece"))
     edges = lattice.join(F.broadcast(pieces.frame(spark)), "piece", "left").filter("id IS NOT NULL OR span % 64 - span div 64 = 1")
     grouped = edges.groupBy("word").agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("span", F.struct("rank", "id", "score").alias("e")))).alias("found"))
     grouped = grouped.select("word", F.length("word").alias("n"), F.map_from_entries("found").alias("edges"))
@@ -200,10 +197,23 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def _merge_fold() -> str:
-    """Cut places after all merges: each step drops the cut inside the best edge over two neighbours."""
-    best = "array_max(filter(transform(sequence(0, size(b) - 3), q -> struct(-try_element_at(edges, b[q] * 64 + b[q + 2]).rank AS s, -q AS q)), x -> x.s IS NOT NULL))"
-    drop = f"transform(array({best}), m -> if(m IS NULL, b, concat(slice(b, 1, 1 - m.q), slice(b, 3 - m.q, size(b)))))[0]"
-    return f"aggregate(sequence(1, greatest(n - 1, 1)), sequence(0, n), (b, step) -> if(size(b) < 3, b, {drop}))"
+    """Cut places after all merges: each step drops the cut inside the best edge over two neighbours.
+
+    The state keeps the rank of every pair of neighbours (NONE without an
+    edge), so a step looks at the two pairs that change only.
+    """
+    none = 2147483647
+    rank = lambda i, j: f"coalesce(try_element_at(edges, {i} * 64 + {j}).rank, {none})"
+    begin = f"named_struct('b', sequence(0, n), 'r', if(n < 2, cast(array() AS array<int>), transform(sequence(0, greatest(n - 2, 0)), q -> {rank('q', '(q + 2)')})))"
+    left = f"if(p > 1, array({rank('s.b[p - 2]', 's.b[p + 1]')}), cast(array() AS array<int>))"
+    right = f"if(p < size(s.r), array({rank('s.b[p - 1]', 's.b[p + 2]')}), cast(array() AS array<int>))"
+    merged = (
+        "named_struct('b', concat(slice(s.b, 1, p), slice(s.b, p + 2, size(s.b))), "
+        f"'r', concat(slice(s.r, 1, greatest(p - 2, 0)), {left}, {right}, slice(s.r, p + 2, size(s.r))))"
+    )
+    at = "cast(array_position(s.r, array_min(s.r)) AS int)"
+    step = f"transform(array({at}), p -> if(p IS NULL OR s.r[p - 1] = {none}, s, {merged}))[0]"
+    return f"aggregate(sequence(1, greatest(n - 1, 1)), {begin}, (s, step) -> {step}, s -> s.b)"
 
 
 def _viterbi_fold() -> str:
@@ -217,51 +227,57 @@ def _viterbi_fold() -> str:
     return f"transform(array({best}), best -> {back})[0]"
 
 
-def _numbers(texts: list[str | None], pieces: Pieces) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """Words of all texts as numbers, the distinct words, and how many words each text has."""
-    lead = " " if pieces.prefix else ""
-    each = [_WORDS.findall(lead + t) if t else [] for t in texts]
-    codes, words = pd.factorize(np.array([w for x in each for w in x], object)) if any(each) else (np.empty(0, int), [])
-    return codes, [w.replace(" ", SPACE) for w in words], np.array([len(x) for x in each], int)
+def _words(text: str | None, pieces: Pieces) -> list[str]:
+    """Words of a text with spaces still plain; none of an empty text."""
+    return _WORDS.findall(" " + text if pieces.prefix else text) if text else []
+
+
+def _by_range(words: set[str], parts: int) -> list[list[str]]:
+    """Words by hash range, sorted."""
+    out: list[list[str]] = [[] for _ in range(parts)]
+    crc = zlib.crc32
+    for w in words:
+        out[crc(w.encode()) % parts].append(w)
+    for x in out:
+        x.sort()
+    return out
 
 
 def _blocks(docs: DataFrame, pieces: Pieces, parts: int, messages: bool) -> DataFrame:
-    """Blocks of texts: their parts' distinct words by hash range, or their texts as numbers of words."""
+    """Blocks of texts: their distinct words by hash range, or the texts themselves."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = "block long, part int, words binary" if messages else f"block long, ids array<{id_type}>, sizes array<long>, codes binary, words binary"
+    schema = "block long, part int, words binary" if messages else f"block long, ids array<{id_type}>, texts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         base, serial, kind = TaskContext.get().partitionId() << 32, 0, None
-        ids, texts, size = [], [], 0
+        ids, texts, words, size = [], [], set(), 0
 
         def out() -> pa.RecordBatch:
-            codes, words, sizes = _numbers(texts, pieces)
             if messages:
-                by_part: list[list[str]] = [[] for _ in range(parts)]
-                for w in dict.fromkeys(p for w in words for p in pieces.cut(w)):
-                    by_part[zlib.crc32(w.encode()) % parts].append(w)
-                data = [_squeeze(sorted(p)) for p in by_part]
+                data = [_squeeze(p) for p in _by_range(words, parts)]
                 return pa.RecordBatch.from_arrays([pa.array([base + serial] * parts), pa.array(range(parts), pa.int32()), pa.array(data, pa.binary())], ["block", "part", "words"])
-            planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([base + serial]), pa.array([ids], pa.list_(kind)), pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([zstandard.ZstdCompressor(level=3).compress(planes)]), pa.array([_squeeze(words)])],
-                ["block", "ids", "sizes", "codes", "words"],
-            )
+            return pa.RecordBatch.from_arrays([pa.array([base + serial]), pa.array([ids], pa.list_(kind)), pa.array([_squeeze(texts)])], ["block", "ids", "texts"])
 
         for b in batches:
             kind = b.schema.field("doc_id").type
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+                text = t.as_py() or ""
                 ids.append(i)
-                texts.append(t)
-                size += len(t or "") // 6 + 1
+                if messages:
+                    words.update(_words(text, pieces))
+                else:
+                    texts.append(text)
+                size += len(text) // 6 + 1
                 if size >= BLOCK_WORDS:
                     yield out()
                     serial += 1
-                    ids, texts, size = [], [], 0
+                    ids, texts, words, size = [], [], set(), 0
         if ids:
             yield out()
+        ids, texts, words = [], [], set()
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -269,7 +285,11 @@ def _blocks(docs: DataFrame, pieces: Pieces, parts: int, messages: bool) -> Data
 def _squeeze(words: list[str]) -> bytes:
     """Words in order: their lengths in bytes, then all bytes."""
     raw = [w.encode() for w in words]
-    return zstandard.ZstdCompressor(level=3).compress(np.array([len(raw), *map(len, raw)], "<u4").tobytes() + b"".join(raw))
+    return _compress(np.array([len(raw), *map(len, raw)], "<u4").tobytes() + b"".join(raw))
+
+
+def _compress(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
 def _spread(data: bytes) -> list[str]:
@@ -280,50 +300,62 @@ def _spread(data: bytes) -> list[str]:
     return [raw[a:b].decode() for a, b in zip(starts, ends.tolist(), strict=True)] if n else []
 
 
-def _distinct(key: tuple, t: pa.Table) -> pa.Table:
-    words = sorted({w for x in t.column("words").to_pylist() for w in _spread(x)})
-    return pa.table({"part": pa.array([key[0].as_py()] * len(words), pa.int32()), "word": pa.array(words, pa.string())})
+def _distinct(pieces: Pieces):
+    """Distinct cut words of one range."""
 
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        words = {w for x in t.column("words").to_pylist() for w in _spread(x)}
+        cut = sorted({p for w in words for p in pieces.cut(w.replace(" ", SPACE))})
+        return pa.table({"part": pa.array([key[0].as_py()] * len(cut), pa.int32()), "word": pa.array(cut, pa.string())})
 
-def _answer(key: tuple, sent: pa.Table, encoded: pa.Table) -> pa.Table:
+    return run
+
+
+def _answer(pieces: Pieces):
     """Ids of each block's words of one range, in the order in which they were sent."""
-    lists = encoded.column("ids").combine_chunks()
-    ends = lists.offsets.to_numpy()
-    flat = lists.values.to_numpy(zero_copy_only=False).astype("<u4")
-    at = dict(zip(encoded.column("word").to_pylist(), range(len(encoded)), strict=True))
-    out = []
-    for x in sent.column("words").to_pylist():
-        rows = np.array([at[w] for w in _spread(x)], int)
-        sizes = ends[rows + 1] - ends[rows] if len(rows) else np.empty(0, int)
-        spots = np.repeat(ends[rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum()) if len(rows) else np.empty(0, int)
-        out.append(zstandard.ZstdCompressor(level=3).compress(np.array([len(rows), *sizes], "<u4").tobytes() + flat[spots].tobytes()))
-    return pa.table({"block": sent.column("block"), "part": sent.column("part"), "ids": pa.array(out, pa.binary())})
+
+    def run(key: tuple, sent: pa.Table, encoded: pa.Table) -> pa.Table:
+        lists = encoded.column("ids").combine_chunks()
+        ends = lists.offsets.to_numpy().tolist()
+        flat = lists.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+        part = {w: flat[4 * a : 4 * b] for w, a, b in zip(encoded.column("word").to_pylist(), ends, ends[1:], strict=False)}
+        whole: dict[str, bytes] = {}
+        out = []
+        for x in sent.column("words").to_pylist():
+            words = _spread(x)
+            for w in words:
+                if w not in whole:
+                    whole[w] = b"".join([part[p] for p in pieces.cut(w.replace(" ", SPACE))])
+            ids = [whole[w] for w in words]
+            out.append(_compress(np.array([len(ids), *map(len, ids)], "<u4").tobytes() + b"".join(ids)))
+        del part, whole, flat
+        trim()
+        return pa.table({"block": sent.column("block"), "part": sent.column("part"), "ids": pa.array(out, pa.binary())})
+
+    return run
 
 
 def _assemble(pieces: Pieces, parts: int):
     def run(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
-        row = block.to_pylist()[0]
-        words, sizes = _spread(row["words"]), np.array(row["sizes"], int)
-        cut = [pieces.cut(w) for w in words]
-        by_part: list[list[str]] = [[] for _ in range(parts)]
-        for w in dict.fromkeys(p for x in cut for p in x):
-            by_part[zlib.crc32(w.encode()) % parts].append(w)
-        ids: dict[str, bytes] = {}
+        texts = _spread(block.column("texts")[0].as_py())
+        doc_ids = block.column("ids")[0].as_py()
+        words: set[str] = set()
+        for t in texts:
+            words.update(_words(t, pieces))
+        by_range, ids = _by_range(words, parts), {}
         for part, data in zip(answers.column("part").to_pylist(), answers.column("ids").to_pylist(), strict=True):
             raw = zstandard.ZstdDecompressor().decompress(data)
             n = int(np.frombuffer(raw, "<u4", 1)[0])
             at = 4 * (n + 1)
-            for w, k in zip(sorted(by_part[part]), np.frombuffer(raw, "<u4", n, 4).tolist(), strict=True):
-                ids[w] = raw[at : at + 4 * k]
-                at += 4 * k
-        whole = [b"".join([ids[p] for p in x]) for x in cut]
-        total = int(sizes.sum())
-        codes = np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(row["codes"]), np.uint8).reshape(4, total).T).view("<u4").ravel().tolist() if total else []
-        out, at = [], 0
-        for n in sizes.tolist():
-            out.append(np.frombuffer(b"".join([whole[c] for c in codes[at : at + n]]), "<i4"))
-            at += n
-        return pa.table({"doc_id": pa.array(row["ids"], block.schema.field("ids").type.value_type), "ids": pa.array(out, pa.list_(pa.int32()))})
+            for w, k in zip(by_range[part], np.frombuffer(raw, "<u4", n, 4).tolist(), strict=True):
+                ids[w] = raw[at : at + k]
+                at += k
+        data = [b"".join(map(ids.__getitem__, _words(t, pieces))) for t in texts]
+        ends = np.cumsum([0, *[len(x) // 4 for x in data]])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(data), "<i4")))
+        del ids, by_range, words, data
+        trim()
+        return pa.table({"doc_id": pa.array(doc_ids, block.schema.field("ids").type.value_type), "ids": lists})
 
     return run
 
@@ -334,14 +366,19 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
     A null or empty text has no ids.  Repeated rows and null ids are rows
     like others; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(12, -(-size // (1 << 24)))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     sent = save(_blocks(docs, pieces, parts, messages=True), "word-messages")
-    distinct = sent.groupBy("part").applyInArrow(_distinct, "part int, word string")
-    encoded = save(encode_words(distinct.select("word"), pieces), "encoded-words")
-    encoded = encoded.withColumn("part", F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(parts)).cast("int"))
-    answers = sent.groupBy("part").cogroup(encoded.groupBy("part")).applyInArrow(_answer, "block long, part int, ids binary")
+    cut = save(sent.groupBy("part").applyInArrow(_distinct(pieces), "part int, word string"), "cut-words")
+    encoded = save(encode_words(cut.select("word").distinct(), pieces, 4 * parts), "encoded-words")
+    wanted = cut.join(encoded, "word")
+    answers = save(sent.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(_answer(pieces), "block long, part int, ids binary"), "word-answers")
+    for table in (sent, cut, encoded):
+        drop_table(table)
+    del wanted
+    release(docs.sparkSession)
     texts = _blocks(docs, pieces, parts, messages=False)
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_assemble(pieces, parts), f"doc_id {id_type}, ids array<int>")
 
@@ -352,16 +389,19 @@ def decode(encoded: DataFrame, pieces: Pieces, column: str = "ids") -> DataFrame
     Null ids give null, no ids the empty text.  Control pieces give nothing.
     """
     raw = [bytes([pieces.bytes_.index(i)]) if k == 6 else b"" if k == 3 else t.replace(SPACE, " ").encode() for i, (t, k) in enumerate(zip(pieces.texts, pieces.kinds, strict=True))]
-    lead = pieces.prefix
+    lead, table = pieces.prefix, np.frombuffer(b"".join(raw), np.uint8)
+    size = np.array([len(x) for x in raw])
+    begin = np.cumsum(size) - size
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
 
+    def text(ids: np.ndarray) -> str:
+        n = size[ids]
+        data = table[np.repeat(begin[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes().decode("utf-8", "replace")
+        return data[1:] if lead and data[:1] == " " else data
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = []
-            for x in b.column(column):
-                ids = x.as_py()
-                data = None if ids is None else b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
-                texts.append(data[1:] if data and lead and data[0] == " " else data)
+            texts = [None if not x.is_valid else text(x.values.to_numpy(zero_copy_only=False)) if len(x) else "" for x in b.column(column)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], schema.names)
 
     return encoded.mapInArrow(run, schema)

@@ -9,6 +9,7 @@ folder of this process is used.
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -77,6 +78,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def drop_table(df: DataFrame) -> None:
+    """Deletes a table that ``save`` wrote and that no later step reads."""
+    spark = df.sparkSession
+    for name in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
+        while not re.search(r"-[0-9a-f]{12}$", path.getName()):
+            path = path.getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def id_remainder(doc_id: Column | str, mod: int) -> Column:
     """crc32 of the id as decimal text, modulo ``mod``; null for a null id."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
