@@ -23,11 +23,11 @@ def query(name: str, sql: str | None):
 _STAMP = "'[' || lpad((line_idx % 7)::VARCHAR, 2, '0') || ':' || lpad(((line_idx * 5) % 60)::VARCHAR, 2, '0') || '.' || CASE WHEN line_idx % 3 = 0 THEN '25' ELSE '125' END || ']' || CASE WHEN line_idx % 5 = 4 THEN ' ' ELSE ' ' || replace(substr(text, 1, 40), chr(10), ' ') END"
 
 
-def _lrc(spark, sf):
-    """One timed text for each song, made of its lines; every fifth has a stamp and no words."""
+def _lrc(spark, sf, text):
+    """One timed text for each song, made of its lines with ``text``; every fifth has a stamp and no words."""
     i = F.col("line_idx")
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    words = F.when(i % 5 == 4, " ").otherwise(F.concat(F.lit(" "), F.replace(F.substring("text", 1, 40), F.lit("\n"), F.lit(" "))))
+    words = F.when(i % 5 == 4, " ").otherwise(F.concat(F.lit(" "), F.replace(text, F.lit("\n"), F.lit(" "))))
     line = F.concat(F.lit("["), two(i % 7), F.lit(":"), two((i * 5) % 60), F.lit("."), F.when(i % 3 == 0, "25").otherwise("125"), F.lit("]"), words)
     lines = V.lyric_lines(spark, sf).select("song", F.struct("line_idx", line.alias("line")).alias("x"))
     return lines.groupBy("song").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("text"))
@@ -39,7 +39,20 @@ def _lrc(spark, sf):
           + CASE WHEN len(regexp_extract(raw, '\\.(\\d{{2,3}})\\]', 1)) = 2 THEN regexp_extract(raw, '\\.(\\d{{2,3}})\\]', 1)::INTEGER * 10 ELSE regexp_extract(raw, '\\.(\\d{{2,3}})\\]', 1)::INTEGER END / 1000.0::DOUBLE AS start_s FROM s)
         SELECT * FROM (SELECT song, line_no, text, start_s, coalesce(lead(start_s) OVER (PARTITION BY song ORDER BY start_s, line_no), start_s + 5.0::DOUBLE) AS end_s FROM m) WHERE text <> ''""", "lines"))
 def parse_lrc(spark, sf):
-    return L.parse_lrc(_lrc(spark, sf))
+    return L.parse_lrc(_lrc(spark, sf, F.substring("text", 1, 40)))
+
+
+_WHOLE_STAMP = _STAMP.replace("substr(text, 1, 40)", "text")
+
+
+@query("parse_lrc_whole", V.with_views(
+    f"""WITH s AS (SELECT song, (row_number() OVER (PARTITION BY song ORDER BY line_idx) - 1)::INTEGER AS line_no, trim({_WHOLE_STAMP}) AS raw FROM lines),
+        m AS (SELECT song, line_no, trim(regexp_extract(raw, '^\\[(\\d{{1,2}}):(\\d{{2}})\\.(\\d{{2,3}})\\](.*)', 4)) AS text, regexp_extract(raw, '^\\[(\\d{{1,2}}):', 1)::INTEGER * 60 + regexp_extract(raw, ':(\\d{{2}})\\.', 1)::INTEGER
+          + CASE WHEN len(regexp_extract(raw, '\\.(\\d{{2,3}})\\]', 1)) = 2 THEN regexp_extract(raw, '\\.(\\d{{2,3}})\\]', 1)::INTEGER * 10 ELSE regexp_extract(raw, '\\.(\\d{{2,3}})\\]', 1)::INTEGER END / 1000.0::DOUBLE AS start_s FROM s)
+        SELECT * FROM (SELECT song, line_no, text, start_s, coalesce(lead(start_s) OVER (PARTITION BY song ORDER BY start_s, line_no), start_s + 5.0::DOUBLE) AS end_s FROM m) WHERE text <> ''""", "lines"))
+def parse_lrc_whole(spark, sf):
+    """parse_lrc over whole texts; the SQL of parse_lrc holds 40 characters of each."""
+    return L.parse_lrc(_lrc(spark, sf, F.col("text")))
 
 
 _WORDS = r"""wd AS (SELECT song, line_idx, text, start_s AS ls, end_s AS le, w.i::INTEGER - 1 AS word_idx, w.word FROM (SELECT *, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM lines),

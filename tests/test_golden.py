@@ -193,3 +193,12 @@ def test_valleys_and_clusters(spark):
     b = spark.createDataFrame([(1, t) for t in (0.0, 5.0, 30.0, 33.0, 60.0)], "track long, t double")
     got = [r["t"] for r in ST.cluster_boundaries(b, 12.0).orderBy("t").collect()]
     assert all(y - x >= 12 for x, y in zip(got, got[1:])) and len(got) == 3
+
+
+def test_parse_lrc_whole_keeps_long_lines(spark):
+    from cantus.plans import q_lyrics
+    from cantus.plans import views as V
+
+    sf = "/root/testdata/sf0.001"
+    want = V.lyric_lines(spark, sf).filter(F.col("line_idx") % 5 != 4).agg(F.max(F.length(F.trim(F.replace("text", F.lit("\n"), F.lit(" ")))))).first()[0]
+    assert q_lyrics.parse_lrc_whole(spark, sf).agg(F.max(F.length("text"))).first()[0] == want > 40
