@@ -177,6 +177,23 @@ def taps(spark, sf):
     return L.taps_to_words(w, t).filter("tapped")
 
 
+@query("taps_whole", V.with_views(
+    """WITH c AS (SELECT * REPLACE (floor(start_s * 1000) / 1000 AS start_s, floor(end_s * 1000) / 1000 AS end_s), max(line_idx) OVER (PARTITION BY song) AS last_line FROM words),
+       o AS (SELECT *, row_number() OVER w AS i, coalesce(lead(line_idx) OVER w <> line_idx, true) AS closes FROM c WINDOW w AS (PARTITION BY song ORDER BY line_idx, word_idx)),
+       tp AS (SELECT song, i, floor(start_s * 100) / 100 + 0.03::DOUBLE AS t FROM o WHERE song % 2 = 1 OR line_idx < last_line), tq AS (SELECT song, t, row_number() OVER w AS i, lead(t) OVER w AS nt FROM tp WINDOW w AS (PARTITION BY song ORDER BY t)),
+       j AS (SELECT o.*, tq.t, tq.nt FROM o LEFT JOIN tq ON tq.song = o.song AND tq.i = o.i)
+       SELECT song, line_idx, word_idx, round(coalesce(t, start_s), 3) AS start_s, round(CASE WHEN t IS NOT NULL THEN greatest(round(CASE WHEN closes OR nt IS NULL THEN le ELSE nt - 0.05 END, 3), round(t + 0.02, 3)) ELSE end_s END, 3) AS end_s, t IS NOT NULL AS tapped,
+       CASE WHEN max(CASE WHEN t IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY song, line_idx) = 1 THEN 'corrected' ELSE 'auto' END AS status FROM j""", "lines", more=_WORDS))
+def taps_whole(spark, sf):
+    """taps over all words, tapped or not; in songs of even number the last line is left untapped."""
+    from pyspark.sql import Window
+
+    lines = V.lyric_lines(spark, sf).select("song", "line_idx", F.col("end_s").alias("line_end"))
+    w = _words(spark, sf).join(lines, ["song", "line_idx"]).withColumns({c: F.floor(F.col(c) * 1000) / 1000.0 for c in ("start_s", "end_s")})
+    t = w.withColumn("last_line", F.max("line_idx").over(Window.partitionBy("song"))).filter("song % 2 = 1 OR line_idx < last_line")
+    return L.taps_to_words(w, t.select("song", (F.floor(F.col("start_s") * 100) / 100 + 0.03).alias("t")))
+
+
 @query("token_similarity", None)
 def token_similarity(spark, sf):
     """Similarity of each word with the next of its line, by an Arrow function over distinct pairs."""

@@ -202,3 +202,12 @@ def test_parse_lrc_whole_keeps_long_lines(spark):
     sf = "/root/testdata/sf0.001"
     want = V.lyric_lines(spark, sf).filter(F.col("line_idx") % 5 != 4).agg(F.max(F.length(F.trim(F.replace("text", F.lit("\n"), F.lit(" ")))))).first()[0]
     assert q_lyrics.parse_lrc_whole(spark, sf).agg(F.max(F.length("text"))).first()[0] == want > 40
+
+
+def test_taps_whole_returns_every_word(spark):
+    from cantus.plans import q_lyrics
+
+    sf = "/root/testdata/sf0.001"
+    out, words = q_lyrics.taps_whole(spark, sf), q_lyrics.word_timing(spark, sf)
+    assert out.count() == words.count() > q_lyrics.taps(spark, sf).count()
+    assert {(r["tapped"], r["status"]) for r in out.select("tapped", "status").distinct().collect()} == {(True, "corrected"), (False, "auto")}
