@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 # Prefixes of published key formats.
 PREFIXES = r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|AIza|sk-|sk_live_|rk_live_|eyJ|SG\.|npm_|pypi-"
 KEYWORDS = r"password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credential"
-#: The value is group 1 of an assignment to a keyword, or a long run with a digit, or a run behind a known prefix.
+#: The value is group 1 of an assignment to a keyword, or a long run with a digit, or a run behind a known prefix; however long.
 CANDIDATE = (
-    rf"(?<![A-Za-z0-9_.+/-])(?:{PREFIXES})[A-Za-z0-9_.+/=-]{{12,256}}"
-    rf"|(?<=(?:{KEYWORDS})\s{{0,3}}[:=]\s{{0,3}}[\"']?)[^\s\"',;]{{8,256}}"
-    r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,255}[0-9])[A-Za-z0-9_+/-]{16,256}={0,2}"
+    rf"(?<![A-Za-z0-9_.+/-])(?:{PREFIXES})[A-Za-z0-9_.+/=-]{{12,}}+"
+    rf"|(?<=(?:{KEYWORDS})\s{{0,3}}[:=]\s{{0,3}}[\"']?)[^\s\"',;]{{8,}}+"
+    r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+={0,2}"
 )
 #: What a text with a candidate must hold: a digit, a known prefix or a keyword.  Far cheaper than the pattern.
 MAY = ("[0-9]", rf"{PREFIXES}|{KEYWORDS}")
@@ -90,7 +90,7 @@ def features(found: DataFrame) -> DataFrame:
 def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     """Labelled findings made from a rule: value, before, after, path, label.
 
-    Twelve kinds in turn, six of them secrets; all random parts come from
+    Fifteen kinds in turn, eight of them secrets; all random parts come from
     SHA-256 of the row's number.  rows bounds the size of the training set.
     """
     rand = lambda salt: F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256)
@@ -103,6 +103,7 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     assign = F.concat(prose("p"), F.lit(" "), pick("k", ["password", "secret", "token", "api_key", "passwd", "access_key"]), pick("s", ["=", " = ", ": ", '="', ' = "', ': "']))
     number = F.pmod(F.xxhash64(F.lit("n"), "id"), F.lit(100000)).cast("string")
     plain, hashes = F.concat(prose("q"), F.lit(" ")), F.concat(prose("q"), F.lit(" "), pick("h", ["sha256 ", "md5: ", "commit ", "checksum=", "etag: ", "revision ", "uuid "]))
+    long = lambda salt: F.substring(F.concat(*[b64(f"{salt}{k}", 43) for k in range(20)]), F.lit(1), (F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(760)) + 100).cast("int"))
     kinds = [  # (value, before, label)
         (F.concat(F.lit("AKIA"), F.rpad(b32("a", 16), 16, "Q7")), plain, 1),
         (hexa("b", 40), assign, 1),
@@ -116,6 +117,9 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         (F.concat_ws("-", word("l"), word("m"), word("n"), number), F.when(F.col("id") % 5 == 0, assign).otherwise(plain), 0),
         (F.concat(pick("o", ["your_", "EXAMPLE", "changeme", "xxxxxxxx", "dummy_", "00000000"]), word("p"), number), assign, 0),
         (F.concat_ws("-", hexa("r", 8), hexa("s", 4), hexa("t", 4), hexa("u", 4), hexa("v", 12)), F.when(F.col("id") % 2 == 0, hashes).otherwise(plain), 0),
+        (F.concat(F.lit("eyJ"), long("A")), F.when(F.col("id") % 2 == 0, assign).otherwise(plain), 1),
+        (F.when(F.pmod(F.xxhash64(F.lit("E"), "id"), F.lit(2)) == 0, F.concat(*[rand(f"F{k}") for k in range(8)])).otherwise(F.concat(long("B"), pick("C", ["!", "#", "", "$", ""]))), assign, 1),
+        (long("D"), F.when(F.col("id") % 2 == 0, hashes).otherwise(plain), 0),
     ]
     choose = lambda k: F.element_at(F.array(*[x[k] if isinstance(x[k], Column) else F.lit(float(x[k])) for x in kinds]), (F.col("id") % len(kinds) + 1).cast("int"))
     path = pick("path", ["src0", "src7", "web", "app/main", "crawl", "repo/tests/unit", "docs/example"])

@@ -54,3 +54,17 @@ def test_decisions(spark, model):
 
 def test_empty(spark, model):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
+
+
+def test_long_secrets_are_whole(spark, model):
+    tail = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(13))[:797]
+    values = ["eyJ" + tail, tail, "k" * 300 + tail]
+    texts = [f"use {values[0]} here", f"then password={values[1]} end", f"key {values[2]} end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in secrets.candidates(df).collect()}
+    assert [found[i]["value"] for i in range(3)] == values
+    out = secrets.scan(df, model)
+    assert {r["doc_id"]: r["value_sha256"] for r in out.collect()} == {i: hashlib.sha256(v.encode()).hexdigest() for i, v in enumerate(values)}
+    assert {r["doc_id"]: r["is_secret"] for r in out.collect()} == {0: True, 1: True, 2: False}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(df, out).collect()}
+    assert clean == {0: texts[0].replace(values[0], "*" * 800), 1: texts[1].replace(values[1], "*" * len(values[1])), 2: texts[2]}
