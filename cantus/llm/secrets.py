@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 # Prefixes of published key formats.
 PREFIXES = r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|AIza|sk-|sk_live_|rk_live_|eyJ|SG\.|npm_|pypi-"
 KEYWORDS = r"password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credential"
-#: The value is group 1 of an assignment to a keyword, or a long run with a digit, or a run behind a known prefix; however long.
+#: The value of an assignment to a keyword (of any case, in quotes or brackets or not), or a long run with a digit, or a run behind a known prefix; however long.
 CANDIDATE = (
     rf"(?<![A-Za-z0-9_.+/-])(?:{PREFIXES})[A-Za-z0-9_.+/=-]{{12,}}+"
-    rf"|(?<=(?:{KEYWORDS})\s{{0,3}}[:=]\s{{0,3}}[\"']?)[^\s\"',;]{{8,}}+"
+    rf"|(?<=(?i:{KEYWORDS})[\"'\])]{{0,2}}\s{{0,3}}[:=]\s{{0,3}}[\"']?)[^\s\"',;]{{8,}}+"
     r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+={0,2}"
 )
 #: What a text with a candidate must hold: a digit, a known prefix or a keyword.  Far cheaper than the pattern.
-MAY = ("[0-9]", rf"{PREFIXES}|{KEYWORDS}")
+MAY = ("[0-9]", rf"{PREFIXES}|(?i:{KEYWORDS})")
 #: Characters of context on either side.
 CONTEXT = 48
 # Words that placeholders and identifiers are made of.

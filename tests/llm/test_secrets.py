@@ -68,3 +68,15 @@ def test_long_secrets_are_whole(spark, model):
     assert {r["doc_id"]: r["is_secret"] for r in out.collect()} == {0: True, 1: True, 2: False}
     clean = {r["doc_id"]: r["text"] for r in secrets.redact(df, out).collect()}
     assert clean == {0: texts[0].replace(values[0], "*" * 800), 1: texts[1].replace(values[1], "*" * len(values[1])), 2: texts[2]}
+
+
+@pytest.mark.parametrize(
+    "text,value",
+    [
+        ("set DB_PASSWORD=Xy!72#kQpz now", "Xy!72#kQpz"), ("Password: Xy!72#kQpz", "Xy!72#kQpz"), ("API_KEY = hunter#two!", "hunter#two!"), ('{"password": "Xy!72#kQpz", "a": 1}', "Xy!72#kQpz"),
+        ("conf['secret'] = 'abc#defgh'", "abc#defgh"), ("PASSWORD=abc#defgh", "abc#defgh"), ("password=Xy!72#kQpz", "Xy!72#kQpz"),
+    ],
+)
+def test_keyword_forms(spark, text, value):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [(r["start"], r["value"]) for r in secrets.candidates(df).collect()] == [(text.index(value), value)]
