@@ -137,26 +137,42 @@ def merge_lines(lines: DataFrame, heard: DataFrame, slack: float = 0.6) -> DataF
     pairs = align_words(toks).select(F.col("song").alias("track"), F.col("line_idx").alias("idx"), "word_idx", "partner")
     each = w.select("track", F.col("idx").cast("long").alias("idx"), "line_start", "line_end", "heard", F.posexplode("ws").alias("word_idx", "word")).join(pairs, ["track", "idx", "word_idx"], "left")
     hit = F.get("heard", F.col("partner"))
-    timed = each.select("track", "idx", "word_idx", "word", "line_start", "line_end", hit["start_s"].alias("start_s"), hit["end_s"].alias("end_s"))
-    return fill_gaps(timed, ["track", "idx"])
+    timed = each.select("track", "idx", "word_idx", "word", "line_start", "line_end", "heard", hit["start_s"].alias("start_s"), hit["end_s"].alias("end_s"))
+    return fill_gaps(timed, ["track", "idx"], slack=slack)
 
 
-def fill_gaps(words: DataFrame, keys: list[str], least: float = 0.06) -> DataFrame:
+def fill_gaps(words: DataFrame, keys: list[str], least: float = 0.06, slack: float = 0.6) -> DataFrame:
     """Times for words without one, in proportion to their length between the timed words around them.
 
     words: keys, word_idx, word, start_s and end_s (null if unmatched),
-    line_start, line_end.  Filled words get confidence 0.65, others 1.
+    line_start, line_end.  Filled words get confidence 0.65, others 1.  With a
+    column heard (the line's heard words: start_s, end_s) a gap at an edge of
+    the line ends ``slack`` beyond what was heard, and with words on its other
+    side it takes 1.2 times the average heard word for each of its words.
     """
     w = Window.partitionBy(*keys).orderBy("word_idx")
     before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     known = F.col("start_s").isNotNull()
-    g = words.withColumns({"left": F.coalesce(F.last("end_s", True).over(before), F.col("line_start")), "right": F.coalesce(F.first("start_s", True).over(after), F.col("line_end")), "island": F.count("start_s").over(before)})
+    g = words.withColumns({"left": F.last("end_s", True).over(before), "right": F.first("start_s", True).over(after), "island": F.count("start_s").over(before)})
     gap = Window.partitionBy(*keys, "island", F.col("start_s").isNull())
     n = F.length("word")
     total = F.sum(n).over(gap)
     upto = F.coalesce(F.sum(n).over(gap.orderBy("word_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    span = F.greatest(F.col("right") - F.col("left"), F.lit(least))
-    start, slot = F.col("left") + span * upto / total, span * n / total
+    left, right = F.coalesce("left", "line_start"), F.coalesce("right", "line_end")
+    span = F.greatest(right - left, F.lit(least))
+    if "heard" in words.columns:
+        durations = F.transform(F.filter("heard", lambda x: x["end_s"] > x["start_s"]), lambda x: F.greatest(x["end_s"] - x["start_s"], F.lit(0.03)))
+        mean = F.aggregate(durations, F.lit(0.0), lambda acc, x: acc + x) / F.nullif(F.size(durations), F.lit(0))
+        average = F.coalesce(mean, F.greatest(F.lit(0.06), (F.col("line_end") - F.col("line_start")) / F.count("*").over(Window.partitionBy(*keys))))
+        inside = average * F.count("*").over(gap)
+        first = F.greatest("line_start", F.coalesce(F.array_min(F.transform("heard", lambda x: x["start_s"])), "line_start") - slack)
+        last = F.least("line_end", F.coalesce(F.array_max(F.transform("heard", lambda x: x["end_s"])), "line_end") + slack)
+        left = F.coalesce("left", F.when(F.col("right").isNull(), first).otherwise(F.greatest(first, F.col("right") - inside * 1.2)))
+        right = F.coalesce("right", F.when(F.col("left").isNull(), last).otherwise(F.least(last, F.col("left") + inside * 1.2)))
+        short = F.least(left + F.greatest(F.lit(least), inside), F.coalesce("right", "line_end"))
+        end = F.when(right > left + 1e-4, right).otherwise(F.when(short > left + 1e-4, short).otherwise(left + least))
+        span = end - left
+    start, slot = left + span * upto / total, span * n / total
     return g.select(
         *keys, "word_idx", "word", F.round(F.when(known, F.col("start_s")).otherwise(start), 6).alias("start_s"), F.round(F.when(known, F.col("end_s")).otherwise(start + slot * 0.95), 6).alias("end_s"), F.when(known, 1.0).otherwise(0.65).alias("confidence")
     )

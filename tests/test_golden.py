@@ -211,3 +211,11 @@ def test_taps_whole_returns_every_word(spark):
     out, words = q_lyrics.taps_whole(spark, sf), q_lyrics.word_timing(spark, sf)
     assert out.count() == words.count() > q_lyrics.taps(spark, sf).count()
     assert {(r["tapped"], r["status"]) for r in out.select("tapped", "status").distinct().collect()} == {(True, "corrected"), (False, "auto")}
+
+
+def test_line_merge_limits_gaps_at_edges(spark):
+    lines = spark.createDataFrame([(1, 0, "aa bb cc dd", 0.0, 20.0)], "track long, idx int, text string, start_s double, end_s double")
+    heard = spark.createDataFrame([(1, "bb", 8.0, 8.5), (1, "cc", 9.0, 9.5)], "track long, word string, start_s double, end_s double")
+    got = {r["word"]: (r["start_s"], r["end_s"], r["confidence"]) for r in L.merge_lines(lines, heard).collect()}
+    assert got["bb"] == (8.0, 8.5, 1.0) and got["cc"] == (9.0, 9.5, 1.0)
+    assert got["aa"] == pytest.approx((7.4, 7.97, 0.65)) and got["dd"] == pytest.approx((9.5, 10.07, 0.65))
