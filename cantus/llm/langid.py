@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import id_remainder, small_batches, trim
@@ -88,21 +88,21 @@ def fit(docs: DataFrame, sample_rows: int = 2000, max_words: int = 200_000, min_
 
     sample_rows: about how many rows of each language are used.
     max_words: how many (language, word) counts reach the driver at most; the
-    most frequent of each language stay.
+    most frequent of each language stay, with an equal share for each language;
+    what one language leaves of its share goes to the others.
     """
     labelled = docs.select("doc_id", "text", "lang").filter((id_remainder("doc_id", 5) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
+    rows = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()}
     if not rows:
         return Model([], {})
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    parts = [(F.col("lang") == x) & (share < int((1 << 30) * min(1.0, sample_rows / n))) for x, n in rows.items()]
-    taken = parts[0]
-    for p in parts[1:]:
-        taken = taken | p
+    below = F.create_map(*[F.lit(x) for lang, n in rows.items() for x in (lang, int((1 << 30) * min(1.0, sample_rows / n)))])
+    taken = share < F.try_element_at(below, F.col("lang"))
     words = labelled.filter(taken).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word"))
     counts = words.groupBy("lang", "word").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
-    top = counts.orderBy(F.desc("n"), "lang", "word").limit(max_words)
-    return Model([(r["lang"], r["word"], r["n"]) for r in top.collect()], rows)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    top = counts.withColumn("rank", rank).orderBy("rank", F.desc("n"), "lang", "word").limit(max_words)
+    return Model(sorted(((r["lang"], r["word"], r["n"]) for r in top.collect()), key=lambda x: (-x[2], x[0], x[1])), rows)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -130,3 +130,11 @@ def test_packing_is_a_partition_of_all_ids(spark, monkeypatch, pool):
 
 def test_packing_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path("word_bpe_49k.json")).count() == 0
+
+
+def test_language_of_few_rows_keeps_its_words(spark):
+    rows = [(i, " ".join(f"common{chr(97 + k)}" for k in range(20)), "many") for i in range(200)] + [(1000 + i, "rara avis", "few") for i in range(20)]
+    m = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_words=10)
+    few = m.langs.index("few")
+    words = set(m.rows[0])
+    assert {"rara", "avis"} <= words and len(words) == 10 and m.predict("rara avis")[0] == m.langs[few]
