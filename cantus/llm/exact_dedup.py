@@ -1,7 +1,7 @@
 """Exact deduplication with a log-structured merge index of text digests.
 
 Rows enter memtables (``run`` below); each memtable is flushed as a run sorted
-by digest, with a bitmap filter over its digests.  Compaction merges the runs
+by digest; runs have no filters of their own.  Compaction merges the runs by a group-by
 into one entry per digest that keeps the smallest and the largest identifier.
 A digest that more than one row carries is a hit, and hits are verified byte
 by byte against the text of the row that stays, so that equal digests of
@@ -36,8 +36,8 @@ class DigestIndex:
 def flush_runs(docs: DataFrame, memtables: int = 16) -> DataFrame:
     """Memtables of (digest, doc_id), each written as sorted files of its own folder.
 
-    The digest column is sorted and has Parquet bloom filters, so that point
-    look-ups of later batches skip the runs that can't hold a digest.
+    The digest column is sorted; it has no Parquet bloom filter, and no batch
+    is looked up in the runs.
     """
     rows = docs.select(
         F.pmod(F.hash("doc_id"), F.lit(memtables)).alias("run"),
