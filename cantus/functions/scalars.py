@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 # Names of pitch classes.
@@ -55,9 +55,18 @@ def smooth_gate(x: Column, threshold: float, knee: float) -> Column:
 
 
 def section_label(i: Column) -> Column:
-    """A..Z, AA.., by bijective base 26 of a number from 0."""
-    first = F.when(i >= 26, F.char(F.lit(65) + F.floor(i / 26).cast("int") - 1)).otherwise(F.lit(""))
-    return F.concat(first, F.char(F.lit(65) + i % 26))
+    """A..Z, AA..ZZ, AAA.., by bijective base 26 of a number from 0 (of up to 14 letters); null for null."""
+    state = F.struct(F.lit("").alias("s"), (i.cast("long") + 1).alias("n"))
+    step = lambda acc, k: F.when(acc["n"] > 0, F.struct(F.concat(F.char(F.lit(65) + (acc["n"] - 1) % 26), acc["s"]).alias("s"), F.floor((acc["n"] - 1) / 26).alias("n"))).otherwise(acc)
+    return F.when(i.isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(14)), state, step, lambda acc: acc["s"]))
+
+
+def first_seen_index(label: Column, position: Column, over: WindowSpec, size: int) -> Column:
+    """A label's colour by first appearance: how many labels of the window began before it, modulo a palette's size.
+
+    position: the earliest position of the label, as ``F.min(..).over(label)`` gives it.
+    """
+    return (F.dense_rank().over(over.orderBy(position, label)) - 1) % size
 
 
 def label_index(label: Column, size: int) -> Column:
@@ -94,6 +103,10 @@ def shifted(start: Column, end: Column, offset: Column) -> tuple[Column, Column]
     return s, F.greatest(s, F.round(end + offset, 6))
 
 
-# Silent letters at a word's begin, and letters by class.
-SILENT = ["kn", "gn", "wr", "ps", "pn"]
-CLASSES = {"vowel": "aeiou", "plosive": "pbtdkgq", "fricative": "fvszhx", "nasal": "mn", "liquid": "lrwy"}
+# Classes of a word's first sound by its first two letters, else by its first; and each class's lead-in in seconds.
+SOUND_OF_TWO = {
+    "kn": "nasal", "gn": "nasal", "mn": "nasal", "wr": "approximant", "wh": "approximant", "th": "fricative", "sh": "fricative", "ps": "vowel", "pn": "vowel", "pt": "vowel", "gh": "vowel", "ch": "affricate",
+    "ce": "fricative", "ci": "fricative", "cy": "fricative",
+}
+SOUND_OF_ONE = {"plosive": "bdgkptqc", "affricate": "j", "fricative": "fhszx", "nasal": "mn", "approximant": "lrwy", "vowel": "aeiou"}
+LEAD_IN = {"plosive": 0.055, "affricate": 0.045, "fricative": 0.025, "nasal": 0.020, "approximant": 0.020, "vowel": 0.005, "unknown": 0.040}

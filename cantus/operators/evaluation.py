@@ -190,21 +190,56 @@ def compare_to_baseline(current: DataFrame, baseline: DataFrame, threshold: floa
     return j.withColumn("verdict", F.when(gain.isNull(), "skipped").when(gain > threshold, "improved").when(gain < -threshold, "regressed").otherwise("same"))
 
 
-def layer_diagnostics(notes: DataFrame) -> DataFrame:
-    """Counts, density, coverage, durations, pitch and isolated notes of each layer of a track, with warnings.
+def layer_diagnostics(notes: DataFrame, duration: DataFrame) -> DataFrame:
+    """Counts, density, coverage, durations, pitch, velocities, isolated notes and share of energy of each layer of a track.
 
-    ``energy`` is the sum of velocity squared times duration, a stand-in for
-    the energy of synthesised audio.
+    duration: track, duration_s.  The energy of a layer is the sum of velocity
+    squared times duration, a stand-in for that of synthesised audio.
     """
-    from ..functions.scalars import flags
-
     keys = ["track", "layer"]
     w = Window.partitionBy(*keys).orderBy("onset_s", "note_id")
     far = F.lit(1e9)
     n = notes.withColumns({"dur": F.col("offset_s") - F.col("onset_s"), "before": F.coalesce(F.col("onset_s") - F.lag("offset_s").over(w), far), "after": F.coalesce(F.lead("onset_s").over(w) - F.col("offset_s"), far)})
+    active = F.sum(F.greatest(F.col("dur"), F.lit(0.0)))
     g = n.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.round(F.count("*") / F.lit(720.0), 4).alias("density"), F.round(F.sum("dur") / 720.0, 4).alias("coverage"), F.round(F.avg("dur"), 4).alias("mean_dur"), F.min("midi").alias("midi_min"), F.max("midi").alias("midi_max"), F.round(F.percentile("midi", F.lit(0.5)), 1).alias("midi_median"),
-        F.round(F.percentile("velocity", F.lit(0.1)), 4).alias("velocity_p10"), F.count_if((F.col("before") > 4) & (F.col("after") > 4)).alias("isolated"), F.round(F.sum(F.col("velocity") * F.col("velocity") * F.col("dur")), 4).alias("energy"),
-    )
-    warn = flags(("sparse", F.col("density") < 0.02), ("dense", F.col("coverage") > 0.5), ("wide_range", F.col("midi_max") - F.col("midi_min") > 48), ("weak", F.col("velocity_p10") < 0.05), ("isolated_notes", F.col("isolated") * 4 > F.col("n")), ("high_register", F.col("midi_median") > 72))
-    return g.withColumn("warnings", F.concat_ws(",", warn))
+        F.count("*").alias("n"),
+        active.alias("active"),
+        F.round(F.avg("dur"), 3).alias("mean_dur"),
+        F.round(F.percentile("dur", F.lit(0.5)), 3).alias("median_dur"),
+        F.min("midi").alias("midi_min"),
+        F.max("midi").alias("midi_max"),
+        F.round(F.avg("midi"), 1).alias("midi_mean"),
+        F.round(F.percentile("midi", F.lit(0.5)), 1).alias("midi_median"),
+        F.round(F.min("velocity"), 4).alias("velocity_min"),
+        F.round(F.percentile("velocity", F.lit(0.1)), 4).alias("velocity_p10"),
+        F.count_if((F.col("before") > 4) & (F.col("after") > 4)).alias("isolated"),
+        F.sum(F.col("velocity") * F.col("velocity") * F.col("dur")).alias("energy"),
+    ).join(duration, "track")
+    total = F.sum("energy").over(Window.partitionBy("track"))
+    share = F.round(F.when(total > 1e-12, 100.0 * F.col("energy") / total).otherwise(0.0), 2)
+    g = g.withColumns({"energy_pct": share, "density": F.round(ratio(F.col("n").cast("double"), F.col("duration_s")), 4), "coverage_pct": F.round(100.0 * ratio(F.col("active"), F.col("duration_s")), 1)})
+    return g.drop("active", "energy", "duration_s")
+
+
+def diagnostic_warnings(layers: DataFrame, sources: DataFrame) -> DataFrame:
+    """track, warnings: what is suspicious about a track's layers, sorted; a layer without notes counts as empty.
+
+    layers: layer_diagnostics.  sources: track, vocals_source (how the vocal
+    notes were found).
+    """
+    from ..functions.scalars import flags
+
+    of = lambda layer, c, default: F.coalesce(F.max(F.when(F.col("layer") == layer, F.col(c))), F.lit(default)).alias(f"{layer}_{c}")
+    wanted = [("drums", "energy_pct", 0.0), ("vocals", "coverage_pct", 0.0), ("vocals", "n", 0), ("vocals", "midi_mean", 0.0), ("bass", "coverage_pct", 0.0), ("bass", "n", 0), ("bass", "median_dur", 0.0), ("bass", "isolated", 0), ("bass", "velocity_min", 1.0)]
+    g = sources.join(layers.groupBy("track").agg(*[of(*x) for x in wanted]), "track", "left").fillna({f"{a}_{b}": d for a, b, d in wanted})
+    rules = (
+        ("drums_dominate", F.col("drums_energy_pct") > 60),
+        ("sparse_vocals", F.col("vocals_coverage_pct") < 20),
+        ("sparse_bass", F.col("bass_coverage_pct") < 15),
+        ("low_vocal_pitch", (F.col("vocals_n") > 0) & (F.col("vocals_midi_mean") < 55)),
+        ("fragmented_bass", (F.col("bass_n") > 50) & (F.col("bass_median_dur") < 0.2)),
+        ("basic_pitch_unavailable_or_failed", F.col("vocals_source") == "pyin"),
+        ("many_isolated_bass_notes", F.col("bass_isolated") > 5),
+        ("bass_velocity_floor_high", (F.col("bass_velocity_min") > 0.15) & (F.col("bass_n") > 20)),
+    )
+    return g.select("track", flags(*rules).alias("warnings"))

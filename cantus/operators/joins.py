@@ -35,10 +35,9 @@ def as_of(points: DataFrame, refs: DataFrame, t: str, ref_t: str, out: str = "re
         refs.select("track", F.col(ref_t).alias("__t"), F.lit(side).alias("__side"), F.col(ref_t).alias("__ref")), allowMissingColumns=True
     )
     w = Window.partitionBy("track").orderBy("__t", "__side")
-    if forward:
-        found = F.first("__ref", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    else:
-        found = F.last("__ref", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    if forward:  # from the end: a frame that begins at the current row would be read anew for each row
+        w = Window.partitionBy("track").orderBy(F.desc("__t"), F.desc("__side"))
+    found = F.last("__ref", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return both.withColumn(out, found).filter("__side = 1").drop("__t", "__side", "__ref")
 
 

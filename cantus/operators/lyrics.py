@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import CLASSES, SILENT, ratio
+from ..functions.scalars import LEAD_IN, SOUND_OF_ONE, SOUND_OF_TWO, flags, ratio
 from .joins import as_of
 
 # The timed-line format.
@@ -62,15 +62,16 @@ def token_norm(word: Column) -> Column:
 
 
 def first_sound(word: Column) -> Column:
-    """Class of a word's first sound by its letters."""
-    w = F.regexp_replace(F.lower(word), "^[^a-z]+|[^a-z]+$", "")
-    two = F.substring(w, 1, 2)
-    w = F.when(two.isin(SILENT), F.substring(w, 2, 1000)).otherwise(w)
-    head, pair = F.substring(w, 1, 1), F.substring(w, 1, 2)
-    c = F.when(w == "", "other").when(pair == "ch", "plosive").when(head == "j", "plosive").when((head == "c") & F.substring(w, 2, 1).isin("e", "i", "y"), "fricative").when(head == "c", "plosive")
-    for name, letters in CLASSES.items():
-        c = c.when(head.isin(list(letters)), name)
-    return c.otherwise("other")
+    """Class of a word's first sound by its letters; ``unknown`` without a letter, for other letters and for null."""
+    w = F.lower(F.regexp_replace(word, "^[^A-Za-z]+|[^A-Za-z]+$", ""))
+    table = {**{x: name for name, letters in SOUND_OF_ONE.items() for x in letters}, **SOUND_OF_TWO}
+    sounds = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    return F.coalesce(F.try_element_at(sounds, F.substring(w, 1, 2)), F.try_element_at(sounds, F.substring(w, 1, 1)), F.lit("unknown"))
+
+
+def sound_lead_in(word: Column) -> Column:
+    """Seconds by which a word begins before its onset, by the class of its first sound."""
+    return F.create_map(*[F.lit(x) for kv in LEAD_IN.items() for x in kv])[first_sound(word)]
 
 
 def rasterise(words: DataFrame, hz: float = 100.0) -> DataFrame:
@@ -91,8 +92,12 @@ def word_activity(times: DataFrame, words: DataFrame) -> DataFrame:
     return j.select("track", "t", on.alias("word_active"), F.when(F.col("start_s").isNotNull(), F.col("confidence")).alias("confidence"))
 
 
-def snap_to_onsets(words: DataFrame, onsets: DataFrame, within: float = 0.20, lead_in: Column | float = 0.02, least: float = 0.02, remain: float = 0.05) -> DataFrame:
-    """Moves word starts to the first onset within reach, less a lead-in; small moves and vanishing words stay."""
+def snap_to_onsets(words: DataFrame, onsets: DataFrame, within: float = 0.20, lead_in: Column | float | None = None, least: float = 0.02, remain: float = 0.05) -> DataFrame:
+    """Moves word starts to the first onset within reach, less a lead-in; small moves and vanishing words stay.
+
+    Without a lead-in it is that of the first sound of the column ``word``.
+    """
+    lead_in = sound_lead_in(F.col("word")) if lead_in is None else lead_in
     j = as_of(words, onsets, "start_s", "t", "onset", forward=True)
     new = F.greatest(F.col("start_s"), F.col("onset") - lead_in)
     ok = (F.col("onset") - F.col("start_s") <= within) & (new - F.col("start_s") >= least) & (F.col("end_s") - new >= remain)
@@ -124,12 +129,13 @@ def merge_lines(lines: DataFrame, heard: DataFrame, slack: float = 0.6) -> DataF
     """Timed words of lines from heard words whose middle lies within ``slack`` of the line; a line without any is timed in proportion.
 
     lines: track, idx, text, start_s, end_s.  heard: track, word, start_s,
-    end_s.  A heard word may serve two lines.  Returns track, idx, word_idx,
-    word, start_s, end_s, confidence.
+    end_s and confidence (1 if there is no such column).  A heard word may
+    serve two lines.  Returns track, idx, word_idx, word, start_s, end_s,
+    confidence.
     """
     from .joins import interval_join
 
-    h = heard.withColumn("mid", (F.col("start_s") + F.col("end_s")) / 2).select("track", "mid", F.struct("start_s", "end_s", token_norm(F.col("word")).alias("w")).alias("h"))
+    h = heard.withColumn("mid", (F.col("start_s") + F.col("end_s")) / 2).select("track", "mid", F.struct("start_s", "end_s", token_norm(F.col("word")).alias("w"), (F.col("confidence") if "confidence" in heard.columns else F.lit(1.0)).alias("c")).alias("h"))
     wide = lines.select("track", "idx", (F.col("start_s") - slack).alias("start_s"), (F.col("end_s") + slack).alias("end_s"))
     near = interval_join(h, wide, "mid", 10.0).groupBy("track", "idx").agg(F.array_sort(F.collect_list("h")).alias("heard"))
     w = lines.select("track", "idx", F.col("start_s").alias("line_start"), F.col("end_s").alias("line_end"), F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("ws")).join(near, ["track", "idx"], "left")
@@ -137,7 +143,7 @@ def merge_lines(lines: DataFrame, heard: DataFrame, slack: float = 0.6) -> DataF
     pairs = align_words(toks).select(F.col("song").alias("track"), F.col("line_idx").alias("idx"), "word_idx", "partner")
     each = w.select("track", F.col("idx").cast("long").alias("idx"), "line_start", "line_end", "heard", F.posexplode("ws").alias("word_idx", "word")).join(pairs, ["track", "idx", "word_idx"], "left")
     hit = F.get("heard", F.col("partner"))
-    timed = each.select("track", "idx", "word_idx", "word", "line_start", "line_end", "heard", hit["start_s"].alias("start_s"), hit["end_s"].alias("end_s"))
+    timed = each.select("track", "idx", "word_idx", "word", "line_start", "line_end", "heard", hit["start_s"].alias("start_s"), hit["end_s"].alias("end_s"), hit["c"].alias("confidence"))
     return fill_gaps(timed, ["track", "idx"], slack=slack)
 
 
@@ -145,15 +151,19 @@ def fill_gaps(words: DataFrame, keys: list[str], least: float = 0.06, slack: flo
     """Times for words without one, in proportion to their length between the timed words around them.
 
     words: keys, word_idx, word, start_s and end_s (null if unmatched),
-    line_start, line_end.  Filled words get confidence 0.65, others 1.  With a
-    column heard (the line's heard words: start_s, end_s) a gap at an edge of
-    the line ends ``slack`` beyond what was heard, and with words on its other
-    side it takes 1.2 times the average heard word for each of its words.
+    line_start, line_end.  Filled words get confidence 0.65; others keep the
+    column confidence, or get 1 without one.  A word ends at 95 % of its slot,
+    the last of a gap at the gap's end.  With a column heard (the line's heard
+    words: start_s, end_s) a gap at an edge of the line ends ``slack`` beyond
+    what was heard, and with words on its other side it takes 1.2 times the
+    average heard word for each of its words.
     """
+    trust = F.coalesce("confidence", F.lit(1.0)) if "confidence" in words.columns else F.lit(1.0)
     w = Window.partitionBy(*keys).orderBy("word_idx")
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    before = w.rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*keys).orderBy(F.desc("word_idx")).rowsBetween(Window.unboundedPreceding, 0)
     known = F.col("start_s").isNotNull()
-    g = words.withColumns({"left": F.last("end_s", True).over(before), "right": F.first("start_s", True).over(after), "island": F.count("start_s").over(before)})
+    g = words.withColumns({"left": F.last("end_s", True).over(before), "right": F.last("start_s", True).over(after), "island": F.count("start_s").over(before)})
     gap = Window.partitionBy(*keys, "island", F.col("start_s").isNull())
     n = F.length("word")
     total = F.sum(n).over(gap)
@@ -173,8 +183,10 @@ def fill_gaps(words: DataFrame, keys: list[str], least: float = 0.06, slack: flo
         end = F.when(right > left + 1e-4, right).otherwise(F.when(short > left + 1e-4, short).otherwise(left + least))
         span = end - left
     start, slot = left + span * upto / total, span * n / total
+    closes = F.col("word_idx") == F.max("word_idx").over(gap)
+    stop = F.when(closes, left + span).otherwise(start + slot * 0.95)
     return g.select(
-        *keys, "word_idx", "word", F.round(F.when(known, F.col("start_s")).otherwise(start), 6).alias("start_s"), F.round(F.when(known, F.col("end_s")).otherwise(start + slot * 0.95), 6).alias("end_s"), F.when(known, 1.0).otherwise(0.65).alias("confidence")
+        *keys, "word_idx", "word", F.round(F.when(known, F.col("start_s")).otherwise(start), 6).alias("start_s"), F.round(F.when(known, F.col("end_s")).otherwise(stop), 6).alias("end_s"), F.when(known, trust).otherwise(0.65).alias("confidence")
     )
 
 
@@ -244,6 +256,27 @@ def merge_statistics(words: DataFrame) -> DataFrame:
     return words.groupBy("song").agg(F.countDistinct("line_idx").alias("lines"), F.count("*").alias("words"), F.count_if(F.col("confidence") >= 1).alias("matched"), F.round(F.avg((F.col("confidence") >= 1).cast("double")), 4).alias("matched_ratio"))
 
 
+def quality_flags(found: DataFrame) -> DataFrame:
+    """Adds ``flags``: what is doubtful about an alignment, sorted.
+
+    found: matched_word_ratio, lines_total, lines_fallback (null if nothing
+    was merged), offset_s, applied, improvement (null without a calibration)
+    and backend_errors (a number).
+    """
+    far = F.abs("offset_s")
+    idle = F.col("offset_s").isNotNull() & ~F.coalesce("applied", F.lit(False))
+    unsure = F.coalesce("improvement", F.lit(0.0)) >= 0.02
+    rules = (
+        ("low_word_match_ratio", F.col("matched_word_ratio") < 0.65),
+        ("many_lines_without_whisper_coverage", ratio(F.col("lines_fallback").cast("double"), F.col("lines_total")) > 0.35),
+        ("large_global_offset_detected", far >= 0.25),
+        ("offset_not_applied_low_confidence", idle & unsure),
+        ("offset_detected_but_not_applied", idle & ~unsure & (far >= 0.05)),
+        ("backend_fallback_used", F.col("backend_errors") > 0),
+    )
+    return found.withColumn("flags", flags(*rules))
+
+
 # Corrections -----------------------------------------------------------------
 
 

@@ -1,16 +1,11 @@
 """Note clean-up: merging, octave correction, monophony, gating; keys and scales.
 
-Greedy steps that depend on earlier decisions are ordered folds: in the JVM
-by ``aggregate`` where the state is small, else in a grouped function over one
-layer of one track, whose notes are few.
+Greedy steps that depend on earlier decisions are ordered folds in the JVM, by
+``aggregate`` over notes that hang together or over one layer of one track.
 """
 
 from __future__ import annotations
 
-import statistics
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,8 +53,7 @@ def octave_by_energy(midi: Column, at: Column, up: Column, down: Column, dur: Co
 def merge_adjacent(notes: DataFrame, keys: list[str], max_gap: float = 0.08, max_step: float = 1.0) -> DataFrame:
     """Joins a note to the one before it if the gap to its running end is at most max_gap and the pitch near its first.
 
-    A fold in the JVM over the notes of a group in time order.
-    Returns the keys, onset_s, offset_s, midi, velocity.
+    A fold in the JVM over notes that no longer gap separates.  Returns the keys, onset_s, offset_s, midi, velocity.
     """
     note = "named_struct('onset_s', x.onset_s, 'offset_s', x.offset_s, 'midi', x.midi, 'velocity', x.velocity)"
     empty = "cast(array() AS array<struct<onset_s: double, offset_s: double, midi: double, velocity: double>>)"
@@ -67,96 +61,92 @@ def merge_adjacent(notes: DataFrame, keys: list[str], max_gap: float = 0.08, max
     joined = f"named_struct('onset_s', {last}.onset_s, 'offset_s', greatest({last}.offset_s, x.offset_s), 'midi', {last}.midi, 'velocity', greatest({last}.velocity, x.velocity))"
     near = f"size(acc) > 0 AND x.onset_s - {last}.offset_s <= {max_gap}D AND abs(x.midi - {last}.midi) <= {max_step}D"
     fold = f"aggregate(ns, {empty}, (acc, x) -> if({near}, concat(slice(acc, 1, size(acc) - 1), array({joined})), concat(acc, array({note}))))"
-    g = notes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("onset_s", "note_id", "offset_s", "midi", "velocity"))).alias("ns"))
+    g = _islands(notes, keys, max_gap + 1e-9).groupBy(*keys, "__island").agg(F.array_sort(F.collect_list(F.struct("onset_s", "note_id", "offset_s", "midi", "velocity"))).alias("ns"))
     return g.select(*keys, F.explode(F.expr(fold)).alias("m")).select(*keys, "m.*")
 
 
-def _per_group(notes: DataFrame, keys: list[str], f: Callable[[list[dict]], list[dict]]) -> DataFrame:
-    """Runs ``f`` over the notes of each group in time order; the schema stays."""
-    cols = notes.columns
+def _islands(notes: DataFrame, keys: list[str], gap: float = 0.0) -> DataFrame:
+    """Adds __island: a note that begins at least ``gap`` after all before it have ended begins a new one.
+
+    Steps that look at overlapping notes only can fold each island by itself.
+    """
+    w = Window.partitionBy(*keys).orderBy("onset_s", "note_id")
+    ended = F.max("offset_s").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return notes.withColumn("__new", F.coalesce((F.col("onset_s") - ended >= gap).cast("int"), F.lit(1))).withColumn("__island", F.sum("__new").over(w)).drop("__new")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["onset_s", "note_id"]).to_dict("records")
-        return pd.DataFrame(f(rows), columns=cols)
 
-    return notes.groupBy(*keys).applyInPandas(run, notes.schema)
+def _fold(notes: DataFrame, keys: list[str], fold: str) -> DataFrame:
+    """Replaces the notes of each group, an array ``ns`` of (onset_s, note_id, note) in time order, by the array of notes that ``fold`` makes of it."""
+    cols = [c for c in notes.columns if c != "__island"]
+    g = notes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("onset_s", "note_id", F.struct(*cols).alias("note")))).alias("ns"))
+    return g.select(F.explode(F.expr(fold)).alias("n")).select(*[F.col("n")[c].cast(notes.schema[c].dataType).alias(c) for c in cols])
 
 
-def monophonic_rows(rows: list[dict]) -> list[dict]:
-    """No two notes overlap: the louder wins; a louder later note cuts the one before it short."""
-    out: list[dict] = []
-    for x in map(dict, rows):
-        cur = out[-1] if out else None
-        if cur is None or x["onset_s"] >= cur["offset_s"]:
-            out.append(x)
-        elif x["velocity"] > cur["velocity"]:
-            cur["offset_s"] = x["onset_s"]
-            if cur["offset_s"] <= cur["onset_s"]:
-                out.pop()
-            out.append(x)
-    return out
+def _with(cols: list[str], note: str, **new: str) -> str:
+    """SQL of a note with some fields replaced."""
+    return "named_struct(" + ", ".join(f"'{c}', {new.get(c, f'{note}.{c}')}" for c in cols) + ")"
 
 
 def monophonic(notes: DataFrame, keys: list[str]) -> DataFrame:
-    return _per_group(notes, keys, monophonic_rows)
+    """No two notes overlap: the louder wins, the earlier on a tie; a louder later note cuts the one before it short.
+
+    A fold in the JVM over notes that hang together.
+    """
+    last, x = "element_at(acc, -1)", "x.note"
+    cut = _with(notes.columns, last, offset_s=f"round({x}.onset_s, 4)")
+    rest = "slice(acc, 1, size(acc) - 1)"
+    louder = f"if(round({x}.onset_s, 4) > {last}.onset_s, concat({rest}, array({cut}, {x})), concat({rest}, array({x})))"
+    step = f"if(size(acc) = 0 OR {x}.onset_s >= {last}.offset_s, concat(acc, array({x})), if({x}.velocity > {last}.velocity, {louder}, acc))"
+    return _fold(_islands(notes, keys), [*keys, "__island"], f"aggregate(ns, slice(transform(ns, x -> x.note), 1, 0), (acc, x) -> {step})")
 
 
-def octave_context_rows(rows: list[dict], lo: float = 20, hi: float = 80, window: int = 5, gain: float = 6) -> list[dict]:
-    """Moves a note by an octave if that brings it at least ``gain`` nearer to the median around it.
+def _shifted(pitch: str, cost: str, lo: float, hi: float) -> str:
+    """SQL of the cheapest of a pitch, an octave down and an octave up within lo..hi, the first of equals: (c, k, m).  cost: SQL with {m}."""
+    option = lambda k, m: f"struct(if({k} = 0 OR {m} BETWEEN {lo}D AND {hi}D, {cost.format(m=m)}, double('infinity')) AS c, {k} AS k, {m} AS m)"
+    return f"array_min(array({option(0, pitch)}, {option(1, f'({pitch} - 12)')}, {option(2, f'({pitch} + 12)')}))"
 
-    Neighbours on the left are corrected already, those on the right aren't.
+
+def _refold(notes: DataFrame, keys: list[str], step: str) -> DataFrame:
+    """Folds the pitches ``ms`` of a group from left to right: ``step`` gives the i-th from those before it (acc, done) and the others."""
+    cols = notes.columns
+    fold = f"transform(array(transform(ns, x -> x.note.midi)), ms -> aggregate(sequence(0, size(ns) - 1), cast(array() AS array<double>), (acc, i) -> concat(acc, array({step}))))[0]"
+    return _fold(notes, keys, f"transform(array({fold}), done -> transform(ns, (x, i) -> {_with(cols, 'x.note', midi='done[i]')}))[0]")
+
+
+def octave_context(notes: DataFrame, keys: list[str], lo: float = 20, hi: float = 80, window: int = 5, gain: float = 6) -> DataFrame:
+    """Moves a note by an octave, within lo..hi, if that brings it at least ``gain`` nearer to the median around it.
+
+    Neighbours on the left are corrected already, those on the right aren't; a
+    note with fewer than two stays.
     """
-    out = [dict(r) for r in rows]
-    for i, x in enumerate(out):
-        near = [out[j]["midi"] for j in range(max(0, i - window), min(len(out), i + window + 1)) if j != i]
-        if len(near) < 2:
-            continue
-        mid = statistics.median(near)
-        best, best_d = x["midi"], abs(x["midi"] - mid)
-        start = best_d
-        for shift in (-12, 12):
-            m = x["midi"] + shift
-            if lo <= m <= hi and abs(m - mid) < best_d and start - abs(m - mid) >= gain:
-                best, best_d = m, abs(m - mid)
-        x["midi"] = best
-    return out
-
-
-def octave_context(notes: DataFrame, keys: list[str], lo: float = 20, hi: float = 80) -> DataFrame:
-    return _per_group(notes, keys, lambda rows: octave_context_rows(rows, lo, hi))
-
-
-def octave_smooth_rows(rows: list[dict], jump: float = 10) -> list[dict]:
-    """Moves an inner note that jumps away from both neighbours by the octave that shortens the way, if one does."""
-    out = [dict(r) for r in rows]
-    for i in range(1, len(out) - 1):
-        a, x, b = out[i - 1]["midi"], out[i]["midi"], out[i + 1]["midi"]
-        if abs(x - a) < jump or abs(x - b) < jump:
-            continue
-        cost = lambda m: abs(m - a) + abs(m - b)  # noqa: B023, E731
-        out[i]["midi"] = min((x, x - 12, x + 12), key=cost)
-    return out
-
-
-def octave_smooth(notes: DataFrame, keys: list[str]) -> DataFrame:
-    return _per_group(notes, keys, octave_smooth_rows)
-
-
-def octave_dedup_rows(rows: list[dict]) -> list[dict]:
-    """Of overlapping notes of one pitch class and different octaves the louder stays; the earlier on a tie."""
-    keep = [True] * len(rows)
-    for i, x in enumerate(rows):
-        for j in range(i + 1, len(rows)):
-            y = rows[j]
-            if not keep[i] or y["onset_s"] >= x["offset_s"]:
-                break
-            if keep[j] and round(x["midi"]) % 12 == round(y["midi"]) % 12 and round(x["midi"]) != round(y["midi"]):
-                keep[j if x["velocity"] >= y["velocity"] else i] = False
-    return [r for r, k in zip(rows, keep, strict=True) if k]
+    near = f"array_sort(concat(slice(acc, greatest(size(acc) - {window - 1}, 1), {window}), slice(ms, i + 2, {window})))"
+    median = "(n[cast((size(n) - 1) div 2 AS int)] + n[cast(size(n) div 2 AS int)]) / 2"
+    best = _shifted("ms[i]", "abs({m} - md)", lo, hi)
+    moved = f"transform(array({best}), b -> if(b.k > 0 AND abs(ms[i] - md) - b.c >= {gain}D, round(b.m, 2), ms[i]))[0]"
+    return _refold(notes, keys, f"transform(array({near}), n -> if(size(n) < 2, ms[i], transform(array({median}), md -> {moved})[0]))[0]")
+
+
+def octave_smooth(notes: DataFrame, keys: list[str], jump: float = 10, lo: float = 36, hi: float = 96) -> DataFrame:
+    """Moves an inner note that jumps away from both neighbours by the octave, within lo..hi, that shortens the way, if one does."""
+    before, after = "element_at(acc, -1)", "ms[i + 1]"
+    best = _shifted("ms[i]", f"abs({{m}} - {before}) + abs({{m}} - {after})", lo, hi)
+    moved = f"transform(array({best}), b -> if(b.k > 0, round(b.m, 2), ms[i]))[0]"
+    return _refold(notes, keys, f"if(i = 0 OR i + 1 >= size(ms), ms[i], if(abs(ms[i] - {before}) < {jump}D OR abs(ms[i] - {after}) < {jump}D, ms[i], {moved}))")
 
 
 def octave_dedup(notes: DataFrame, keys: list[str]) -> DataFrame:
-    return _per_group(notes, keys, octave_dedup_rows)
+    """Of overlapping notes of one pitch class and different octaves the louder stays; the earlier on a tie.
+
+    From left to right each note that is left drops its later twins up to the
+    first louder one, which drops it.  A fold over notes that hang together.
+    """
+    pitch = lambda j: f"cast(bround(ns[{j}].note.midi) AS int)"
+    twin = f"j > i AND keep[j] AND ns[j].note.onset_s < ns[i].note.offset_s AND pmod({pitch('j')}, 12) = pmod({pitch('i')}, 12) AND {pitch('j')} <> {pitch('i')}"
+    drop = "transform(keep, (k, j) -> CASE WHEN j = i THEN w.louder IS NULL WHEN array_contains(w.twins, j) AND (w.louder IS NULL OR j < w.louder) THEN false ELSE k END)"
+    twins = f"filter(sequence(0, size(ns) - 1), j -> {twin})"
+    step = f"if(NOT keep[i], keep, transform(transform(array({twins}), t -> struct(t AS twins, get(filter(t, j -> ns[j].note.velocity > ns[i].note.velocity), 0) AS louder)), w -> {drop})[0])"
+    kept = f"aggregate(sequence(0, size(ns) - 1), transform(ns, x -> true), (keep, i) -> {step})"
+    return _fold(_islands(notes, keys), [*keys, "__island"], f"transform(array({kept}), keep -> transform(filter(ns, (x, i) -> keep[i]), x -> x.note))[0]")
 
 
 def gate_and_prune(notes: DataFrame, rms: str, share: float = 0.3, gap: float = 4.0, weak: float = 0.25) -> DataFrame:

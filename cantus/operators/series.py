@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -82,34 +84,50 @@ def slopes(f: DataFrame, hop_s: float = 0.5) -> DataFrame:
     return f.withColumn("slope", difference(F.col("tension"), by_track()) / hop_s)
 
 
-def drops(f: DataFrame, hop_s: float = 0.5, fall: float = -0.65, before_s: float = 2.0, top: int = 25) -> DataFrame:
-    """The first ``top`` frames of each track where tension falls fast after a tense stretch: track, frame_idx, t, slope, rank."""
+def drops(f: DataFrame, hop_s: float = 0.5, fall: float = -0.65, before_s: float = 2.0, top: int = 25, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The first ``top`` frames of each track where tension falls fast after a tense stretch: track, frame_idx, t, slope, rank.
+
+    Tense: the smoothed mix, unscaled, reaches 0.60 within ``before_s``.  A
+    track whose loudness never reaches 0.05 has none.
+    """
     w = by_track()
     back = w.rowsBetween(-int(before_s / hop_s), 0)
-    loud = F.max("rms01").over(back)
-    g = slopes(f, hop_s).withColumns({"pre": F.max("raw_tension").over(back), "loud": loud})
+    g = slopes(f, hop_s).withColumns({"pre": F.max("smooth").over(back), "loud": F.max("rms").over(whole())})
     hit = g.filter((F.col("slope") < fall) & (F.col("pre") >= 0.60) & (F.col("loud") >= 0.05))
-    return hit.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("track", "frame_idx", "t", "slope", "rank")
+    return hit.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("track", "frame_idx", "t", "slope", "rank", *keep)
 
 
 def buildups(f: DataFrame, hop_s: float = 0.5, look_s: float = 20.0, rise: float = 0.30) -> DataFrame:
-    """For each drop the first frame of the stretch before it that rises: track, drop_t, start_t, peak_t."""
-    bucket = lambda t: F.floor(t / look_s).cast("long")
-    d = drops(f, hop_s).select("track", F.col("t").alias("drop_t")).withColumn("b", F.explode(F.sequence(bucket(F.col("drop_t") - look_s), bucket(F.col("drop_t")))))
-    s = slopes(f, hop_s).filter(F.col("slope") > rise).select("track", "t", bucket(F.col("t")).alias("b"))
-    near = d.join(s, ["track", "b"]).filter((F.col("t") >= F.col("drop_t") - look_s) & (F.col("t") < F.col("drop_t")))
-    return near.groupBy("track", "drop_t").agg(F.min("t").alias("start_t"), F.max("t").alias("peak_t"))
+    """For each drop with a rise in the ``look_s`` before it: track, drop_t, start_t (the first rising frame), peak_t (the frame before the drop).
+
+    At least three frames must lie between.  One window over the frames, no join.
+    """
+    w = by_track()
+    back = w.rowsBetween(-int(look_s / hop_s), 0)
+    g = slopes(f, hop_s).withColumns({"start_t": F.min(F.when(F.col("slope") > rise, F.col("t"))).over(back), "peak_t": F.lag("t").over(w), "between": F.count("*").over(back)})
+    d = drops(g, hop_s, keep=("start_t", "peak_t", "between"))
+    return d.filter(F.col("start_t").isNotNull() & (F.col("between") > 3)).select("track", F.col("t").alias("drop_t"), "start_t", "peak_t")
 
 
 def valleys(f: DataFrame, value: str, win: int) -> DataFrame:
-    """Local minima with their depth below what surrounds them: track, frame_idx, t, depth."""
+    """Local minima with their depth below the highest of ``win`` frames before and of ``win`` frames from there on: track, frame_idx, t, depth."""
     w = by_track()
     d = difference(F.col(value), w)
-    g = f.withColumn("d", d).withColumns({"prev": F.lag("d").over(w), "left": F.max(value).over(w.rowsBetween(-win, 0)), "right": F.max(value).over(w.rowsBetween(0, win))})
+    g = f.withColumn("d", d).withColumns({"prev": F.lag("d").over(w), "left": F.max(value).over(w.rowsBetween(-win, -1)), "right": F.max(value).over(w.rowsBetween(0, win - 1))})
     depth = (F.col("left") + F.col("right")) / 2 - F.col(value)
     return g.filter((F.col("prev") < 0) & (F.col("d") >= 0)).select("track", "frame_idx", "t", depth.alias("depth"))
 
 
+def boundary_pulse(points: DataFrame, boundaries: DataFrame, out: str, width: float, peak: float) -> DataFrame:
+    """Adds ``out``: a raised cosine of height ``peak`` around the nearest boundary (track, t), 0 from ``width`` seconds on."""
+    from .joins import nearest
+
+    near = nearest(points, boundaries, "t", "t")
+    apart = F.abs(F.col("t") - F.col("near"))
+    bell = F.lit(peak * 0.5) * (1 + F.cos(F.lit(math.pi) * apart / width))
+    return near.withColumn(out, F.when(apart < width, bell).otherwise(0.0)).drop("before", "after", "near")
+
+
 def quarter_means(f: DataFrame, value: str, keys: list[str], order: list[str]) -> DataFrame:
     """Mean, first and last quarter mean of a value within each group; a quarter has at least one row."""
     w = Window.partitionBy(*keys)

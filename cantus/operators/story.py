@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,62 +11,85 @@ from .joins import interval_join
 ROLES = ["intro", "build", "payoff", "valley", "contrast", "outro"]
 
 
-def per_track(df: DataFrame, schema: str, f: Callable[[pd.DataFrame], list[tuple]], keys: tuple[str, ...] = ("track",)) -> DataFrame:
-    """Runs a greedy step over the few rows (sections, valleys, boundaries) of each track."""
-    names = [x.strip().split()[0] for x in schema.split(",")]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(f(pdf), columns=names)
+def valley_candidates(f: DataFrame, value: str, smooth_s: float, reach_s: float, hop_s: float = 0.5, least_win: int = 5, keys: tuple[str, ...] = ("track",)) -> DataFrame:
+    """Valleys of a smoothed curve: keys, frame_idx, t, depth, edge_t and spread (highest less lowest of the group).
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    The curve is a box over ``smooth_s`` (rounded to 9 decimals, so that equal
+    sums are equal however they were added up).  A valley's depth is its
+    distance below the mean of the highest points of ``reach_s`` on either
+    side.  edge_t is where the curve has come 40 % of the way up on the side
+    that is louder on average, the right one on a tie.
+    """
+    from .series import box_smooth, difference
+
+    rate = max(1, int(1 / hop_s))
+    reach = max(1, int(reach_s * rate))
+    w = Window.partitionBy(*keys).orderBy("frame_idx")
+    back, ahead = w.rowsBetween(-reach, -1), w.rowsBetween(0, reach - 1)
+    g = f.withColumn("x", F.round(box_smooth(F.col(value), max(least_win, int(smooth_s * rate)), w), 9))
+    point = F.struct("t", "x")
+    whole = Window.partitionBy(*keys)
+    g = g.withColumn("d", difference(F.col("x"), w)).withColumns({
+        "prev": F.lag("d").over(w), "back_max": F.max("x").over(back), "back_mean": F.avg("x").over(back), "ahead_max": F.max("x").over(ahead), "ahead_mean": F.avg("x").over(ahead),
+        "back": F.collect_list(point).over(w.rowsBetween(-reach, 0)), "ahead": F.collect_list(point).over(ahead), "spread": F.max("x").over(whole) - F.min("x").over(whole),
+    })
+    v = g.filter((F.col("prev") < 0) & (F.col("d") >= 0))
+    up = F.round("ahead_mean", 9) >= F.round("back_mean", 9)
+    high = lambda side: F.filter(side, lambda e: e["x"] >= F.col("x") + 0.4 * (F.col(f"{side}_max") - F.col("x")))
+    edge = F.when(up, F.get(high("ahead"), F.lit(0))["t"]).otherwise(F.try_element_at(high("back"), F.lit(-1))["t"])
+    depth = F.round((F.col("back_max") + F.col("ahead_max")) / 2 - F.col("x"), 9)
+    return v.select(*keys, "frame_idx", "t", depth.alias("depth"), F.coalesce(edge, "t").alias("edge_t"), "spread")
+
+
+def _deepest_first(valleys: DataFrame, keys: list[str], at: str, most: str, apart: float) -> DataFrame:
+    """Greedy choice in the JVM: deepest first, ``apart`` from all chosen and from lo and hi, ``most`` at most: keys, lo, hi, ts (sorted).
+
+    valleys: keys, frame_idx, depth, the column ``at`` and lo, hi of the group.
+    """
+    g = valleys.groupBy(*keys, "lo", "hi").agg(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), "frame_idx", F.col(at).alias("t")))).alias("vs"))
+    fits = f"size(acc) < {most} AND v.t - lo >= {apart}D AND hi - v.t >= {apart}D AND forall(acc, s -> abs(v.t - s) >= {apart}D)"
+    fold = f"aggregate(vs, cast(array() AS array<double>), (acc, v) -> if({fits}, concat(acc, array(v.t)), acc))"
+    return g.select(*keys, "lo", "hi", F.array_sort(F.expr(fold)).alias("ts"))
 
 
-def pick_valleys(valleys: DataFrame, duration: DataFrame, min_len: float = 12.0, per_s: float = 55.0, least: float = 0.05) -> DataFrame:
-    """Deepest valleys first, each at least ``min_len`` from all chosen and from both ends: track, t, depth, rank.
+def valley_boundaries(f: DataFrame, duration: DataFrame, value: str = "tension", min_len: float = 12.0, per_s: float = 55.0, least_k: int = 2, least: float = 0.05, hop_s: float = 0.5) -> DataFrame:
+    """Boundaries at the deepest valleys of a curve smoothed over 12 s: track, t, with 0 and the duration as ends.
 
-    valleys: track, t, depth.  duration: track, duration.  At most
-    max(2, round(duration / per_s)) are chosen.
+    duration: track, duration.  A boundary lies at the edge of its valley, at
+    least ``min_len`` from all others and from both ends.  At most
+    max(least_k, round(duration / per_s)) are chosen.
     """
+    v = valley_candidates(f, value, 12.0, min_len, hop_s).filter(F.col("depth") >= least)
+    ends = duration.select("track", F.lit(0.0).alias("lo"), F.col("duration").alias("hi"))
+    chosen = _deepest_first(v.join(ends, "track"), ["track"], "edge_t", f"greatest({least_k}, bround((hi - lo) / {per_s}D))", min_len)
+    inner = ends.join(chosen.select("track", "ts"), "track", "left").withColumn("ts", F.coalesce("ts", F.array().cast("array<double>")))
+    return inner.select("track", F.explode(F.concat(F.array("lo"), F.col("ts"), F.array("hi"))).alias("t"))
 
-    def choose(pdf: pd.DataFrame) -> list[tuple]:
-        total = float(pdf["duration"].iloc[0])
-        k, taken = max(2, round(total / per_s)), []
-        for t, d in pdf.sort_values(["depth", "t"], ascending=[False, True])[["t", "depth"]].itertuples(index=False):
-            if d < least or len(taken) >= k:
-                break
-            if all(abs(t - u) >= min_len for u in [0.0, total, *[x[0] for x in taken]]):
-                taken.append((t, d))
-        return [(pdf["track"].iloc[0], t, d, i + 1) for i, (t, d) in enumerate(taken)]
-
-    return per_track(valleys.select("track", "t", "depth").join(duration, "track"), "track long, t double, depth double, rank int", choose)
 
+def cluster_boundaries(bounds: DataFrame, duration: DataFrame, min_len: float) -> DataFrame:
+    """Thins candidate boundaries (track, t); 0 and the duration (track, duration) always stay: track, t.
 
-def cluster_boundaries(bounds: DataFrame, min_len: float) -> DataFrame:
-    """Thins candidate boundaries (track, t): of each cluster the one farthest from what lies around it: track, t.
-
-    A cluster is a run of candidates with gaps below ``min_len``; its
+    A cluster is a run of inner candidates with gaps below ``min_len``; its
     candidate that maximises the smaller of the gaps to the boundary kept
-    before and to the next cluster's begin is kept if both gaps suffice.
+    before and to the next cluster's begin (or the end) is kept if both gaps
+    suffice; the first of equals.  A fold in the JVM over a track's clusters.
     """
+    w = Window.partitionBy("track").orderBy("t")
+    c = bounds.select("track", "t").distinct().join(duration, "track").filter((F.col("t") > 0) & (F.col("t") < F.col("duration")))
+    c = c.withColumn("new", F.coalesce((F.col("t") - F.lag("t").over(w) >= min_len).cast("int"), F.lit(1))).withColumn("c", F.sum("new").over(w))
+    g = c.groupBy("track", "c").agg(F.array_sort(F.collect_list("t")).alias("ts")).groupBy("track").agg(F.array_sort(F.collect_list(F.struct("c", "ts"))).alias("cs"))
+    g = duration.join(g, "track", "left")
+    after = "if(x.c < size(cs), cs[cast(x.c AS int)].ts[0], duration)"
+    best = f"array_max(transform(x.ts, t -> struct(least(t - element_at(acc, -1), {after} - t) AS g, -t AS t)))"
+    fold = f"aggregate(coalesce(cs, array()), array(0.0D), (acc, x) -> if({best}.g >= {min_len}D, concat(acc, array(-{best}.t)), acc))"
+    return g.select("track", F.explode(F.concat(F.expr(fold), F.array("duration"))).alias("t"))
+
 
-    def thin(pdf: pd.DataFrame) -> list[tuple]:
-        ts = sorted(set(pdf["t"]))
-        groups: list[list[float]] = []
-        for t in ts:
-            if groups and t - groups[-1][-1] < min_len:
-                groups[-1].append(t)
-            else:
-                groups.append([t])
-        kept: list[float] = []
-        for g, group in enumerate(groups):
-            nxt = groups[g + 1][0] if g + 1 < len(groups) else float("inf")
-            score = lambda t: min(t - kept[-1] if kept else float("inf"), nxt - t)  # noqa: B023, E731
-            best = max(group, key=lambda t: (score(t), -t))
-            if score(best) >= min_len:
-                kept.append(best)
-        return [(pdf["track"].iloc[0], t) for t in kept]
-
-    return per_track(bounds, "track long, t double", thin)
+def spans(bounds: DataFrame) -> DataFrame:
+    """Sections between neighbouring boundaries (track, t): track, idx, start_s, end_s."""
+    w = Window.partitionBy("track").orderBy("t")
+    s = bounds.select("track", F.col("t").alias("start_s"), F.lead("t").over(w).alias("end_s"), (F.row_number().over(w) - 1).alias("idx"))
+    return s.filter(F.col("end_s").isNotNull()).select("track", "idx", "start_s", "end_s")
 
 
 def merge_sections(sections: DataFrame, novelty: float = 0.3, longest: float = 120.0) -> DataFrame:
@@ -169,104 +189,106 @@ def role_scores(f: DataFrame) -> DataFrame:
 
 def best_roles(scored: DataFrame) -> DataFrame:
     """track, idx, role (the first of equals in the order of ROLES), runner_up, confidence."""
-    ranked = F.array_sort(F.array(*[F.struct((-F.round(F.col(f"s_{r}"), 9)).alias("s"), F.lit(i).alias("i"), F.lit(r).alias("r")) for i, r in enumerate(ROLES)]))
-    x = scored.withColumn("ranked", ranked)
+    x = scored.withColumn("ranked", _ranked())
     a, b = -F.col("ranked")[0]["s"], -F.col("ranked")[1]["s"]
     return x.select("track", "idx", F.col("ranked")[0]["r"].alias("role"), F.col("ranked")[1]["r"].alias("runner_up"), F.round(a / (a + b + 1e-8), 4).alias("confidence"))
 
 
-def revise_roles_rows(rows: list[dict]) -> list[str]:
-    """Global rules in turn, each seeing earlier edits: intro in the first two, outro in the last two, a build needs a payoff soon, one payoff at least."""
-    roles = [r["role"] for r in rows]
-    n = len(rows)
-
-    def other(i: int, banned: set[str]) -> str:
-        left = [(-rows[i][f"s_{k}"], j, k) for j, k in enumerate(ROLES) if k not in banned and rows[i][f"s_{k}"] > 0]
-        return min(left)[2] if left else "contrast"
-
-    for i in range(n):
-        if roles[i] == "intro" and i >= 2:
-            roles[i] = other(i, {"intro"} | ({"outro"} if i < n - 2 else set()))
-    for i in range(n):
-        if roles[i] == "outro" and i < n - 2:
-            roles[i] = other(i, {"outro"} | ({"intro"} if i >= 2 else set()))
-    for i in range(n):
-        if roles[i] == "build" and "payoff" not in roles[i + 1 : i + 3]:
-            roles[i] = other(i, {"build"} | ({"intro"} if i >= 2 else set()) | ({"outro"} if i < n - 2 else set()))
-    if n >= 3 and "payoff" not in roles:
-        roles[max(range(n), key=lambda i: (rows[i]["s_payoff"], -i))] = "payoff"
-    return roles
+def _ranked() -> Column:
+    """Scores of a row, best first, the first of equals in the order of ROLES: array of (s: negated, i, r)."""
+    return F.array_sort(F.array(*[F.struct((-F.round(F.col(f"s_{r}"), 9)).alias("s"), F.lit(i).alias("i"), F.lit(r).alias("r")) for i, r in enumerate(ROLES)]))
 
 
 def revise_roles(scored: DataFrame) -> DataFrame:
-    """track, idx, role after the global rules.  scored: role_scores with best_roles."""
-    cols = [f"s_{r}" for r in ROLES]
-
-    def f(pdf: pd.DataFrame) -> list[tuple]:
-        rows = pdf.sort_values("idx")
-        return [(t, i, r) for (t, i), r in zip(rows[["track", "idx"]].itertuples(index=False), revise_roles_rows(rows.to_dict("records")), strict=True)]
+    """track, idx, role after the global rules, each of which sees the edits of those before it.
 
-    return per_track(scored.select("track", "idx", "role", *cols), "track long, idx int, role string", f)
+    Intros in the first two sections only; outros in the last two only; a build
+    needs a payoff in the next two.  What breaks a rule gets its best other role
+    with a score above 0, else valley.  Of three sections or more one is a
+    payoff: else the most intense that is neither intro nor outro becomes one.
+    scored: role_scores with best_roles' role.
+    """
+    w = Window.partitionBy("track")
+    by = w.orderBy("idx")
+    role = F.col("role")
+    other = lambda name: F.coalesce(F.get(F.filter("ranked", lambda x: (x["r"] != name) & (x["s"] < 0)), F.lit(0))["r"], F.lit("valley"))
+    g = scored.withColumns({"ranked": _ranked(), "at": F.row_number().over(by), "n": F.count("*").over(w)})
+    g = g.withColumn("role", F.when((role == "intro") & (F.col("at") > 2), other("intro")).otherwise(role))
+    g = g.withColumn("role", F.when((role == "outro") & (F.col("at") <= F.col("n") - 2), other("outro")).otherwise(role))
+    soon = (F.coalesce(F.lead("role", 1).over(by), F.lit("")) == "payoff") | (F.coalesce(F.lead("role", 2).over(by), F.lit("")) == "payoff")
+    g = g.withColumn("soon", soon).withColumn("role", F.when((role == "build") & ~F.col("soon"), other("build")).otherwise(role))
+    none = F.max((role == "payoff").cast("int")).over(w) == 0
+    free = ~role.isin("intro", "outro")
+    first = F.min(F.when(free, F.struct((-F.col("intensity_rank")).alias("r"), "at"))).over(w)
+    g = g.withColumns({"none": none, "first": first["at"]})
+    return g.select("track", "idx", F.when(F.col("none") & (F.col("n") >= 3) & (F.coalesce("first", F.lit(-1)) == F.col("at")), "payoff").otherwise(role).alias("role"))
 
 
 def motif_labels(pairs: DataFrame, sections: DataFrame, least: float = 0.82) -> DataFrame:
     """Leader clusters of similar sections as labels A, B, ..: track, idx, label.
 
     Each free section leads; later free ones join if they are similar enough
-    to the leader.  pairs: track, i, j, sim.  A fold in the JVM: state is the
-    array of leaders by section.
+    to the leader.  pairs: track, i, j, sim.  With a column role in sections
+    only those of one role share a label.  Letters go by first appearance.  A
+    fold in the JVM: state is the array of leaders by section.
     """
-    near = pairs.filter(F.col("sim") >= least).groupBy("track").agg(F.collect_set(F.col("i") * 1000 + F.col("j")).alias("near"))
-    g = sections.groupBy("track").agg(F.array_sort(F.collect_set("idx")).alias("ids")).join(near, "track", "left").withColumn("near", F.coalesce("near", F.array().cast("array<int>")))
+    close = pairs.filter(F.col("sim") >= least)
+    if "role" in sections.columns:
+        role = lambda k: sections.select("track", F.col("idx").alias(k), F.col("role").alias(f"__{k}"))
+        close = close.join(role("i"), ["track", "i"]).join(role("j"), ["track", "j"]).filter("__i <=> __j")
+    near = close.groupBy("track").agg(F.collect_set(F.struct(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"))).alias("near"))
+    ids = sections.groupBy("track").agg(F.array_sort(F.collect_set(F.col("idx").cast("int"))).alias("ids"))
+    g = ids.join(near, "track", "left").withColumn("near", F.coalesce("near", F.array().cast("array<struct<i:int,j:int>>")))
     # A section's leader is the first leader before it that it is near to, else itself.
-    lead = "coalesce(get(filter(acc, e -> e.idx = e.leader AND array_contains(near, e.idx * 1000 + x)), 0).idx, x)"
+    lead = "coalesce(get(filter(acc, e -> e.idx = e.leader AND array_contains(near, named_struct('i', e.idx, 'j', x))), 0).idx, x)"
     fold = f"aggregate(ids, cast(array() AS array<struct<idx: int, leader: int>>), (acc, x) -> concat(acc, array(named_struct('idx', x, 'leader', {lead}))))"
     led = g.select("track", F.explode(F.expr(fold)).alias("e")).select("track", "e.idx", "e.leader")
     number = F.dense_rank().over(Window.partitionBy("track").orderBy("leader")) - 1
     return led.withColumn("label", section_label(number)).select("track", "idx", "label")
 
 
-# What a role looks like on screen.
-BEHAVIOUR = {"intro": "emerge", "build": "gather", "contrast": "shift", "outro": "fade"}
+# What a role looks like on screen; a second payoff, and valleys of the first and the second half.
+BEHAVIOUR = {"intro": "establish_world", "build": "build_tension", "payoff": "release_payoff", "contrast": "contrast_reset", "outro": "close_out"}
+LATER_PAYOFF, EARLY_VALLEY, LATE_VALLEY, NO_ROLE = "sustain_euphoria", "develop_motion", "strip_down", "develop_motion"
 
 
 def visual_behaviour(roles: DataFrame) -> DataFrame:
-    """track, idx, behaviour: by role, whether a payoff came before, and for valleys by the half of the song."""
-    w = Window.partitionBy("track").orderBy("idx")
-    earlier = F.coalesce(F.sum(F.when(F.col("role") == "payoff", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    n = F.count("*").over(Window.partitionBy("track"))
-    b = F.when(F.col("role") == "payoff", F.when(earlier > 0, "burst_again").otherwise("burst")).when(F.col("role") == "valley", F.when(F.col("idx") * 2 < n, "hold").otherwise("settle"))
-    for k, v in BEHAVIOUR.items():
-        b = b.when(F.col("role") == k, v)
-    return roles.select("track", "idx", b.alias("behaviour"))
-
+    """track, idx, behaviour of sections (track, idx, start_s, end_s, role).
 
-def subsections(frames: DataFrame, sections: DataFrame, value: str = "tension", smooth_s: float = 4.0, hop_s: float = 0.5, per_s: float = 25.0, min_len: float = 8.0) -> DataFrame:
-    """Inner cuts of long sections at deep valleys: track, idx, t, in time order.
-
-    A section of at least 20 s and ten frames is smoothed, and its valleys of
-    at least 15 % of its range are taken deepest first, ``min_len`` apart and
-    from its ends, round(length / per_s) at most.
+    By role; a payoff after another sustains, and a valley depends on the half
+    of the song in which its middle lies.
     """
-    from .series import box_smooth
-
-    inside = interval_join(frames, sections, "t", 60.0)
-    w = Window.partitionBy("track", "idx").orderBy("frame_idx")
-    win = max(3, round(smooth_s / hop_s) | 1)
-    g = inside.withColumn("x", box_smooth(F.col(value), win, w))
-    d = F.col("x") - F.coalesce(F.lag("x").over(w), F.col("x"))
-    g = g.withColumn("d", d).withColumns({"prev": F.lag("d").over(w), "left": F.max("x").over(w.rowsBetween(-2 * win, 0)), "right": F.max("x").over(w.rowsBetween(0, 2 * win)), "spread": F.max("x").over(Window.partitionBy("track", "idx")) - F.min("x").over(Window.partitionBy("track", "idx")), "n": F.count("*").over(Window.partitionBy("track", "idx"))})
-    deep = (F.col("left") + F.col("right")) / 2 - F.col("x")
-    v = g.filter((F.col("prev") < 0) & (F.col("d") >= 0) & (F.col("n") >= 10) & (F.col("end_s") - F.col("start_s") >= 20)).withColumn("depth", deep).filter(F.col("depth") >= 0.15 * F.col("spread"))
-
-    def choose(pdf: pd.DataFrame) -> list[tuple]:
-        lo, hi = float(pdf["start_s"].iloc[0]), float(pdf["end_s"].iloc[0])
-        taken: list[float] = []
-        for t in pdf.sort_values(["depth", "t"], ascending=[False, True])["t"]:
-            if len(taken) >= round((hi - lo) / per_s):
-                break
-            if all(abs(t - u) >= min_len for u in [lo, hi, *taken]):
-                taken.append(t)
-        return [(pdf["track"].iloc[0], pdf["idx"].iloc[0], t) for t in sorted(taken)]
-
-    return per_track(v.select("track", "idx", "start_s", "end_s", "t", "depth"), "track long, idx int, t double", choose, ("track", "idx"))
+    w = Window.partitionBy("track").orderBy("idx")
+    earlier = F.max((F.col("role") == "payoff").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    total = F.max_by("end_s", "idx").over(Window.partitionBy("track"))
+    early = (F.col("start_s") + F.col("end_s")) / 2 / F.greatest(total, F.lit(1e-8)) < 0.5
+    plain = F.create_map(*[F.lit(x) for kv in BEHAVIOUR.items() for x in kv])
+    b = F.when((F.col("role") == "payoff") & (earlier == 1), LATER_PAYOFF).when(F.col("role") == "valley", F.when(early, EARLY_VALLEY).otherwise(LATE_VALLEY))
+    return roles.select("track", "idx", b.otherwise(F.coalesce(plain[F.col("role")], F.lit(NO_ROLE))).alias("behaviour"))
+
+
+def subsections(frames: DataFrame, sections: DataFrame, value: str = "tension", hop_s: float = 0.5, per_s: float = 25.0, min_len: float = 8.0) -> DataFrame:
+    """Parts of sections between deep valleys, which cover each section: track, idx, sub, start_s, end_s, energy.
+
+    A section of at least 2.5 * min_len and ten frames is smoothed over 4 s;
+    its valleys of at least 15 % of its range are taken deepest first,
+    ``min_len`` apart and from its ends, max(1, round(length / per_s)) at most.
+    energy: rising or falling by the quarters' means, else low, mid or high;
+    mid without frames.
+    """
+    from ..functions.scalars import energy_word
+    from .series import quarter_means
+
+    span = sections.select("track", "idx", "start_s", "end_s")
+    inside = interval_join(frames.select("track", "frame_idx", "t", value), span, "t", 60.0)
+    n = F.count("*").over(Window.partitionBy("track", "idx"))
+    long = inside.withColumn("n", n).filter((F.col("n") >= 10) & (F.col("end_s") - F.col("start_s") >= 2.5 * min_len))
+    v = valley_candidates(long, value, 4.0, min_len, hop_s, 3, ("track", "idx")).filter(F.col("depth") >= F.round(F.col("spread") * 0.15, 9))
+    v = v.join(span.select("track", "idx", F.col("start_s").alias("lo"), F.col("end_s").alias("hi")), ["track", "idx"])
+    cuts = _deepest_first(v, ["track", "idx"], "t", f"greatest(1, bround((hi - lo) / {per_s}D))", min_len)
+    whole = span.join(cuts.select("track", "idx", "ts"), ["track", "idx"], "left").withColumn("ts", F.coalesce("ts", F.array().cast("array<double>")))
+    whole = whole.withColumn("b", F.concat(F.array("start_s"), "ts", F.array("end_s")))
+    parts = whole.select("track", "idx", F.posexplode(F.expr("transform(sequence(1, size(b) - 1), k -> struct(b[k - 1] AS start_s, b[k] AS end_s))")).alias("sub", "p")).select("track", "idx", "sub", "p.start_s", "p.end_s")
+    q = quarter_means(interval_join(frames.select("track", "frame_idx", "t", value), parts, "t", 30.0), value, ["track", "idx", "sub"], ["frame_idx"])
+    word = energy_word(F.col("first_q"), F.col("last_q"), F.col("mean"))
+    return parts.join(q, ["track", "idx", "sub"], "left").select("track", "idx", "sub", "start_s", "end_s", F.when(F.col("mean").isNull(), "mid").otherwise(word).alias("energy"))

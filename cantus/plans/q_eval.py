@@ -141,14 +141,32 @@ def baseline_compare(spark, sf):
     return E.compare_to_baseline(E.aggregate_metrics(r.filter("song % 2 = 0")), E.aggregate_metrics(r.filter("song % 2 = 1 AND layer <> 'drums'")))
 
 
-@query("layer_diagnostics", V.with_views(
-    """WITH g AS (SELECT *, offset_s - onset_s AS dur, coalesce(onset_s - lag(offset_s) OVER w, 1e9) AS bf, coalesce(lead(onset_s) OVER w - offset_s, 1e9) AS af FROM notes WINDOW w AS (PARTITION BY track, layer ORDER BY onset_s, note_id)),
-       s AS (SELECT track, layer, count(*) AS n, round(count(*) / 720.0::DOUBLE, 4) AS density, round(sum(dur) / 720.0::DOUBLE, 4) AS coverage, round(avg(dur), 4) AS mean_dur, min(midi) AS midi_min, max(midi) AS midi_max, round(quantile_cont(midi, 0.5), 1) AS midi_median,
-       round(quantile_cont(velocity, 0.1), 4) AS velocity_p10, count(*) FILTER (bf > 4 AND af > 4) AS isolated, round(sum(velocity * velocity * dur), 4) AS energy FROM g GROUP BY track, layer)
-       SELECT *, array_to_string(list_filter([CASE WHEN coverage > 0.5 THEN 'dense' END, CASE WHEN midi_median > 72 THEN 'high_register' END, CASE WHEN isolated * 4 > n THEN 'isolated_notes' END, CASE WHEN density < 0.02 THEN 'sparse' END,
-       CASE WHEN velocity_p10 < 0.05 THEN 'weak' END, CASE WHEN midi_max - midi_min > 48 THEN 'wide_range' END], lambda x: x IS NOT NULL), ',') AS warnings FROM s""", "notes"))
+_DIAG = """dg AS (SELECT *, offset_s - onset_s AS dur, coalesce(onset_s - lag(offset_s) OVER w, 1e9) AS bf, coalesce(lead(onset_s) OVER w - offset_s, 1e9) AS af FROM notes WINDOW w AS (PARTITION BY track, layer ORDER BY onset_s, note_id)),
+  dd AS (SELECT track, max(offset_s) AS duration_s FROM notes GROUP BY track),
+  ds AS (SELECT track, layer, count(*) AS n, sum(greatest(dur, 0)) AS active, round(avg(dur), 3) AS mean_dur, round(quantile_cont(dur, 0.5), 3) AS median_dur, min(midi) AS midi_min, max(midi) AS midi_max, round(avg(midi), 1) AS midi_mean, round(quantile_cont(midi, 0.5), 1) AS midi_median,
+    round(min(velocity), 4) AS velocity_min, round(quantile_cont(velocity, 0.1), 4) AS velocity_p10, count(*) FILTER (bf > 4 AND af > 4) AS isolated, sum(velocity * velocity * dur) AS energy FROM dg GROUP BY track, layer),
+  dl AS (SELECT ds.* EXCLUDE (active, energy), round(100 * energy / sum(energy) OVER (PARTITION BY track), 2) AS energy_pct, round(n / duration_s, 4) AS density, round(100 * active / duration_s, 1) AS coverage_pct FROM ds JOIN dd USING (track))"""
+
+
+def _diagnostics(spark, sf):
+    n = V.notes(spark, sf)
+    return n, E.layer_diagnostics(n, n.groupBy("track").agg(F.max("offset_s").alias("duration_s")))
+
+
+@query("layer_diagnostics", V.with_views("SELECT * FROM dl", "notes", more=_DIAG))
 def layer_diagnostics(spark, sf):
-    return E.layer_diagnostics(V.notes(spark, sf))
+    return _diagnostics(spark, sf)[1]
+
+
+@query("diagnostic_warnings", V.with_views(
+    """WITH v AS (SELECT t.track, t.track % 5 = 0 AS pyin, max(energy_pct) FILTER (layer = 'drums') AS de, coalesce(max(coverage_pct) FILTER (layer = 'vocals'), 0) AS vc, coalesce(max(n) FILTER (layer = 'vocals'), 0) AS vn, max(midi_mean) FILTER (layer = 'vocals') AS vm,
+         coalesce(max(coverage_pct) FILTER (layer = 'bass'), 0) AS bc, coalesce(max(n) FILTER (layer = 'bass'), 0) AS bn, max(median_dur) FILTER (layer = 'bass') AS bd, coalesce(max(isolated) FILTER (layer = 'bass'), 0) AS bi, max(velocity_min) FILTER (layer = 'bass') AS bv FROM dd t LEFT JOIN dl ON dl.track = t.track GROUP BY t.track)
+       SELECT track, array_to_string(list_filter([CASE WHEN pyin THEN 'basic_pitch_unavailable_or_failed' END, CASE WHEN bv > 0.15 AND bn > 20 THEN 'bass_velocity_floor_high' END, CASE WHEN de > 60 THEN 'drums_dominate' END, CASE WHEN bn > 50 AND bd < 0.2 THEN 'fragmented_bass' END, CASE WHEN vn > 0 AND vm < 55 THEN 'low_vocal_pitch' END,
+         CASE WHEN bi > 5 THEN 'many_isolated_bass_notes' END, CASE WHEN bc < 15 THEN 'sparse_bass' END, CASE WHEN vc < 20 THEN 'sparse_vocals' END], lambda x: x IS NOT NULL), ',') AS warnings FROM v""", "notes", more=_DIAG))
+def diagnostic_warnings(spark, sf):
+    n, layers = _diagnostics(spark, sf)
+    sources = n.select("track").distinct().withColumn("vocals_source", F.when(F.col("track") % 5 == 0, "pyin").otherwise("basic_pitch"))
+    return E.diagnostic_warnings(layers, sources).withColumn("warnings", F.concat_ws(",", "warnings"))
 
 
 @query("section_heatmap", V.with_views(

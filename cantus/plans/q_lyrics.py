@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import joins as J
 from ..operators import lyrics as L
+from ..operators import series as T
 from . import views as V
 
 QUERIES: dict[str, tuple] = {}
@@ -20,14 +21,14 @@ def query(name: str, sql: str | None):
     return add
 
 
-_STAMP = "'[' || lpad((line_idx % 7)::VARCHAR, 2, '0') || ':' || lpad(((line_idx * 5) % 60)::VARCHAR, 2, '0') || '.' || CASE WHEN line_idx % 3 = 0 THEN '25' ELSE '125' END || ']' || CASE WHEN line_idx % 5 = 4 THEN ' ' ELSE ' ' || replace(substr(text, 1, 40), chr(10), ' ') END"
+_STAMP = "'[' || lpad((line_idx % 7)::VARCHAR, 2, '0') || ':' || lpad(((line_idx * 5) % 60)::VARCHAR, 2, '0') || '.' || CASE WHEN line_idx % 3 = 0 THEN '25' ELSE '125' END || ']' || CASE WHEN line_idx % 5 = 4 THEN ' ' ELSE ' ' || replace(text, chr(10), ' ') END"
 
 
-def _lrc(spark, sf, text):
-    """One timed text for each song, made of its lines with ``text``; every fifth has a stamp and no words."""
+def _lrc(spark, sf):
+    """One timed text for each song, made of its lines; every fifth has a stamp and no words."""
     i = F.col("line_idx")
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    words = F.when(i % 5 == 4, " ").otherwise(F.concat(F.lit(" "), F.replace(text, F.lit("\n"), F.lit(" "))))
+    words = F.when(i % 5 == 4, " ").otherwise(F.concat(F.lit(" "), F.replace("text", F.lit("\n"), F.lit(" "))))
     line = F.concat(F.lit("["), two(i % 7), F.lit(":"), two((i * 5) % 60), F.lit("."), F.when(i % 3 == 0, "25").otherwise("125"), F.lit("]"), words)
     lines = V.lyric_lines(spark, sf).select("song", F.struct("line_idx", line.alias("line")).alias("x"))
     return lines.groupBy("song").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("text"))
@@ -39,20 +40,7 @@ def _lrc(spark, sf, text):
           + CASE WHEN len(regexp_extract(raw, '\\.(\\d{{2,3}})\\]', 1)) = 2 THEN regexp_extract(raw, '\\.(\\d{{2,3}})\\]', 1)::INTEGER * 10 ELSE regexp_extract(raw, '\\.(\\d{{2,3}})\\]', 1)::INTEGER END / 1000.0::DOUBLE AS start_s FROM s)
         SELECT * FROM (SELECT song, line_no, text, start_s, coalesce(lead(start_s) OVER (PARTITION BY song ORDER BY start_s, line_no), start_s + 5.0::DOUBLE) AS end_s FROM m) WHERE text <> ''""", "lines"))
 def parse_lrc(spark, sf):
-    return L.parse_lrc(_lrc(spark, sf, F.substring("text", 1, 40)))
-
-
-_WHOLE_STAMP = _STAMP.replace("substr(text, 1, 40)", "text")
-
-
-@query("parse_lrc_whole", V.with_views(
-    f"""WITH s AS (SELECT song, (row_number() OVER (PARTITION BY song ORDER BY line_idx) - 1)::INTEGER AS line_no, trim({_WHOLE_STAMP}) AS raw FROM lines),
-        m AS (SELECT song, line_no, trim(regexp_extract(raw, '^\\[(\\d{{1,2}}):(\\d{{2}})\\.(\\d{{2,3}})\\](.*)', 4)) AS text, regexp_extract(raw, '^\\[(\\d{{1,2}}):', 1)::INTEGER * 60 + regexp_extract(raw, ':(\\d{{2}})\\.', 1)::INTEGER
-          + CASE WHEN len(regexp_extract(raw, '\\.(\\d{{2,3}})\\]', 1)) = 2 THEN regexp_extract(raw, '\\.(\\d{{2,3}})\\]', 1)::INTEGER * 10 ELSE regexp_extract(raw, '\\.(\\d{{2,3}})\\]', 1)::INTEGER END / 1000.0::DOUBLE AS start_s FROM s)
-        SELECT * FROM (SELECT song, line_no, text, start_s, coalesce(lead(start_s) OVER (PARTITION BY song ORDER BY start_s, line_no), start_s + 5.0::DOUBLE) AS end_s FROM m) WHERE text <> ''""", "lines"))
-def parse_lrc_whole(spark, sf):
-    """parse_lrc over whole texts; the SQL of parse_lrc holds 40 characters of each."""
-    return L.parse_lrc(_lrc(spark, sf, F.col("text")))
+    return L.parse_lrc(_lrc(spark, sf))
 
 
 _WORDS = r"""wd AS (SELECT song, line_idx, text, start_s AS ls, end_s AS le, w.i::INTEGER - 1 AS word_idx, w.word FROM (SELECT *, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM lines),
@@ -70,13 +58,15 @@ def word_timing(spark, sf):
     return _words(spark, sf).select("song", "line_idx", "word_idx", "word", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"))
 
 
-_SOUND = """CASE WHEN w = '' THEN 'other' WHEN w[1:2] = 'ch' THEN 'plosive' WHEN w[1] = 'j' THEN 'plosive' WHEN w[1] = 'c' AND w[2] IN ('e','i','y') THEN 'fricative' WHEN w[1] = 'c' THEN 'plosive' WHEN w[1] IN ('a','e','i','o','u') THEN 'vowel'
-  WHEN w[1] IN ('p','b','t','d','k','g','q') THEN 'plosive' WHEN w[1] IN ('f','v','s','z','h','x') THEN 'fricative' WHEN w[1] IN ('m','n') THEN 'nasal' WHEN w[1] IN ('l','r','w','y') THEN 'liquid' ELSE 'other' END"""
+_SOUND = """CASE WHEN w[1:2] IN ('kn','gn','mn') THEN 'nasal' WHEN w[1:2] IN ('wr','wh') THEN 'approximant' WHEN w[1:2] IN ('th','sh') THEN 'fricative' WHEN w[1:2] IN ('ps','pn','pt','gh') THEN 'vowel' WHEN w[1:2] = 'ch' OR w[1] = 'j' THEN 'affricate'
+  WHEN w[1] = 'c' THEN CASE WHEN w[2] IN ('e','i','y') THEN 'fricative' ELSE 'plosive' END WHEN w[1] IN ('q','b','d','g','k','p','t') THEN 'plosive' WHEN w[1] IN ('x','f','h','s','z') THEN 'fricative'
+  WHEN w[1] IN ('m','n') THEN 'nasal' WHEN w[1] IN ('l','r','w','y') THEN 'approximant' WHEN w[1] IN ('a','e','i','o','u') THEN 'vowel' ELSE 'unknown' END"""
+_LEAD = "CASE sound WHEN 'plosive' THEN 0.055::DOUBLE WHEN 'affricate' THEN 0.045 WHEN 'fricative' THEN 0.025 WHEN 'nasal' THEN 0.02 WHEN 'approximant' THEN 0.02 WHEN 'vowel' THEN 0.005 ELSE 0.04 END"
 
 
 @query("word_sounds", V.with_views(
-    f"""WITH a AS (SELECT song, line_idx, word_idx, regexp_replace(lower(word), '[^a-z0-9]', '', 'g') AS token, regexp_replace(lower(word), '^[^a-z]+|[^a-z]+$', '', 'g') AS w0 FROM words)
-        SELECT song, line_idx, word_idx, token, {_SOUND} AS sound FROM (SELECT *, CASE WHEN w0[1:2] IN ('kn','gn','wr','ps','pn') THEN w0[2:] ELSE w0 END AS w FROM a)""", "lines", more=_WORDS))
+    f"""WITH a AS (SELECT song, line_idx, word_idx, regexp_replace(lower(word), '[^a-z0-9]', '', 'g') AS token, lower(regexp_replace(word, '^[^A-Za-z]+|[^A-Za-z]+$', '', 'g')) AS w FROM words)
+        SELECT song, line_idx, word_idx, token, {_SOUND} AS sound FROM a""", "lines", more=_WORDS))
 def word_sounds(spark, sf):
     """Normalised tokens and the class of their first sound."""
     return _words(spark, sf).select("song", "line_idx", "word_idx", L.token_norm(F.col("word")).alias("token"), L.first_sound(F.col("word")).alias("sound"))
@@ -109,15 +99,26 @@ def lyric_activity(spark, sf):
 
 
 @query("gap_fill", V.with_views(
-    """WITH k AS (SELECT *, CASE WHEN word_idx % 4 IN (1, 2) THEN NULL ELSE start_s END AS s, CASE WHEN word_idx % 4 IN (1, 2) THEN NULL ELSE end_s END AS e FROM words),
-       g AS (SELECT *, coalesce(last_value(e IGNORE NULLS) OVER w, ls) AS l, coalesce(first_value(s IGNORE NULLS) OVER (PARTITION BY song, line_idx ORDER BY word_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), le) AS r, count(s) OVER w AS island FROM k WINDOW w AS (PARTITION BY song, line_idx ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-       t AS (SELECT *, sum(len(word)) OVER p AS total, coalesce(sum(len(word)) OVER (PARTITION BY song, line_idx, island, s IS NULL ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto, greatest(r - l, 0.06::DOUBLE) AS span FROM g WINDOW p AS (PARTITION BY song, line_idx, island, s IS NULL))
-       SELECT song, line_idx, word_idx, word, floor(round(CASE WHEN s IS NOT NULL THEN s ELSE l + span * upto / total END, 6) * 1000) / 1000 AS start_s, floor(round(CASE WHEN s IS NOT NULL THEN e ELSE l + span * upto / total + span * len(word) / total * 0.95::DOUBLE END, 6) * 1000) / 1000 AS end_s, CASE WHEN s IS NOT NULL THEN 1.0::DOUBLE ELSE 0.65::DOUBLE END AS confidence FROM t""", "lines", more=_WORDS))
+    """WITH k AS (SELECT *, CASE WHEN word_idx % 4 IN (1, 2) THEN NULL ELSE start_s END AS s, CASE WHEN word_idx % 4 IN (1, 2) THEN NULL ELSE end_s END AS e, 0.5::DOUBLE + (word_idx % 3) / 10.0::DOUBLE AS c FROM words),
+       h AS (SELECT song, line_idx, min(s) AS first_heard, max(e) AS last_heard, avg(greatest(0.03::DOUBLE, e - s)) FILTER (e > s) AS heard_dur, count(*) AS nw FROM k GROUP BY ALL),
+       g AS (SELECT k.*, h.* EXCLUDE (song, line_idx), last_value(e IGNORE NULLS) OVER w AS la, first_value(s IGNORE NULLS) OVER (PARTITION BY k.song, k.line_idx ORDER BY word_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ra, count(s) OVER w AS island
+             FROM k JOIN h ON h.song = k.song AND h.line_idx = k.line_idx WINDOW w AS (PARTITION BY k.song, k.line_idx ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+       t AS (SELECT *, sum(len(word)) OVER p AS total, coalesce(sum(len(word)) OVER (PARTITION BY song, line_idx, island, s IS NULL ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto, word_idx = max(word_idx) OVER p AS closes,
+               count(*) OVER p * coalesce(heard_dur, greatest(0.06::DOUBLE, (le - ls) / nw)) AS need, greatest(ls, coalesce(first_heard, ls) - 0.6::DOUBLE) AS fst, least(le, coalesce(last_heard, le) + 0.6::DOUBLE) AS lst FROM g WINDOW p AS (PARTITION BY song, line_idx, island, s IS NULL)),
+       u AS (SELECT *, CASE WHEN la IS NOT NULL THEN la WHEN ra IS NULL THEN fst ELSE greatest(fst, ra - need * 1.2::DOUBLE) END AS l, CASE WHEN ra IS NOT NULL THEN ra WHEN la IS NULL THEN lst ELSE least(lst, la + need * 1.2::DOUBLE) END AS r0 FROM t),
+       v AS (SELECT *, least(l + greatest(0.06::DOUBLE, need), coalesce(ra, le)) AS r1 FROM u),
+       x AS (SELECT *, CASE WHEN r0 > l + 1e-4 THEN r0 WHEN r1 > l + 1e-4 THEN r1 ELSE l + 0.06::DOUBLE END AS r FROM v)
+       SELECT song, line_idx, word_idx, word, floor(round(CASE WHEN s IS NOT NULL THEN s ELSE l + (r - l) * upto / total END, 6) * 1000) / 1000 AS start_s,
+         floor(round(CASE WHEN s IS NOT NULL THEN e WHEN closes THEN r ELSE l + (r - l) * upto / total + (r - l) * len(word) / total * 0.95::DOUBLE END, 6) * 1000) / 1000 AS end_s, CASE WHEN s IS NOT NULL THEN c ELSE 0.65::DOUBLE END AS confidence FROM x""", "lines", more=_WORDS))
 def gap_fill(spark, sf):
-    lost = F.col("word_idx") % 4
-    w = _words(spark, sf).withColumns({"start_s": F.when(lost.isin(1, 2), None).otherwise(F.col("start_s")), "end_s": F.when(lost.isin(1, 2), None).otherwise(F.col("end_s"))})
+    """Lines of which half of the words weren't heard; the others count as all that was."""
+    from pyspark.sql import Window
+
+    lost = (F.col("word_idx") % 4).isin(1, 2)
+    w = _words(spark, sf).withColumns({"start_s": F.when(lost, None).otherwise(F.col("start_s")), "end_s": F.when(lost, None).otherwise(F.col("end_s")), "confidence": F.lit(0.5) + F.col("word_idx") % 3 / 10.0})
+    heard = F.collect_list(F.when(~lost, F.struct("start_s", "end_s"))).over(Window.partitionBy("song", "line_idx"))
     lines = V.lyric_lines(spark, sf).select("song", "line_idx", F.col("start_s").alias("line_start"), F.col("end_s").alias("line_end"))
-    out = L.fill_gaps(w.join(lines, ["song", "line_idx"]), ["song", "line_idx"])
+    out = L.fill_gaps(w.withColumn("heard", heard).join(lines, ["song", "line_idx"]), ["song", "line_idx"])
     return out.withColumns({c: F.floor(F.col(c) * 1000) / 1000.0 for c in ("start_s", "end_s")})
 
 
@@ -153,39 +154,26 @@ def alignment_quality(spark, sf):
 
 
 @query("correction_template", V.with_views(
-    """SELECT l.song, l.line_idx, CASE WHEN l.line_idx % 4 = 1 THEN 'verified' WHEN l.line_idx % 4 = 2 THEN 'corrected' ELSE 'auto' END AS status FROM lines l""", "lines"))
+    """WITH earlier AS (SELECT song, line_idx, CASE WHEN line_idx % 5 = 2 THEN text || '!' ELSE text END AS text, CASE line_idx % 4 WHEN 1 THEN 'verified' WHEN 2 THEN 'corrected' ELSE 'auto' END AS status FROM lines)
+       SELECT l.song, l.line_idx, coalesce(e.status, 'auto') AS status FROM lines l LEFT JOIN earlier e ON e.song = l.song AND e.line_idx = l.line_idx AND e.text = l.text AND e.status <> 'auto'""", "lines"))
 def correction_template(spark, sf):
+    """Earlier work on phrases of which every fifth has another text by now."""
     lines = V.lyric_lines(spark, sf)
     i = F.col("line_idx") % 4
-    earlier = lines.select("song", "line_idx", "text", F.when(i == 1, "verified").when(i == 2, "corrected").otherwise("auto").alias("status"))
+    text = F.when(F.col("line_idx") % 5 == 2, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    earlier = lines.select("song", "line_idx", text.alias("text"), F.when(i == 1, "verified").when(i == 2, "corrected").otherwise("auto").alias("status"))
     return L.merge_template(lines.select("song", "line_idx", "text", F.lit("auto").alias("status")), earlier).select("song", "line_idx", "status")
 
 
 @query("taps", V.with_views(
-    """WITH o AS (SELECT *, row_number() OVER w AS i, coalesce(lead(line_idx) OVER w <> line_idx, true) AS closes FROM words WINDOW w AS (PARTITION BY song ORDER BY line_idx, word_idx)),
-       tp AS (SELECT song, i, floor(start_s * 100) / 100 + 0.03::DOUBLE AS t FROM o WHERE i <= 40), tq AS (SELECT song, t, row_number() OVER w AS i, lead(t) OVER w AS nt FROM tp WINDOW w AS (PARTITION BY song ORDER BY t)),
-       j AS (SELECT o.*, tq.t, tq.nt FROM o LEFT JOIN tq ON tq.song = o.song AND tq.i = o.i)
-       SELECT song, line_idx, word_idx, round(coalesce(t, start_s), 3) AS start_s, round(CASE WHEN t IS NOT NULL THEN greatest(round(CASE WHEN closes OR nt IS NULL THEN le ELSE nt - 0.05 END, 3), round(t + 0.02, 3)) ELSE end_s END, 3) AS end_s, t IS NOT NULL AS tapped,
-       'corrected' AS status FROM j WHERE t IS NOT NULL""", "lines", more=_WORDS))
-def taps(spark, sf):
-    from pyspark.sql import Window
-
-    lines = V.lyric_lines(spark, sf).select("song", "line_idx", F.col("end_s").alias("line_end"))
-    w = _words(spark, sf).join(lines, ["song", "line_idx"])
-    i = F.row_number().over(Window.partitionBy("song").orderBy("line_idx", "word_idx"))
-    t = w.withColumn("i", i).filter("i <= 40").select("song", (F.floor(F.col("start_s") * 100) / 100 + 0.03).alias("t"))
-    return L.taps_to_words(w, t).filter("tapped")
-
-
-@query("taps_whole", V.with_views(
     """WITH c AS (SELECT * REPLACE (floor(start_s * 1000) / 1000 AS start_s, floor(end_s * 1000) / 1000 AS end_s), max(line_idx) OVER (PARTITION BY song) AS last_line FROM words),
        o AS (SELECT *, row_number() OVER w AS i, coalesce(lead(line_idx) OVER w <> line_idx, true) AS closes FROM c WINDOW w AS (PARTITION BY song ORDER BY line_idx, word_idx)),
        tp AS (SELECT song, i, floor(start_s * 100) / 100 + 0.03::DOUBLE AS t FROM o WHERE song % 2 = 1 OR line_idx < last_line), tq AS (SELECT song, t, row_number() OVER w AS i, lead(t) OVER w AS nt FROM tp WINDOW w AS (PARTITION BY song ORDER BY t)),
        j AS (SELECT o.*, tq.t, tq.nt FROM o LEFT JOIN tq ON tq.song = o.song AND tq.i = o.i)
        SELECT song, line_idx, word_idx, round(coalesce(t, start_s), 3) AS start_s, round(CASE WHEN t IS NOT NULL THEN greatest(round(CASE WHEN closes OR nt IS NULL THEN le ELSE nt - 0.05 END, 3), round(t + 0.02, 3)) ELSE end_s END, 3) AS end_s, t IS NOT NULL AS tapped,
        CASE WHEN max(CASE WHEN t IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY song, line_idx) = 1 THEN 'corrected' ELSE 'auto' END AS status FROM j""", "lines", more=_WORDS))
-def taps_whole(spark, sf):
-    """taps over all words, tapped or not; in songs of even number the last line is left untapped."""
+def taps(spark, sf):
+    """All words, tapped or not; in songs of even number the last line is left untapped."""
     from pyspark.sql import Window
 
     lines = V.lyric_lines(spark, sf).select("song", "line_idx", F.col("end_s").alias("line_end"))
@@ -225,24 +213,36 @@ def tier_choice(spark, sf):
     return L.choose_tier(tier("synced", 1, F.col("song") % 3 == 0).union(tier("merge", 2, F.col("song") % 2 == 0)).union(tier("proportional", 3, F.lit(True))))
 
 
+_FOUND = """found AS (SELECT song, CASE WHEN song % 7 <> 0 THEN round(avg(CASE WHEN (word_idx + song) % 10 < 3 + song % 7 THEN 1.0::DOUBLE ELSE 0 END), 4) END AS matched, CASE WHEN song % 7 <> 0 THEN count(DISTINCT line_idx) END AS lines_total,
+  CASE WHEN song % 7 <> 0 THEN count(DISTINCT line_idx) FILTER (line_idx % 8 < song % 5) END AS fallback, CASE WHEN song % 6 <> 0 THEN (song % 13 - 6) / 20.0::DOUBLE END AS off, CASE WHEN song % 6 <> 0 THEN (song % 5) * 0.0075::DOUBLE END AS gain, CASE WHEN song % 9 = 4 THEN 1 ELSE 0 END AS errors FROM words GROUP BY song)"""
+
+
 @query("quality_flags", V.with_views(
-    """SELECT song, array_to_string(list_filter([CASE WHEN count(*) < 60 THEN 'few_words' END, CASE WHEN max(le) > 30 THEN 'long' END, CASE WHEN avg(len(word)) > 5.5 THEN 'long_words' END, CASE WHEN count(DISTINCT line_idx) < 4 THEN 'short' END], lambda x: x IS NOT NULL), ',') AS flags,
-       abs(avg(len(word)) - 5) >= 0.03 AND count(*) / 1000.0 >= 0.08 AS calibrate FROM words GROUP BY song""", "lines", more=_WORDS))
+    """WITH d AS (SELECT *, abs(off) >= 0.03 AND 0.05::DOUBLE + (song % 11) / 100.0::DOUBLE >= 0.08 AND (gain >= 0.01 OR abs(off) >= 0.10 AND gain >= 0.005) AS applied FROM found)
+       SELECT song, coalesce(applied, false) AS applied, array_to_string(list_sort(list_filter([CASE WHEN matched < 0.65 THEN 'low_word_match_ratio' END, CASE WHEN lines_total > 0 AND fallback / lines_total::DOUBLE > 0.35 THEN 'many_lines_without_whisper_coverage' END, CASE WHEN abs(off) >= 0.25 THEN 'large_global_offset_detected' END,
+         CASE WHEN NOT applied AND gain >= 0.02 THEN 'offset_not_applied_low_confidence' END, CASE WHEN NOT applied AND gain < 0.02 AND abs(off) >= 0.05 THEN 'offset_detected_but_not_applied' END, CASE WHEN errors > 0 THEN 'backend_fallback_used' END], lambda x: x IS NOT NULL)), ',') AS flags FROM d""", "lines", more=_WORDS + ", " + _FOUND))
 def quality_flags(spark, sf):
-    """Sorted set of quality flags by song, and the calibration decision on stand-in measurements."""
-    g = _words(spark, sf).groupBy("song").agg(F.count("*").alias("n"), F.max(F.floor(F.col("line_idx") * 5.0 + 5.0)).alias("m"), F.avg(F.length("word")).alias("a"), F.countDistinct("line_idx").alias("k"))
-    f = S.flags(("short", F.col("k") < 4), ("long", F.col("m") > 30), ("few_words", F.col("n") < 60), ("long_words", F.col("a") > 5.5))
-    return g.select("song", F.array_join(f, ",").alias("flags"), S.calibration_applies(F.col("a") - 5, F.col("n") / 1000.0, F.lit(1.0)).alias("calibrate"))
+    """Doubts about each song's alignment, with stand-in measurements of merging and calibration; some songs lack one."""
+    s = F.col("song")
+    merged = lambda x: F.when(s % 7 != 0, x)
+    g = _words(spark, sf).groupBy("song").agg(
+        F.round(F.avg(F.when((F.col("word_idx") + s) % 10 < 3 + s % 7, 1.0).otherwise(0.0)), 4).alias("m"), F.countDistinct("line_idx").alias("n"), F.countDistinct(F.when(F.col("line_idx") % 8 < s % 5, F.col("line_idx"))).alias("k")
+    )
+    g = g.select("song", merged(F.col("m")).alias("matched_word_ratio"), merged(F.col("n")).alias("lines_total"), merged(F.col("k")).alias("lines_fallback"), F.when(s % 6 != 0, (s % 13 - 6) / 20.0).alias("offset_s"), F.when(s % 6 != 0, s % 5 * 0.0075).alias("improvement"), F.when(s % 9 == 4, 1).otherwise(0).alias("backend_errors"))
+    g = g.withColumn("applied", F.coalesce(S.calibration_applies(F.col("offset_s"), F.lit(0.05) + s % 11 / 100.0, F.col("improvement")), F.lit(False)))
+    return L.quality_flags(g).select("song", "applied", F.array_join("flags", ",").alias("flags"))
 
 
 @query("onset_snap", V.with_views(
-    """WITH w AS (SELECT track, note_id, onset_s + 0.05::DOUBLE AS s, offset_s + 0.05::DOUBLE AS e FROM notes WHERE layer = 'vocals'), f AS (SELECT w.*, n.onset_s AS o FROM w ASOF LEFT JOIN (SELECT DISTINCT track, onset_s FROM notes) n ON w.track = n.track AND w.s <= n.onset_s),
-       c AS (SELECT *, greatest(s, o - 0.02::DOUBLE) AS ns FROM f), d AS (SELECT *, coalesce(o - s <= 2.0 AND ns - s >= 0.02 AND e - ns >= 0.05, false) AS snapped FROM c)
+    f"""WITH v AS (SELECT track, note_id, onset_s + 0.05::DOUBLE AS s, offset_s + 0.05::DOUBLE AS e, ['pa', 'Chip', 'sun', 'my', '"Wrap', 'and', 'very'][note_id % 7 + 1] AS word FROM notes WHERE layer = 'vocals'),
+       y AS (SELECT *, {_SOUND} AS sound FROM (SELECT *, lower(regexp_replace(word, '^[^A-Za-z]+|[^A-Za-z]+$', '', 'g')) AS w FROM v)), w AS (SELECT *, {_LEAD} AS lead_in FROM y), f AS (SELECT w.*, n.onset_s AS o FROM w ASOF LEFT JOIN (SELECT DISTINCT track, onset_s FROM notes) n ON w.track = n.track AND w.s <= n.onset_s),
+       c AS (SELECT *, greatest(s, o - lead_in) AS ns FROM f), d AS (SELECT *, coalesce(o - s <= 2.0 AND ns - s >= 0.02 AND e - ns >= 0.05, false) AS snapped FROM c)
        SELECT track, note_id, round(CASE WHEN snapped THEN ns ELSE s END, 6) AS start_s, snapped FROM d""", "notes"))
 def onset_snap(spark, sf):
-    """Vocal notes as words that snap to the next onset of any layer within 2 s."""
+    """Vocal notes as words that snap to the next onset of any layer within 2 s, less the lead-in of their first sound."""
     n = V.notes(spark, sf)
-    w = n.filter("layer = 'vocals'").select("track", "note_id", (F.col("onset_s") + 0.05).alias("start_s"), (F.col("offset_s") + 0.05).alias("end_s"))
+    word = F.element_at(F.array(*map(F.lit, ["pa", "Chip", "sun", "my", '"Wrap', "and", "very"])), (F.col("note_id") % 7 + 1).cast("int"))
+    w = n.filter("layer = 'vocals'").select("track", "note_id", word.alias("word"), (F.col("onset_s") + 0.05).alias("start_s"), (F.col("offset_s") + 0.05).alias("end_s"))
     out = L.snap_to_onsets(w, n.select("track", F.col("onset_s").alias("t")), within=2.0)
     return out.select("track", "note_id", F.round("start_s", 6).alias("start_s"), "snapped")
 
@@ -274,14 +274,17 @@ def drop_decay(spark, sf):
 
 
 @query("boundary_pulse", V.with_views(
-    """SELECT b.track, b.beat_idx, round(max(0.85::DOUBLE * 0.5 * (1 + cos(pi() * abs(b.t - a.start_s) / 6.0))), 6) AS pulse FROM beats b JOIN activity a ON a.track = b.track AND abs(b.t - a.start_s) < 6.0 GROUP BY ALL""", "beats", "activity"))
+    """WITH p AS (SELECT track, beat_idx, t + (track % 4) * 0.2::DOUBLE AS t FROM beats), a AS (SELECT p.track, p.beat_idx, max(0.85::DOUBLE * 0.5 * (1 + cos(pi() * abs(p.t - s.start_s) / 0.6::DOUBLE))) AS x FROM p JOIN activity s ON s.track = p.track AND s.start_s >= 1e-3 AND abs(p.t - s.start_s) < 0.6 GROUP BY ALL),
+       b AS (SELECT p.track, p.beat_idx, max(0.40::DOUBLE * 0.5 * (1 + cos(pi() * abs(p.t - s.start_s - 30) / 0.35::DOUBLE))) AS x FROM p JOIN activity s ON s.track = p.track AND abs(p.t - s.start_s - 30) < 0.35 GROUP BY ALL)
+       SELECT p.track, p.beat_idx, round(coalesce(a.x, 0), 6) AS section_pulse, round(coalesce(b.x, 0), 6) AS subsection_pulse FROM p LEFT JOIN a USING (track, beat_idx) LEFT JOIN b USING (track, beat_idx)""", "beats", "activity"))
 def boundary_pulse(spark, sf):
-    """Raised cosine near section boundaries, the largest of overlapping ones."""
+    """Pulses at the begins of sections (not the first) and, weaker, in their middles, at times beside the beats."""
     n = V.notes(spark, sf)
-    near = V.activity(n).select("track", F.col("start_s").alias("at"), (F.col("start_s") - 6.0 + 1e-9).alias("start_s"), (F.col("start_s") + 6.0).alias("end_s"))
-    j = J.interval_join(V.beats(n), near, "t", 12.0)
-    x = F.lit(0.85 * 0.5) * (1 + F.cos(F.lit(3.141592653589793) * F.abs(F.col("t") - F.col("at")) / 6.0))
-    return j.groupBy("track", "beat_idx").agg(F.round(F.max(x), 6).alias("pulse"))
+    p = V.beats(n).withColumn("t", F.col("t") + F.col("track") % 4 * 0.2)
+    at = V.activity(n).select("track", F.col("start_s").alias("t"))
+    p = T.boundary_pulse(p, at.filter("t >= 1e-3"), "section_pulse", 0.6, 0.85)
+    p = T.boundary_pulse(p, at.withColumn("t", F.col("t") + 30), "subsection_pulse", 0.35, 0.40)
+    return p.select("track", "beat_idx", F.round("section_pulse", 6).alias("section_pulse"), F.round("subsection_pulse", 6).alias("subsection_pulse"))
 
 
 @query("interp_signal", V.with_views(

@@ -14,7 +14,8 @@ from ..operators import series as T
 from ..operators import story as ST
 from ..sources import files
 from . import views as V
-from .q_series import _N01
+from .q_series import _N01, _TEN
+from .q_story import _pick_sql
 
 QUERIES: dict[str, tuple] = {}
 
@@ -77,18 +78,57 @@ def notes_from_pitch(spark, sf):
     return N.from_pitch(f, V.beats(f))
 
 
-@query("drum_hits", None)
-def drum_hits(spark, sf):
-    """Peaks of three components of the frames, their levels and beats."""
-    f = V.frames(spark, sf)
-    picked = None
-    for c, name in (("rms", "kick"), ("onset", "snare"), ("centroid", "hh")):
-        one = H.pick_peaks(f.withColumn("x", T.minmax01(F.col(c))), "x", H.Peaks()).withColumn("component", F.lit(name))
-        picked = one if picked is None else picked.unionByName(one)
-    return J.beat_align(H.levels(picked), V.beats(f), "t").select("track", "t", "component", "velocity", "beat_idx", "beat_phase")
+def _peaks_sql(name: str, x: str, c: str, pre: int, avg: int, delta: float, wait: int) -> str:
+    """Peaks of one component: window maxima and means, then a list fold for the least distance."""
+    return (
+        f"c_{name} AS (SELECT track, frame_idx, t, '{c}' AS component, rms AS level, {x} AS x, max({x}) OVER (PARTITION BY track ORDER BY frame_idx ROWS BETWEEN {pre} PRECEDING AND {pre - 1} FOLLOWING) AS mx, "
+        f"avg({x}) OVER (PARTITION BY track ORDER BY frame_idx ROWS BETWEEN {avg} PRECEDING AND {avg - 1} FOLLOWING) AS av FROM n01), "
+        f"k_{name} AS (SELECT track, unnest(list_reduce(list_prepend(NULL, list_transform(list_sort(list(frame_idx)), lambda i: [i])), lambda a, b: CASE WHEN a IS NULL THEN b WHEN b[1] > a[-1] + {wait} THEN list_concat(a, b) ELSE a END)) AS frame_idx FROM c_{name} WHERE x = mx AND x >= av + {delta} GROUP BY track), "
+        f"h_{name} AS (SELECT c.track, c.component, c.frame_idx, c.t, c.level FROM k_{name} k JOIN c_{name} c USING (track, frame_idx))"
+    )
 
 
-@query("subsections", None)
+_HITS = _N01 + ", " + ", ".join(_peaks_sql(*x) for x in (("a", "rms01", "kick", 3, 7, 0.07, 7), ("b", "onset01", "hh", 2, 5, 0.05, 3), ("c", "cent01", "crash", 3, 7, 0.06, 5)))
+_HITS += ", hx AS (SELECT *, round(least(1, level / quantile_cont(level, 0.99) OVER (PARTITION BY track, component)), 4) AS velocity FROM (SELECT * FROM h_a UNION ALL SELECT * FROM h_b UNION ALL SELECT * FROM h_c))"
+
+
+@query("drum_hits", V.with_views(
+    """SELECT track, frame_idx, component, velocity, beat_idx::INTEGER AS beat_idx, round((t - beat_idx) - floor(t - beat_idx), 4) AS beat_phase
+       FROM (SELECT *, least(719, CASE WHEN t - floor(t) <= 0.5 THEN floor(t) ELSE floor(t) + 1 END) AS beat_idx FROM hx)""", "frames", more=_HITS))
+def drum_hits(spark, sf):
+    """Hits of three components whose onset strengths are the frames' columns, with a silent and an unknown one beside them, and their beats."""
+    f = V.frames(spark, sf)
+    parts = [("rms", "kick", 1.0), ("onset", "hh", 1.0), ("centroid", "crash", 1.0), ("rms", "toms", 0.0), ("rms", "cowbell", 1.0)]
+    stacked = F.explode(F.array(*[F.struct(F.lit(name).alias("component"), T.minmax01(F.col(c)).alias("strength"), (F.col("rms") * loud).alias("level")) for c, name, loud in parts]))
+    each = f.select("track", "frame_idx", "t", stacked.alias("p")).select("track", "frame_idx", "t", "p.*")
+    return J.beat_align(H.drum_hits(each), V.beats(f), "t").select("track", "frame_idx", "component", "velocity", "beat_idx", "beat_phase")
+
+
+@query("drum_fallback", V.with_views(
+    """SELECT track, frame_idx, CASE WHEN rms01 >= onset01 AND rms01 >= cent01 THEN 'kick' WHEN onset01 >= cent01 THEN 'snare' ELSE 'hh' END AS component, round(least(1, rms / quantile_cont(rms, 0.99) OVER (PARTITION BY track)), 4) AS velocity
+       FROM n01 WHERE onset > 40""", "frames", more=_N01))
+def drum_fallback(spark, sf):
+    """Strong frames as onsets of an unseparated drum track, with stand-in band energies."""
+    f = V.frames(spark, sf).withColumns({n: T.minmax01(F.col(c)) for n, c in (("kick", "rms"), ("snare", "onset"), ("hh", "centroid"))})
+    on = f.filter("onset > 40").withColumn("level", F.col("rms"))
+    return H.drum_hits_from_bands(on).select("track", (F.col("t") * 2).cast("int").alias("frame_idx"), "component", "velocity")
+
+
+_SUB = """si AS (SELECT f.track, a.idx, a.start_s, a.end_s, f.frame_idx, f.t, f.tension, count(*) OVER (PARTITION BY f.track, a.idx) AS n FROM ten f JOIN (SELECT DISTINCT track FROM frames) USING (track) JOIN sec a ON a.track = f.track AND f.t >= a.start_s AND f.t < a.end_s),
+  sx AS (SELECT *, round(sum(tension) OVER (PARTITION BY track, idx ORDER BY frame_idx ROWS BETWEEN 4 PRECEDING AND 3 FOLLOWING) / 8, 9) AS x FROM si WHERE n >= 10 AND end_s - start_s >= 20),
+  sd AS (SELECT *, x - coalesce(lag(x) OVER w, x) AS d FROM sx WINDOW w AS (PARTITION BY track, idx ORDER BY frame_idx)),
+  sp AS (SELECT *, lag(d) OVER w AS prev, max(x) OVER (PARTITION BY track, idx ORDER BY frame_idx ROWS BETWEEN 16 PRECEDING AND 1 PRECEDING) AS bm, max(x) OVER (PARTITION BY track, idx ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS am, max(x) OVER (PARTITION BY track, idx) - min(x) OVER (PARTITION BY track, idx) AS spread FROM sd WINDOW w AS (PARTITION BY track, idx ORDER BY frame_idx)),
+  sv AS (SELECT *, round((bm + am) / 2 - x, 9) AS depth, start_s AS lo, end_s AS hi FROM sp WHERE prev < 0 AND d >= 0),
+  pk AS (""" + _pick_sql("sv", "track, idx", "t", "lo", "hi", "greatest(1, round_even((hi - lo) / 25.0, 0))", 8.0, "depth >= round(spread * 0.15::DOUBLE, 9)") + """),
+  sb AS (SELECT s.track, s.idx, list_concat(list_concat([s.start_s], list_sort(coalesce(ts, []))), [s.end_s]) AS b FROM sec s LEFT JOIN pk ON pk.track = s.track AND pk.idx = s.idx),
+  ss AS (SELECT track, idx, k - 1 AS sub, b[k] AS start_s, b[k + 1] AS end_s FROM (SELECT *, unnest(range(1, len(b))) AS k FROM sb)),
+  sq AS (SELECT s.track, s.idx, s.sub, f.tension, row_number() OVER w AS rn, count(*) OVER (PARTITION BY s.track, s.idx, s.sub) AS n FROM ss s JOIN ten f ON f.track = s.track AND f.t >= s.start_s AND f.t < s.end_s WINDOW w AS (PARTITION BY s.track, s.idx, s.sub ORDER BY f.frame_idx)),
+  se AS (SELECT track, idx, sub, avg(tension) AS m, avg(tension) FILTER (rn > n - greatest(1, n // 4)) - avg(tension) FILTER (rn <= greatest(1, n // 4)) AS d FROM sq GROUP BY ALL)"""
+
+
+@query("subsections", V.with_views(
+    "WITH sec AS (SELECT track, r.i::INTEGER AS idx, r.i * 60.0::DOUBLE AS start_s, r.i * 60.0::DOUBLE + 60 AS end_s FROM (SELECT DISTINCT track FROM frames), range(12) r(i)), " + _SUB + "\n"
+    "SELECT ss.track, ss.idx, ss.sub::INTEGER AS sub, ss.start_s, ss.end_s, CASE WHEN m IS NULL THEN 'mid' WHEN d > 0.12 THEN 'rising' WHEN d < -0.12 THEN 'falling' WHEN m < 0.35 THEN 'low' WHEN m > 0.65 THEN 'high' ELSE 'mid' END AS energy FROM ss LEFT JOIN se USING (track, idx, sub)", "frames", more=_TEN))
 def subsections(spark, sf):
     f = T.tension(V.frames(spark, sf))
     return ST.subsections(f, V.activity(f).select("track", "idx", "start_s", "end_s"))

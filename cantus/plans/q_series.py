@@ -34,9 +34,14 @@ _TEN = (
 )
 _DROPS = (
     _TEN
-    + ", pre AS (SELECT *, max(raw_tension) OVER w AS pre, max(rms01) OVER w AS loud FROM slo WINDOW w AS (PARTITION BY track ORDER BY frame_idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))"
+    + ", pre AS (SELECT *, max(smooth) OVER w AS pre, max(rms) OVER (PARTITION BY track) AS loud FROM slo WINDOW w AS (PARTITION BY track ORDER BY frame_idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))"
     + ", dr AS (SELECT track, frame_idx, t, slope, row_number() OVER (PARTITION BY track ORDER BY frame_idx)::INTEGER AS rank FROM pre WHERE slope < -0.65 AND pre >= 0.60 AND loud >= 0.05)"
 )
+_BUILD = (
+    _DROPS
+    + ", bu AS (SELECT d.track, d.t AS drop_t, min(CASE WHEN s.slope > 0.30 THEN s.t END) AS start_t, max(s.t) AS peak_t FROM dr d JOIN slo s ON s.track = d.track AND s.frame_idx < d.frame_idx AND s.t >= d.t - 20"
+    + " WHERE d.rank <= 25 GROUP BY d.track, d.t HAVING count(*) >= 3 AND min(CASE WHEN s.slope > 0.30 THEN s.t END) IS NOT NULL)"
+)
 
 
 @query("minmax_norm", V.with_views("SELECT track, frame_idx, round(rms01, 6) AS rms01, round(onset01, 6) AS onset01, round(cent01, 6) AS cent01 FROM n01", "frames", more=_N01))
@@ -76,17 +81,14 @@ def drops_topk(spark, sf):
 
 
 @query("buildups", V.with_views(
-    """SELECT d.track, d.t AS drop_t, min(s.t) AS start_t, max(s.t) AS peak_t FROM dr d JOIN slo s ON s.track = d.track AND s.slope > 0.30 AND s.t >= d.t - 20 AND s.t < d.t
-       WHERE d.rank <= 25 GROUP BY d.track, d.t""", "frames", more=_DROPS))
+    "SELECT track, drop_t, start_t, peak_t FROM bu", "frames", more=_BUILD))
 def buildups(spark, sf):
     return T.buildups(T.tension(V.frames(spark, sf)))
 
 
 @query("active_buildup", V.with_views(
-    """WITH bu AS (SELECT d.track, d.t AS drop_t, min(s.t) AS start_t, max(s.t) AS peak_t FROM dr d JOIN slo s ON s.track = d.track AND s.slope > 0.30 AND s.t >= d.t - 20 AND s.t < d.t
-        WHERE d.rank <= 25 GROUP BY d.track, d.t)
-       SELECT f.track, f.frame_idx, round(arg_min(CASE WHEN b.peak_t > b.start_t THEN (f.t - b.start_t) / (b.peak_t - b.start_t) ELSE 1 END, b.drop_t), 6) AS progress
-       FROM frames f JOIN bu b ON f.track = b.track AND f.t >= b.start_t AND f.t <= b.peak_t GROUP BY f.track, f.frame_idx""", "frames", more=_DROPS))
+    """SELECT f.track, f.frame_idx, round(arg_min(CASE WHEN b.peak_t > b.start_t THEN (f.t - b.start_t) / (b.peak_t - b.start_t) ELSE 1 END, b.drop_t), 6) AS progress
+       FROM frames f JOIN bu b ON f.track = b.track AND f.t >= b.start_t AND f.t <= b.peak_t GROUP BY f.track, f.frame_idx""", "frames", more=_BUILD))
 def active_buildup(spark, sf):
     """Progress within the first build-up that holds a frame, both ends included."""
     f = V.frames(spark, sf)
@@ -116,8 +118,8 @@ def median3(spark, sf):
 
 @query("valleys", V.with_views(
     """WITH d AS (SELECT *, tension - coalesce(lag(tension) OVER w, tension) AS d FROM ten WINDOW w AS (PARTITION BY track ORDER BY frame_idx)),
-       g AS (SELECT *, lag(d) OVER w AS prev, max(tension) OVER (PARTITION BY track ORDER BY frame_idx ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) AS l,
-       max(tension) OVER (PARTITION BY track ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING) AS r FROM d WINDOW w AS (PARTITION BY track ORDER BY frame_idx))
+       g AS (SELECT *, lag(d) OVER w AS prev, max(tension) OVER (PARTITION BY track ORDER BY frame_idx ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS l,
+       max(tension) OVER (PARTITION BY track ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING) AS r FROM d WINDOW w AS (PARTITION BY track ORDER BY frame_idx))
        SELECT track, frame_idx, t, round((l + r) / 2 - tension, 6) AS depth FROM g WHERE prev < 0 AND d >= 0""", "frames", more=_TEN))
 def valleys(spark, sf):
     return T.valleys(T.tension(V.frames(spark, sf)), "tension", 24).withColumn("depth", R("depth", 6))

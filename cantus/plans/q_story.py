@@ -40,24 +40,55 @@ def merge_notes(spark, sf):
     return m.select("track", *[F.round(c, 6).alias(c) for c in ("onset_s", "offset_s")], "midi", F.round("velocity", 6).alias("velocity"))
 
 
-@query("monophonic", None)
+_NG = "list_sort(list({'o': onset_s, 'i': note_id, 'e': offset_s, 'm': midi, 'v': velocity}))"
+_MONO = f"""mo AS (SELECT track, layer, unnest(list_reduce(list_prepend(NULL, list_transform({_NG}, lambda x: [x])), lambda a, b: CASE WHEN a IS NULL THEN b WHEN b[1].o >= a[-1].e THEN list_concat(a, b)
+  WHEN b[1].v > a[-1].v THEN list_concat(CASE WHEN round(b[1].o, 4) > a[-1].o THEN list_append(a[:-2], {{'o': a[-1].o, 'i': a[-1].i, 'e': round(b[1].o, 4), 'm': a[-1].m, 'v': a[-1].v}}) ELSE a[:-2] END, b) ELSE a END)) AS x FROM notes GROUP BY track, layer)"""
+
+
+def _octave_sql(best: str, keep: str) -> str:
+    """Pitches of a group folded from left to right; ``best``: candidates as a list of (c, k, m), ``keep``: when the best replaces ms[j]."""
+    move = f"list_transform([list_sort({best})[1]], lambda z: CASE WHEN {keep} THEN round(z.m, 2) ELSE ms[b.j] END)[1]"
+    return (
+        f"og AS (SELECT track, layer, {_NG} AS ns FROM notes GROUP BY track, layer), om AS (SELECT *, list_transform(ns, lambda x: x.m) AS ms FROM og), "
+        f"oc AS (SELECT track, layer, ns, list_reduce(list_prepend({{'j': 0, 'acc': CAST([] AS DOUBLE[])}}, list_transform(range(1, len(ms) + 1), lambda j: {{'j': j::INTEGER, 'acc': CAST([] AS DOUBLE[])}})), lambda a, b: {{'j': b.j, 'acc': list_append(a.acc, {move})}}).acc AS done FROM om)"
+    )
+
+
+def _shifts(cost: str, lo: int, hi: int) -> str:
+    at = lambda k, m: f"{{'c': CASE WHEN {k} = 0 OR {m} BETWEEN {lo} AND {hi} THEN {cost.format(m=m)} ELSE 1e300::DOUBLE END, 'k': {k}, 'm': {m}}}"
+    return f"[{at(0, 'ms[b.j]')}, {at(1, '(ms[b.j] - 12)')}, {at(2, '(ms[b.j] + 12)')}]"
+
+
+_NEAR = "list_sort(list_concat(a.acc[greatest(len(a.acc) - 4, 1):], ms[b.j + 1:b.j + 5]))"
+_MEDIAN = f"({_NEAR}[(len({_NEAR}) + 1) // 2] + {_NEAR}[len({_NEAR}) // 2 + 1]) / 2"
+_CONTEXT = _octave_sql(_shifts(f"abs({{m}} - {_MEDIAN})", 20, 80), f"len({_NEAR}) >= 2 AND z.k > 0 AND abs(ms[b.j] - {_MEDIAN}) - z.c >= 6")
+_SMOOTH = _octave_sql(_shifts("abs({m} - a.acc[-1]) + abs({m} - ms[b.j + 1])", 36, 96), "b.j > 1 AND b.j < len(ms) AND abs(ms[b.j] - a.acc[-1]) >= 10 AND abs(ms[b.j] - ms[b.j + 1]) >= 10 AND z.k > 0")
+_TWIN = "list_filter(range(1, len(ns) + 1), lambda j: j > b.i AND a.k[j] AND ns[j].o < ns[b.i].e AND round_even(ns[j].m, 0)::INTEGER % 12 = round_even(ns[b.i].m, 0)::INTEGER % 12 AND round_even(ns[j].m, 0) <> round_even(ns[b.i].m, 0))"
+_DEDUP = f"""ng AS (SELECT *, sum(nw) OVER (PARTITION BY track ORDER BY onset_s, note_id) AS isl FROM (SELECT *, CASE WHEN onset_s < max(offset_s) OVER (PARTITION BY track ORDER BY onset_s, note_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS nw FROM notes)),
+  nl AS (SELECT track, isl, {_NG} AS ns FROM ng GROUP BY track, isl),
+  nk AS (SELECT track, ns, list_reduce(list_prepend({{'i': 0::BIGINT, 'k': list_transform(ns, lambda x: true)}}, list_transform(range(1, len(ns) + 1), lambda i: {{'i': i, 'k': CAST([] AS BOOLEAN[])}})), lambda a, b: {{'i': b.i, 'k': CASE WHEN NOT a.k[b.i] THEN a.k ELSE
+    list_transform([{{'t': {_TWIN}, 'l': list_filter({_TWIN}, lambda j: ns[j].v > ns[b.i].v)[1]}}], lambda w: list_transform(a.k, lambda k, j: CASE WHEN j = b.i THEN w.l IS NULL WHEN list_contains(w.t, j) AND (w.l IS NULL OR j < w.l) THEN false ELSE k END))[1] END}}).k AS kept FROM nl)"""
+_PARTS = "x.i AS note_id, x.o AS onset_s, x.e AS offset_s, x.m AS midi, x.v AS velocity"
+
+
+@query("monophonic", V.with_views(f"SELECT track, layer, {_PARTS} FROM mo", "notes", more=_MONO))
 def monophonic(spark, sf):
     return N.monophonic(V.notes(spark, sf), ["track", "layer"])
 
 
-@query("octave_context", None)
+@query("octave_context", V.with_views("SELECT track, layer, x.i AS note_id, y AS midi FROM (SELECT track, layer, unnest(ns) AS x, unnest(done) AS y FROM oc)", "notes", more=_CONTEXT))
 def octave_context(spark, sf):
-    return N.octave_context(V.notes(spark, sf), ["track", "layer"])
+    return N.octave_context(V.notes(spark, sf), ["track", "layer"]).select("track", "layer", "note_id", "midi")
 
 
-@query("octave_smooth", None)
+@query("octave_smooth", V.with_views("SELECT track, layer, x.i AS note_id, y AS midi FROM (SELECT track, layer, unnest(ns) AS x, unnest(done) AS y FROM oc)", "notes", more=_SMOOTH))
 def octave_smooth(spark, sf):
-    return N.octave_smooth(V.notes(spark, sf), ["track", "layer"])
+    return N.octave_smooth(V.notes(spark, sf), ["track", "layer"]).select("track", "layer", "note_id", "midi")
 
 
-@query("octave_dedup", None)
+@query("octave_dedup", V.with_views(f"SELECT track, {_PARTS} FROM (SELECT track, unnest(ns) AS x, unnest(kept) AS k FROM nk) WHERE k", "notes", more=_DEDUP))
 def octave_dedup(spark, sf):
-    return N.octave_dedup(V.notes(spark, sf), ["track"])
+    return N.octave_dedup(V.notes(spark, sf), ["track"]).select("track", "note_id", "onset_s", "offset_s", "midi", "velocity")
 
 
 @query("vocal_chain", None)
@@ -117,7 +148,7 @@ def velocity_rescale(spark, sf):
     """WITH c AS (SELECT track, frame_idx, t, rms01 AS x, max(rms01) OVER (PARTITION BY track ORDER BY frame_idx ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) AS mx, avg(rms01) OVER (PARTITION BY track ORDER BY frame_idx ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING) AS av FROM n01),
        g AS (SELECT track, list_sort(list(frame_idx)) AS cs FROM c WHERE x = mx AND x >= av + 0.05 GROUP BY track),
        f AS (SELECT track, list_reduce(list_prepend(NULL, list_transform(cs, lambda x: [x])), lambda a, b: CASE WHEN a IS NULL THEN b WHEN b[1] > a[-1] + 5 THEN list_concat(a, b) ELSE a END) AS ks FROM g)
-       SELECT f.track, k.frame_idx, n.t, round(n.rms01, 6) AS value FROM f, LATERAL (SELECT unnest(ks) AS frame_idx) k JOIN n01 n ON n.track = f.track AND n.frame_idx = k.frame_idx""", "frames", more=_N01))
+       SELECT k.track, k.frame_idx, c.t, round(c.x, 6) AS value FROM (SELECT track, unnest(ks) AS frame_idx FROM f) k JOIN c USING (track, frame_idx)""", "frames", more=_N01))
 def peak_pick(spark, sf):
     f = V.frames(spark, sf).withColumn("rms01", T.minmax01(F.col("rms")))
     return H.pick_peaks(f, "rms01", H.Peaks()).withColumn("value", F.round("value", 6))
@@ -136,19 +167,56 @@ def band_class(spark, sf):
     return f.select("track", "frame_idx", S.band_of(*[T.minmax01(F.col(c)) for c in ("rms", "onset", "centroid")]).alias("component"))
 
 
-@query("valley_pick", None)
+_VALLEYS = (
+    _TEN
+    + """, vx AS (SELECT *, round(sum(tension) OVER (PARTITION BY track ORDER BY frame_idx ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING) / 24, 9) AS x FROM ten), vd AS (SELECT *, x - coalesce(lag(x) OVER w, x) AS d FROM vx WINDOW w AS (PARTITION BY track ORDER BY frame_idx)),
+  vp AS (SELECT *, lag(d) OVER w AS prev, max(x) OVER b AS back_max, avg(x) OVER b AS back_mean, max(x) OVER a AS ahead_max, avg(x) OVER a AS ahead_mean FROM vd WINDOW w AS (PARTITION BY track ORDER BY frame_idx),
+    b AS (PARTITION BY track ORDER BY frame_idx ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY track ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING)),
+  vv0 AS (SELECT *, round((back_max + ahead_max) / 2 - x, 9) AS depth, round(ahead_mean, 9) >= round(back_mean, 9) AS up, CASE WHEN round(ahead_mean, 9) >= round(back_mean, 9) THEN x + 0.4::DOUBLE * (ahead_max - x) ELSE x + 0.4::DOUBLE * (back_max - x) END AS thr FROM vp WHERE prev < 0 AND d >= 0),
+  vedge AS (SELECT v.track, v.frame_idx, v.t, v.depth, coalesce(CASE WHEN v.up THEN min(f.t) FILTER (f.frame_idx >= v.frame_idx AND f.frame_idx < v.frame_idx + 24 AND f.x >= v.thr) ELSE max(f.t) FILTER (f.frame_idx <= v.frame_idx AND f.x >= v.thr) END, v.t) AS edge_t
+    FROM vv0 v JOIN vx f ON f.track = v.track AND f.frame_idx BETWEEN v.frame_idx - 24 AND v.frame_idx + 23 GROUP BY v.track, v.frame_idx, v.t, v.depth, v.up),
+  dur AS (SELECT track, max(t) + 0.5::DOUBLE AS dur FROM frames GROUP BY track)"""
+)
+
+
+def _pick_sql(src: str, group: str, at: str, lo: str, hi: str, most: str, apart: float, where: str) -> str:
+    """Greedy choice of the deepest valleys as a list fold: group, ts."""
+    fit = f"len(coalesce(a, [])) < {most} AND b[1].t - {lo} >= {apart} AND {hi} - b[1].t >= {apart} AND len(list_filter(coalesce(a, []), lambda s: abs(s.t - b[1].t) < {apart})) = 0"
+    return (
+        f"SELECT {group}, {lo}, {hi}, list_transform(list_reduce(list_prepend(NULL, list_transform(vs, lambda x: [x])), lambda a, b: CASE WHEN {fit} THEN list_concat(coalesce(a, []), b) ELSE coalesce(a, []) END), lambda s: s.t) AS ts "
+        f"FROM (SELECT {group}, {lo}, {hi}, list_sort(list({{'d': -depth, 'i': frame_idx, 't': {at}}})) AS vs FROM {src} WHERE {where} GROUP BY {group}, {lo}, {hi})"
+    )
+
+
+def _duration(f):
+    return f.groupBy("track").agg((F.max("t") + 0.5).alias("duration"))
+
+
+@query("valley_pick", V.with_views(
+    "WITH src AS (SELECT v.*, 0.0::DOUBLE AS lo, dur AS hi FROM vedge v JOIN dur USING (track)), pk AS (" + _pick_sql("src", "track", "edge_t", "lo", "hi", "greatest(2, round_even(hi / 55.0, 0))", 12.0, "depth >= 0.05") + ")\n"
+    "SELECT dur.track, unnest(list_concat(list_concat([0.0::DOUBLE], list_sort(coalesce(ts, []))), [dur])) AS t FROM dur LEFT JOIN pk USING (track)", "frames", more=_VALLEYS))
 def valley_pick(spark, sf):
+    """Boundaries at the deepest valleys of the tension curve, with both ends."""
     f = T.tension(V.frames(spark, sf))
-    duration = f.groupBy("track").agg((F.max("t") + 0.5).alias("duration"))
-    return ST.pick_valleys(T.valleys(f, "tension", 24), duration)
+    return ST.valley_boundaries(f, _duration(f))
+
 
+_CLUSTER = """bc0 AS (SELECT track, t FROM slo WHERE abs(slope) > 0.5 UNION SELECT track, edge_t FROM vedge WHERE depth > 0.1), bc1 AS (SELECT bc0.track, bc0.t, dur FROM bc0 JOIN dur USING (track) WHERE t > 0 AND t < dur),
+  bc2 AS (SELECT *, sum(nw) OVER (PARTITION BY track ORDER BY t) AS c FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY track ORDER BY t) < 12 THEN 0 ELSE 1 END AS nw FROM bc1)),
+  bc3 AS (SELECT track, c, dur, list_sort(list(t)) AS ts, coalesce(lead(min(t)) OVER (PARTITION BY track ORDER BY c), dur) AS nx FROM bc2 GROUP BY track, c, dur),
+  bc4 AS (SELECT track, list_sort(list({'c': c, 'ts': ts, 'nx': nx, 'kept': [0.0::DOUBLE]})) AS cs FROM bc3 GROUP BY track),
+  bc5 AS (SELECT track, list_reduce(list_prepend({'c': 0, 'ts': [0.0::DOUBLE], 'nx': 0.0::DOUBLE, 'kept': [0.0::DOUBLE]}, cs), lambda a, b: {'c': b.c, 'ts': b.ts, 'nx': b.nx, 'kept': CASE WHEN list_max(list_transform(b.ts, lambda t: least(t - a.kept[-1], b.nx - t))) >= 12
+    THEN list_append(a.kept, list_filter(b.ts, lambda t: least(t - a.kept[-1], b.nx - t) = list_max(list_transform(b.ts, lambda u: least(u - a.kept[-1], b.nx - u))))[1]) ELSE a.kept END}).kept AS kept FROM bc4)"""
 
-@query("boundary_clusters", None)
+
+@query("boundary_clusters", V.with_views(
+    "SELECT dur.track, unnest(list_append(coalesce(kept, [0.0::DOUBLE]), dur)) AS t FROM dur LEFT JOIN bc5 USING (track)", "frames", more=_VALLEYS + ", " + _CLUSTER))
 def boundary_clusters(spark, sf):
-    """Steep frames and valleys as candidates, thinned."""
+    """Steep frames and valleys as candidates, thinned between both ends of the song."""
     f = T.slopes(T.tension(V.frames(spark, sf)))
     steep = f.filter(F.abs("slope") > 0.5).select("track", "t")
-    return ST.cluster_boundaries(steep.union(T.valleys(f, "tension", 24).filter("depth > 0.25").select("track", "t")).distinct(), 12.0)
+    v = ST.valley_candidates(f, "tension", 12.0, 12.0).filter("depth > 0.1").select("track", F.col("edge_t").alias("t"))
+    return ST.cluster_boundaries(steep.union(v), _duration(f), 12.0)
 
 
 def _sections(spark, sf):
@@ -179,8 +247,8 @@ def repetition(spark, sf):
 
 
 @query("motif_labels", V.with_views(
-    """WITH nr AS (SELECT track, list(i * 1000 + j) AS near FROM sim WHERE sim >= 0.6 GROUP BY track), g AS (SELECT track, list_sort(list(DISTINCT idx)) AS ids FROM vv GROUP BY track), h AS (SELECT g.track, ids, coalesce(near, []) AS near FROM g LEFT JOIN nr USING (track)),
-       f AS (SELECT track, list_reduce(list_prepend(NULL, list_transform(ids, lambda x: [{'i': x, 'l': x}])), lambda a, b: CASE WHEN a IS NULL THEN b ELSE list_append(a, {'i': b[1].i, 'l': coalesce(list_filter(a, lambda e: e.i = e.l AND list_contains(near, e.i * 1000 + b[1].i))[1].i, b[1].i)}) END) AS led FROM h),
+    """WITH nr AS (SELECT track, list({'i': i, 'j': j}) AS near FROM sim WHERE sim >= 0.6 GROUP BY track), g AS (SELECT track, list_sort(list(DISTINCT idx)) AS ids FROM vv GROUP BY track), h AS (SELECT g.track, ids, coalesce(near, []) AS near FROM g LEFT JOIN nr USING (track)),
+       f AS (SELECT track, list_reduce(list_prepend(NULL, list_transform(ids, lambda x: [{'i': x, 'l': x}])), lambda a, b: CASE WHEN a IS NULL THEN b ELSE list_append(a, {'i': b[1].i, 'l': coalesce(list_filter(a, lambda e: e.i = e.l AND list_contains(near, {'i': e.i, 'j': b[1].i}))[1].i, b[1].i)}) END) AS led FROM h),
        u AS (SELECT track, x.i AS idx, x.l AS leader FROM (SELECT track, unnest(led) AS x FROM f)) SELECT track, idx, chr((64 + dense_rank() OVER (PARTITION BY track ORDER BY leader))::INTEGER) AS label FROM u""", "beat_vectors", more=_SIM))
 def motif_labels(spark, sf):
     v = _vectors(spark, sf)
@@ -224,17 +292,26 @@ def role_scores(spark, sf):
     return ST.best_roles(_scored(spark, sf))
 
 
-@query("role_revision", None)
+_REVISED = """ro AS (SELECT rr.track, rr.idx, l, l[1].r AS r0, intensity_rank, start_s, end_s, row_number() OVER w AS pos, count(*) OVER (PARTITION BY track) AS n FROM rr JOIN (SELECT track, idx, intensity_rank, idx * 60.0::DOUBLE AS start_s, idx * 60.0::DOUBLE + 60 AS end_s FROM ff) USING (track, idx) WINDOW w AS (PARTITION BY track ORDER BY idx)),
+  r1 AS (SELECT *, CASE WHEN r0 = 'intro' AND pos > 2 THEN coalesce(list_filter(l, lambda x: x.r <> 'intro' AND x.s < 0)[1].r, 'valley') ELSE r0 END AS r1 FROM ro),
+  r2 AS (SELECT *, CASE WHEN r1 = 'outro' AND pos <= n - 2 THEN coalesce(list_filter(l, lambda x: x.r <> 'outro' AND x.s < 0)[1].r, 'valley') ELSE r1 END AS r2 FROM r1),
+  r3 AS (SELECT *, CASE WHEN r2 = 'build' AND NOT coalesce(lead(r2) OVER w = 'payoff', false) AND NOT coalesce(lead(r2, 2) OVER w = 'payoff', false) THEN coalesce(list_filter(l, lambda x: x.r <> 'build' AND x.s < 0)[1].r, 'valley') ELSE r2 END AS r3 FROM r2 WINDOW w AS (PARTITION BY track ORDER BY idx)),
+  r5 AS (SELECT *, CASE WHEN n >= 3 AND count(*) FILTER (r3 = 'payoff') OVER (PARTITION BY track) = 0 AND r3 NOT IN ('intro', 'outro') AND row_number() OVER (PARTITION BY track, r3 IN ('intro', 'outro') ORDER BY intensity_rank DESC, idx) = 1 THEN 'payoff' ELSE r3 END AS role FROM r3)"""
+
+
+@query("role_revision", V.with_views("SELECT track, idx, role FROM r5", "frames", more=_ROLE + ", " + _REVISED))
 def role_revision(spark, sf):
     s = _scored(spark, sf)
     return ST.revise_roles(s.join(ST.best_roles(s).select("track", "idx", "role"), ["track", "idx"]))
 
 
 @query("visual_behaviour", V.with_views(
-    """SELECT track, idx, CASE WHEN role = 'payoff' THEN CASE WHEN coalesce(sum(CASE WHEN role = 'payoff' THEN 1 ELSE 0 END) OVER (PARTITION BY track ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 THEN 'burst_again' ELSE 'burst' END
-       WHEN role = 'valley' THEN CASE WHEN idx * 2 < count(*) OVER (PARTITION BY track) THEN 'hold' ELSE 'settle' END WHEN role = 'intro' THEN 'emerge' WHEN role = 'build' THEN 'gather' WHEN role = 'contrast' THEN 'shift' ELSE 'fade' END AS behaviour FROM (SELECT track, idx, l[1].r AS role FROM rr)""", "frames", more=_ROLE))
+    """SELECT track, idx, CASE role WHEN 'intro' THEN 'establish_world' WHEN 'build' THEN 'build_tension' WHEN 'payoff' THEN CASE WHEN EXISTS (SELECT 1 FROM r5 e WHERE e.track = r5.track AND e.idx < r5.idx AND e.role = 'payoff') THEN 'sustain_euphoria' ELSE 'release_payoff' END
+       WHEN 'valley' THEN CASE WHEN (start_s + end_s) / 2 / (SELECT arg_max(end_s, idx) FROM r5 e WHERE e.track = r5.track) < 0.5 THEN 'develop_motion' ELSE 'strip_down' END WHEN 'contrast' THEN 'contrast_reset' ELSE 'close_out' END AS behaviour FROM r5""", "frames", more=_ROLE + ", " + _REVISED))
 def visual_behaviour(spark, sf):
-    return ST.visual_behaviour(ST.best_roles(_scored(spark, sf)))
+    s = _scored(spark, sf)
+    revised = ST.revise_roles(s.join(ST.best_roles(s).select("track", "idx", "role"), ["track", "idx"]))
+    return ST.visual_behaviour(s.select("track", "idx", "start_s", "end_s").join(revised, ["track", "idx"]))
 
 
 @query("merge_sections", V.with_views(
@@ -248,10 +325,14 @@ def merge_sections(spark, sf):
 
 
 @query("section_labels", V.with_views(
-    "SELECT track, idx, CASE WHEN n >= 26 THEN chr((65 + n // 26 - 1)::INTEGER) ELSE '' END || chr((65 + n % 26)::INTEGER) AS label, ((CASE WHEN n >= 26 THEN (n // 26) * 26 ELSE 0 END + n % 26) % 4)::INTEGER AS colour FROM (SELECT track, idx, idx * 5 AS n FROM activity)", "activity"))
+    """WITH n AS (SELECT track, idx, idx * 211 AS n FROM activity), d AS (SELECT *, CASE WHEN n >= 702 THEN chr((65 + (n - 702) // 676)::INTEGER) ELSE '' END || CASE WHEN n >= 26 THEN chr((65 + (n // 26 - 1) % 26)::INTEGER) ELSE '' END || chr((65 + n % 26)::INTEGER) AS label FROM n)
+       SELECT track, idx, label, ((n + 0) % 4)::INTEGER AS colour, ((dense_rank() OVER (PARTITION BY track ORDER BY first, kind) - 1) % 4)::INTEGER AS seen FROM (SELECT *, min(idx) OVER (PARTITION BY track, kind) AS first FROM (SELECT *, substr(label, -1) AS kind FROM d))""", "activity"))
 def section_labels(spark, sf):
-    a = V.activity(V.events(spark, sf)).withColumn("label", S.section_label(F.col("idx") * 5))
-    return a.select("track", "idx", "label", S.label_index(F.col("label"), 4).alias("colour"))
+    """Labels of one, two and three letters, their colours by value, and the colours of their last letters by first appearance."""
+    a = V.activity(V.events(spark, sf)).withColumn("label", S.section_label(F.col("idx") * 211)).withColumn("kind", F.right("label", F.lit(1)))
+    first = F.min("idx").over(Window.partitionBy("track", "kind"))
+    a = a.withColumn("first", first)
+    return a.select("track", "idx", "label", S.label_index(F.col("label"), 4).alias("colour"), S.first_seen_index(F.col("kind"), F.col("first"), Window.partitionBy("track"), 4).alias("seen"))
 
 
 @query("content_ids", "SELECT doc_id, substr(sha256(text), 1, 16) AS song_id FROM documents")
@@ -273,13 +354,18 @@ def cache_manifest(spark, sf):
     return files.stale(p.select("p_partkey", "p_brand"), done, ["p_partkey", "p_brand"])
 
 
-@query("tidy_plan", """SELECT url AS path, lower(split_part(url, '/', -1)) AS name, CASE WHEN starts_with(n, '.') OR n LIKE '%.tmp' OR n LIKE '%.part' THEN 'scratch' WHEN regexp_matches(n, '\\.(mp4|mid|wav|png)$') THEN 'export' ELSE 'keep' END AS action FROM (SELECT url, lower(split_part(url, '/', -1)) AS n FROM pages)""")
+@query("tidy_plan", """WITH n AS (SELECT page_id, url AS path, CASE page_id % 8 WHEN 0 THEN '.' || name WHEN 1 THEN substr(sha256(url), 1, 16) WHEN 2 THEN name || '.MP4' WHEN 3 THEN name || '.webm' WHEN 4 THEN name || '.wav' ELSE name END AS name, page_id % 8 IN (1, 5, 6) AS is_dir, page_id % 8 = 5 AS has_analysis
+       FROM (SELECT page_id, url, split_part(url, '/', -1) AS name FROM pages))
+       SELECT path, name, CASE WHEN starts_with(name, '.') THEN 'skip' WHEN is_dir THEN CASE WHEN has_analysis OR regexp_matches(name, '^[0-9a-f]{16}$') THEN 'legacy' ELSE 'skip' END WHEN regexp_matches(lower(name), '.\\.(mp4|mov|mkv|avi|webm)$') THEN 'export' ELSE 'scratch' END AS action FROM n""")
 def tidy_plan(spark, sf):
-    p = V.table(spark, sf, "pages").select(F.col("url").alias("path"), F.lower(F.element_at(F.split("url", "/"), -1)).alias("name"), F.lit(False).alias("is_dir"))
-    return files.tidy_plan(p)
+    """Pages as entries of an output folder: dot files, folders by content id, with or without an analysis, films and other files."""
+    k = F.col("page_id") % 8
+    name = F.element_at(F.split("url", "/"), -1)
+    named = F.when(k == 0, F.concat(F.lit("."), name)).when(k == 1, F.substring(F.sha2("url", 256), 1, 16)).when(k == 2, F.concat(name, F.lit(".MP4"))).when(k == 3, F.concat(name, F.lit(".webm"))).when(k == 4, F.concat(name, F.lit(".wav"))).otherwise(name)
+    return files.tidy_plan(V.table(spark, sf, "pages").select(F.col("url").alias("path"), named.alias("name"), k.isin(1, 5, 6).alias("is_dir"), (k == 5).alias("has_analysis")))
 
 
-@query("gm_components", "SELECT p_partkey, CASE WHEN n IN (35,36) THEN 'kick' WHEN n IN (38,40) THEN 'snare' WHEN n IN (42,44,46) THEN 'hh' WHEN n IN (41,43,45,47,48,50) THEN 'toms' WHEN n IN (51,53,59) THEN 'ride' WHEN n IN (49,55,57) THEN 'crash' ELSE 'kick' END AS component FROM (SELECT p_partkey, (30 + p_size % 32)::INTEGER AS n FROM part)")
+@query("gm_components", "SELECT p_partkey, CASE WHEN n IN (35,36) THEN 'kick' WHEN n IN (38,40) THEN 'snare' WHEN n IN (42,44,46) THEN 'hh' WHEN n IN (41,43,45,47,48) THEN 'toms' WHEN n IN (51,59) THEN 'ride' WHEN n IN (49,57) THEN 'crash' ELSE 'kick' END AS component FROM (SELECT p_partkey, (30 + p_size % 32)::INTEGER AS n FROM part)")
 def gm_components(spark, sf):
     return V.table(spark, sf, "part").select("p_partkey", files.gm_component((F.lit(30) + F.col("p_size") % 32).cast("int")).alias("component"))
 

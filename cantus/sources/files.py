@@ -29,6 +29,8 @@ def content_id(content: Column) -> Column:
     return F.substring(F.sha2(content, 256), 1, 16)
 
 
+# Extensions of films.
+FILMS = [".mp4", ".mov", ".mkv", ".avi", ".webm"]
 AUDIO = ["mp3", "wav", "flac", "ogg", "m4a", "aac"]
 
 
@@ -40,7 +42,7 @@ def scan(spark: SparkSession, path: str, extensions: list[str] | None = None) ->
 
 
 # Drum notes of the General MIDI map by component.
-GM_DRUMS = {35: "kick", 36: "kick", 38: "snare", 40: "snare", 42: "hh", 44: "hh", 46: "hh", 41: "toms", 43: "toms", 45: "toms", 47: "toms", 48: "toms", 50: "toms", 51: "ride", 53: "ride", 59: "ride", 49: "crash", 55: "crash", 57: "crash"}
+GM_DRUMS = {35: "kick", 36: "kick", 38: "snare", 40: "snare", 42: "hh", 44: "hh", 46: "hh", 41: "toms", 43: "toms", 45: "toms", 47: "toms", 48: "toms", 51: "ride", 59: "ride", 49: "crash", 57: "crash"}
 
 
 def gm_component(note: Column) -> Column:
@@ -80,9 +82,15 @@ def cache_compatible(version: Column, least: int, *equal: tuple[Column, Column])
 
 
 def tidy_plan(listing: DataFrame) -> DataFrame:
-    """What to do with each entry (path, name, is_dir) of an output folder: keep, legacy, export or scratch."""
-    n = F.lower("name")
-    kind = F.when(n.startswith(".") | n.endswith(".tmp") | n.endswith(".part"), "scratch").when(~F.col("is_dir") & n.rlike(r"\.(mp4|mid|wav|png)$"), "export").when(F.col("is_dir") & n.rlike(r"^[0-9a-f]{16}$"), "legacy").otherwise("keep")
+    """Where each entry (path, name, is_dir, has_analysis) of an output folder goes: skip (it stays), legacy, export or scratch.
+
+    Dot entries stay.  Folders are legacy if named by a content id or if they
+    hold an analysis file themselves (has_analysis), else they stay.  Films are
+    exports, all other files scratch.
+    """
+    old = F.col("name").rlike(r"^[0-9a-f]{16}$") | F.coalesce("has_analysis", F.lit(False))
+    film = F.lower(F.regexp_extract("name", r".(\.[^.]*)$", 1)).isin(FILMS)
+    kind = F.when(F.col("name").startswith("."), "skip").when(F.col("is_dir"), F.when(old, "legacy").otherwise("skip")).when(film, "export").otherwise("scratch")
     return listing.select("path", "name", kind.alias("action"))
 
 
