@@ -80,16 +80,36 @@ def rasterise(words: DataFrame, hz: float = 100.0) -> DataFrame:
     return words.filter(b >= a).select("song", F.explode(F.sequence(a, b)).alias("frame")).distinct()
 
 
-def word_activity(times: DataFrame, words: DataFrame) -> DataFrame:
-    """Which word sounds at each time (track, t), else the last that ended, and its confidence.
-
-    words: track, start_s, end_s, confidence with one word at a time.
+def lyric_activity(times: DataFrame, segments: DataFrame, words: DataFrame) -> DataFrame:
+    """What is sung at each time (track, t): first the segment, then the word within it.
+
+    segments: track, idx, text, start_s, end_s.  words: track, idx, word_idx,
+    word, start_s, end_s, confidence.  The first segment that holds t counts, in
+    it the first word that holds t, else the last word that has ended.  Adds
+    active_segment and active_word (empty if none), active_word_index (-1),
+    word_confidence and word_progress (0; 1 behind a word), word_active and
+    phrase_active.
     """
-    starts = as_of(times, words, "t", "start_s", "start_s")
-    w = words.select("track", "start_s", "end_s", "confidence").groupBy("track", "start_s").agg(F.max("end_s").alias("end_s"), F.max("confidence").alias("confidence"))
-    j = starts.join(w, ["track", "start_s"], "left")
-    on = F.coalesce(F.col("t") < F.col("end_s"), F.lit(False))
-    return j.select("track", "t", on.alias("word_active"), F.when(F.col("start_s").isNotNull(), F.col("confidence")).alias("confidence"))
+    from .joins import interval_join
+
+    inside = interval_join(times.select("track", "t").distinct(), segments.select("track", "idx", "text", "start_s", "end_s"), "t", 10.0)
+    first = inside.groupBy("track", "t").agg(F.min(F.struct("idx", "text")).alias("s")).select("track", "t", "s.idx", "s.text")
+    held = words.groupBy("track", "idx").agg(F.array_sort(F.collect_list(F.struct("word_idx", "word", "start_s", "end_s", "confidence"))).alias("ws"))
+    j = times.join(first, ["track", "t"], "left").join(held, ["track", "idx"], "left")
+    t = F.col("t")
+    now = F.get(F.filter("ws", lambda w: (w["start_s"] <= t) & (t < w["end_s"])), F.lit(0))
+    past = F.try_element_at(F.filter("ws", lambda w: w["end_s"] <= t), F.lit(-1))
+    j = j.withColumns({"now": now, "w": F.coalesce(now, past)})
+    part = (t - F.col("now.start_s")) / F.greatest(F.col("now.end_s") - F.col("now.start_s"), F.lit(1e-6))
+    out = j.select(
+        *times.columns,
+        F.coalesce("text", F.lit("")).alias("active_segment"),
+        F.coalesce("w.word", F.lit("")).alias("active_word"),
+        F.coalesce("w.word_idx", F.lit(-1)).alias("active_word_index"),
+        F.coalesce("w.confidence", F.lit(0.0)).alias("word_confidence"),
+        F.when(F.col("now").isNotNull(), part).when(F.col("w").isNotNull(), 1.0).otherwise(0.0).alias("word_progress"),
+    )
+    return out.withColumns({"word_active": F.col("active_word") != "", "phrase_active": F.col("active_segment") != ""})
 
 
 def snap_to_onsets(words: DataFrame, onsets: DataFrame, within: float = 0.20, lead_in: Column | float | None = None, least: float = 0.02, remain: float = 0.05) -> DataFrame:
@@ -233,27 +253,70 @@ def align_words(lines: DataFrame) -> DataFrame:
     return lines.select("song", "line_idx", "left", "right").mapInPandas(run, schema)
 
 
-def forced_map(words: list[str], heard: list[str], least: float = 0.6) -> list[int | None]:
-    """One cursor over the heard words that moves on only for a similar one."""
+def forced_partners(words: list[str], heard: list[str], least: float = 0.6) -> list[int | None]:
+    """For each word the heard word under a cursor, which moves on for a similar one only."""
     out: list[int | None] = []
     at = 0
     for w in words:
-        hit = next((k for k in range(at, len(heard)) if similarity(w, heard[k]) >= least), None)
-        out.append(hit)
-        if hit is not None:
-            at = hit + 1
+        hit = at < len(heard) and similarity(w, heard[at]) >= least
+        out.append(at if hit else None)
+        at += hit
     return out
 
 
-def choose_tier(tiers: DataFrame) -> DataFrame:
-    """Of several timings of a song (song, tier, priority, ...) the one of least priority number."""
-    w = Window.partitionBy("song").orderBy("priority", "tier")
-    return tiers.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
+def forced_alignment(lines: DataFrame, heard: DataFrame, least: float = 0.6) -> DataFrame:
+    """Words of lines with the times of a recogniser that was given their text.
+
+    lines: track, idx, text, start_s, end_s.  heard: track, pos, word, start_s,
+    end_s, confidence, in the order of pos.  One cursor a song runs over the
+    heard words.  Unmatched words share the room between their neighbours, or up
+    to the line's edge, with confidence 0.65.  Returns track, idx, word_idx,
+    word, start_s, end_s, confidence; a line without words gives no row.
+    """
+    words = lines.select("track", "idx", F.col("start_s").alias("line_start"), F.col("end_s").alias("line_end"), F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("word_idx", "word"))
+    text = words.groupBy("track").agg(F.array_sort(F.collect_list(F.struct("idx", "word_idx", token_norm(F.col("word")).alias("w")))).alias("ws"))
+    sound = heard.groupBy("track").agg(F.array_sort(F.collect_list(F.struct("pos", token_norm(F.col("word")).alias("w"), "start_s", "end_s", "confidence"))).alias("hs"))
+    kinds = {c: lines.schema[c].dataType.simpleString() for c in ("track", "idx")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for track, ws, hs in zip(b.column("track").to_pylist(), b.column("ws").to_pylist(), b.column("hs").to_pylist(), strict=True):
+                hs = hs or []
+                found = forced_partners([w["w"] for w in ws], [h["w"] for h in hs], least)
+                rows += [(track, w["idx"], w["word_idx"], hs[k]["start_s"], hs[k]["end_s"], hs[k]["confidence"]) for w, k in zip(ws, found, strict=True) if k is not None]
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            types = [b.schema.field("track").type, b.schema.field("ws").type.value_type.field("idx").type, pa.int32(), pa.float64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["track", "idx", "word_idx", "start_s", "end_s", "confidence"])
+
+    pairs = text.join(sound, "track", "left").select("track", "ws", "hs").mapInArrow(run, f"track {kinds['track']}, idx {kinds['idx']}, word_idx int, start_s double, end_s double, confidence double")
+    return fill_gaps(words.join(pairs, ["track", "idx", "word_idx"], "left"), ["track", "idx"], least=0.0)
+
+
+def fallback_chain(songs: DataFrame, tiers: list[tuple[str, DataFrame]]) -> DataFrame:
+    """The rows of each song's first tier that has any, with a column tier; one row with tier ``error`` for a song without.
+
+    songs: song.  tiers: (name, rows with a column song), best first, all of the
+    same columns.  A tier that failed for a song simply has no rows of it.
+    """
+    rows = None
+    for k, (name, df) in enumerate(tiers):
+        one = df.withColumns({"tier": F.lit(name), "__priority": F.lit(k)})
+        rows = one if rows is None else rows.unionByName(one)
+    best = F.min("__priority").over(Window.partitionBy("song"))
+    chosen = rows.withColumn("__best", best).filter("__priority = __best").drop("__priority", "__best")
+    return songs.select("song").distinct().join(chosen, "song", "left").withColumn("tier", F.coalesce("tier", F.lit("error")))
 
 
 def merge_statistics(words: DataFrame) -> DataFrame:
-    """Lines, words, matched words and their ratio, by song."""
-    return words.groupBy("song").agg(F.countDistinct("line_idx").alias("lines"), F.count("*").alias("words"), F.count_if(F.col("confidence") >= 1).alias("matched"), F.round(F.avg((F.col("confidence") >= 1).cast("double")), 4).alias("matched_ratio"))
+    """What came of merging, by song: lines_total, lines_with_coverage, lines_fallback, total_words, matched_words, interpolated_words, matched_word_ratio.
+
+    words: song, line_idx, matched (whether a heard word gave the times).  A
+    line without any matched word was timed in proportion.
+    """
+    line = words.groupBy("song", "line_idx").agg(F.count("*").alias("n"), F.count_if("matched").alias("m"))
+    g = line.groupBy("song").agg(F.count("*").alias("lines_total"), F.count_if(F.col("m") > 0).alias("lines_with_coverage"), F.count_if(F.col("m") == 0).alias("lines_fallback"), F.sum("n").alias("total_words"), F.sum("m").alias("matched_words"))
+    return g.withColumns({"interpolated_words": F.col("total_words") - F.col("matched_words"), "matched_word_ratio": F.round(ratio(F.col("matched_words").cast("double"), F.col("total_words")), 4)})
 
 
 def quality_flags(found: DataFrame) -> DataFrame:

@@ -14,6 +14,25 @@ from ..functions.scalars import pitch_class, ratio
 MAJOR, MINOR = [0, 2, 4, 5, 7, 9, 11], [0, 2, 3, 5, 7, 8, 10]
 
 
+# Seconds that a drum component sounds, and the least level of a hit.
+DRUM_SECONDS = {"kick": 0.060, "snare": 0.040, "toms": 0.050, "hh": 0.015, "ride": 0.025, "crash": 0.080}
+LEAST_HIT = 0.25
+
+
+def midi_events(notes: DataFrame) -> DataFrame:
+    """Adds start_s, end_s and a MIDI velocity of 1..127 in place of the level; notes without length are dropped.
+
+    notes: layer, component, onset_s, offset_s, velocity (0..1).  Drums sound as
+    long as their component does, unknown ones as long as a kick, and are at
+    least LEAST_HIT loud; their offset_s isn't read.
+    """
+    drums = F.col("layer") == "drums"
+    seconds = F.create_map(*[F.lit(x) for kv in DRUM_SECONDS.items() for x in kv])
+    end = F.when(drums, F.col("onset_s") + F.coalesce(seconds[F.col("component")], F.lit(DRUM_SECONDS["kick"]))).otherwise(F.col("offset_s"))
+    level = F.floor(F.when(drums, F.greatest("velocity", F.lit(LEAST_HIT))).otherwise(F.col("velocity")) * 127)
+    return notes.filter(end > F.col("onset_s")).withColumns({"start_s": F.col("onset_s"), "end_s": end, "velocity": F.greatest(F.lit(1), F.least(F.lit(127), level)).cast("int")})
+
+
 def estimate_key(hist: DataFrame) -> DataFrame:
     """Best diatonic template by Pearson correlation: track, root, mode, score.  hist: track, pc, share.
 
@@ -165,19 +184,29 @@ def rescale_velocity(notes: DataFrame, rms: str) -> DataFrame:
     return notes.join(p, "track").withColumn("velocity", F.when(F.col("p99") >= 1e-8, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ratio(F.col(rms), F.col("p99"))))).otherwise(F.col("velocity"))).drop("p99")
 
 
-def clean_vocals(notes: DataFrame) -> DataFrame:
-    """Monophonic, merged, then both octave corrections."""
+def _numbered(notes: DataFrame) -> DataFrame:
+    return notes.withColumn("note_id", F.row_number().over(Window.partitionBy("track").orderBy("onset_s", "midi")).cast("long"))
+
+
+def clean_vocals(notes: DataFrame, tracked: bool = False) -> DataFrame:
+    """Vocal notes merged, then both octave corrections within 36..96; first made monophonic unless they come from a pitch track."""
     keys = ["track"]
-    merged = merge_adjacent(monophonic(notes, keys), keys, 0.08).withColumn("note_id", F.row_number().over(Window.partitionBy("track").orderBy("onset_s")).cast("long"))
-    return octave_smooth(octave_context(merged, keys, 36, 96), keys)
+    single = notes if tracked else monophonic(notes, keys)
+    return octave_smooth(octave_context(_numbered(merge_adjacent(single, keys, 0.08)), keys, 36, 96), keys)
 
 
-def clean_bass(notes: DataFrame) -> DataFrame:
-    """Octave twins dropped, merged, register fixed, octave context, levels rescaled, gated and pruned; velocity stands for the level."""
+def clean_bass(notes: DataFrame, key: DataFrame | None = None, tracked: bool = False) -> DataFrame:
+    """Bass notes merged, register fixed, octave context, snapped to the key's scale if one is given, levels rescaled; velocity stands for the level.
+
+    Recognised notes lose octave twins first and are gated and pruned at the
+    end; notes of a pitch track (``tracked``) are merged over longer gaps instead.
+    """
     keys = ["track"]
-    merged = merge_adjacent(octave_dedup(notes, keys), keys, 0.10).withColumn("note_id", F.row_number().over(Window.partitionBy("track").orderBy("onset_s")).cast("long"))
-    fixed = octave_context(fix_register(merged, 34, 55), keys).withColumn("rms", F.col("velocity"))
-    return gate_and_prune(rescale_velocity(fixed, "rms"), "rms").drop("rms")
+    merged = merge_adjacent(notes, keys, 0.15) if tracked else merge_adjacent(octave_dedup(notes, keys), keys, 0.10)
+    fixed = octave_context(fix_register(_numbered(merged), 34, 55), keys)
+    fixed = (snap_to_scale(fixed, key) if key is not None else fixed).withColumn("rms", F.col("velocity"))
+    scaled = rescale_velocity(fixed, "rms")
+    return (scaled if tracked else gate_and_prune(scaled, "rms")).drop("rms")
 
 
 def from_pitch(frames: DataFrame, beats: DataFrame, hop_s: float = 0.5, min_frames: int = 3, max_gap: int = 3) -> DataFrame:

@@ -170,25 +170,37 @@ def history(x: Column, order: WindowSpec, size: int) -> Column:
     return F.collect_list(x).over(order.rowsBetween(-(size - 1), 0))
 
 
-def lag_correlation(a: DataFrame, b: DataFrame, max_lag: int) -> DataFrame:
-    """Best lag between two z-scored series (track, frame_idx, x): track, lag, corr, corr0.
+def lag_correlation(a: DataFrame, b: DataFrame, max_lag: int, smooth: int = 1) -> DataFrame:
+    """Best lag between two series (track, frame_idx, x), smoothed by a box and z-scored: track, lag, corr, corr0.
 
-    The lag side is exploded and joined on equal shifted frames.  Of equal
-    correlations lag 0 wins, then the lowest.
+    ``corr`` is the sum of a[i] * b[i + lag] over the number of frames; what
+    lies outside counts as zero.  Of equal correlations lag 0 wins, then the
+    lowest.  Both series meet in one row a frame, and each row sees the frames
+    around it by a window, so no series is copied for each lag.
     """
-    def z(df: DataFrame) -> DataFrame:
-        m, s = F.avg("x").over(whole()), F.stddev_pop("x").over(whole())
-        return df.select("track", "frame_idx", ratio(F.col("x") - m, s).alias("x"))
-
-    n = a.groupBy("track").agg(F.count("*").alias("n"))
-    moved = z(b).withColumn("lag", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag)))).select("track", (F.col("frame_idx") - F.col("lag")).alias("frame_idx"), "lag", F.col("x").alias("y"))
-    sums = z(a).join(moved, ["track", "frame_idx"]).groupBy("track", "lag").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    corr = sums.join(n, "track").withColumn("corr", F.round(F.col("dot") / F.col("n"), 9))
+    rows = a.select("track", "frame_idx", F.col("x").cast("double").alias("x"), F.lit(None).cast("double").alias("y")).union(b.select("track", "frame_idx", F.lit(None).cast("double"), F.col("x").cast("double")))
+    j = rows.groupBy("track", "frame_idx").agg(F.max("x").alias("x"), F.max("y").alias("y"))
+    flat = lambda c: box_smooth(F.coalesce(c, F.lit(0.0)), smooth) if smooth > 1 else F.coalesce(c, F.lit(0.0))
+    z = lambda c: (F.col(c) - F.avg(c).over(whole())) / F.greatest(F.stddev_pop(c).over(whole()), F.lit(1e-9))
+    j = j.withColumns({"x": flat("x"), "y": flat("y")}).withColumns({"x": z("x"), "y": z("y"), "n": F.count("*").over(whole())})
+    near = F.collect_list(F.struct((F.col("frame_idx")).alias("f"), "y")).over(by_track().rangeBetween(-max_lag, max_lag))
+    each = j.withColumn("near", near).select("track", "n", "x", "frame_idx", F.explode("near").alias("e"))
+    corr = each.groupBy("track", (F.col("e.f") - F.col("frame_idx")).cast("int").alias("lag")).agg(F.round(F.sum(F.col("x") * F.col("e.y")) / F.first("n"), 9).alias("corr"))
     best = Window.partitionBy("track").orderBy(F.desc("corr"), F.when(F.col("lag") == 0, 0).otherwise(1), "lag")
     zero = F.max(F.when(F.col("lag") == 0, F.col("corr"))).over(whole())
     return corr.withColumns({"corr0": zero, "r": F.row_number().over(best)}).filter("r = 1").select("track", "lag", "corr", "corr0")
 
 
+def voiced(f: DataFrame, level: str, flag: str, probability: str, least: float) -> DataFrame:
+    """Adds ``voiced``: loud enough against the track, flagged and probable enough; null counts as no.
+
+    Loud enough: 0.8 of the 25th percentile, 0.08 of the maximum and 1e-6.
+    """
+    g = percentile_of(f, level, {"__p25": 0.25})
+    floor = F.greatest(F.col("__p25") * 0.8, F.max(level).over(whole()) * 0.08, F.lit(1e-6))
+    return g.withColumn("voiced", F.coalesce((F.col(level) >= floor) & F.col(flag) & (F.col(probability) >= least), F.lit(False))).drop("__p25")
+
+
 def checkerboard_novelty(beats: DataFrame, half: int) -> DataFrame:
     """Novelty of a cosine self-similarity matrix without the matrix: track, beat_idx, novelty in 0..1.
 

@@ -292,3 +292,59 @@ def subsections(frames: DataFrame, sections: DataFrame, value: str = "tension",
     q = quarter_means(interval_join(frames.select("track", "frame_idx", "t", value), parts, "t", 30.0), value, ["track", "idx", "sub"], ["frame_idx"])
     word = energy_word(F.col("first_q"), F.col("last_q"), F.col("mean"))
     return parts.join(q, ["track", "idx", "sub"], "left").select("track", "idx", "sub", "start_s", "end_s", F.when(F.col("mean").isNull(), "mid").otherwise(word).alias("energy"))
+
+
+def frame_state(times: DataFrame, drops: DataFrame, buildups: DataFrame, boundaries: DataFrame, decay_s: float = 0.5) -> DataFrame:
+    """Adds drop, buildup and boundary, 0..1, to times (track, t, ..).
+
+    drop: exponential decay since the last drop (track, t).  buildup: how far the
+    first build-up (track, start_t, peak_t, drop_t) that holds t has come, both
+    ends included.  boundary: the pulse around the nearest begin of a section
+    (track, t) but the first.
+    """
+    from .joins import as_of
+    from .series import boundary_pulse
+
+    j = as_of(times, drops, "t", "t", "__drop")
+    j = j.withColumn("drop", F.coalesce(F.exp(-(F.col("t") - F.col("__drop")) / decay_s), F.lit(0.0))).drop("__drop")
+    j = boundary_pulse(j, boundaries.filter("t >= 1e-3"), "boundary", 0.6, 0.85)
+    spans = buildups.filter(F.col("peak_t") > F.col("start_t")).select("track", F.col("start_t").alias("__s"), (F.col("peak_t") + 1e-9).alias("__e"), F.col("peak_t").alias("__p"), "drop_t")
+    held = interval_join(j.select("track", "t").distinct(), spans, "t", 10.0, lo="__s", hi="__e")
+    part = held.groupBy("track", "t").agg(F.min_by((F.col("t") - F.col("__s")) / (F.col("__p") - F.col("__s")), "drop_t").alias("buildup"))
+    return j.join(part, ["track", "t"], "left").withColumn("buildup", F.coalesce("buildup", F.lit(0.0)))
+
+
+def mix_frame(state: DataFrame) -> DataFrame:
+    """What the picture of the whole mix is driven by, from loud, onset, tension, drop, buildup and boundary (all 0..1).
+
+    Adds story_mix (share of the section's gradient), brightness, grain, sway
+    (how far the centre moves), radius and orb_alpha of the pulse, and the number
+    of rays and their alpha.
+    """
+    power = lambda c, e: F.pow(F.col(c), F.lit(e))
+    return state.withColumns({
+        "story_mix": F.least(F.lit(0.85), F.greatest(F.lit(0.0), F.lit(0.15) + 0.55 * power("tension", 0.9))),
+        "brightness": F.lit(0.50) + 0.65 * power("loud", 0.6) + 0.12 * power("tension", 0.9),
+        "grain": 22.0 * F.col("onset") + 18.0 * F.col("tension") + 30.0 * F.col("boundary"),
+        "sway": F.lit(0.05) * (F.lit(0.3) + F.col("onset")),
+        "radius": F.lit(0.08) + 0.22 * power("loud", 0.8) + 0.10 * F.col("drop") + 0.06 * F.col("boundary") + 0.12 * F.col("buildup"),
+        "orb_alpha": F.least(F.lit(255), F.floor(F.lit(90) + 130 * F.col("loud") + 80 * F.col("drop"))).cast("int"),
+        "rays": F.floor(F.col("onset") * (F.lit(18) + 14 * F.col("buildup"))).cast("int"),
+        "ray_alpha": F.floor(F.lit(40) + 120 * F.col("onset")).cast("int"),
+    })
+
+
+def palette_blend(times: DataFrame, sections: DataFrame, crossfade_s: float = 1.5) -> DataFrame:
+    """Adds section, next_section and blend: in the last ``crossfade_s`` of a section the next one's colours come in by a smooth step.
+
+    times: track, t, ..  sections: track, idx, start_s, end_s.  Times outside all
+    sections belong to the last one before them, else to the first.
+    """
+    from .joins import as_of
+
+    begins = sections.select("track", F.col("start_s").alias("at"))
+    j = as_of(times, begins, "t", "at", "__s").join(sections.select("track", F.col("start_s").alias("__s"), "idx", "end_s"), ["track", "__s"], "left")
+    left = F.col("end_s") - F.col("t")
+    x = F.lit(1.0) - left / crossfade_s
+    blend = F.when((left > 0) & (left < crossfade_s), x * x * (F.lit(3.0) - 2.0 * x)).otherwise(0.0)
+    return j.withColumns({"section": F.coalesce("idx", F.lit(0)), "blend": blend}).withColumn("next_section", F.col("section") + 1).drop("__s", "idx", "end_s")

@@ -85,17 +85,20 @@ def word_raster(spark, sf):
     return L.rasterise(_words(spark, sf), 10.0).groupBy("song").agg(F.count("*").alias("frames"), F.min("frame").alias("first"), F.max("frame").alias("last"))
 
 
-def _timeline(words):
-    return words.groupBy("track").agg(F.max("end_s").alias("m")).withColumn("f", F.explode(F.sequence(F.lit(0), F.floor(F.col("m") * 2).cast("int")))).select("track", (F.col("f") * 0.5 + 0.001).alias("t"))
-
-
 @query("lyric_activity", V.with_views(
     """WITH tl AS (SELECT song AS track, f * 0.5::DOUBLE + 0.001::DOUBLE AS t FROM (SELECT song, unnest(range(0, floor(max(end_s) * 2)::BIGINT + 1)) AS f FROM words GROUP BY song)),
-       u AS (SELECT song AS track, start_s, max(end_s) AS end_s FROM words GROUP BY ALL)
-       SELECT tl.track, round(tl.t, 3) AS t, coalesce(tl.t < u.end_s, false) AS word_active, CASE WHEN u.start_s IS NOT NULL THEN 1.0::DOUBLE END AS confidence FROM tl ASOF LEFT JOIN u ON tl.track = u.track AND tl.t >= u.start_s""", "lines", more=_WORDS))
+       sg AS (SELECT tl.track, tl.t, l.line_idx, l.text FROM tl LEFT JOIN lines l ON l.song = tl.track AND tl.t >= l.start_s AND tl.t < l.end_s - 0.7::DOUBLE),
+       wi AS (SELECT sg.track, sg.t, sg.line_idx, any_value(sg.text) AS text, min(w.word_idx) FILTER (sg.t >= w.start_s + 0.1::DOUBLE AND sg.t < w.end_s) AS held, max(w.word_idx) FILTER (w.end_s <= sg.t) AS past FROM sg LEFT JOIN words w ON w.song = sg.track AND w.line_idx = sg.line_idx GROUP BY ALL)
+       SELECT wi.track, round(wi.t, 3) AS t, coalesce(w.word, '') AS active_word, coalesce(w.word_idx, -1)::INTEGER AS active_word_index, CASE WHEN w.word IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS word_confidence,
+         floor(CASE WHEN held IS NOT NULL THEN (wi.t - w.start_s - 0.1::DOUBLE) / greatest(w.end_s - w.start_s - 0.1::DOUBLE, 1e-6) WHEN past IS NOT NULL THEN 1 ELSE 0 END * 1000 + 1e-6) / 1000 AS word_progress, coalesce(w.word, '') <> '' AS word_active, coalesce(wi.text, '') <> '' AS phrase_active
+       FROM wi LEFT JOIN words w ON w.song = wi.track AND w.line_idx = wi.line_idx AND w.word_idx = coalesce(wi.held, wi.past)""", "lines", more=_WORDS))
 def lyric_activity(spark, sf):
-    w = _words(spark, sf).withColumnRenamed("song", "track")
-    return L.word_activity(_timeline(w), w).withColumn("t", F.round("t", 3))
+    """Every half second: lines end early and words begin late, so there are times between lines and between words."""
+    w = _words(spark, sf).select(F.col("song").alias("track"), F.col("line_idx").alias("idx"), "word_idx", "word", "start_s", "end_s", "confidence")
+    times = w.groupBy("track").agg(F.max("end_s").alias("m")).withColumn("f", F.explode(F.sequence(F.lit(0), F.floor(F.col("m") * 2).cast("int")))).select("track", (F.col("f") * 0.5 + 0.001).alias("t"))
+    lines = V.lyric_lines(spark, sf).select(F.col("song").alias("track"), F.col("line_idx").alias("idx"), "text", "start_s", (F.col("end_s") - 0.7).alias("end_s"))
+    out = L.lyric_activity(times, lines, w.withColumn("start_s", F.col("start_s") + 0.1))
+    return out.drop("active_segment").withColumns({"t": F.round("t", 3), "word_progress": F.floor(F.col("word_progress") * 1000 + 1e-6) / 1000.0})
 
 
 @query("gap_fill", V.with_views(
@@ -199,18 +202,33 @@ def sequence_alignment(spark, sf):
     return L.align_words(t.withColumn("right", F.transform(F.filter("left", lambda x, i: i % 5 != 2), lambda x, i: F.when(i % 7 == 3, F.concat(x, F.lit("s"))).otherwise(x))))
 
 
+@query("forced_alignment", None)
+def forced_alignment(spark, sf):
+    """Lines against their own words as a recogniser heard them: some lost, some with another ending."""
+    from pyspark.sql import Window
+
+    lines = V.lyric_lines(spark, sf).select(F.col("song").alias("track"), F.col("line_idx").alias("idx"), "text", "start_s", "end_s")
+    w = L.time_words(lines, ["track", "idx"])
+    word = F.when(F.col("word_idx") % 7 == 3, F.concat("word", F.lit("s"))).otherwise(F.col("word"))
+    pos = F.row_number().over(Window.partitionBy("track").orderBy("idx", "word_idx"))
+    return L.forced_alignment(lines, w.filter("word_idx % 5 <> 2").select("track", pos.alias("pos"), word.alias("word"), (F.col("start_s") + 0.02).alias("start_s"), (F.col("end_s") + 0.02).alias("end_s"), F.lit(0.9).alias("confidence")))
+
+
 @query("merge_stats", V.with_views(
-    "SELECT song, count(DISTINCT line_idx) AS lines, count(*) AS words, count(*) FILTER (word_idx % 4 NOT IN (1, 2)) AS matched, round(avg(CASE WHEN word_idx % 4 NOT IN (1, 2) THEN 1.0::DOUBLE ELSE 0 END), 4) AS matched_ratio FROM words GROUP BY song", "lines", more=_WORDS))
+    """SELECT song, count(DISTINCT line_idx) AS lines_total, count(DISTINCT line_idx) FILTER (m) AS lines_with_coverage, count(DISTINCT line_idx) - count(DISTINCT line_idx) FILTER (m) AS lines_fallback, count(*) AS total_words, count(*) FILTER (m) AS matched_words,
+       count(*) - count(*) FILTER (m) AS interpolated_words, round(count(*) FILTER (m) / count(*)::DOUBLE, 4) AS matched_word_ratio FROM (SELECT *, word_idx % 4 NOT IN (1, 2) AND line_idx % 6 <> 5 AS m FROM words) GROUP BY song""", "lines", more=_WORDS))
 def merge_stats(spark, sf):
-    return L.merge_statistics(_words(spark, sf).withColumn("confidence", F.when((F.col("word_idx") % 4).isin(1, 2), 0.65).otherwise(1.0)))
+    return L.merge_statistics(_words(spark, sf).withColumn("matched", ~(F.col("word_idx") % 4).isin(1, 2) & (F.col("line_idx") % 6 != 5)))
 
 
 @query("tier_choice", V.with_views(
-    """SELECT song, arg_min(tier, priority) AS tier, min(priority)::INTEGER AS priority FROM (SELECT DISTINCT song, unnest([{'tier': 'synced', 'priority': 1, 'ok': song % 3 = 0}, {'tier': 'merge', 'priority': 2, 'ok': song % 2 = 0}, {'tier': 'proportional', 'priority': 3, 'ok': true}], recursive := true) FROM lines) WHERE ok GROUP BY song""", "lines"))
+    """WITH t AS (SELECT song, line_idx, CASE WHEN song % 7 = 3 THEN NULL WHEN song % 3 = 0 THEN 'synced' WHEN song % 5 = 1 THEN 'forced' WHEN song % 2 = 0 THEN 'merge' ELSE 'proportional' END AS tier FROM lines)
+       SELECT song, line_idx, tier FROM t WHERE tier IS NOT NULL UNION ALL SELECT DISTINCT song, CAST(NULL AS INTEGER), 'error' FROM t WHERE tier IS NULL""", "lines"))
 def tier_choice(spark, sf):
-    s = V.lyric_lines(spark, sf).select("song").distinct()
-    tier = lambda name, p, ok: s.filter(ok).select("song", F.lit(name).alias("tier"), F.lit(p).alias("priority"))
-    return L.choose_tier(tier("synced", 1, F.col("song") % 3 == 0).union(tier("merge", 2, F.col("song") % 2 == 0)).union(tier("proportional", 3, F.lit(True))))
+    """Lines of each song by the first of four tiers that gave any; every seventh song has none."""
+    lines = V.lyric_lines(spark, sf).select("song", F.col("line_idx").cast("int").alias("line_idx"))
+    ok = lines.filter("song % 7 <> 3")
+    return L.fallback_chain(lines, [("synced", ok.filter("song % 3 = 0")), ("forced", ok.filter("song % 5 = 1")), ("merge", ok.filter("song % 2 = 0")), ("proportional", ok)])
 
 
 _FOUND = """found AS (SELECT song, CASE WHEN song % 7 <> 0 THEN round(avg(CASE WHEN (word_idx + song) % 10 < 3 + song % 7 THEN 1.0::DOUBLE ELSE 0 END), 4) END AS matched, CASE WHEN song % 7 <> 0 THEN count(DISTINCT line_idx) END AS lines_total,

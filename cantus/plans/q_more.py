@@ -97,9 +97,9 @@ _HITS += ", hx AS (SELECT *, round(least(1, level / quantile_cont(level, 0.99) O
        FROM (SELECT *, least(719, CASE WHEN t - floor(t) <= 0.5 THEN floor(t) ELSE floor(t) + 1 END) AS beat_idx FROM hx)""", "frames", more=_HITS))
 def drum_hits(spark, sf):
     """Hits of three components whose onset strengths are the frames' columns, with a silent and an unknown one beside them, and their beats."""
-    f = V.frames(spark, sf)
+    f = V.frames(spark, sf).withColumns({f"{c}01": T.minmax01(F.col(c)) for c in ("rms", "onset", "centroid")})
     parts = [("rms", "kick", 1.0), ("onset", "hh", 1.0), ("centroid", "crash", 1.0), ("rms", "toms", 0.0), ("rms", "cowbell", 1.0)]
-    stacked = F.explode(F.array(*[F.struct(F.lit(name).alias("component"), T.minmax01(F.col(c)).alias("strength"), (F.col("rms") * loud).alias("level")) for c, name, loud in parts]))
+    stacked = F.explode(F.array(*[F.struct(F.lit(name).alias("component"), F.col(f"{c}01").alias("strength"), (F.col("rms") * loud).alias("level")) for c, name, loud in parts]))
     each = f.select("track", "frame_idx", "t", stacked.alias("p")).select("track", "frame_idx", "t", "p.*")
     return J.beat_align(H.drum_hits(each), V.beats(f), "t").select("track", "frame_idx", "component", "velocity", "beat_idx", "beat_phase")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import joins as J
+from ..operators import notes as N
 from ..operators import series as T
 from . import views as V
 
@@ -227,34 +228,31 @@ def smooth_gate(spark, sf):
 @query("voiced_gate", V.with_views(
     """SELECT track, frame_idx, rms >= greatest(0.8 * quantile_cont(rms, 0.25) OVER (PARTITION BY track), 0.08 * max(rms) OVER (PARTITION BY track), 1e-6) AND onset > 5 AND centroid >= 0.02 AS voiced FROM frames""", "frames"))
 def voiced_gate(spark, sf):
-    """Loud enough against the track, flagged and probable enough; onset and centroid stand for flag and probability."""
-    f = T.percentile_of(V.frames(spark, sf), "rms", {"p25": 0.25})
-    floor = F.greatest(F.col("p25") * 0.8, F.max("rms").over(T.whole()) * 0.08, F.lit(1e-6))
-    return f.select("track", "frame_idx", ((F.col("rms") >= floor) & (F.col("onset") > 5) & (F.col("centroid") >= 0.02)).alias("voiced"))
+    """onset and centroid stand for the tracker's flag and probability."""
+    f = V.frames(spark, sf).withColumn("flag", F.col("onset") > 5)
+    return T.voiced(f, "rms", "flag", "centroid", 0.02).select("track", "frame_idx", "voiced")
 
 
 @query("midi_events", V.with_views(
-    """SELECT note_id, greatest(1, least(127, floor(CASE WHEN layer = 'drums' THEN greatest(v, 0.25) ELSE v END * 127)))::INTEGER AS velocity,
-       round(onset_s, 4) AS start_s, round(CASE WHEN layer = 'drums' THEN onset_s + 0.1 ELSE offset_s END, 4) AS end_s FROM (SELECT *, round(velocity, 4) AS v FROM notes)
-       WHERE CASE WHEN layer = 'drums' THEN 0.1 ELSE offset_s - onset_s END > 0""", "notes"))
+    """WITH e AS (SELECT note_id, layer, NULL AS component, onset_s AS s, offset_s AS e, round(velocity, 4) AS v FROM notes WHERE layer <> 'drums' UNION ALL
+         SELECT hit_id, 'drums', component, t, t + CASE component WHEN 'kick' THEN 0.06::DOUBLE WHEN 'snare' THEN 0.04 WHEN 'toms' THEN 0.05 WHEN 'hh' THEN 0.015 WHEN 'ride' THEN 0.025 ELSE 0.08 END, greatest(0.25, round(least(1, velocity / 100), 4)) FROM hits)
+       SELECT note_id, layer, greatest(1, least(127, floor(v * 127)))::INTEGER AS velocity, round(s, 4) AS start_s, round(e, 4) AS end_s FROM e WHERE e > s""", "notes", "hits"))
 def midi_events(spark, sf):
-    """Notes as MIDI events: velocity 1..127, drums with a floor and a fixed length, empty events dropped."""
-    drums, v = F.col("layer") == "drums", R("velocity", 4)
-    level = F.floor(F.when(drums, F.greatest(v, F.lit(0.25))).otherwise(v) * 127)
-    end = F.when(drums, F.col("onset_s") + 0.1).otherwise(F.col("offset_s"))
-    return V.notes(spark, sf).filter(end > F.col("onset_s")).select("note_id", F.greatest(F.lit(1), F.least(F.lit(127), level)).cast("int").alias("velocity"), R("onset_s", 4).alias("start_s"), R(end, 4).alias("end_s"))
+    """Notes and hits as MIDI events."""
+    n = V.notes(spark, sf).filter("layer <> 'drums'").select("note_id", "layer", F.lit(None).cast("string").alias("component"), "onset_s", "offset_s", R("velocity", 4).alias("velocity"))
+    h = V.hits(spark, sf).select(F.col("hit_id").alias("note_id"), F.lit("drums").alias("layer"), "component", F.col("t").alias("onset_s"), F.lit(None).cast("double").alias("offset_s"), R(F.least(F.lit(1.0), F.col("velocity") / 100), 4).alias("velocity"))
+    return N.midi_events(n.unionByName(h)).select("note_id", "layer", "velocity", R("start_s", 4).alias("start_s"), R("end_s", 4).alias("end_s"))
 
 
 @query("lag_correlation", V.with_views(
-    """WITH a AS (SELECT track, frame_idx, CASE WHEN stddev_pop(onset) OVER t > 0 THEN (onset - avg(onset) OVER t) / stddev_pop(onset) OVER t ELSE 0 END AS x FROM frames WINDOW t AS (PARTITION BY track)),
-       b AS (SELECT track, frame_idx, CASE WHEN stddev_pop(rms) OVER t > 0 THEN (rms - avg(rms) OVER t) / stddev_pop(rms) OVER t ELSE 0 END AS y FROM frames WINDOW t AS (PARTITION BY track)),
-       n AS (SELECT track, count(*) AS n FROM frames GROUP BY track),
-       c AS (SELECT a.track, l.lag::INTEGER AS lag, round(sum(x * y) / any_value(n.n), 9) AS corr FROM a JOIN range(-8, 9) l(lag) ON true JOIN b ON b.track = a.track AND b.frame_idx = a.frame_idx + l.lag JOIN n ON n.track = a.track GROUP BY a.track, l.lag)
+    """WITH s AS (SELECT track, frame_idx, sum(onset) OVER w / 9 AS x, sum(rms) OVER w / 9 AS y FROM frames WINDOW w AS (PARTITION BY track ORDER BY frame_idx ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)),
+       z AS (SELECT track, frame_idx, (x - avg(x) OVER t) / greatest(stddev_pop(x) OVER t, 1e-9) AS x, (y - avg(y) OVER t) / greatest(stddev_pop(y) OVER t, 1e-9) AS y, count(*) OVER t AS n FROM s WINDOW t AS (PARTITION BY track)),
+       c AS (SELECT a.track, (b.frame_idx - a.frame_idx)::INTEGER AS lag, round(sum(a.x * b.y) / any_value(a.n), 9) AS corr FROM z a JOIN z b ON b.track = a.track AND b.frame_idx BETWEEN a.frame_idx - 80 AND a.frame_idx + 80 GROUP BY 1, 2)
        SELECT track, lag, round(corr, 6) AS corr, round(corr0, 6) AS corr0 FROM (SELECT *, max(CASE WHEN lag = 0 THEN corr END) OVER (PARTITION BY track) AS corr0,
        row_number() OVER (PARTITION BY track ORDER BY corr DESC, CASE WHEN lag = 0 THEN 0 ELSE 1 END, lag) AS r FROM c) WHERE r = 1""", "frames"))
 def lag_correlation(spark, sf):
     f = V.frames(spark, sf)
-    out = T.lag_correlation(f.select("track", "frame_idx", F.col("onset").alias("x")), f.select("track", "frame_idx", F.col("rms").alias("x")), 8)
+    out = T.lag_correlation(f.select("track", "frame_idx", F.col("onset").alias("x")), f.select("track", "frame_idx", F.col("rms").alias("x")), 80, 9)
     return out.select("track", "lag", R("corr", 6).alias("corr"), R("corr0", 6).alias("corr0"))
 
 

@@ -14,7 +14,7 @@ from ..operators import story as ST
 from ..sources import files
 from ..streaming import live
 from . import views as V
-from .q_series import _N01, _TEN
+from .q_series import _BUILD, _N01, _TEN
 
 QUERIES: dict[str, tuple] = {}
 
@@ -98,7 +98,17 @@ def vocal_chain(spark, sf):
 
 @query("bass_chain", None)
 def bass_chain(spark, sf):
-    return N.clean_bass(V.notes(spark, sf).filter("layer = 'bass'"))
+    n = V.notes(spark, sf)
+    return N.clean_bass(n.filter("layer = 'bass'"), N.estimate_key(E.pc_histogram(n, ["track"])))
+
+
+@query("tracked_chains", None)
+def tracked_chains(spark, sf):
+    """Vocals and bass from a stand-in pitch track with gaps."""
+    f = V.frames(spark, sf).withColumn("midi", F.when(F.col("centroid") > 0.01, F.lit(40.0) + F.floor(F.col("onset") / 10)))
+    raw = N.from_pitch(f, V.beats(f)).withColumn("note_id", F.row_number().over(Window.partitionBy("track").orderBy("onset_s")).cast("long"))
+    raw = raw.select("track", "note_id", "onset_s", "offset_s", "midi", "velocity")
+    return N.clean_vocals(raw, True).withColumn("layer", F.lit("vocals")).unionByName(N.clean_bass(raw, tracked=True).withColumn("layer", F.lit("bass")))
 
 
 _KEY = """hist AS (SELECT s.track, s.pc, coalesce(c.n, 0) / sum(coalesce(c.n, 0)) OVER (PARTITION BY s.track)::DOUBLE AS share FROM (SELECT DISTINCT track, pc::INTEGER AS pc FROM notes, range(12) r(pc)) s
@@ -370,14 +380,43 @@ def gm_components(spark, sf):
     return V.table(spark, sf, "part").select("p_partkey", files.gm_component((F.lit(30) + F.col("p_size") % 32).cast("int")).alias("component"))
 
 
+_STATE = (
+    _BUILD
+    + """, fs0 AS (SELECT f.track, f.frame_idx, f.t, f.rms01, f.onset01, f.tension, coalesce(exp(-(f.t - d.t) / 0.5::DOUBLE), 0) AS dp FROM ten f ASOF LEFT JOIN (SELECT track, t FROM dr WHERE rank <= 25) d ON d.track = f.track AND f.t >= d.t),
+  fb AS (SELECT f.track, f.frame_idx, arg_min((f.t - b.start_t) / (b.peak_t - b.start_t), b.drop_t) AS bu FROM frames f JOIN bu b ON f.track = b.track AND f.t >= b.start_t AND f.t <= b.peak_t AND b.peak_t > b.start_t GROUP BY ALL),
+  fs AS (SELECT fs0.*, coalesce(bu, 0) AS bu, CASE WHEN t >= 30 AND abs(t - round(t / 60) * 60) < 0.6 THEN 0.425::DOUBLE * (1 + cos(pi() * abs(t - round(t / 60) * 60) / 0.6::DOUBLE)) ELSE 0 END AS bd FROM fs0 LEFT JOIN fb USING (track, frame_idx))"""
+)
+
+
 @query("timeline_signals", V.with_views(
-    """SELECT track, frame_idx, round(least(0.85, greatest(0, 0.15::DOUBLE + 0.55::DOUBLE * pow(tension, 0.9::DOUBLE))), 6) AS story_mix, round(0.5::DOUBLE + 0.65::DOUBLE * pow(rms01, 0.6::DOUBLE) + 0.12::DOUBLE * pow(tension, 0.9::DOUBLE), 6) AS brightness, round(0.08::DOUBLE + 0.22::DOUBLE * pow(rms01, 0.8::DOUBLE), 6) AS radius FROM ten""", "frames", more=_TEN))
+    """SELECT track, frame_idx, round(dp, 6) AS "drop", round(bu, 6) AS buildup, round(bd, 6) AS boundary, round(least(0.85, greatest(0, 0.15::DOUBLE + 0.55::DOUBLE * pow(tension, 0.9::DOUBLE))), 6) AS story_mix, round(0.5::DOUBLE + 0.65::DOUBLE * pow(rms01, 0.6::DOUBLE) + 0.12::DOUBLE * pow(tension, 0.9::DOUBLE), 6) AS brightness,
+       round(22::DOUBLE * onset01 + 18::DOUBLE * tension + 30::DOUBLE * bd, 6) AS grain, round(0.08::DOUBLE + 0.22::DOUBLE * pow(rms01, 0.8::DOUBLE) + 0.1::DOUBLE * dp + 0.06::DOUBLE * bd + 0.12::DOUBLE * bu, 6) AS radius FROM fs""", "frames", more=_STATE))
 def timeline_signals(spark, sf):
-    """What a frame of the picture would be driven by: story mix, brightness and radius."""
+    """What each frame of the picture is driven by, with sections of a minute."""
     f = T.tension(V.frames(spark, sf))
-    p = lambda c, e: F.pow(F.col(c), F.lit(e))
-    mix = F.least(F.lit(0.85), F.greatest(F.lit(0.0), F.lit(0.15) + 0.55 * p("tension", 0.9)))
-    return f.select("track", "frame_idx", F.round(mix, 6).alias("story_mix"), F.round(F.lit(0.5) + 0.65 * p("rms01", 0.6) + 0.12 * p("tension", 0.9), 6).alias("brightness"), F.round(F.lit(0.08) + 0.22 * p("rms01", 0.8), 6).alias("radius"))
+    at = f.groupBy("track").agg(F.max("t").alias("m")).select("track", F.explode(F.sequence(F.lit(0), F.floor(F.col("m") / 60).cast("int") + 1)).alias("k")).select("track", (F.col("k") * 60.0).alias("t"))
+    times = f.select("track", "frame_idx", "t", F.col("rms01").alias("loud"), F.col("onset01").alias("onset"), "tension")
+    state = ST.frame_state(times, T.drops(f).select("track", "t"), T.buildups(f), at)
+    return ST.mix_frame(state).select("track", "frame_idx", *[F.round(c, 6).alias(c) for c in ("drop", "buildup", "boundary", "story_mix", "brightness", "grain", "radius")])
+
+
+@query("palette_blend", V.with_views(
+    """SELECT track, frame_idx, floor(t / 60)::INTEGER AS section, floor(t / 60)::INTEGER + 1 AS next_section, round(CASE WHEN 60 - t + floor(t / 60) * 60 < 1.5 THEN x * x * (3 - 2 * x) ELSE 0 END, 6) AS blend FROM (SELECT *, 1 - (60 - t + floor(t / 60) * 60) / 1.5::DOUBLE AS x FROM frames)""", "frames"))
+def palette_blend(spark, sf):
+    f, sections = _sections(spark, sf)
+    return ST.palette_blend(f.select("track", "frame_idx", "t"), sections).select("track", "frame_idx", "section", "next_section", F.round("blend", 6).alias("blend"))
+
+
+@query("tap_capture", V.with_views(
+    """WITH k AS (SELECT track, onset_s - 20 AS t, event_id, CASE WHEN event_type IN ('click', 'view') THEN ' ' WHEN event_type = 'error' THEN 'q' ELSE 'x' END AS key FROM ev), c AS (SELECT *, max(key = 'q') OVER (PARTITION BY track ORDER BY t, event_id) AS quit FROM k WHERE t >= 0 AND t < 600 - track % 7),
+       r AS (SELECT track, row_number() OVER (PARTITION BY track ORDER BY t, event_id) AS i, t FROM c WHERE NOT quit AND key = ' ') SELECT track, i::INTEGER AS i, floor((t + 0.05) * 1000 + 1e-6) / 1000 AS t FROM r WHERE i <= 3 + track % 5""", "ev"))
+def tap_capture(spark, sf):
+    """Events as keys pressed while a song plays from second 20 on; some songs are quit early, some have few words."""
+    e = V.events(spark, sf)
+    key = F.when(F.col("event_type").isin("click", "view"), " ").when(F.col("event_type") == "error", "q").otherwise("x")
+    keys = e.select("track", "event_id", (F.col("onset_s") - 20).alias("t"), key.alias("key"))
+    songs = e.select("track").distinct().select("track", (F.lit(3) + F.col("track") % 5).alias("n_words"), (F.lit(600.0) - F.col("track") % 7).alias("duration_s"))
+    return live.capture_taps(keys, songs, 0.05).select("track", "i", (F.floor(F.col("t") * 1000 + 1e-6) / 1000.0).alias("t"))
 
 
 @query("stream_tumbling", "SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -53,6 +53,42 @@ def decay(events: DataFrame, seconds: float = 43200.0) -> DataFrame:
     return rows.groupBy("track").applyInPandasWithState(run, schema, "last long", "append", GroupStateTimeout.NoTimeout)
 
 
+def capture_taps(keys: DataFrame, songs: DataFrame, offset: float = 0.0) -> DataFrame:
+    """Taps of each song's session: track, i (from 1), t with ``offset`` added.
+
+    keys: track, event_id, t (seconds since the song began to play), key.  songs:
+    track, n_words, duration_s.  A space is a tap; ``q`` ends the session, as do
+    the song's end and a tap for each of its words.  Other keys do nothing.
+    """
+    order = Window.partitionBy("track").orderBy("t", "event_id")
+    k = keys.join(songs, "track").filter((F.col("t") >= 0) & (F.col("t") < F.col("duration_s")))
+    k = k.withColumn("quit", F.max((F.col("key") == "q").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    taps = k.filter("quit = 0 AND key = ' '").withColumn("i", F.row_number().over(order)).filter(F.col("i") <= F.col("n_words"))
+    return taps.select("track", "i", (F.col("t") + offset).alias("t"))
+
+
+def tap_stream(keys: DataFrame, songs: DataFrame, offset: float = 0.0) -> DataFrame:
+    """capture_taps over a stream of keys: a tap is emitted in the batch in which it comes.
+
+    State is how many taps a session has and whether it has ended; keys of a
+    batch are taken in the order of t.
+    """
+    kind = keys.schema["track"].dataType.simpleString()
+
+    def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, ended = state.get if state.exists else (0, False)
+        rows, out = pd.concat(list(batches)).sort_values(["t", "event_id"]), []
+        for t, pressed, words, duration in rows[["t", "key", "n_words", "duration_s"]].itertuples(index=False):
+            ended = ended or pressed == "q" or n >= words or t >= duration
+            if not ended and t >= 0 and pressed == " ":
+                n += 1
+                out.append((key[0], n, t + offset))
+        state.update((n, bool(ended)))
+        yield pd.DataFrame(out, columns=["track", "i", "t"])
+
+    return keys.join(songs, "track").groupBy("track").applyInPandasWithState(run, f"track {kind}, i int, t double", "n int, ended boolean", "append", GroupStateTimeout.NoTimeout)
+
+
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is available and returns its result as a table of the session; for tests and small results."""
     spark = stream.sparkSession

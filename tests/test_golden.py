@@ -208,7 +208,8 @@ def test_spelling_variant():
     assert L.align_lists(["my", "colour", "is"], ["my", "color", "is"]) == [0, 1, 2]
     assert L.align_lists(["my", "house"], ["my", "zebra"]) == [0, None]
     assert L.similarity("", "a") == 0 and L.similarity("a", "a") == 1
-    assert L.forced_map(["hello", "xx", "world"], ["helo", "wrld"]) == [0, None, 1]
+    assert L.forced_partners(["hello", "xx", "world"], ["helo", "wrld"]) == [0, None, 1]
+    assert L.forced_partners(["a1", "b1"], ["zz", "a1", "b1"]) == [None, None]  # the cursor waits for its word
 
 
 def test_correction_quality(spark):
@@ -254,9 +255,64 @@ def test_line_merge_falls_back_to_proportional_times(spark):
     assert got[1, 0][0] == 10.0 and got[1, 1][2] == 0.65 and got[1, 1][1] <= 12.0
 
 
-def test_tiers(spark):
-    df = spark.createDataFrame([(1, "merge", 2), (1, "synced", 1), (2, "proportional", 3)], "song long, tier string, priority int")
-    assert sorted((r["song"], r["tier"]) for r in L.choose_tier(df).collect()) == [(1, "synced"), (2, "proportional")]
+def test_fallback_chain(spark):
+    make = lambda rows: spark.createDataFrame(rows, "song long, word string")
+    songs = spark.createDataFrame([(1,), (2,), (3,), (3,)], "song long")
+    got = L.fallback_chain(songs, [("synced", make([(1, "a"), (1, "b")])), ("merge", make([(1, "c"), (2, "d")])), ("proportional", make([(2, "e"), (4, "f")]))])
+    assert sorted((r["song"], r["tier"], r["word"] or "") for r in got.select("song", "tier", "word").collect()) == [(1, "synced", "a"), (1, "synced", "b"), (2, "merge", "d"), (3, "error", "")]
+
+
+def test_forced_alignment(spark):
+    lines = spark.createDataFrame([(1, 0, "one two three", 0.0, 9.0), (1, 1, "four", 10.0, 12.0), (2, 0, "none heard", 0.0, 4.0), (3, 0, "  ", 0.0, 1.0)], "track long, idx int, text string, start_s double, end_s double")
+    heard = spark.createDataFrame([(1, 1, "One", 1.0, 2.0, 0.8), (1, 2, "threes", 5.0, 6.0, 0.7), (1, 3, "four!", 10.5, 11.0, 0.9)], "track long, pos int, word string, start_s double, end_s double, confidence double")
+    got = {(r["track"], r["word"]): (r["start_s"], r["end_s"], r["confidence"]) for r in L.forced_alignment(lines, heard).collect()}
+    assert got == {(1, "one"): (1.0, 2.0, 0.8), (1, "two"): (2.0, 5.0, 0.65), (1, "three"): (5.0, 6.0, 0.7), (1, "four"): (10.5, 11.0, 0.9), (2, "none"): (0.0, pytest.approx(4 * 4 / 9 * 0.95, abs=1e-5), 0.65), (2, "heard"): (pytest.approx(16 / 9, abs=1e-5), 4.0, 0.65)}
+    assert L.forced_alignment(lines.limit(0), heard).count() == 0
+
+
+def test_lyric_activity(spark):
+    seg = spark.createDataFrame([(1, 0, "ab cd", 0.0, 4.0), (1, 1, "ef", 3.0, 8.0)], "track long, idx int, text string, start_s double, end_s double")
+    words = spark.createDataFrame([(1, 0, 0, "ab", 1.0, 2.0, 0.5), (1, 0, 1, "cd", 2.5, 3.0, 0.7), (1, 1, 0, "ef", 3.0, 5.0, 0.9)], "track long, idx int, word_idx int, word string, start_s double, end_s double, confidence double")
+    times = spark.createDataFrame([(1, t) for t in (0.5, 1.5, 2.2, 3.5, 4.0, 9.0, 9.0)], "track long, t double")
+    got = [tuple(r) for r in L.lyric_activity(times, seg, words).orderBy("t").select("active_segment", "active_word", "active_word_index", "word_confidence", "word_progress", "word_active", "phrase_active").collect()]
+    none = ("", "", -1, 0.0, 0.0, False, False)
+    assert got == [("ab cd", "", -1, 0.0, 0.0, False, True), ("ab cd", "ab", 0, 0.5, 0.5, True, True), ("ab cd", "ab", 0, 0.5, 1.0, True, True), ("ab cd", "cd", 1, 0.7, 1.0, True, True), ("ef", "ef", 0, 0.9, 0.5, True, True), none, none]
+
+
+def test_lag_correlation(spark):
+    x = [0.0] * 60
+    x[20], x[40] = 1.0, 2.0
+    make = lambda v: spark.createDataFrame([(1, i, y) for i, y in enumerate(v)], "track long, frame_idx int, x double")
+    assert T.lag_correlation(make(x), make(x[-7:] + x[:-7]), 20).first()["lag"] == 7
+    assert T.lag_correlation(make(x), make(x), 20, 9).first()["lag"] == 0
+    flat = T.lag_correlation(make([1.0] * 30), make(x[:30]), 5).first()
+    assert (flat["lag"], flat["corr"], flat["corr0"]) == (0, 0.0, 0.0)
+
+
+def test_midi_events_and_voiced(spark):
+    df = spark.createDataFrame([("vocals", None, 1.0, 1.0, 0.5), ("bass", None, 1.0, 2.0, 2.0), ("drums", "crash", 1.0, None, 0.1), ("drums", "gong", 1.0, None, 0.5), ("bass", None, 3.0, 4.0, 0.0)], "layer string, component string, onset_s double, offset_s double, velocity double")
+    got = sorted((r["layer"], r["velocity"], round(r["end_s"] - r["start_s"], 3)) for r in N.midi_events(df).collect())
+    assert got == [("bass", 1, 1.0), ("bass", 127, 1.0), ("drums", 31, 0.08), ("drums", 63, 0.06)]
+    f = spark.createDataFrame([(1, i, v, fl, p) for i, (v, fl, p) in enumerate([(1.0, True, 0.9), (0.05, True, 0.9), (1.0, None, 0.9), (1.0, True, 0.1), (0.9, True, 0.8)])], "track long, frame_idx int, rms double, flag boolean, prob double")
+    assert [r["voiced"] for r in T.voiced(f, "rms", "flag", "prob", 0.8).orderBy("frame_idx").collect()] == [True, False, False, False, True]
+
+
+def test_measured_metrics(spark):
+    cols = ["activity_checked", "pitch_class_checked", "register_checked", "range_checked", "ref_note_count"]
+    names = [m for ms in E.MEASURED.values() for m in ms]
+    df = spark.createDataFrame([(1, "bass", None, 1, 0, 1, 1, None, *[0.5] * len(names))], "song int, layer string, error string, " + ", ".join(f"{c} int" for c in cols) + ", " + ", ".join(f"{m} double" for m in names))
+    assert sorted(r["metric"] for r in E.measured_metrics(df).collect()) == ["activity_f1", "below_range_pct", "in_range_pct", "silent_fp_rate"]
+
+
+def test_mix_frame_and_blend(spark):
+    st = spark.createDataFrame([(1, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0), (2, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)], "track int, loud double, onset double, tension double, drop double, buildup double, boundary double")
+    a, b = ST.mix_frame(st).orderBy("track").collect()
+    assert (round(a["story_mix"], 6), round(a["radius"], 6), a["orb_alpha"], a["rays"], a["grain"], a["ray_alpha"]) == (0.7, 0.58, 255, 32, 70.0, 160)
+    assert (b["story_mix"], b["brightness"], b["radius"], b["orb_alpha"], b["rays"]) == (0.15, 0.5, 0.08, 90, 0)
+    sec = spark.createDataFrame([(1, 0, 0.0, 10.0), (1, 1, 10.0, 20.0)], "track long, idx int, start_s double, end_s double")
+    t = spark.createDataFrame([(1, x) for x in (5.0, 9.25, 10.0, 25.0)], "track long, t double")
+    assert [(r["section"], r["blend"]) for r in ST.palette_blend(t, sec).orderBy("t").collect()] == [(0, 0.0), (0, 0.5), (1, 0.0), (1, 0.0)]
+
 
 
 def test_compare_directions(spark):

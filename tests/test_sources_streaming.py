@@ -72,3 +72,18 @@ def test_stream_decay_equals_as_of(spark):
         want = 0.0 if last is None else math.exp(-(r["us"] - last) / 1e6 / 43200)
         assert abs(got[r["event_id"]] - want) < 2e-6
     assert len(got) == len(rows)
+
+
+def test_tap_stream_equals_batch(spark):
+    schema = "track long, event_id long, t double, key string"
+    rows = [(1, 1, -1.0, " "), (1, 2, 0.5, " "), (1, 3, 1.0, "x"), (1, 4, 2.0, " "), (1, 5, 3.0, " "), (2, 1, 1.0, " "), (2, 2, 2.0, "q"), (2, 3, 3.0, " "), (3, 1, 9.0, " "), (3, 2, 11.0, " "), (4, 1, 1.0, " ")]
+    songs = spark.createDataFrame([(1, 2, 10.0), (2, 9, 10.0), (3, 9, 10.0)], "track long, n_words int, duration_s double")
+    keys = spark.createDataFrame(rows, schema)
+    batch = live.capture_taps(keys, songs, 0.25)
+    assert sorted(map(tuple, batch.collect())) == [(1, 1, 0.75), (1, 2, 2.25), (2, 1, 1.25), (3, 1, 9.25)]
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as d:
+        keys.coalesce(1).write.mode("append").parquet(f"{d}/keys")
+        stream = spark.readStream.schema(schema).parquet(f"{d}/keys")
+        assert same(live.drain(live.tap_stream(stream, songs, 0.25), "taps"), batch)
