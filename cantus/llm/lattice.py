@@ -1,11 +1,10 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-A normalised text is cut into words: a run of meta spaces and what follows.
-Distinct words are cut further wherever no piece holds the two characters
-around a place, so that no piece crosses a cut.  Distinct parts only are encoded: their
-substrings of bounded length are exploded, equi-joined to the piece table
-(which is bounded by the model and broadcast), grouped by word as the edges of
-its lattice, and folded by Spark's higher-order ``aggregate``.
+A normalised text is cut into words wherever no piece holds the two characters
+around a place, so that no piece crosses a cut.  Distinct words only are
+encoded: their substrings of bounded length are exploded, equi-joined to the
+piece table (which is bounded by the model and broadcast), grouped by word as
+the edges of its lattice, and folded by Spark's higher-order ``aggregate``.
 
 The fold follows the model's type.  For unigram models it is Viterbi: the best
 score and its last edge for each place from left to right.  For BPE models the
@@ -14,19 +13,21 @@ over the lattice: of all edges that join two neighbouring pieces the one with
 the best score, the leftmost of equals, until none is left.  Characters
 without a piece become byte pieces.
 
-Words meet documents again in blocks: a block sends its distinct words to
-ranges of their hash, each range answers with the ids.
+Texts are kept in blocks as numbers of the block's distinct words, so words
+meet documents again by one equi-join of (block, number, word) with the
+encoded words, whose answers are packed by block within each task: they grow
+with the blocks' distinct words, and a block gets nothing from a task that has
+none of its words.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,11 +36,12 @@ from pyspark.sql import types as T
 from .shared import drop_table, release, save, small_batches, trim
 
 SPACE = "▁"
-#: Words with more characters are merged by a heap in Arrow batches: a fold is quadratic in a word's length.
-LONG = 48
-#: Words of a block, about.
-BLOCK_WORDS = 1 << 20
-_WORDS = regex.compile(r" *[^ ]+| +")
+#: Words with more characters are merged by a heap in Arrow batches: a fold is quadratic in a word's length, and places have 8 bits.
+LONG = 240
+#: Bytes of a block's texts, about.
+BLOCK_BYTES = 24 << 20
+#: The rank of two neighbours without an edge; all ranks are below.
+NO_EDGE = 1 << 20
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -107,17 +109,21 @@ class Pieces:
         self.rank = {t: order[self.scores[i]] for t, i in self.ids.items()}
         self.bytes_ = [next((i for i, (t, k) in enumerate(zip(self.texts, self.kinds, strict=True)) if k == 6 and t == f"<0x{b:02X}>"), 0) for b in range(256)]
         self.longest = max(map(len, self.ids), default=1)
-        self.inner = {t[i : i + 2] for t in self.ids for i in range(len(t) - 1)}
+        inner = {t[i : i + 2] for t in self.ids for i in range(len(t) - 1)}
+        self.pairs = np.unique(np.array([ord(a) << 21 | ord(b) for a, b in inner] or [-1], np.int64))
+        ascii_ = np.arange(128)
+        self.apart = np.zeros((256, 256), bool)
+        self.apart[:128, :128] = self.far_apart(*np.meshgrid(ascii_, ascii_, indexing="ij"))
+        self.apart = self.apart.ravel()
+        if len(self.ids) >= NO_EDGE:
+            raise ValueError(f"more than {NO_EDGE - 1} pieces")
         return self
 
-    def cut(self, word: str) -> list[str]:
-        """Parts of a word between which no piece can lie."""
-        at, out = 0, []
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in self.inner:
-                out.append(word[at:i])
-                at = i
-        return [*out, word[at:]]
+    def far_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether no piece holds the characters left and right (code points) side by side."""
+        both = np.where(left == 0x20, ord(SPACE), left) << 21 | np.where(right == 0x20, ord(SPACE), right)
+        at = np.minimum(np.searchsorted(self.pairs, both), len(self.pairs) - 1)
+        return self.pairs[at] != both
 
     def one(self, word: str) -> list[int]:
         """Ids of a word by a heap of merges, or by Viterbi for a unigram model; for words beyond LONG."""
@@ -178,15 +184,22 @@ def encode_words(words: DataFrame, pieces: Pieces, tasks: int = 16) -> DataFrame
     # Dealt by word once: exploding and the broadcast join keep that, so grouping needs no shuffle.
     starts = short.filter("word <> ''").repartition(tasks, "word").select("word", F.explode(F.expr("sequence(0, length(word) - 1)")).alias("i"))
     spans = starts.select("word", "i", F.explode(F.expr(f"sequence(1, least({pieces.longest}, length(word) - i))")).alias("n"))
-    lattice = spans.select("word", F.expr("i * 64 + i + n").alias("span"), F.expr("substring(word, i + 1, n)").alias("piece"))
-    edges = lattice.join(F.broadcast(pieces.frame(spark)), "piece", "left").filter("id IS NOT NULL OR span % 64 - span div 64 = 1")
-    grouped = edges.groupBy("word").agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("span", F.struct("rank", "id", "score").alias("e")))).alias("found"))
-    grouped = grouped.select("word", F.length("word").alias("n"), F.map_from_entries("found").alias("edges"))
-    cuts = _viterbi_fold() if pieces.unigram else _merge_fold()
+    lattice = spans.select("word", F.expr("i * 256 + i + n").alias("span"), "n", F.expr("substring(word, i + 1, n)").alias("piece"))
+    # A character without a piece keeps its row, so that its word has a group.
+    found = lattice.join(F.broadcast(pieces.frame(spark)), "piece", "left").filter("id IS NOT NULL OR n = 1")
+    if pieces.unigram:
+        edge = F.when(F.col("id").isNotNull(), F.struct("span", F.struct("id", "score").alias("e")))
+        grouped = found.groupBy("word").agg(F.collect_list(edge).alias("e")).select("word", F.length("word").alias("n"), F.map_from_entries("e").alias("edges"))
+        cuts, chosen = _viterbi_fold(), "e.id"
+    else:  # an edge is one number: its span, the rank and the id
+        edge = F.expr("shiftleft(cast(span AS bigint), 44) + shiftleft(cast(rank AS bigint), 24) + id")
+        grouped = found.groupBy("word").agg(F.collect_list(edge).alias("e"))
+        grouped = grouped.select("word", F.length("word").alias("n"), F.expr("map_from_arrays(transform(e, x -> cast(shiftright(x, 44) AS int)), e)").alias("edges"))
+        cuts, chosen = _merge_fold(), "cast(e & 16777215 AS int)"
     table = f"array({', '.join(map(str, pieces.bytes_))})"
     hexed = "hex(encode(substring(word, cuts[q] + 1, cuts[q + 1] - cuts[q]), 'UTF-8'))"
     raw = f"transform(array({hexed}), h -> transform(sequence(1, length(h) div 2), k -> {table}[cast(conv(substring(h, 2 * k - 1, 2), 16, 10) AS int)]))[0]"
-    ids = f"flatten(transform(sequence(0, size(cuts) - 2), q -> transform(array(try_element_at(edges, cuts[q] * 64 + cuts[q + 1])), e -> if(e IS NULL, {raw}, array(e.id)))[0]))"
+    ids = f"flatten(transform(sequence(0, size(cuts) - 2), q -> transform(array(try_element_at(edges, cuts[q] * 256 + cuts[q + 1])), e -> if(e IS NULL, {raw}, array({chosen})))[0]))"
     folded = grouped.withColumn("cuts", F.expr(cuts)).select("word", F.expr(ids).alias("ids"))
 
     def merge_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,29 +210,28 @@ def encode_words(words: DataFrame, pieces: Pieces, tasks: int = 16) -> DataFrame
 
 
 def _merge_fold() -> str:
-    """Cut places after all merges: each step drops the cut inside the best edge over two neighbours.
+    """Cut places after all merges: each step joins the two neighbours with the best edge over them.
 
-    The state keeps the rank of every pair of neighbours (NONE without an
-    edge), so a step looks at the two pairs that change only.
+    The state has one number for each two neighbours, from left to right: the
+    rank of the edge over both (NO_EDGE without one), then where the first
+    begins, where they meet and where the second ends.  So the least number is
+    the best edge, the leftmost of equals, and a step looks up the ranks of
+    the two pairs beside it only.
     """
-    none = 2147483647
-    rank = lambda i, j: f"coalesce(try_element_at(edges, {i} * 64 + {j}).rank, {none})"
-    begin = f"named_struct('b', sequence(0, n), 'r', if(n < 2, cast(array() AS array<int>), transform(sequence(0, greatest(n - 2, 0)), q -> {rank('q', '(q + 2)')})))"
-    left = f"if(p > 1, array({rank('s.b[p - 2]', 's.b[p + 1]')}), cast(array() AS array<int>))"
-    right = f"if(p < size(s.r), array({rank('s.b[p - 1]', 's.b[p + 2]')}), cast(array() AS array<int>))"
-    merged = (
-        "named_struct('b', concat(slice(s.b, 1, p), slice(s.b, p + 2, size(s.b))), "
-        f"'r', concat(slice(s.r, 1, greatest(p - 2, 0)), {left}, {right}, slice(s.r, p + 2, size(s.r))))"
-    )
-    at = "cast(array_position(s.r, array_min(s.r)) AS int)"
-    step = f"transform(array({at}), p -> if(p IS NULL OR s.r[p - 1] = {none}, s, {merged}))[0]"
-    return f"aggregate(sequence(1, greatest(n - 1, 1)), {begin}, (s, step) -> {step}, s -> s.b)"
+    rank = lambda i, j: f"coalesce(shiftright(try_element_at(edges, cast(({i}) * 256 + ({j}) AS int)), 24) & {NO_EDGE - 1}, {NO_EDGE})"
+    pair = lambda i, m, j: f"(shiftleft({rank(i, j)}, 24) + ({i}) * 65536 + ({m}) * 256 + ({j}))"
+    first, meet, last = (lambda x, k=k: f"(shiftright({x}, {k}) & 255)" for k in (16, 8, 0))
+    begin = f"if(n < 2, cast(array() AS array<bigint>), transform(sequence(0L, cast(greatest(n - 2, 0) AS bigint)), q -> {pair('q', 'q + 1', 'q + 2')}))"
+    beside = f"CASE WHEN {last('x')} = {meet('m')} THEN {pair(first('x'), meet('x'), last('m'))} WHEN {first('x')} = {meet('m')} THEN {pair(first('m'), meet('x'), last('x'))} ELSE x END"
+    merged = f"transform(filter(s, x -> x <> m), x -> {beside})"
+    step = f"transform(array(array_min(s)), m -> if(m IS NULL OR m >= {NO_EDGE << 24}, s, {merged}))[0]"
+    return f"aggregate(sequence(1, greatest(n - 1, 1)), {begin}, (s, k) -> {step}, s -> concat(array(0), transform(s, x -> cast({meet('x')} AS int)), array(n)))"
 
 
 def _viterbi_fold() -> str:
     """Cut places of the best path: (score, last cut) for each place, then back from the end."""
     came = (
-        "array_max(filter(transform(sequence(greatest(0, j - 64), j - 1), i -> struct(best[i].score + coalesce(try_element_at(edges, i * 64 + j).score, "
+        "array_max(filter(transform(sequence(greatest(0, j - 256), j - 1), i -> struct(best[i].score + coalesce(try_element_at(edges, i * 256 + j).score, "
         f"if(j - i = 1, {UNKNOWN}D, NULL)) AS score, -i AS at)), x -> x.score IS NOT NULL))"
     )
     best = f"aggregate(sequence(1, n), array(struct(0.0D AS score, 0 AS at)), (best, j) -> concat(best, array({came})))"
@@ -227,137 +239,168 @@ def _viterbi_fold() -> str:
     return f"transform(array({best}), best -> {back})[0]"
 
 
-def _words(text: str | None, pieces: Pieces) -> list[str]:
-    """Words of a text with spaces still plain; none of an empty text."""
-    return _WORDS.findall(" " + text if pieces.prefix else text) if text else []
-
-
-def _by_range(words: set[str], parts: int) -> list[list[str]]:
-    """Words by hash range, sorted."""
-    out: list[list[str]] = [[] for _ in range(parts)]
-    crc = zlib.crc32
-    for w in words:
-        out[crc(w.encode()) % parts].append(w)
-    for x in out:
-        x.sort()
-    return out
-
+def _units(texts: pa.StringArray, pieces: Pieces) -> tuple[pa.BinaryArray, np.ndarray]:
+    """Words of all texts, one after the other, and how many each text has.
 
-def _blocks(docs: DataFrame, pieces: Pieces, parts: int, messages: bool) -> DataFrame:
-    """Blocks of texts: their distinct words by hash range, or the texts themselves."""
+    A word ends wherever no piece holds the two characters around a place, so
+    the words of a text lie side by side in its bytes; nulls have none.
+    """
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    if pieces.prefix:
+        texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), texts, pc.binary_join_element_wise(pa.scalar(" "), texts, ""))
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    size = int(offsets[-1] - offsets[0])
+    if not size:
+        return pa.array([], pa.binary()), np.zeros(len(texts), np.int64)
+    raw = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    ends = offsets[1:] - offsets[0]
+    cut = np.empty(size, bool)
+    cut[0] = True
+    cut[1:] = pieces.apart[(raw[:-1].astype(np.uint16) << 8) | raw[1:]]
+    odd = np.flatnonzero((raw[1:] & 0xC0 != 0x80) & ((raw[1:] >= 0x80) | (raw[:-1] >= 0x80))) + 1
+    if len(odd):  # places beside a character of several bytes
+        cut[odd] = pieces.far_apart(_code_points(raw, _char_before(raw, odd)), _code_points(raw, odd))
+    cut[ends[ends < size]] = True  # where the next text begins
+    places = np.flatnonzero(cut).astype(np.int32)
+    counts = np.diff(np.searchsorted(places, np.append(0, ends)))
+    places = np.append(places, np.int32(size))
+    return pa.Array.from_buffers(pa.binary(), len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(raw)]), counts
+
+
+def _char_before(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where the character before each place begins."""
+    before = at - 1
+    for _ in range(3):
+        before = np.where(raw[before] & 0xC0 == 0x80, before - 1, before)
+    return before
+
+
+def _code_points(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Code points of the UTF-8 characters that begin at the given places."""
+    lead = raw[at].astype(np.int64)
+    more = (lead >= 0xC0).astype(np.int64) + (lead >= 0xE0) + (lead >= 0xF0)
+    point = np.where(more > 0, lead & (0x3F >> more), lead)
+    for k in range(1, 4):
+        nth = raw[np.minimum(at + k, len(raw) - 1)].astype(np.int64)
+        point = np.where(more >= k, point << 6 | nth & 0x3F, point)
+    return point
+
+
+#: Numbers below are one byte; others are this byte and, apart, three more.
+_ESCAPE = 240
+
+
+def _squeeze(codes: np.ndarray) -> bytes:
+    """Numbers of which small ones are frequent, compressed."""
+    big = codes >= _ESCAPE
+    rest = (codes[big] - _ESCAPE).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T
+    raw = np.int64(len(codes)).tobytes() + np.where(big, _ESCAPE, codes).astype(np.uint8).tobytes() + rest.tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def _spread(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    n = int(raw[:8].view("<i8")[0])
+    codes = raw[8 : 8 + n].astype("<u4")
+    rest = raw[8 + n :].reshape(3, -1).astype("<u4")
+    codes[codes == _ESCAPE] = rest[0] + (rest[1] << 8) + (rest[2] << 16) + _ESCAPE
+    return codes
+
+
+def _blocks(docs: DataFrame, pieces: Pieces) -> DataFrame:
+    """Two rows for about BLOCK_BYTES of texts: kind ``codes`` (block, ids, sizes, codes), the texts as numbers of the
+    block's distinct words of which the commonest has 0, and kind ``words`` (block, words)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = "block long, part int, words binary" if messages else f"block long, ids array<{id_type}>, texts binary"
+    names = ["block", "kind", "ids", "sizes", "codes", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base, serial, kind = TaskContext.get().partitionId() << 32, 0, None
-        ids, texts, words, size = [], [], set(), 0
+        base, serial = TaskContext.get().partitionId() << 32, 0
+        ids, sizes, units, size = [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            if messages:
-                data = [_squeeze(p) for p in _by_range(words, parts)]
-                return pa.RecordBatch.from_arrays([pa.array([base + serial] * parts), pa.array(range(parts), pa.int32()), pa.array(data, pa.binary())], ["block", "part", "words"])
-            return pa.RecordBatch.from_arrays([pa.array([base + serial]), pa.array([ids], pa.list_(kind)), pa.array([_squeeze(texts)])], ["block", "ids", "texts"])
+            encoded = pa.chunked_array(units, pa.binary()).combine_chunks().dictionary_encode()
+            if isinstance(encoded, pa.ChunkedArray):
+                encoded = encoded.combine_chunks()
+            first = encoded.indices.to_numpy()
+            order = np.argsort(-np.bincount(first, minlength=len(encoded.dictionary)), kind="stable")
+            number = np.empty(len(order), "<u4")
+            number[order] = np.arange(len(order), dtype="<u4")
+            words = pc.replace_substring(encoded.dictionary.take(pa.array(order)).cast(pa.string()), " ", SPACE)
+            one = lambda x, spots: pa.ListArray.from_arrays(pa.array([*spots, len(x)], pa.int32()), x)  # noqa: E731  # at the row of its kind; none in the other
+            return pa.RecordBatch.from_arrays(
+                [pa.array([base + serial] * 2), pa.array(["codes", "words"]), pa.concat_arrays([one(pa.concat_arrays(ids), [0]), one(ids[0][:0], [0])]), pa.concat_arrays([one(pa.array(np.concatenate(sizes)), [0]), one(pa.array([], pa.int64()), [0])]), pa.array([_squeeze(number[first]), None], pa.binary()), one(words, [0, 0])],
+                names,
+            )
 
         for b in batches:
-            kind = b.schema.field("doc_id").type
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                text = t.as_py() or ""
-                ids.append(i)
-                if messages:
-                    words.update(_words(text, pieces))
-                else:
-                    texts.append(text)
-                size += len(text) // 6 + 1
-                if size >= BLOCK_WORDS:
-                    yield out()
-                    serial += 1
-                    ids, texts, words, size = [], [], set(), 0
+            found, counts = _units(b.column("text"), pieces)
+            ids.append(b.column("doc_id"))
+            sizes.append(counts)
+            units.append(found)
+            size += b.column("text").nbytes
+            if size >= BLOCK_BYTES:
+                yield out()
+                serial += 1
+                ids, sizes, units, size = [], [], [], 0
         if ids:
             yield out()
-        ids, texts, words = [], [], set()
+        ids, sizes, units = [], [], []
         trim()
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
-
-
-def _squeeze(words: list[str]) -> bytes:
-    """Words in order: their lengths in bytes, then all bytes."""
-    raw = [w.encode() for w in words]
-    return _compress(np.array([len(raw), *map(len, raw)], "<u4").tobytes() + b"".join(raw))
-
-
-def _compress(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
-
-
-def _spread(data: bytes) -> list[str]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    n = int(np.frombuffer(raw, "<u4", 1)[0])
-    ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64) + 4 * (n + 1)
-    starts = [4 * (n + 1), *ends[:-1].tolist()]
-    return [raw[a:b].decode() for a, b in zip(starts, ends.tolist(), strict=True)] if n else []
-
-
-def _distinct(pieces: Pieces):
-    """Distinct cut words of one range."""
-
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        words = {w for x in t.column("words").to_pylist() for w in _spread(x)}
-        cut = sorted({p for w in words for p in pieces.cut(w.replace(" ", SPACE))})
-        return pa.table({"part": pa.array([key[0].as_py()] * len(cut), pa.int32()), "word": pa.array(cut, pa.string())})
-
-    return run
-
-
-def _answer(pieces: Pieces):
-    """Ids of each block's words of one range, in the order in which they were sent."""
-
-    def run(key: tuple, sent: pa.Table, encoded: pa.Table) -> pa.Table:
-        lists = encoded.column("ids").combine_chunks()
-        ends = lists.offsets.to_numpy().tolist()
-        flat = lists.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-        part = {w: flat[4 * a : 4 * b] for w, a, b in zip(encoded.column("word").to_pylist(), ends, ends[1:], strict=False)}
-        whole: dict[str, bytes] = {}
-        out = []
-        for x in sent.column("words").to_pylist():
-            words = _spread(x)
-            for w in words:
-                if w not in whole:
-                    whole[w] = b"".join([part[p] for p in pieces.cut(w.replace(" ", SPACE))])
-            ids = [whole[w] for w in words]
-            out.append(_compress(np.array([len(ids), *map(len, ids)], "<u4").tobytes() + b"".join(ids)))
-        del part, whole, flat
-        trim()
-        return pa.table({"block": sent.column("block"), "part": sent.column("part"), "ids": pa.array(out, pa.binary())})
-
-    return run
-
-
-def _assemble(pieces: Pieces, parts: int):
-    def run(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = _spread(block.column("texts")[0].as_py())
-        doc_ids = block.column("ids")[0].as_py()
-        words: set[str] = set()
-        for t in texts:
-            words.update(_words(t, pieces))
-        by_range, ids = _by_range(words, parts), {}
-        for part, data in zip(answers.column("part").to_pylist(), answers.column("ids").to_pylist(), strict=True):
-            raw = zstandard.ZstdDecompressor().decompress(data)
-            n = int(np.frombuffer(raw, "<u4", 1)[0])
-            at = 4 * (n + 1)
-            for w, k in zip(by_range[part], np.frombuffer(raw, "<u4", n, 4).tolist(), strict=True):
-                ids[w] = raw[at : at + k]
-                at += k
-        data = [b"".join(map(ids.__getitem__, _words(t, pieces))) for t in texts]
-        ends = np.cumsum([0, *[len(x) // 4 for x in data]])
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(data), "<i4")))
-        del ids, by_range, words, data
-        trim()
-        return pa.table({"doc_id": pa.array(doc_ids, block.schema.field("ids").type.value_type), "ids": lists})
-
-    return run
+    return docs.select("doc_id", "text").mapInArrow(run, f"block long, kind string, ids array<{id_type}>, sizes array<long>, codes binary, words array<string>")
+
+
+def _planes(*columns: np.ndarray) -> bytes:
+    """Compressed byte planes of numbers below 2^32."""
+    flat = np.concatenate(columns).astype("<u4")
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T))
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, k, ids) as messages (block, n, data), one for each block among some 2^18 rows: the k, the numbers of ids, the ids."""
+    held, rows = [], 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        t = t.take(pc.sort_indices(t, sort_keys=[("block", "ascending"), ("k", "ascending")]))
+        block, k, lists = t.column("block").to_numpy(), t.column("k").to_numpy(), t.column("ids").combine_chunks()
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        cuts = np.append(np.flatnonzero(np.diff(block, prepend=block[0] - 1)), len(block))
+        data = [_planes(k[a:b], np.diff(ends[a : b + 1]), flat[ends[a] : ends[b]]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), pa.array(np.diff(cuts).astype(np.int32)), pa.array(data, pa.binary())], ["block", "n", "data"])
+
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows >= 1 << 18:
+            yield from out()
+            held, rows = [], 0
+    if rows:
+        yield from out()
+    held = []
+    trim()
+
+
+def _assemble(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
+    """The ids of a block's texts from the ids of its words."""
+    codes = _spread(block.column("codes")[0].as_py())
+    parts = [(n, _from_planes(d)) for n, d in zip(answers.column("n").to_pylist(), answers.column("data").to_pylist(), strict=True)]
+    joined = [np.concatenate([np.empty(0, "<u4"), *x]) for x in ([p[:n] for n, p in parts], [p[n : 2 * n] for n, p in parts], [p[2 * n :] for n, p in parts])]
+    by_message = pa.ListArray.from_arrays(pa.array(np.cumsum(np.append(0, joined[1])), pa.int32()), pa.array(joined[2].view("<i4")))
+    by_word = by_message.take(pa.array(np.argsort(joined[0])))
+    found = by_word.take(pa.array(codes)) if len(codes) else by_word.slice(0, 0)
+    ends = np.cumsum(np.concatenate([[0], block.column("sizes")[0].values.to_numpy()]))
+    offsets = pa.array(found.offsets.to_numpy()[ends] if len(codes) else ends, pa.int32())
+    out = pa.table({"doc_id": block.column("ids")[0].values, "ids": pa.ListArray.from_arrays(offsets, found.values)})
+    trim()
+    return out
 
 
 def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
@@ -366,21 +409,19 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
     A null or empty text has no ids.  Repeated rows and null ids are rows
     like others; an empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(12, -(-size // (1 << 24)))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    sent = save(_blocks(docs, pieces, parts, messages=True), "word-messages")
-    cut = save(sent.groupBy("part").applyInArrow(_distinct(pieces), "part int, word string"), "cut-words")
-    encoded = save(encode_words(cut.select("word").distinct(), pieces, 4 * parts), "encoded-words")
-    wanted = cut.join(encoded, "word")
-    answers = save(sent.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(_answer(pieces), "block long, part int, ids binary"), "word-answers")
-    for table in (sent, cut, encoded):
-        drop_table(table)
-    del wanted
-    release(docs.sparkSession)
-    texts = _blocks(docs, pieces, parts, messages=False)
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_assemble(pieces, parts), f"doc_id {id_type}, ids array<int>")
+    blocks = save(_blocks(docs, pieces), "word-blocks", ["kind"])
+    asked = blocks.filter("kind = 'words'").select("block", F.posexplode("words").alias("k", "word"))
+    encoded = save(encode_words(asked.select("word").distinct(), pieces, max(12, size >> 22)), "encoded-words")
+    answers = save(asked.join(encoded, "word").select("block", "k", "ids").mapInArrow(_pack, "block long, n int, data binary"), "word-answers")
+    drop_table(encoded)
+    drop_table(blocks, "kind=words")
+    release(spark)
+    texts = blocks.filter("kind = 'codes'").select("block", "ids", "sizes", "codes")
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_assemble, f"doc_id {id_type}, ids array<int>")
 
 
 def decode(encoded: DataFrame, pieces: Pieces, column: str = "ids") -> DataFrame:
@@ -389,19 +430,27 @@ def decode(encoded: DataFrame, pieces: Pieces, column: str = "ids") -> DataFrame
     Null ids give null, no ids the empty text.  Control pieces give nothing.
     """
     raw = [bytes([pieces.bytes_.index(i)]) if k == 6 else b"" if k == 3 else t.replace(SPACE, " ").encode() for i, (t, k) in enumerate(zip(pieces.texts, pieces.kinds, strict=True))]
-    lead, table = pieces.prefix, np.frombuffer(b"".join(raw), np.uint8)
-    size = np.array([len(x) for x in raw])
-    begin = np.cumsum(size) - size
+    lead = pieces.prefix
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
 
-    def text(ids: np.ndarray) -> str:
-        n = size[ids]
-        data = table[np.repeat(begin[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes().decode("utf-8", "replace")
-        return data[1:] if lead and data[:1] == " " else data
+    def texts(ids: pa.ListArray, table: pa.BinaryArray) -> pa.Array:
+        flat = table.take(ids.flatten())
+        ends = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int32)
+        sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
+        offsets = ends[np.cumsum(np.concatenate([[0], sizes]))].astype(np.int32)
+        data = flat.buffers()[2] if len(flat) else pa.py_buffer(b"")
+        joined = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), data or pa.py_buffer(b"")])
+        if lead:
+            joined = pc.if_else(pc.starts_with(joined, " "), pc.binary_replace_slice(joined, 0, 1, b""), joined)
+        try:
+            out = joined.cast(pa.string())
+        except pa.ArrowInvalid:  # ids that no encoder gave
+            out = pa.array([x.decode("utf-8", "replace") for x in joined.to_pylist()], pa.string())
+        return pc.if_else(ids.is_valid(), out, pa.scalar(None, pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.array(raw, pa.binary())
         for b in batches:
-            texts = [None if not x.is_valid else text(x.values.to_numpy(zero_copy_only=False)) if len(x) else "" for x in b.column(column)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns, texts(b.column(column), table)], schema.names)
 
     return encoded.mapInArrow(run, schema)

@@ -2,8 +2,8 @@
 
 Intermediate tables go to the folder that the session names in
 ``spark.checkpoint.dir``; every executor sees it, so a lost executor costs a
-task retry and never the data.  Only where the setting is absent (tests) a
-folder of this process is used.
+task retry and never the data.  Where the setting is absent a local master
+(tests) gets a folder of its own, and anything else an error.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="cantus-"))
     return _own[0]
@@ -78,14 +80,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def drop_table(df: DataFrame) -> None:
-    """Deletes a table that ``save`` wrote and that no later step reads."""
+def drop_table(df: DataFrame, part: str | None = None) -> None:
+    """Deletes a table that ``save`` wrote, or one of its partitions (``column=value``), that no later step reads."""
     spark = df.sparkSession
     for name in df.inputFiles()[:1]:
         path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
         while not re.search(r"-[0-9a-f]{12}$", path.getName()):
             path = path.getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        gone = spark._jvm.org.apache.hadoop.fs.Path(path, part) if part else path
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
 
 def id_remainder(doc_id: Column | str, mod: int) -> Column:

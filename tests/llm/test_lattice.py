@@ -19,9 +19,9 @@ def pieces():
     return Pieces.load(tokenizer_path("piece_bpe_32k.model"))
 
 
-@pytest.mark.parametrize("block", [1 << 21, 40])
+@pytest.mark.parametrize("block", [1 << 24, 200])
 def test_equals_library(spark, monkeypatch, pieces, block):
-    monkeypatch.setattr(lattice, "BLOCK_WORDS", block)
+    monkeypatch.setattr(lattice, "BLOCK_BYTES", block)
     sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
     rows = [*enumerate(TEXTS), (3, "again"), (None, "no id")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, ids string").repartition(3)
