@@ -41,30 +41,45 @@ def as_of(points: DataFrame, refs: DataFrame, t: str, ref_t: str, out: str = "re
     return both.withColumn(out, found).filter("__side = 1").drop("__t", "__side", "__ref")
 
 
-def nearest(points: DataFrame, refs: DataFrame, t: str, ref_t: str) -> DataFrame:
-    """Adds ``before``, ``after`` and the nearer of both, ``near``; the earlier one on a tie."""
-    p = as_of(points, refs, t, ref_t, "before")
-    p = as_of(p, refs, t, ref_t, "after", forward=True)
-    closer = F.col("after").isNull() | (F.col(t) - F.col("before") <= F.col("after") - F.col(t))
-    return p.withColumn("near", F.when(F.col("before").isNotNull() & closer, F.col("before")).otherwise(F.col("after")))
+def around(points: DataFrame, refs: DataFrame, t: str, ref_t: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``before`` and ``after``: the last reference at or before each point and the first at or after it, as structs of t and the columns ``keep``.
+
+    Null where there is none.  Of references at one time the greatest counts, so
+    repeats don't multiply points.  Both directions are windows over one union:
+    references are shuffled once and nothing is joined again.
+    """
+    kind = F.struct(F.col(ref_t).alias("t"), *keep)
+    marks = refs.select("track", F.col(ref_t).alias("__t"), F.lit(0).alias("__side"), kind.alias("__ref"))
+    both = marks.unionByName(points.select("*", F.col(t).alias("__t"), F.lit(1).alias("__side")), allowMissingColumns=True)
+    so_far = lambda order: F.last("__ref", ignorenulls=True).over(Window.partitionBy("track").orderBy(order, "__side", "__ref").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumns({"before": so_far(F.asc("__t")), "after": so_far(F.desc("__t"))})
+    return found.filter("__side = 1").select(*points.columns, "before", "after")
+
+
+def nearest(points: DataFrame, refs: DataFrame, t: str, ref_t: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``near``: the nearer of the references around each point, as a struct of t and the columns ``keep``; the earlier one on a tie."""
+    p = around(points, refs, t, ref_t, keep)
+    closer = F.col("after").isNull() | (F.col(t) - F.col("before.t") <= F.col("after.t") - F.col(t))
+    return p.withColumn("near", F.when(F.col("before").isNotNull() & closer, F.col("before")).otherwise(F.col("after"))).drop("before", "after")
 
 
 def beat_align(points: DataFrame, beats: DataFrame, t: str) -> DataFrame:
-    """Adds beat_idx of the nearest beat and beat_phase: the part of a beat since it, modulo 1, 4 decimals."""
+    """Adds beat_idx of the nearest beat and beat_phase: the part of a beat since it, modulo 1, 4 decimals.
+
+    Beats at one time count as one, with the least number.  Null without beats;
+    the phase is null with a single beat.
+    """
+    single = beats.groupBy("track", "t").agg(F.min("beat_idx").alias("beat_idx"))
     w = Window.partitionBy("track").orderBy("t")
     gap = F.coalesce(F.lead("t").over(w) - F.col("t"), F.col("t") - F.lag("t").over(w))
-    b = beats.select("track", "beat_idx", F.col("t").alias("near"), gap.alias("gap"))
-    found = nearest(points, beats, t, "t").join(b, ["track", "near"], "left")
-    x = (F.col(t) - F.col("near")) / F.col("gap")
-    return found.withColumn("beat_phase", F.round(x - F.floor(x), 4)).drop("before", "after", "near", "gap")
+    found = nearest(points, single.withColumn("gap", gap), t, "t", ("beat_idx", "gap"))
+    x = (F.col(t) - F.col("near.t")) / F.col("near.gap")
+    return found.withColumns({"beat_idx": F.col("near.beat_idx"), "beat_phase": F.round(x - F.floor(x), 4)}).drop("near")
 
 
 def interpolate(points: DataFrame, series: DataFrame, t: str, x: str) -> DataFrame:
-    """Adds ``value``: the series (track, t, x) at each point by linear interpolation, clamped at its ends."""
-    s = series.select("track", F.col("t").alias("__at"), F.col(x).alias("__x"))
-    p = as_of(points, s, t, "__at", "before")
-    p = as_of(p, s, t, "__at", "after", forward=True)
-    lo, hi = s.select("track", F.col("__at").alias("before"), F.col("__x").alias("x0")), s.select("track", F.col("__at").alias("after"), F.col("__x").alias("x1"))
-    p = p.join(lo, ["track", "before"], "left").join(hi, ["track", "after"], "left")
-    part = F.when(F.col("after") > F.col("before"), (F.col(t) - F.col("before")) / (F.col("after") - F.col("before"))).otherwise(0.0)
-    return p.withColumn("value", F.coalesce(F.col("x0") + (F.col("x1") - F.col("x0")) * part, "x0", "x1")).drop("before", "after", "x0", "x1")
+    """Adds ``value``: the series (track, t, x) at each point by linear interpolation, clamped at its ends; null without a series."""
+    p = around(points, series.select("track", F.col("t").alias("__at"), F.col(x).alias("x")), t, "__at", ("x",))
+    a, b = F.col("before"), F.col("after")
+    part = F.when(b["t"] > a["t"], (F.col(t) - a["t"]) / (b["t"] - a["t"])).otherwise(0.0)
+    return p.withColumn("value", F.coalesce(a["x"] + (b["x"] - a["x"]) * part, a["x"], b["x"])).drop("before", "after")

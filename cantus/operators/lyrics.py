@@ -351,6 +351,8 @@ def apply_corrections(words: DataFrame, corrections: DataFrame) -> DataFrame:
     number and trimmed text agree; verified and automatic ones change nothing.
     """
     c = corrections.select("song", "line_idx", F.trim("text").alias("__text"), "word_idx", "status", F.col("start_s").alias("__s"), F.col("end_s").alias("__e"))
+    latest = Window.partitionBy("song", "line_idx", "word_idx").orderBy(F.desc("status"), F.desc("__s"), F.desc("__e"), F.desc("__text"))
+    c = c.withColumn("__r", F.row_number().over(latest)).filter("__r = 1").drop("__r")  # one for each word
     on = ["song", "line_idx", "word_idx"]
     j = words.join(c, on, "left")
     same = F.coalesce(F.col("__text") == F.trim("text"), F.lit(False))

@@ -123,9 +123,9 @@ def boundary_pulse(points: DataFrame, boundaries: DataFrame, out: str, width: fl
     from .joins import nearest
 
     near = nearest(points, boundaries, "t", "t")
-    apart = F.abs(F.col("t") - F.col("near"))
+    apart = F.abs(F.col("t") - F.col("near.t"))
     bell = F.lit(peak * 0.5) * (1 + F.cos(F.lit(math.pi) * apart / width))
-    return near.withColumn(out, F.when(apart < width, bell).otherwise(0.0)).drop("before", "after", "near")
+    return near.withColumn(out, F.when(apart < width, bell).otherwise(0.0)).drop("near")
 
 
 def quarter_means(f: DataFrame, value: str, keys: list[str], order: list[str]) -> DataFrame:

@@ -67,8 +67,7 @@ def sample_at_onsets(spark, sf):
     """The frame nearest each hit, the earlier one on a tie."""
     f = V.frames(spark, sf)
     h = V.hits(spark, sf).join(f.select("track").distinct(), "track", "left_semi").select("track", "hit_id", "t")
-    near = J.nearest(h, f, "t", "t").select("track", "hit_id", F.col("near").alias("t"))
-    return near.join(f.select("track", "t", "onset"), ["track", "t"]).select("hit_id", "onset")
+    return J.nearest(h, f, "t", "t", ("onset",)).select("hit_id", F.col("near.onset").alias("onset"))
 
 
 @query("notes_from_pitch", None)

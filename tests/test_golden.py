@@ -378,3 +378,47 @@ def test_line_merge_limits_gaps_at_edges(spark):
     got = {r["word"]: (r["start_s"], r["end_s"], r["confidence"]) for r in L.merge_lines(lines, heard).collect()}
     assert got["bb"] == (8.0, 8.5, 1.0) and got["cc"] == (9.0, 9.5, 1.0)
     assert got["aa"] == pytest.approx((7.4, 8.0, 0.65)) and got["dd"] == pytest.approx((9.5, 10.1, 0.65))
+
+
+def test_nearest_with_repeats_nulls_and_no_references(spark):
+    p = spark.createDataFrame([(1, 0.5, "a"), (1, 0.5, "a"), (1, 9.0, "b"), (1, None, "n"), (2, 1.0, "c"), (None, 1.0, "d")], "track long, t double, near string")
+    r = spark.createDataFrame([(1, 0.0, 7), (1, 0.0, 5), (1, 1.0, 8), (1, 1.0, 8)], "track long, t double, beat_idx int")
+    q = p.withColumnRenamed("near", "name")
+    got = sorted((x["name"], x["beat_idx"], x["beat_phase"]) for x in J.beat_align(q.filter("t IS NOT NULL"), r, "t").collect())
+    assert got == [("a", 5, 0.5), ("a", 5, 0.5), ("b", 8, 0.0), ("c", None, None), ("d", None, None)]
+    s = r.withColumn("x", F.col("beat_idx").cast("double"))
+    assert sorted((x["name"], x["value"]) for x in J.interpolate(q.filter("t IS NOT NULL"), s, "t", "x").collect()) == [("a", 7.5), ("a", 7.5), ("b", 8.0), ("c", None), ("d", None)]
+    assert J.nearest(q.limit(0), r, "t", "t").count() == 0 and J.nearest(q, r.limit(0), "t", "t").filter("near IS NOT NULL").count() == 0
+
+
+@pytest.mark.parametrize("step", [N.monophonic, N.octave_context, N.octave_smooth, N.octave_dedup])
+def test_note_steps_on_empty_repeats_and_more_columns(spark, step):
+    one = spark.createDataFrame([(1, 0, 0.0, 1.0, 60.0, 0.5, "x", None)], "track long, note_id long, onset_s double, offset_s double, midi double, velocity double, ns string, acc int")
+    assert step(one.limit(0), ["track"]).count() == 0
+    assert [tuple(r) for r in step(one, ["track"]).collect()] == [tuple(one.first())]
+    twice = step(one.union(one), ["track"])
+    assert twice.columns == one.columns and twice.count() == (1 if step is N.monophonic else 2)
+
+
+def test_sections_of_tracks_without_anything(spark):
+    d = spark.createDataFrame([(1, 30.0), (2, None)], "track long, duration double")
+    none = spark.createDataFrame([], "track long, t double")
+    assert sorted(r["t"] for r in ST.cluster_boundaries(none, d.filter("track = 1"), 12.0).collect()) == [0.0, 30.0]
+    s = ST.spans(ST.cluster_boundaries(none, d.filter("track = 1"), 12.0)).collect()
+    assert [(r["idx"], r["start_s"], r["end_s"]) for r in s] == [(0, 0.0, 30.0)]
+    f = spark.createDataFrame([], "track long, frame_idx int, t double, tension double")
+    sec = spark.createDataFrame([(1, 0, 0.0, 30.0)], "track long, idx int, start_s double, end_s double")
+    assert [(r["sub"], r["energy"]) for r in ST.subsections(f, sec).collect()] == [(0, "mid")]
+
+
+def test_matching_without_one_side(spark):
+    t = lambda xs: spark.createDataFrame([(1, float(x)) for x in xs], "track long, t double")
+    r = E.match_onsets(t([1, 1, 2]), t([1, 1.04, 1.04]), 0.05).first()
+    assert (r["n_ref"], r["n_det"], r["matched"]) == (3, 3, 2)
+    assert E.match_onsets(t([]), t([]), 0.05).count() == 0
+
+
+def test_corrections_that_come_twice(spark):
+    w = spark.createDataFrame([(1, 0, "a b", 0, 0.0, 1.0), (1, 0, "a b", 1, 1.0, 2.0)], "song long, line_idx int, text string, word_idx int, start_s double, end_s double")
+    c = spark.createDataFrame([(1, 0, "a b", 0, "corrected", 0.5, 0.9), (1, 0, "a b", 0, "auto", 0.1, 0.2), (1, 0, "a b", 0, "corrected", 0.4, 0.9)], "song long, line_idx int, text string, word_idx int, status string, start_s double, end_s double")
+    assert sorted((r["word_idx"], r["start_s"], r["outcome"]) for r in L.apply_corrections(w, c).collect()) == [(0, 0.5, "corrected"), (1, 1.0, "auto")]
