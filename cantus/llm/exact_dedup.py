@@ -1,11 +1,15 @@
 """Exact deduplication with a log-structured merge index of text digests.
 
-Rows enter memtables (``run`` below); each memtable is flushed as a run sorted
-by digest; runs have no filters of their own.  Compaction merges the runs by a group-by
-into one entry per digest that keeps the smallest and the largest identifier.
-A digest that more than one row carries is a hit, and hits are verified byte
-by byte against the text of the row that stays, so that equal digests of
-different texts would still come out as different texts.
+Rows enter memtables of a bounded number of rows; each memtable is flushed as
+a run sorted by digest.  Compaction merges runs into a level: one entry per
+digest with the smallest and the largest identifier and the number of rows,
+and beside it a filter, a bitmap of its digests.  A later batch becomes a
+level of its own; two levels are merged by grouping just those entries that
+the other level's filter may hold, and a look-up reads the entries only for
+digests that the filter may hold.  A digest that more than one row carries is
+a hit, and hits are verified byte by byte against the text of the row that
+stays, so that equal digests of different texts would still come out as
+different texts.
 
 Only DataFrame functions are used: no Python runs on the executors.
 """
@@ -14,93 +18,158 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import ascii_lower, save
 
-#: Bits of the hit filter; 2^23 bits are 1 MB, whatever the input's size.
-FILTER_BITS = 1 << 23
+#: Rows of a memtable, and so of a run.
+MEMTABLE_ROWS = 1 << 16
+#: Bits of a filter for each value, and its bounds: 4 KB to 32 MB, so it may be broadcast.
+BITS_PER_VALUE, LEAST_BITS, MOST_BITS = 16, 1 << 15, 1 << 28
 #: bitmap_construct_agg keeps 32,768 bits in a bucket.
 _BUCKET = 32768
+#: Rows of one digest that are verified in one task, about.
+SALT_ROWS = 256
 
 
 @dataclass
-class DigestIndex:
-    """``runs``: (run, digest, doc_id) sorted by digest in each file; ``entries``: one row per digest."""
+class Filter:
+    """A bitmap of values: rows (bucket, bits) of ``size`` bits in all.  Beyond MOST_BITS / 16 values more and more pass; none is lost."""
+
+    rows: DataFrame
+    size: int
+
+
+@dataclass
+class Level:
+    """``entries``: digest, least_id, most_id, n, sorted by digest in each file; ``filter``: of their digests."""
 
-    runs: DataFrame
     entries: DataFrame
+    filter: Filter
 
 
-def flush_runs(docs: DataFrame, memtables: int = 16) -> DataFrame:
-    """Memtables of (digest, doc_id), each written as sorted files of its own folder.
+def digest_of(text: Column) -> Column:
+    """SHA-256 of a text with A-Z lower-cased; a null is the empty text."""
+    return F.unhex(F.sha2(ascii_lower(text).cast("binary"), 256))
 
-    The digest column is sorted; it has no Parquet bloom filter, and no batch
-    is looked up in the runs.
-    """
-    rows = docs.select(
-        F.pmod(F.hash("doc_id"), F.lit(memtables)).alias("run"),
-        F.unhex(F.sha2(ascii_lower(F.col("text")).cast("binary"), 256)).alias("digest"),
-        "doc_id",
-    )
-    return save(rows.sortWithinPartitions("run", "digest"), "digest-runs", ["run"])
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    while name in df.columns:
+        name += "_"
+    return name
 
-def compact(runs: DataFrame) -> DataFrame:
-    """One entry per digest: smallest and largest identifier, and how many rows carry it."""
-    return runs.groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.max("doc_id").alias("most_id"), F.count("*").alias("n"))
 
+# Filters ---------------------------------------------------------------------
 
-def build(docs: DataFrame, memtables: int = 16) -> DigestIndex:
-    runs = flush_runs(docs, memtables)
-    return DigestIndex(runs, save(compact(runs), "digest-entries"))
 
+def _bit(value: Column, size: int) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(size))
 
-def bitmap_of(rows: DataFrame, column: str) -> DataFrame:
-    """At most FILTER_BITS / 32,768 rows (bucket, bits): a bitmap that holds every value of ``column``."""
-    bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
-    return rows.groupBy((bit / _BUCKET).cast("int").alias("bucket")).agg(F.bitmap_construct_agg((bit % _BUCKET).cast("long")).alias("bits"))
 
+def filter_of(rows: DataFrame, column: str) -> Filter:
+    """The filter of all values of ``column``, sized by how many rows there are."""
+    wanted = max(LEAST_BITS, BITS_PER_VALUE * rows.count())
+    size = min(MOST_BITS, 1 << (wanted - 1).bit_length())
+    bit = _bit(F.col(column), size)
+    bits = rows.groupBy((bit / _BUCKET).cast("int").alias("bucket")).agg(F.bitmap_construct_agg((bit % _BUCKET).cast("long")).alias("bits"))
+    return Filter(save(bits, "filter"), size)
 
-def probe(rows: DataFrame, column: str, bitmap: DataFrame, held: bool = True) -> DataFrame:
-    """The rows whose value the bitmap may hold, or with ``held`` false those that it surely doesn't hold.
 
-    The bitmap is bounded by FILTER_BITS, so it is broadcast.
+def probe(rows: DataFrame, column: str, of: Filter, held: bool = True) -> DataFrame:
+    """The rows whose value the filter may hold, or with ``held`` false those that it surely doesn't hold.
+
+    The filter is bounded by MOST_BITS, so it is broadcast.
     """
-    placed = rows.withColumn("__bit", F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))).withColumn("__bucket", (F.col("__bit") / _BUCKET).cast("int"))
-    joined = placed.join(F.broadcast(bitmap.toDF("__bucket", "__bits")), "__bucket", "left")
-    byte = f"conv(hex(substring(__bits, cast((__bit % {_BUCKET}) div 8 as int) + 1, 1)), 16, 10)"
-    has = F.coalesce(F.expr(f"shiftright(cast({byte} as int), cast(__bit % 8 as int)) & 1") == 1, F.lit(False))
+    bit, bucket, bits = (free_name(rows, x) for x in ("__bit", "__bucket", "__bits"))
+    placed = rows.withColumn(bit, _bit(F.col(column), of.size)).withColumn(bucket, (F.col(bit) / _BUCKET).cast("int"))
+    joined = placed.join(F.broadcast(of.rows.toDF(bucket, bits)), bucket, "left")
+    byte = f"conv(hex(substring({bits}, cast(({bit} % {_BUCKET}) div 8 as int) + 1, 1)), 16, 10)"
+    has = F.coalesce(F.expr(f"shiftright(cast({byte} as int), cast({bit} % 8 as int)) & 1") == 1, F.lit(False))
     return joined.filter(has if held else ~has).select(rows.columns)
 
 
+# The index -------------------------------------------------------------------
+
+
+def flush_runs(docs: DataFrame, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
+    """(run, digest, doc_id): memtables of at most ``memtable_rows`` rows in their order of arrival, each sorted by digest."""
+    at = F.monotonically_increasing_id()  # task << 33 | row
+    run = F.shiftleft(F.shiftright(at, 33), 24) + F.floor(at.bitwiseAND(F.lit((1 << 33) - 1)) / memtable_rows)
+    rows = docs.select(run.alias("run"), digest_of(F.col("text")).alias("digest"), "doc_id")
+    return save(rows.sortWithinPartitions("run", "digest"), "digest-runs")
+
+
+def _level(entries: DataFrame) -> Level:
+    entries = save(entries.sortWithinPartitions("digest"), "digest-entries")
+    return Level(entries, filter_of(entries, "digest"))
+
+
+def compact(runs: DataFrame) -> Level:
+    """Merges runs: one entry per digest."""
+    return _level(runs.groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.max("doc_id").alias("most_id"), F.count("*").alias("n")))
+
+
+def build(docs: DataFrame, memtable_rows: int = MEMTABLE_ROWS) -> Level:
+    return compact(flush_runs(docs, memtable_rows))
+
+
+def merge(a: Level, b: Level) -> Level:
+    """One level of two; only entries that the other's filter may hold are grouped again."""
+    both = probe(a.entries, "digest", b.filter).unionByName(probe(b.entries, "digest", a.filter))
+    merged = both.groupBy("digest").agg(F.min("least_id").alias("least_id"), F.max("most_id").alias("most_id"), F.sum("n").alias("n"))
+    return _level(merged.unionByName(probe(a.entries, "digest", b.filter, held=False)).unionByName(probe(b.entries, "digest", a.filter, held=False)))
+
+
+def copies_of(batch: DataFrame, stored: DataFrame, level: Level) -> DataFrame:
+    """Rows of a later batch (doc_id, text) whose text a stored document has: doc_id, copy_of (the smallest identifier), text_sha256.
+
+    stored: the documents behind ``level``.  Hits are verified on the whole
+    texts; a digest's stored text is read once, by its smallest identifier.
+    """
+    mine = batch.select("doc_id", ascii_lower(F.col("text")).alias("norm"), digest_of(F.col("text")).alias("digest"))
+    found = probe(mine, "digest", level.filter).join(level.entries.select("digest", F.col("least_id").alias("copy_of")), "digest")
+    wanted = found.select("digest", "copy_of").distinct()
+    theirs = stored.select(F.col("doc_id").alias("copy_of"), ascii_lower(F.col("text")).alias("kept_norm"), digest_of(F.col("text")).alias("digest"))
+    texts = theirs.join(wanted, theirs["digest"].eqNullSafe(wanted["digest"]) & theirs["copy_of"].eqNullSafe(wanted["copy_of"]), "left_semi").groupBy("digest").agg(F.first("kept_norm").alias("kept_norm"))
+    return found.join(texts, "digest").filter("norm = kept_norm").select("doc_id", "copy_of", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+# Groups ----------------------------------------------------------------------
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id isn't in ``gone`` (doc_id), columns as they are.
+    """The rows of ``docs`` that aren't in ``gone``, columns as they are.
 
-    Rows outside the bitmap of what goes stay where they are; only the rest
-    is shuffled to be compared exactly.
+    gone: doc_id, and text_sha256 if rows of one id are to be told apart by
+    their texts (lower-cased A-Z).  Rows outside the filter of what goes stay
+    where they are; only the rest is shuffled to be compared exactly.
     """
-    gone = gone.select(F.col("doc_id").alias("__gone")).distinct()
-    bitmap = bitmap_of(gone, "__gone")
-    suspects = probe(docs, "doc_id", bitmap)
-    stay = suspects.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
-    return probe(docs, "doc_id", bitmap, held=False).unionByName(stay)
+    by_text = "text_sha256" in gone.columns
+    gone = gone.select(F.col("doc_id").alias("__gone"), (F.col("text_sha256") if by_text else F.lit(None).cast("string")).alias("__text")).distinct()
+    held = filter_of(gone, "__gone")
+    same = F.col("doc_id").eqNullSafe(F.col("__gone"))
+    if by_text:
+        same &= F.lower(F.hex(digest_of(F.col("text")))) == F.col("__text")
+    stay = probe(docs, "doc_id", held).join(gone, same, "left_anti")
+    return probe(docs, "doc_id", held, held=False).unionByName(stay)
 
 
 def keep_one(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they are."""
     groups = save(exact_groups(docs, keep).select("doc_id", "kept", "text_sha256"), "exact-groups")
-    bitmap = bitmap_of(groups.filter("NOT kept"), "doc_id")
-    suspects = probe(docs, "doc_id", bitmap).withColumn("__sha", F.sha2(ascii_lower(F.col("text")).cast("binary"), 256))
-    kept = groups.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept_sha"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__kept_sha"))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "__sha").orderBy(F.lit(0)))
-    stay = suspects.join(kept, same, "left_semi").withColumn("__nth", nth).filter("__nth = 1").select(docs.columns)
-    return probe(docs, "doc_id", bitmap, held=False).unionByName(stay)
+    held = filter_of(groups.filter("NOT kept"), "doc_id")
+    sha, nth = free_name(docs, "__sha"), free_name(docs, "__nth")
+    suspects = probe(docs, "doc_id", held).withColumn(sha, F.lower(F.hex(digest_of(F.col("text")))))
+    kept = groups.filter("kept").select(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_sha"))
+    same = F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (F.col(sha) == F.col("__kept_sha"))
+    first = F.row_number().over(Window.partitionBy("doc_id", sha).orderBy(F.lit(0)))
+    stay = suspects.join(kept, same, "left_semi").withColumn(nth, first).filter(F.col(nth) == 1).select(docs.columns)
+    return probe(docs, "doc_id", held, held=False).unionByName(stay)
 
 
-def exact_groups(docs: DataFrame, keep: str = "largest", memtables: int = 16) -> DataFrame:
+def exact_groups(docs: DataFrame, keep: str = "largest", memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
     """Groups of equal texts; equal means identical after lower-casing A-Z.
 
     docs: doc_id, text and any other columns (they are ignored, whatever
@@ -111,16 +180,20 @@ def exact_groups(docs: DataFrame, keep: str = "largest", memtables: int = 16) ->
     and one text count as rows of the group, and just one of them is kept.
     A null doc_id is below all others: such a row stays only in a group
     without another id.  An empty table gives an empty result.
+
+    Texts of one digest are dealt to several tasks, about SALT_ROWS to each,
+    and the text of the row that stays goes to all of them.
     """
     docs = docs.select("doc_id", "text")
-    index = build(docs, memtables)
+    entries = build(docs, memtable_rows).entries
     winner = "most_id" if keep == "largest" else "least_id"
-    hits = index.entries.filter("n > 1").select("digest", F.col(winner).alias("keep_id"))
-    texts = docs.select("doc_id", ascii_lower(F.col("text")).alias("norm"))
-    texts = texts.withColumn("digest", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)))
-    suspects = save(probe(texts, "digest", bitmap_of(hits, "digest")).join(hits, "digest"), "digest-hits")
-    stays = suspects.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.max("norm").alias("kept_norm"))
-    verified = suspects.join(stays, "digest").select("digest", "doc_id", F.when(F.col("norm") != F.col("kept_norm"), F.col("norm")).alias("other"))
+    hits = save(entries.filter("n > 1").select("digest", F.col(winner).alias("keep_id"), F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts")), "hits")
+    texts = docs.select("doc_id", ascii_lower(F.col("text")).alias("norm"), digest_of(F.col("text")).alias("digest"))
+    suspects = save(probe(texts, "digest", filter_of(hits, "digest")).join(hits, "digest"), "digest-hits")
+    stays = suspects.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.max("norm").alias("kept_norm"), F.max("salts").alias("salts"))
+    stays = stays.select("digest", "kept_norm", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    dealt = suspects.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).drop("salts")
+    verified = dealt.join(stays, ["digest", "salt"]).select("digest", "doc_id", F.when(F.col("norm") != F.col("kept_norm"), F.col("norm")).alias("other"))
     # Dealt anew by id, so that a join partition of one hot digest can be split.
     verified = save(verified.repartition("doc_id").groupBy("digest", "other", "doc_id").agg(F.count("*").alias("copies")), "verified-hits")
     pick = F.max if keep == "largest" else F.min
@@ -128,7 +201,7 @@ def exact_groups(docs: DataFrame, keep: str = "largest", memtables: int = 16) ->
     same = (F.col("v.digest") == F.col("c.digest")) & F.col("v.other").eqNullSafe(F.col("c.other"))
     several = verified.alias("v").join(classes.alias("c"), same).select("v.digest", "v.doc_id", "v.copies", "c.keep_id", "c.group_size")
     several = several.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
-    single = index.entries.filter("n = 1").select("digest", F.col("most_id").alias("doc_id"), F.col("most_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(1).alias("nth"))
+    single = entries.filter("n = 1").select("digest", F.col("most_id").alias("doc_id"), F.col("most_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(1).alias("nth"))
     return several.unionByName(single).select(
         "doc_id",
         "keep_id",
