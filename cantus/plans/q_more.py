@@ -166,6 +166,17 @@ def cache_compatible(spark, sf):
     return p.select("p_partkey", files.cache_compatible(F.col("p_size") % 10, 7, (a, b)).alias("usable"))
 
 
+@query("backend_order", """WITH p AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'auto' WHEN 1 THEN 'whisperx' ELSE 'own' END AS asked, list_filter([CASE WHEN p_size % 2 = 0 THEN 'whisper' END, CASE WHEN p_size % 3 = 0 THEN 'whisperx' END, CASE WHEN p_size % 5 = 0 THEN 'stable_whisper' END, 'other'], lambda x: x IS NOT NULL) AS have FROM part),
+  k AS (SELECT *, list_filter(['whisperx', 'stable_whisper', 'whisper'], lambda b: list_contains(have, b)) AS known FROM p)
+  SELECT p_partkey, array_to_string(CASE WHEN asked <> 'auto' THEN [asked] WHEN len(known) > 0 THEN known ELSE ['whisper'] END, ',') AS tried FROM k""")
+def backend_order(spark, sf):
+    """Which back ends each part would try: it asks for any or for one, and some are there."""
+    p = V.table(spark, sf, "part")
+    k, n = F.col("p_partkey") % 3, F.col("p_size")
+    have = F.array_compact(F.array(F.when(n % 2 == 0, "whisper"), F.when(n % 3 == 0, "whisperx"), F.when(n % 5 == 0, "stable_whisper"), F.lit("other")))
+    return p.select("p_partkey", F.array_join(files.backend_order(F.when(k == 0, "auto").when(k == 1, "whisperx").otherwise("own"), have), ",").alias("tried"))
+
+
 @query("json_paths", "SELECT event_id, coalesce(CAST(props->>'$.k' AS BIGINT), -1) AS k, coalesce(props->>'$.layer.name', 'none') AS layer FROM events")
 def json_paths(spark, sf):
     """Paths into JSON with defaults for what is missing."""

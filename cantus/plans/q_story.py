@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -350,7 +352,7 @@ def content_ids(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", files.content_id(F.col("text").cast("binary")).alias("song_id"))
 
 
-@query("output_names", """WITH b AS (SELECT page_id::VARCHAR AS song_id, trim(regexp_replace(regexp_replace(url, '[^A-Za-z0-9._ -]+', '_', 'g'), '\\s+', ' ', 'g')) AS n FROM pages), c AS (SELECT song_id, CASE WHEN rtrim(n[1:96]) = '' THEN 'untitled' ELSE rtrim(n[1:96]) END AS base FROM b)
+@query("output_names", """WITH b AS (SELECT page_id::VARCHAR AS song_id, trim(regexp_replace(regexp_replace(regexp_replace(trim(url), '[/\\\\]', '-', 'g'), '[^A-Za-z0-9_ .()\\[\\]-]+', '_', 'g'), '\\s+', ' ', 'g')) AS n FROM pages), c AS (SELECT song_id, CASE WHEN rtrim(n[1:96]) = '' THEN 'song' ELSE rtrim(n[1:96]) END AS base FROM b)
        SELECT song_id, CASE WHEN count(*) OVER (PARTITION BY base) > 1 THEN base || '__' || song_id ELSE base END AS dir FROM c""")
 def output_names(spark, sf):
     return files.output_names(V.table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("song_id"), F.col("url").alias("title")))
@@ -434,3 +436,11 @@ def stream_sessions(spark, sf):
 @query("stream_sliding", """SELECT start, user_id AS track, max(value) AS peak FROM (SELECT *, unnest([time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01'), time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') - INTERVAL 6 HOUR]) AS start FROM events) GROUP BY ALL""")
 def stream_sliding(spark, sf):
     return live.sliding(V.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("stream_decay", """WITH e AS (SELECT user_id AS track, event_id, epoch_us(ts) AS us, max(CASE WHEN event_type = 'error' THEN epoch_us(ts) END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last FROM events)
+  SELECT track, event_id, floor(round(coalesce(exp(-(us - last) / 1e6 / 43200.0::DOUBLE), 0), 6) * 10000 + 1e-6) / 10000 AS pulse FROM e""")
+def stream_decay(spark, sf):
+    """Decay since a track's last error event, as a stream with state that is run over all events there are."""
+    out = live.drain(live.decay(live.read_events(spark, sf)), f"decay_{uuid.uuid4().hex[:12]}")
+    return out.withColumn("pulse", F.floor(F.col("pulse") * 10000 + 1e-6) / 10000.0)

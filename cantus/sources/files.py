@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,12 +53,23 @@ def gm_component(note: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in GM_DRUMS.items() for x in kv])[note], F.lit("kick"))
 
 
+@F.arrow_udf(T.StringType())
+def unaccented(names: pa.Array) -> pa.Array:
+    """Texts in compatibility decomposition without combining marks."""
+    plain = lambda s: s if s is None or s.isascii() else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+    return pa.array([plain(s) for s in names.to_pylist()], pa.string())
+
+
 def safe_name(name: Column, longest: int = 96) -> Column:
-    """A folder name: letters, digits, dots, dashes, underscores and spaces; runs of anything else are one underscore."""
-    plain = F.translate(name, "ÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜàáâäçèéêëíîïñóôöùúûü", "AAAACEEEEIIINOOOUUUUaaaaceeeeiiinooouuuu")
-    clean = F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^A-Za-z0-9._ -]+", "_"), r"\s+", " "))
+    """A folder name: letters, digits, underscores, dots, dashes, brackets and spaces; slashes are dashes, runs of anything else one underscore.
+
+    Letters lose their accents by compatibility decomposition, which Spark has
+    no function for, so an Arrow function does it.  An empty name is ``song``.
+    """
+    dashed = F.regexp_replace(unaccented(F.trim(F.coalesce(name, F.lit("")))), r"[/\\]", "-")
+    clean = F.trim(F.regexp_replace(F.regexp_replace(dashed, r"[^A-Za-z0-9_ .()\[\]-]+", "_"), r"\s+", " "))
     cut = F.rtrim(F.substring(clean, 1, longest))
-    return F.when(cut == "", F.lit("untitled")).otherwise(cut)
+    return F.when(cut == "", F.lit("song")).otherwise(cut)
 
 
 def output_names(songs: DataFrame) -> DataFrame:

@@ -39,9 +39,9 @@ def test_layer_overwrite(spark, tmp_path):
 
 
 def test_names_and_cache(spark):
-    df = spark.createDataFrame([("1", "Café / Été"), ("2", "Cafe ? Ete"), ("3", ""), ("4", "x" * 200)], "song_id string, title string")
+    df = spark.createDataFrame([("1", "Café / Été"), ("2", " Cafe \\ Ete "), ("3", ""), ("4", "x" * 200), ("5", "ﬁne №1 [live] (a):b?"), ("6", "Ơ Ǻ ß")], "song_id string, title string")
     got = dict(map(tuple, files.output_names(df).collect()))
-    assert got == {"1": "Cafe _ Ete__1", "2": "Cafe _ Ete__2", "3": "untitled", "4": "x" * 96}
+    assert got == {"1": "Cafe - Ete__1", "2": "Cafe - Ete__2", "3": "song", "4": "x" * 96, "5": "fine No1 [live] (a)_b_", "6": "O A _"}
     r = spark.range(1).select(files.cache_compatible(F.lit(7), 7, (F.lit(None), F.lit(None))), files.cache_compatible(F.lit(6), 7), files.cache_compatible(F.lit(None).cast("int"), 7)).first()
     assert tuple(r) == (True, False, False)
     order = spark.range(1).select(files.backend_order(F.lit("auto"), F.array(F.lit("whisper"), F.lit("whisperx"))), files.backend_order(F.lit("auto"), F.array().cast("array<string>")), files.backend_order(F.lit("mine"), F.array(F.lit("whisper")))).first()
