@@ -12,6 +12,7 @@ from ..operators import lyrics as L
 from ..operators import notes as N
 from ..operators import series as T
 from ..operators import story as ST
+from ..operators import structure as STR
 from ..sources import files
 from . import views as V
 from .q_series import _N01, _TEN
@@ -214,3 +215,14 @@ def metric_rollup(spark, sf):
     li = V.table(spark, sf, "lineitem").select(F.col("l_linestatus").alias("layer"), F.col("l_returnflag").alias("metric"), F.col("l_suppkey").alias("song"), F.col("l_quantity").alias("v"))
     layer, metric, song = F.col("layer"), F.col("metric"), F.col("song")
     return li.groupingSets([[layer, metric], [layer, metric, song]], layer, metric, song).agg(F.round(F.avg("v"), 4).alias("mean"), F.count("*").alias("n"))
+
+
+@query("song_boundaries", None)
+def song_boundaries(spark, sf):
+    """Boundaries of the frames with stand-in beats, one a second, whose vectors change every 40 s."""
+    f = T.tension(V.frames(spark, sf))
+    duration = f.groupBy("track").agg((F.max("t") + 0.5).alias("duration"))
+    one = lambda k: F.array(*[(((F.col("track") + F.floor(F.col("beat_idx") / 40)) * (i + k) % 7) / 7.0) for i in range(12)])
+    beats = duration.select("track", F.explode(F.sequence(F.lit(0), F.floor("duration").cast("int"))).alias("beat_idx"))
+    beats = beats.select("track", "beat_idx", F.col("beat_idx").cast("double").alias("t"), one(1).alias("chroma"), one(3).alias("mfcc"))
+    return STR.boundaries(f, beats, duration)

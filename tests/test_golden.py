@@ -422,3 +422,23 @@ def test_corrections_that_come_twice(spark):
     w = spark.createDataFrame([(1, 0, "a b", 0, 0.0, 1.0), (1, 0, "a b", 1, 1.0, 2.0)], "song long, line_idx int, text string, word_idx int, start_s double, end_s double")
     c = spark.createDataFrame([(1, 0, "a b", 0, "corrected", 0.5, 0.9), (1, 0, "a b", 0, "auto", 0.1, 0.2), (1, 0, "a b", 0, "corrected", 0.4, 0.9)], "song long, line_idx int, text string, word_idx int, status string, start_s double, end_s double")
     assert sorted((r["word_idx"], r["start_s"], r["outcome"]) for r in L.apply_corrections(w, c).collect()) == [(0, 0.5, "corrected"), (1, 1.0, "auto")]
+
+
+def test_song_boundaries(spark):
+    """Two minutes, quiet and of one sound, then loud and of another, then as at first."""
+    from cantus.operators import structure as X
+
+    loud = lambda t: 1.0 if 40 <= t < 80 else 0.2
+    f = spark.createDataFrame([(1, i, i * 0.5, loud(i * 0.5), 10 * loud(i * 0.5), 0.1 + 0.01 * (i % 3)) for i in range(240)], "track long, frame_idx int, t double, rms double, onset double, centroid double")
+    one, other = [1.0] + [0.0] * 11, [0.0] * 11 + [1.0]
+    b = spark.createDataFrame([(1, i, float(i), other if 40 <= i < 80 else one, [float(40 <= i < 80)] * 10 + [1.0] * 10) for i in range(120)], "track long, beat_idx int, t double, chroma array<double>, mfcc array<double>")
+    cuts = sorted(r["t"] for r in X.novelty_boundaries(b).collect())
+    assert len(cuts) == 2 and abs(cuts[0] - 40) <= 2 and abs(cuts[1] - 80) <= 2
+    d = spark.createDataFrame([(1, 120.0)], "track long, duration double")
+    got = sorted(r["t"] for r in X.boundaries(T.tension(f), b, d).collect())
+    assert got[0] == 0.0 and got[-1] == 120.0 and all(y - x >= 12 for x, y in zip(got, got[1:]))
+    assert min(abs(t - 40) for t in got) <= 6 and min(abs(t - 80) for t in got) <= 6
+    assert X.novelty_boundaries(b.limit(0)).count() == 0
+    sec = spark.createDataFrame([(1, 0, 0.0, 40.0, 0.1, 0.2), (1, 1, 40.0, 80.0, 0.9, 0.8), (2, 0, 0.0, 1.0, 0.5, 0.5)], "track long, idx int, start_s double, end_s double, mean_rms double, onset_density double")
+    vec = {(r["track"], r["idx"]): r["vec"] for r in X.section_vectors(sec, b, sec).collect()}
+    assert vec[1, 0] == [0.0] * 10 + [1.0] * 10 + one + [0.1, 0.2] and vec[1, 1] == [1.0] * 20 + other + [0.9, 0.8] and vec[2, 0] == [0.0] * 32 + [0.5, 0.5]

@@ -56,6 +56,7 @@ RULES = {
     "vocal_chain": lambda p: p["midi"].notna().all() and (p["offset_s"] >= p["onset_s"]).all(),
     "bass_chain": lambda p: p["velocity"].between(0, 1).all() and (p["offset_s"] > p["onset_s"]).all(),
     "tracked_chains": lambda p: set(p["layer"]) == {"vocals", "bass"} and (p["offset_s"] > p["onset_s"]).all(),
+    "song_boundaries": lambda p: (p.groupby("track")["t"].min() == 0).all() and (p.sort_values(["track", "t"]).groupby("track")["t"].diff().dropna() >= 12).all(),
     "notes_from_pitch": lambda p: (p["offset_s"] - p["onset_s"] >= 1.5).all() and p["velocity"].between(0, 1).all(),
 }
 

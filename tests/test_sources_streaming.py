@@ -48,6 +48,12 @@ def test_names_and_cache(spark):
     assert [list(x) for x in order] == [["whisperx", "whisper"], ["whisper"], ["mine"]]
 
 
+def test_cache_by_size_and_time(spark):
+    work = spark.createDataFrame([("a", 5, 1.0), ("b", 5, 1.0), ("c", 5, 1.0), ("d", 5, 1.0)], "path string, size_bytes long, mtime double")
+    done = spark.createDataFrame([("a", 5, 1.0, 9), ("b", 6, 1.0, 9), ("c", 5, 2.0, 9), ("d", 5, 1.0, 0)], "path string, size_bytes long, mtime double, n_bytes long")
+    assert sorted(r["path"] for r in files.stale(work, done, ["path", "size_bytes", "mtime"]).collect()) == ["b", "c", "d"]
+
+
 def same(a, b):
     return sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
