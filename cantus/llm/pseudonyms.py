@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import calendar
 import hashlib
+import ipaddress
 import re
+import secrets
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -21,14 +23,17 @@ from datetime import date, timedelta
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .shared import small_batches
 
+KEY_SETTING = "spark.cantus.pii.key"
 ROUNDS = 10
 DIGITS, LETTERS = "0123456789", "abcdefghijklmnopqrstuvwxyz"
-DAY_0, DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 MONTHS = list(calendar.month_name)[1:]
+SHORT_MONTHS = list(calendar.month_abbr)[1:]
+#: Dates are permuted within the 200 years that begin at 1500, 1700, 1900, ..., so a date of any year has a pseudonym of its own era.
+ERA, FIRST_ERA = 200, 1500
 
 
 def permute(value: int, size: int, key: bytes, tweak: str) -> int:
@@ -37,11 +42,12 @@ def permute(value: int, size: int, key: bytes, tweak: str) -> int:
         return value
     half = max(1, (max(size - 1, 1).bit_length() + 1) // 2)
     mask, width = (1 << half) - 1, (half + 7) // 8
-    base = hashlib.blake2b(f"{tweak}|{size}".encode(), key=key[:64], digest_size=32).digest()
+    base = hashlib.blake2b(f"{tweak}|{size}".encode(), key=hashlib.sha512(key).digest(), digest_size=32).digest()
     while True:
         left, right = value >> half, value & mask
         for r in range(ROUNDS):
-            f = hashlib.blake2b(bytes([r]) + right.to_bytes(width, "big"), key=base, digest_size=max(8, width)).digest()
+            said = bytes([r]) + right.to_bytes(width, "big")
+            f = hashlib.blake2b(said, key=base, digest_size=max(8, width)).digest() if width <= 64 else hashlib.shake_256(base + said).digest(width)
             left, right = right, left ^ int.from_bytes(f, "big") & mask
         value = left << half | right
         if value < size:
@@ -152,11 +158,14 @@ def email(s: str, key: bytes) -> str | None:
 
 
 def _day(y: int, m: int, d: int, key: bytes) -> date | None:
+    """Another day of the same era: 200 years, of which the last may end at 9999."""
     try:
-        n = (date(y, m, d) - DAY_0).days
+        old = date(y, m, d)
     except ValueError:
         return None
-    return DAY_0 + timedelta(permute(n, DAYS, key, "date")) if 0 <= n < DAYS else None
+    first = FIRST_ERA + (y - FIRST_ERA) // ERA * ERA
+    begin, end = date(max(first, 1), 1, 1), date(min(first + ERA - 1, 9999), 12, 31)
+    return begin + timedelta(permute((old - begin).days, (end - begin).days + 1, key, f"date{first}"))
 
 
 def iso_date(s: str, key: bytes) -> str | None:
@@ -164,6 +173,12 @@ def iso_date(s: str, key: bytes) -> str | None:
     return new and new.isoformat()
 
 
+def dashed_date(s: str, key: bytes) -> str | None:
+    """Day and month with dashes; as with dots the day comes first if both can."""
+    new = short_date(s.replace("-", "."), key)
+    return new and new.replace(".", "-")
+
+
 def short_date(s: str, key: bytes) -> str | None:
     """Day and month by which one can be a month; the day comes first if both can."""
     a, b, y = map(int, re.split("[/.]", s))
@@ -174,27 +189,40 @@ def short_date(s: str, key: bytes) -> str | None:
     first, second = (new.day, new.month) if day_first else (new.month, new.day)
     wa, wb = (len(x) for x in re.split("[/.]", s)[:2])
     sep = re.findall("[/.]", s)
-    return f"{first:0{wa}d}{sep[0]}{second:0{wb}d}{sep[1]}{new.year}"
+    return f"{first:0{wa}d}{sep[0]}{second:0{wb}d}{sep[1]}{new.year:04d}"
 
 
 def long_date(s: str, key: bytes) -> str | None:
-    words = s.replace(",", " ").split()
+    """A month by its name or its first three letters; the form stays."""
+    words = s.replace(",", " ").replace(".", " ").split()
     month_first = not words[0].isdigit()
     m, d = (words[0], words[1]) if month_first else (words[1], words[0])
-    new = _day(int(words[2]), MONTHS.index(m) + 1, int(d), key)
+    names = MONTHS if m in MONTHS else SHORT_MONTHS
+    new = _day(int(words[2]), names.index(m) + 1, int(d), key)
     if not new:
         return None
-    name = MONTHS[new.month - 1]
-    return f"{name} {new.day}, {new.year}" if month_first else f"{new.day} {name} {new.year}"
+    name = names[new.month - 1] + ("." if f"{m}." in s else "")
+    return f"{name} {new.day}{',' if ',' in s else ''} {new.year:04d}" if month_first else f"{new.day} {name} {new.year:04d}"
+
+
+def ipv6(s: str, key: bytes) -> str | None:
+    """Any valid address with at least two groups; written in its shortest form in lower case."""
+    try:
+        n = int(ipaddress.IPv6Address(s))
+    except ValueError:
+        return None
+    return str(ipaddress.IPv6Address(permute(n, 1 << 128, key, "ipv6")))
 
 
-_MONTH = "|".join(MONTHS)
+_MONTH = "(?:" + "|".join(MONTHS + [rf"{m}\.?" for m in SHORT_MONTHS]) + ")"
 #: Kinds in the order in which they claim a place; all repeats are bounded.
 NUMBERS: list[tuple[str, str, Callable]] = [
     ("ipv4", r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)", ipv4),
     ("iso_date", r"(?<![\w-])\d{4}-\d{2}-\d{2}(?!\d|-\d)", iso_date),
     ("short_date", r"(?<![\w/.])\d{1,2}[/.]\d{1,2}[/.]\d{4}(?!\w|[/.]\d)", short_date),
-    ("long_date", rf"(?<!\w)(?:\d{{1,2}} (?:{_MONTH}) \d{{4}}|(?:{_MONTH}) \d{{1,2}}, \d{{4}})(?!\w)", long_date),
+    ("long_date", rf"(?<!\w)(?:\d{{1,2}} {_MONTH} \d{{4}}|{_MONTH} \d{{1,2}},? \d{{4}})(?!\w)", long_date),
+    ("dashed_date", r"(?<![\w-])\d{1,2}-\d{1,2}-\d{4}(?!\w|-\d)", dashed_date),
+    ("ipv6", r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![\w:]|\.\d)", ipv6),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?!\w|-\d)", ssn),
     ("nanp", r"(?<!\w)\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w)", phone),
     ("card", r"(?<![\w+-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w|-\d)", card),
@@ -203,7 +231,7 @@ NUMBERS: list[tuple[str, str, Callable]] = [
     ("iban", r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", iban),
 ]
 _PATTERNS = [(kind, re.compile(p), f) for kind, p, f in NUMBERS]
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]{1,64}$")
+_NAME = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + LETTERS + DIGITS + "._%+-"
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])")
 
 
@@ -213,15 +241,28 @@ class Pseudonymiser:
     def __init__(self, key: bytes):
         self.one = lru_cache(maxsize=50_000)(lambda f, s: f(s, key))
 
+    @staticmethod
+    def _name_begin(text: str, at: int) -> int:
+        """Where the run of an address's name characters before ``at`` begins, however long it is."""
+        size = 64
+        while True:
+            lo = max(0, at - size)
+            rest = len(text[lo:at].rstrip(_NAME))
+            if rest or not lo:
+                return lo + rest
+            size *= 4
+
     def spans(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, kind, pseudonym), in order and apart."""
         found: list[tuple[int, int, str, str]] = []
         at = text.find("@")
         while at >= 0:
-            if (name := _LOCAL.search(text, max(0, at - 64), at)) and (domain := _DOMAIN.match(text, at + 1)):
-                found.append((name.start(), domain.end(), "email", self.one(email, text[name.start() : domain.end()])))
+            if (domain := _DOMAIN.match(text, at + 1)) and (begin := self._name_begin(text, at)) < at:
+                found.append((begin, domain.end(), "email", self.one(email, text[begin : domain.end()])))
             at = text.find("@", at + 1)
         for kind, pattern, f in _PATTERNS:
+            if kind == "ipv6" and text.count(":") < 2:
+                continue
             for m in pattern.finditer(text):
                 new = self.one(f, m[0])
                 if new is not None:
@@ -246,7 +287,16 @@ class Pseudonymiser:
         return "".join([*parts, text[at:]]) if parts else text, kinds
 
 
-_MAY = re.compile("[0-9@]")
+_MAY = re.compile("[0-9@]|::")
+
+
+def session_key(spark: SparkSession) -> str:
+    """The setting spark.cantus.pii.key; where it is unset, a random key that is kept for the session, so that nobody can undo its pseudonyms later."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
 
 
 def pseudonymise(docs: DataFrame, key: str | bytes, count: str | None = "n_pii") -> DataFrame:
@@ -259,6 +309,8 @@ def pseudonymise(docs: DataFrame, key: str | bytes, count: str | None = "n_pii")
     """
     small_batches(docs.sparkSession)
     raw = key.encode() if isinstance(key, str) else key
+    if not raw:
+        raise ValueError("pseudonyms need a key")
     keep = [c for c in docs.columns if c != count]
     schema = docs.select(keep).schema
     if count:

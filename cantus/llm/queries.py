@@ -27,15 +27,26 @@ def op1_kd_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rollup(spark: SparkSession, sf_dir: str, counters: dict) -> DataFrame:
-    """Loads all documents under each tokenizer version, takes a tenth back, puts it in again and replays a batch."""
+    """Batches over all documents under each tokenizer version: a load, a deletion, a revision, and two of them once more.
+
+    Documents whose id is 3 modulo 10 are deleted.  Those with 5 are revised:
+    their text is doubled and their language becomes ``xx``; those with 13
+    modulo 20 are revised after their deletion, that is put in again.  The
+    repeated batches change nothing.
+    """
     docs = table(spark, sf_dir, "documents")
-    tenth = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 3)
+    gone = docs.filter(F.pmod("doc_id", F.lit(10)) == 3)
+    doubled = docs.filter(F.pmod("doc_id", F.lit(10)) == 5).withColumns({"text": F.concat_ws(" ", "text", "text"), "lang": F.lit("xx")})
+    back = docs.filter(F.pmod("doc_id", F.lit(20)) == 13).select(doubled.columns)
     store = Rollup(spark, new_path(spark, "token-rollup"))
     for version, counter in counters.items():
-        store.apply(f"load-{version}", version, inserts=docs, counter=counter)
-        store.apply(f"take-{version}", version, deletes=tenth)
-        store.apply(f"again-{version}", version, inserts=tenth, counter=counter)
-        store.apply(f"load-{version}", version, inserts=docs, counter=counter)
+        load = {"version": version, "inserts": docs, "counter": counter}
+        revise = {"version": version, "revisions": doubled.unionByName(back), "counter": counter}
+        store.apply(f"load-{version}", **load)
+        store.apply(f"take-{version}", version, deletes=gone)
+        store.apply(f"revise-{version}", **revise)
+        store.apply(f"load-{version}", **load)
+        store.apply(f"revise-{version}", **revise)
     return store.totals()
 
 
@@ -65,8 +76,7 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = spark.conf.get("spark.cantus.pii.key", "cantus")
-    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pseudonyms.session_key(spark))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,9 +133,9 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(reached) AS
 """
 
 WORD_ROLLUP_SQL = r"""
-SELECT source, lang, 'words-1' AS version, count(*) AS docs,
-       CAST(sum(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))) AS BIGINT) AS tokens
-FROM documents GROUP BY source, lang
+WITH n AS (SELECT doc_id, source, lang, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS tokens FROM documents),
+now AS (SELECT source, CASE WHEN doc_id % 10 = 5 THEN 'xx' ELSE lang END AS lang, CASE WHEN doc_id % 10 = 5 THEN 2 * tokens ELSE tokens END AS tokens FROM n WHERE doc_id % 10 <> 3 OR doc_id % 20 = 13)
+SELECT source, lang, 'words-1' AS version, count(*) AS docs, CAST(sum(tokens) AS BIGINT) AS tokens FROM now GROUP BY source, lang
 """
 
 

@@ -69,12 +69,18 @@ class Rollup:
         paths = [self._path(kind, b) for b in self.committed()]
         return self.spark.read.parquet(*paths) if paths else None
 
-    def present(self, version: str) -> DataFrame | None:
-        """What the store holds under a version: (doc_id, source, lang, tokens, copies)."""
+    def present(self, version: str, ids: DataFrame | None = None) -> DataFrame | None:
+        """What the store holds under a version: (doc_id, source, lang, tokens, copies); only of the documents ``ids`` (doc_id), if given.
+
+        Signed rows of other documents are dropped before anything is grouped.
+        """
         facts = self._read("facts")
         if facts is None:
             return None
-        held = facts.filter(F.col("version") == version).groupBy("doc_id", "source", "lang", "tokens").agg(F.sum("sign").alias("copies"))
+        mine = facts.filter(F.col("version") == version)
+        if ids is not None:
+            mine = mine.join(ids, "doc_id", "left_semi")
+        held = mine.groupBy("doc_id", "source", "lang", "tokens").agg(F.sum("sign").alias("copies"))
         return held.filter("copies <> 0")
 
     def apply(self, batch: str, version: str, inserts: DataFrame | None = None, deletes: DataFrame | None = None, revisions: DataFrame | None = None, counter: Callable[[Column], Column] = count_words) -> bool:
@@ -92,10 +98,9 @@ class Rollup:
             if rows is not None:
                 signed.append(rows.select("doc_id", "source", "lang", F.lit(version).alias("version"), counter(F.col("text")).cast("long").alias("tokens"), F.lit(1).cast("long").alias("sign")))
         gone = [rows.select("doc_id") for rows in (deletes, revisions) if rows is not None]
-        held = self.present(version) if gone else None
+        held = self.present(version, gone[0].union(gone[-1]).distinct()) if gone else None
         if held is not None:
-            ids = gone[0].union(gone[-1]).distinct()
-            signed.append(held.join(ids, "doc_id", "left_semi").select("doc_id", "source", "lang", F.lit(version).alias("version"), "tokens", (-F.col("copies")).alias("sign")))
+            signed.append(held.select("doc_id", "source", "lang", F.lit(version).alias("version"), "tokens", (-F.col("copies")).alias("sign")))
         if not signed:
             return False
         facts = signed[0]
