@@ -4,10 +4,10 @@ Known words score by their log frequency in each language.  An unseen word is
 covered from left to right by the longest known character n-grams (four
 characters, then three, two, one), each scored by its log frequency.
 
-The model is fitted on a bounded sample of labelled rows: about
-``sample_rows`` of each language, chosen by a hash of the identifier, and at
-most ``max_words`` words in all.  It therefore has a fixed size bound and
-ships with the tasks; prediction reads every whole text.
+The model is fitted on a bounded sample of labelled rows, chosen by a hash of
+the identifier: about ``sample_rows`` of each language, and of all languages
+together about ``max_rows``.  Every word of these rows counts, so the model is
+bounded by them and ships with the tasks; prediction reads every whole text.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import id_remainder, small_batches, trim
@@ -51,7 +51,7 @@ class Model:
     @staticmethod
     def _logs(counts: np.ndarray) -> np.ndarray:
         values = counts + 0.5
-        return np.log(values / values.sum(axis=0)) if len(counts) else values
+        return np.log(values / values.sum(axis=0)).astype(np.float32) if len(counts) else values.astype(np.float32)
 
     def unseen(self, word: str) -> tuple[float, ...]:
         """Backoff: at each place the longest known n-gram, then on behind it."""
@@ -76,33 +76,32 @@ class Model:
             return UNDETERMINED, 0.0
         rows = list(map(self.rows[0].get, words))
         known = [r for r in rows if r is not None]
-        total = self.prior + self.logs[0][known].sum(axis=0)
+        total = self.prior + self.logs[0][known].sum(axis=0, dtype=float)
         if len(known) < len(rows):
             total += np.array([self.unseen(w) for w, r in zip(words, rows, strict=True) if r is None]).sum(axis=0)
         best = int(np.argmax(total))
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def fit(docs: DataFrame, sample_rows: int = 2000, max_words: int = 200_000, min_count: int = 2) -> Model:
+def fit(docs: DataFrame, sample_rows: int = 1000, max_rows: int = 20_000) -> Model:
     """Learns from the rows with a text, a lang and an id whose crc32 modulo 5 isn't 0.
 
-    sample_rows: about how many rows of each language are used.
-    max_words: how many (language, word) counts reach the driver at most; the
-    most frequent of each language stay, with an equal share for each language;
-    what one language leaves of its share goes to the others.
+    sample_rows: about how many rows of each language are used; max_rows: of
+    all languages together, with an equal share for each.  All their words
+    count, whole texts and rare words included.
     """
     labelled = docs.select("doc_id", "text", "lang").filter((id_remainder("doc_id", 5) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()}
     if not rows:
         return Model([], {})
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    sample_rows = min(sample_rows, max_rows / len(rows))
     below = F.create_map(*[F.lit(x) for lang, n in rows.items() for x in (lang, int((1 << 30) * min(1.0, sample_rows / n)))])
     taken = share < F.try_element_at(below, F.col("lang"))
     words = labelled.filter(taken).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word"))
-    counts = words.groupBy("lang", "word").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    top = counts.withColumn("rank", rank).orderBy("rank", F.desc("n"), "lang", "word").limit(max_words)
-    return Model(sorted(((r["lang"], r["word"], r["n"]) for r in top.collect()), key=lambda x: (-x[2], x[0], x[1])), rows)
+    counts = words.groupBy("lang", "word").agg(F.count("*").alias("n")).toArrow()
+    found = zip(*(counts.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True)
+    return Model(sorted(found, key=lambda x: (-x[2], x[0], x[1])), rows)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -126,7 +125,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(keep).mapInArrow(run, schema)
 
 
-def identify(docs: DataFrame, sample_rows: int = 2000) -> DataFrame:
+def identify(docs: DataFrame, sample_rows: int = 1000) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of ``docs`` (doc_id, text, lang, ...).
 
     A text that is null or has no letter is ``und`` with score 0; so is every

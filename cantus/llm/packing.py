@@ -204,6 +204,34 @@ class Packer:
                 yield x
 
 
+class StepGroups:
+    """Deals sequences to ``lanes`` open step groups at a time, each tier's to the group that has the least of that tier.
+
+    So the groups of one round have about as many tokens, and as many of each
+    tier: they differ by less than the sum of all tiers.  A round ends when
+    every group of it has ``tokens``, or with the task.
+    """
+
+    def __init__(self, tokens: int, lanes: int = 4):
+        self.tokens, self.lanes, self.first = tokens, lanes, 0
+        self._open()
+
+    def _open(self) -> None:
+        self.load = [0] * self.lanes
+        self.by_tier: dict[int, list[int]] = {}
+
+    def place(self, tier: int, n: int) -> int:
+        mine = self.by_tier.setdefault(tier, [0] * self.lanes)
+        at = min(range(self.lanes), key=lambda g: (mine[g], self.load[g], g))
+        mine[at] += n
+        self.load[at] += n
+        group = self.first + at
+        if min(self.load) >= self.tokens:
+            self.first += self.lanes
+            self._open()
+        return group
+
+
 SCHEMA = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long, ids binary"
 
 
@@ -214,8 +242,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers: tuple[int
     is its ids and then ``end_id``; a null text is empty and so gives one id.
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset, tier, step_group and, with ``with_ids``, ids (little-endian
-    unsigned 32 bit).  Sequences of one step group have about ``group_tokens``
-    tokens in all, whatever their tiers, so the steps of a group are even.
+    unsigned 32 bit).  Step groups have about ``group_tokens`` tokens, and groups
+    that are filled at the same time are balanced, in all and in each tier.
     Repeated rows are packed once each; an empty table gives no piece.
 
     The sequence number is the number of the task's input partition in the
@@ -230,20 +258,19 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers: tuple[int
         tok, packer = tokenizer(tokenizer_path), Packer(tiers)
         tail = np.array([end_id], "<u4").tobytes()
         cols: list[list] = [[] for _ in range(10)]
-        serial = tokens = 0
+        serial, groups = 0, StepGroups(group_tokens)
         kind = None
 
         def put(windows: Iterator[tuple[int, list[Piece]]]) -> None:
-            nonlocal serial, tokens
+            nonlocal serial
             for tier, pieces in windows:
-                offset = 0
+                offset, group = 0, base + groups.place(tier, sum(len(x[2]) // 4 for x in pieces))
                 for doc_id, start, ids, total in pieces:
                     n = len(ids) // 4
-                    for c, v in zip(cols, (doc_id, start, n, zlib.crc32(ids), total, base + serial, offset, tier, base + tokens // group_tokens, ids if with_ids else None), strict=True):
+                    for c, v in zip(cols, (doc_id, start, n, zlib.crc32(ids), total, base + serial, offset, tier, group, ids if with_ids else None), strict=True):
                         c.append(v)
                     offset += n
                 serial += 1
-                tokens += offset
 
         def batch() -> pa.RecordBatch:
             kinds = [kind, *[pa.int64()] * 6, pa.int32(), pa.int64(), pa.binary()]
