@@ -15,6 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .exact_dedup import free_name
+
 # Prefixes of published key formats.
 PREFIXES = r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|AIza|sk-|sk_live_|rk_live_|eyJ|SG\.|npm_|pypi-"
 KEYWORDS = r"password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credential"
@@ -156,8 +158,20 @@ def scan(docs: DataFrame, model: PipelineModel | None = None, path: str = "sourc
 
 
 def redact(docs: DataFrame, findings: DataFrame, mask: str = "*") -> DataFrame:
-    """``docs`` with every secret in ``findings`` overwritten; rows are matched by doc_id."""
-    spots = findings.filter("is_secret").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spots"))
-    step = lambda acc, s: F.concat(F.substring(acc, F.lit(1), s["start"].cast("int")), F.repeat(F.lit(mask), s["length"].cast("int")), F.substring(acc, (s["start"] + s["length"] + 1).cast("int"), F.length(acc)))
-    hidden = F.when(F.col("spots").isNull(), F.col("text")).otherwise(F.aggregate("spots", F.col("text"), step))
-    return docs.join(spots, "doc_id", "left").withColumn("text", hidden).drop("spots").select(docs.columns)
+    """``docs`` with every secret in ``findings`` overwritten, columns as they are.
+
+    Rows are matched by doc_id, and a place is overwritten only where the text
+    holds the value that was found there (by its digest), so other texts of one
+    id stay.  mask: one character.
+    """
+    spots, mine = free_name(docs, "__spots"), free_name(docs, "__doc_id")
+    found = findings.filter("is_secret").groupBy(F.col("doc_id").alias(mine)).agg(F.array_sort(F.collect_set(F.struct("start", "length", "value_sha256"))).alias(spots))
+
+    def step(acc: Column, s: Column) -> Column:
+        start, length = s["start"].cast("int"), s["length"].cast("int")
+        held = F.sha2(F.substring(acc, start + 1, length).cast("binary"), 256) == s["value_sha256"]
+        masked = F.concat(F.substring(acc, F.lit(1), start), F.repeat(F.lit(mask), length), F.substring(acc, start + length + 1, F.length(acc)))
+        return F.when(held, masked).otherwise(acc)
+
+    hidden = F.when(F.col(spots).isNull(), F.col("text")).otherwise(F.aggregate(spots, F.col("text"), step))
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(mine)), "left").withColumn("text", hidden).select(docs.columns)

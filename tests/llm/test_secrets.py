@@ -80,3 +80,30 @@ def test_long_secrets_are_whole(spark, model):
 def test_keyword_forms(spark, text, value):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert [(r["start"], r["value"]) for r in secrets.candidates(df).collect()] == [(text.index(value), value)]
+
+
+def test_recall_on_planted_secrets(spark):
+    """Assigned tokens in the given documents, found by a plain pattern of their own; other long numbers aren't secrets."""
+    import hashlib
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want, numbers = set(), set()
+    for r in docs.select("doc_id", "text").collect():
+        for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', r["text"] or ""):
+            want.add((r["doc_id"], m.start(1), hashlib.sha256(m[1].encode()).hexdigest()))
+        numbers |= {hashlib.sha256(m[0].encode()).hexdigest() for m in re.finditer(r"(?<!\w)\d{16}(?!\w)", r["text"] or "")}
+    found = secrets.scan(docs).filter("is_secret").collect()
+    got = {(r["doc_id"], r["start"], r["value_sha256"]) for r in found}
+    assert len(want) >= 10 and len(want & got) >= 0.9 * len(want)
+    assert not numbers & {r["value_sha256"] for r in found}
+
+
+def test_redact_matches_the_text(spark):
+    secret = "AKIA" + "Q7X2" * 4
+    rows = [(1, f"key {secret} end", "a", "b"), (1, "key of an entirely other text with the same id", "a", "b"), (None, f"{secret}", None, None), (2, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spots string, __spots string")
+    out = secrets.redact(df, secrets.scan(df))
+    got = {(r["doc_id"], r["text"], r["spots"], r["__spots"]) for r in out.collect()}
+    assert out.columns == df.columns
+    assert got == {(1, "key " + "*" * 20 + " end", "a", "b"), (1, rows[1][1], "a", "b"), (None, "*" * 20, None, None), (2, None, None, None)}
