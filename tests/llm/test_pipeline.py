@@ -15,7 +15,7 @@ from .test_jaccard import brute, corpus
 def documents(spark):
     rows = [(i, t, ("en", "de")[i % 2], "src%d" % (i % 3), len(t or "")) for i, t in corpus(5, 150)]
     rows += [(500, rows[3][1].upper(), "en", "src0", 1), (501, None, "en", None, None), (502, "12 34 !!", None, "s", 8), (503, "mail a.b@c.org or +1 (269) 555-3296 now", "en", "s", 39)]
-    rows += [rows[7], (None, "words without an id at all", None, None, None)]
+    rows += [rows[7], (None, "words without an id at all", None, None, None), (rows[9][0], "another text of an id that is there already " * 3, "en", "s", 1)]
     return rows, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
 
 
@@ -31,9 +31,13 @@ def test_pipeline(spark, tmp_path):
             best[k] = (i, t)
     near = brute(list(best.values()))
     stay = {d for d, _, c in near if d == c}
-    p, tok = Pseudonymiser(b"cantus"), WordTokenizer(tokenizer_path("word_bpe_49k.json"))
-    want = {i: tok.whole(p.replace(t)[0]) + b"\1\0\0\0" for i, t in best.values() if i in stay}
+    spark.conf.set("spark.cantus.pii.key", "a key of the test")
+    p, tok = Pseudonymiser(b"a key of the test"), WordTokenizer(tokenizer_path("word_bpe_49k.json"))
+    twice = rows[-1][0]
+    want = {i: tok.whole(p.replace(t)[0]) + b"\1\0\0\0" for i, t in best.values() if i in stay and i != twice}
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert any(r["doc_id"] == twice for r in got)
+    got = [r for r in got if r["doc_id"] != twice]
     assert {r["doc_id"] for r in got} == set(want)
     for i, ids in want.items():
         mine = sorted((r for r in got if r["doc_id"] == i), key=lambda r: r["start"])
