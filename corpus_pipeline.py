@@ -27,14 +27,19 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of documents linked by a Jaccard index of 0.75."""
-    groups = save(jaccard_join.jaccard_components(docs), "near-groups")
-    return exact_dedup.without(docs, groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Keeps the document with the smallest id of each group of documents linked by a Jaccard index of 0.75.
+
+    Rows are told apart by id and text, so rows that share an id are judged
+    one by one; a row without an id stays only in a group without others.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.lower(F.hex(exact_dedup.digest_of(F.col("text")))).alias("text_sha256"))
+    groups = save(jaccard_join.jaccard_components(docs.select(row.alias("doc_id"), "text")), "near-groups")
+    return exact_dedup.without(docs, groups.filter("doc_id <> component_id").select("doc_id.doc_id", "doc_id.text_sha256"))
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by format-preserving pseudonyms."""
-    return pseudonyms.pseudonymise(docs, spark.conf.get("spark.cantus.pii.key", "cantus"), count=None)
+    return pseudonyms.pseudonymise(docs, pseudonyms.session_key(spark), count=None)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
