@@ -119,9 +119,10 @@ def _frequent(docs: DataFrame, width: int, over: int, parts: int, max_frequent:
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            keys = np.sort(np.concatenate(held))
+            keys, n = np.unique(np.concatenate(held), return_counts=True)  # a key that a third of the block has is sent once
             cuts = np.searchsorted(keys, (np.arange(parts + 1, dtype=np.float64) * ((1 << KEY_BITS) / parts)).astype(np.uint64))
-            data = [zlib.compress(np.diff(keys[a:b], prepend=_U(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes(), 1) for a, b in zip(cuts, cuts[1:], strict=False)]
+            planes = lambda x, width, kind: x.astype(kind).view(np.uint8).reshape(len(x), -1)[:, :width].T.tobytes()
+            data = [zlib.compress(planes(np.diff(keys[a:b], prepend=_U(0)), 5, "<u8") + planes(n[a:b], 4, "<u4"), 1) for a, b in zip(cuts, cuts[1:], strict=False)]
             return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(data, pa.binary())], ["part", "keys"])
 
         for b in batches:
@@ -137,19 +138,23 @@ def _frequent(docs: DataFrame, width: int, over: int, parts: int, max_frequent:
         trim()
 
     def count(key: tuple, t: pa.Table) -> pa.Table:
-        all_keys = []
+        all_keys, all_n = [], []
         for x in t.column("keys").to_pylist():
-            five = np.frombuffer(zlib.decompress(x), np.uint8).reshape(5, -1).T
-            wide = np.zeros((len(five), 8), np.uint8)
-            wide[:, :5] = five
+            planes = np.frombuffer(zlib.decompress(x), np.uint8).reshape(9, -1)
+            wide = np.zeros((planes.shape[1], 8), np.uint8)
+            wide[:, :5] = planes[:5].T
             all_keys.append(np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64))
-        keys = np.sort(np.concatenate(all_keys))
+            all_n.append(np.ascontiguousarray(planes[5:].T).view("<u4").ravel())
+        keys, n = np.concatenate(all_keys), np.concatenate(all_n)
+        del all_keys, all_n
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order].astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, int)
-        n = np.diff(np.append(first, len(keys)))
-        often = n > over
-        del all_keys
+        total = np.add.reduceat(n, first) if len(first) else n
+        often = total > over
+        keys, found = keys[first[often]].astype(np.int64), total[often]
         trim()
-        return pa.table({"key": np.append(keys[first[often]].astype(np.int64), -1), "n": np.append(n[often].astype(np.int64), len(keys))})
+        return pa.table({"key": np.append(keys, -1), "n": np.append(found, n.sum())})
 
     sent = docs.select("text").mapInArrow(blocks, "part int, keys binary")
     counts = save(sent.groupBy("part").applyInArrow(count, "key long, n long"), "shingle-counts")
