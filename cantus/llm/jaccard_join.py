@@ -121,7 +121,7 @@ def _frequent(docs: DataFrame, width: int, over: int, parts: int, max_frequent:
         def out() -> pa.RecordBatch:
             keys, n = np.unique(np.concatenate(held), return_counts=True)  # a key that a third of the block has is sent once
             cuts = np.searchsorted(keys, (np.arange(parts + 1, dtype=np.float64) * ((1 << KEY_BITS) / parts)).astype(np.uint64))
-            planes = lambda x, width, kind: x.astype(kind).view(np.uint8).reshape(len(x), -1)[:, :width].T.tobytes()
+            planes = lambda x, width, kind: x.astype(kind).view(np.uint8).reshape(len(x), np.dtype(kind).itemsize)[:, :width].T.tobytes()
             data = [zlib.compress(planes(np.diff(keys[a:b], prepend=_U(0)), 5, "<u8") + planes(n[a:b], 4, "<u4"), 1) for a, b in zip(cuts, cuts[1:], strict=False)]
             return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(data, pa.binary())], ["part", "keys"])
 

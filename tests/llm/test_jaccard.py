@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from cantus.llm.components import components
-from cantus.llm.jaccard_join import Filter, jaccard_components
+from cantus.llm.jaccard_join import Filter, _frequent, jaccard_components
 from cantus.llm.words import block_words, words_of
 
 
@@ -101,3 +101,13 @@ def test_filter():
     f, x = Filter(1 << 16), np.random.default_rng(0).integers(0, 1 << 63, 2000).astype(np.uint64)
     f.add(x[:1000])
     assert f.holds(x[:1000]).all() and f.holds(x[1000:]).mean() < 0.05
+
+
+def test_ranges_without_a_key(spark):
+    """Blocks that hold no key of some hash ranges: few short texts, and more ranges than shingles."""
+    rows = [(1, "one two three"), (2, "a b c d e f"), (3, "A b c d e f"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(r) for r in jaccard_components(df).collect()), key=str) == brute(rows)
+    often, n = _frequent(df, 5, 1, 400, 1 << 22, 1 << 18)
+    held = set.union(*(sets(t) for _, t in rows))
+    assert n == sum(len(sets(t)) for _, t in rows) and len(held) == 3 and often.data.any()
