@@ -65,6 +65,22 @@ def test_semitone_error(spark):
     assert (r["root_pct"], r["neighbor_pct"]) == (0.0, 100.0)
 
 
+def test_pc_report_rounds_whole_counts(spark):
+    """Halves of the last digit: sums of shares fall on either side of them, whole counts don't."""
+    import random
+
+    rng, rows, want = random.Random(3), [], {}
+    for track in range(300):
+        inside = rng.choice([k for k in range(1, 80) if k * 1000 % 80 == 40])  # of 80 notes: a percent that ends in .x5
+        midis = [rng.choice([4, 6, 7, 9, 11, 0, 2]) + 36 for _ in range(inside)] + [rng.choice([1, 3, 5, 8, 10]) + 36 for _ in range(80 - inside)]
+        rows += [(track, float(m)) for m in midis]
+        want[track] = (inside * 1000 + 40) // 80 / 10
+    df = spark.createDataFrame(rows, "track long, midi double")
+    assert {r["track"]: r["scale_pct"] for r in E.pc_report(df, 4, [6, 7, 9, 11, 0, 2]).collect()} == want
+    none = E.pc_report(spark.createDataFrame([(1, None)], "track long, midi double"), 4, [6]).first()
+    assert (none["dominant"], none["root_pct"], none["overlap"]) == (None, 0.0, 0.0)
+
+
 def test_gap_merge(spark):
     def runs(gap):
         rows = [(1, i, 33.0) for i in range(10)] + [(1, 10 + i, None) for i in range(gap)] + [(1, 10 + gap + i, 33.0) for i in range(10)]
