@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import pitch_class, ratio
+from ..functions.scalars import pitch_class, quantile, ratio
 
 MAJOR, MINOR = [0, 2, 4, 5, 7, 9, 11], [0, 2, 3, 5, 7, 8, 10]
 
@@ -170,7 +170,7 @@ def octave_dedup(notes: DataFrame, keys: list[str]) -> DataFrame:
 
 def gate_and_prune(notes: DataFrame, rms: str, share: float = 0.3, gap: float = 4.0, weak: float = 0.25) -> DataFrame:
     """Drops notes below ``share`` of the 5th percentile of non-zero levels, then weak notes far from both neighbours."""
-    level = notes.filter(F.col(rms) > 0).groupBy("track").agg(F.percentile(rms, F.lit(0.05)).alias("p5"))
+    level = notes.filter(F.col(rms) > 0).groupBy("track").agg(quantile(rms, 0.05).alias("p5"))
     loud = notes.join(level, "track", "left").filter(F.col("p5").isNull() | (F.col(rms) >= share * F.col("p5"))).drop("p5")
     w = Window.partitionBy("track").orderBy("onset_s", "note_id")
     far = F.lit(1e9)

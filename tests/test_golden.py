@@ -81,6 +81,40 @@ def test_pc_report_rounds_whole_counts(spark):
     assert (none["dominant"], none["root_pct"], none["overlap"]) == (None, 0.0, 0.0)
 
 
+def test_quantile_to_the_last_bit(spark):
+    """Against DuckDB's quantile_cont, bit by bit."""
+    import random
+
+    import duckdb
+
+    rng = random.Random(5)
+    rows = [(g, round(rng.expovariate(0.02), 2)) for g in range(400) for _ in range(1 + g % 97)] + [(900, None), (901, None), (901, 2.5)]
+    df = spark.createDataFrame(rows, "g long, v double").groupBy("g").agg(S.quantile("v", 0.99).alias("a"), S.quantile("v", 0.05).alias("b"), S.quantile("v", 0.5).alias("c"))
+    values = ", ".join(f"({g}, {'NULL' if v is None else repr(v)}::DOUBLE)" for g, v in rows)
+    want = duckdb.sql(f"SELECT g::BIGINT, quantile_cont(v, 0.99), quantile_cont(v, 0.05), quantile_cont(v, 0.5) FROM (VALUES {values}) t(g, v) GROUP BY g").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want)
+
+
+def test_gate_at_a_share_of_the_quantile(spark):
+    """A note at 0.3 times the 5th percentile to the last bit stays, one below it doesn't, as in SQL."""
+    import random
+
+    import duckdb
+
+    rng, levels = random.Random(11), {}
+    while len(levels) < 40:
+        vs = [round(rng.uniform(1, 300), 2) for _ in range(rng.choice([29, 34, 56]))]
+        low = duckdb.sql(f"SELECT 0.3::DOUBLE * quantile_cont(v, 0.05) FROM (SELECT unnest({[0.001, *vs]}::DOUBLE[]) AS v)").fetchall()[0][0]
+        if low > 0.001 and low < min(vs):
+            levels[len(levels)] = [low, *vs]
+    rows = [(t, i, 10.0 * i, 10.0 * i + 9, 60.0, v) for t, vs in levels.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "track long, note_id long, onset_s double, offset_s double, midi double, velocity double")
+    kept = {(r["track"], r["note_id"]) for r in N.gate_and_prune(df, "velocity").collect()}
+    values = ", ".join(f"({t}, {i}, {v!r}::DOUBLE)" for t, i, _, _, _, v in rows)
+    want = duckdb.sql(f"WITH n AS (FROM (VALUES {values}) t(track, i, v)), p AS (SELECT track, quantile_cont(v, 0.05) AS p5 FROM n GROUP BY track) SELECT track, i FROM n JOIN p USING (track) WHERE v >= 0.3::DOUBLE * p5").fetchall()
+    assert kept == set(want) and len(kept) > len(rows) - 40
+
+
 def test_gap_merge(spark):
     def runs(gap):
         rows = [(1, i, 33.0) for i in range(10)] + [(1, 10 + i, None) for i in range(gap)] + [(1, 10 + gap + i, 33.0) for i in range(10)]
