@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -442,5 +440,5 @@ def stream_sliding(spark, sf):
   SELECT track, event_id, floor(round(coalesce(exp(-(us - last) / 1e6 / 43200.0::DOUBLE), 0), 6) * 10000 + 1e-6) / 10000 AS pulse FROM e""")
 def stream_decay(spark, sf):
     """Decay since a track's last error event, as a stream with state that is run over all events there are."""
-    out = live.drain(live.decay(live.read_events(spark, sf)), f"decay_{uuid.uuid4().hex[:12]}")
+    out = live.drain_to_table(live.decay(live.read_events(spark, sf)))
     return out.withColumn("pulse", F.floor(F.col("pulse") * 10000 + 1e-6) / 10000.0)

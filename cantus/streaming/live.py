@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -89,6 +91,23 @@ def tap_stream(keys: DataFrame, songs: DataFrame, offset: float = 0.0) -> DataFr
     return keys.join(songs, "track").groupBy("track").applyInPandasWithState(run, f"track {kind}, i int, t double", "n int, ended boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def _shared_dir(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: in ``spark.checkpoint.dir``, else in the warehouse; a folder of its own with a local master."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.startswith("local"):
+        return tempfile.mkdtemp(prefix="cantus-stream-")
+    return f"{(named or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+
+
+def drain_to_table(stream: DataFrame) -> DataFrame:
+    """Runs a stream over all that is available and returns its result as files in a shared folder, which no driver holds; for results of any size."""
+    spark = stream.sparkSession
+    folder = _shared_dir(spark)
+    q = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is available and returns its result as a table of the session; for tests and small results."""
     spark = stream.sparkSession
@@ -98,7 +117,7 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 
 def read_events(spark, sf_dir: str) -> DataFrame:
-    """The event table as a stream, its times as UTC timestamps."""
+    """The event table, a file or a folder of files, as a stream, its times as UTC timestamps."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: the path of one file isn't taken
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))

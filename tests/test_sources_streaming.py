@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from cantus.plans import q_story
 from cantus.plans import views as V
 from cantus.sources import files
 from cantus.streaming import live
@@ -80,6 +81,14 @@ def test_stream_decay_equals_as_of(spark):
     assert len(got) == len(rows)
 
 
+def test_stream_decay_keeps_its_rows_off_the_driver(spark, tmp_path):
+    """The result is read from files, and a table of several files is read whole."""
+    V.table(spark, SF, "events").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    out = q_story.stream_decay(spark, str(tmp_path))
+    assert out.inputFiles()
+    assert same(out, q_story.stream_decay(spark, SF)) and out.count() == V.table(spark, SF, "events").count()
+
+
 def test_tap_stream_equals_batch(spark):
     schema = "track long, event_id long, t double, key string"
     rows = [(1, 1, -1.0, " "), (1, 2, 0.5, " "), (1, 3, 1.0, "x"), (1, 4, 2.0, " "), (1, 5, 3.0, " "), (2, 1, 1.0, " "), (2, 2, 2.0, "q"), (2, 3, 3.0, " "), (3, 1, 9.0, " "), (3, 2, 11.0, " "), (4, 1, 1.0, " ")]
