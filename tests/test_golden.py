@@ -297,6 +297,35 @@ def test_note_match_variants(spark):
     assert got == {"onset": 3, "pitch": 1, "class": 2}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_matches_equal_brute_force(spark, seed):
+    """Dense events, repeated times, equal distances, missing and odd pitches: every variant against all pairs."""
+    import random
+
+    rng = random.Random(seed)
+    pitch = lambda: rng.choice([None, 60.5, float("nan"), *map(float, range(55, 80))])
+    make = lambda n: [(rng.randrange(3), rng.randrange(10**6), rng.choice([rng.randrange(400) / 64, rng.uniform(0, 7)]), pitch()) for _ in range(n)]
+    det, ref = make(700), make(700)
+    frame = lambda rows: spark.createDataFrame(rows, "track long, note_id long, onset_s double, midi double")
+    close = {"onset": lambda d, r: True, "pitch": lambda d, r: abs(d - r) <= 1, "class": lambda d, r: min(int(abs(d - r) + 0.5) % 12, 12 - int(abs(d - r) + 0.5) % 12) <= 1}
+    for v, fits in close.items():
+        got = {r["track"]: r for r in E.match_notes(frame(det), frame(ref), v, 0.1).collect()}
+        for track in range(3):
+            mine = lambda rows: sorted([r for r in rows if r[0] == track], key=lambda r: (r[2], r[1]))  # noqa: B023, E731
+            ds, used, hits, errors = mine(det), set(), 0, []
+            for _, _, t, m in mine(ref):
+                real = lambda x: x is not None and x == x
+                free = [(abs(d[2] - t), i) for i, d in enumerate(ds) if i not in used and abs(d[2] - t) <= 0.1 and (v == "onset" or (real(d[3]) and real(m) and fits(d[3], m)))]
+                if free:
+                    e, i = min(free)
+                    used.add(i)
+                    errors.append(e)
+                    hits += real(ds[i][3]) and real(m) and abs(ds[i][3] - m) <= 1
+            r = got[track]
+            assert (r["n_det"], r["matched"], r["pitch_hits"]) == (len(ds), len(used), hits) and r["mean_error"] == pytest.approx(sum(errors) / len(errors))
+        assert v != "onset" or {t: r["matched"] for t, r in got.items()} == {r["track"]: r["matched"] for r in E.match_onsets(frame(det).withColumnRenamed("onset_s", "t"), frame(ref).withColumnRenamed("onset_s", "t"), 0.1).collect()}
+
+
 def test_line_merge_falls_back_to_proportional_times(spark):
     lines = spark.createDataFrame([(1, 0, "one two", 0.0, 2.0), (1, 1, "three four", 10.0, 12.0)], "track long, idx int, text string, start_s double, end_s double")
     heard = spark.createDataFrame([(1, "One!", 0.5, 0.8), (1, "two", 1.0, 1.4)], "track long, word string, start_s double, end_s double")
