@@ -326,6 +326,18 @@ def test_matches_equal_brute_force(spark, seed):
         assert v != "onset" or {t: r["matched"] for t, r in got.items()} == {r["track"]: r["matched"] for r in E.match_onsets(frame(det).withColumnRenamed("onset_s", "t"), frame(ref).withColumnRenamed("onset_s", "t"), 0.1).collect()}
 
 
+def test_matching_is_linear_where_events_are_dense():
+    """All events of a track within the tolerance of each other: 40,000 pairs, which took their product of steps."""
+    import time
+
+    from cantus.operators.matching import Track
+
+    track, at = Track(["onset", "pitch", "class"], 10.0), time.process_time()
+    for i in range(80_000):
+        track.add(i * 1e-5, i % 2 == 1, 28.0 + i % 60)
+    assert track.row()[:3] == (40_000, 40_000, 40_000) and time.process_time() - at < 60
+
+
 def test_line_merge_falls_back_to_proportional_times(spark):
     lines = spark.createDataFrame([(1, 0, "one two", 0.0, 2.0), (1, 1, "three four", 10.0, 12.0)], "track long, idx int, text string, start_s double, end_s double")
     heard = spark.createDataFrame([(1, "One!", 0.5, 0.8), (1, "two", 1.0, 1.4)], "track long, word string, start_s double, end_s double")
