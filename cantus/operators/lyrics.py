@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+import functools
+import operator
 from collections.abc import Iterator
 
 import pandas as pd
@@ -41,6 +43,7 @@ def time_words(lines: DataFrame, keys: list[str]) -> DataFrame:
     A word takes its slot up to 95 %, the last word up to the line's end.
     Returns the keys, word_idx, word, start_s, end_s (6 decimals), confidence.
     """
+    lines = lines.select(*keys, "text", "start_s", "end_s").repartition(*keys)  # lines are dealt, not their many words
     w = lines.select(*keys, F.col("start_s").alias("ls"), F.col("end_s").alias("le"), F.posexplode(F.filter(F.split(F.col("text"), r"\s+"), lambda x: x != "")).alias("word_idx", "word"))
     order = Window.partitionBy(*keys).orderBy("word_idx")
     n = F.length("word")
@@ -153,18 +156,82 @@ def merge_lines(lines: DataFrame, heard: DataFrame, slack: float = 0.6) -> DataF
     serve two lines.  Returns track, idx, word_idx, word, start_s, end_s,
     confidence.
     """
-    from .joins import interval_join
-
-    h = heard.withColumn("mid", (F.col("start_s") + F.col("end_s")) / 2).select("track", "mid", F.struct("start_s", "end_s", token_norm(F.col("word")).alias("w"), (F.col("confidence") if "confidence" in heard.columns else F.lit(1.0)).alias("c")).alias("h"))
-    wide = lines.select("track", "idx", (F.col("start_s") - slack).alias("start_s"), (F.col("end_s") + slack).alias("end_s"))
-    near = interval_join(h, wide, "mid", 10.0).groupBy("track", "idx").agg(F.array_sort(F.collect_list("h")).alias("heard"))
-    w = lines.select("track", "idx", F.col("start_s").alias("line_start"), F.col("end_s").alias("line_end"), F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("ws")).join(near, ["track", "idx"], "left")
-    toks = w.select(F.col("track").alias("song"), F.col("idx").cast("long").alias("line_idx"), F.transform("ws", token_norm).alias("left"), F.coalesce(F.transform("heard", lambda x: x["w"]), F.array().cast("array<string>")).alias("right"))
-    pairs = align_words(toks).select(F.col("song").alias("track"), F.col("line_idx").alias("idx"), "word_idx", "partner")
-    each = w.select("track", F.col("idx").cast("long").alias("idx"), "line_start", "line_end", "heard", F.posexplode("ws").alias("word_idx", "word")).join(pairs, ["track", "idx", "word_idx"], "left")
-    hit = F.get("heard", F.col("partner"))
-    timed = each.select("track", "idx", "word_idx", "word", "line_start", "line_end", "heard", hit["start_s"].alias("start_s"), hit["end_s"].alias("end_s"), hit["c"].alias("confidence"))
-    return fill_gaps(timed, ["track", "idx"], slack=slack)
+    bucket = lambda c: F.floor(c / 10.0).cast("long")
+    mid = (F.col("start_s") + F.col("end_s")) / 2  # worked out again behind the join, which is sent no more than it must
+    trust = F.col("confidence") if "confidence" in heard.columns else F.lit(1.0)
+    h = heard.select("track", bucket(mid).alias("b"), "start_s", "end_s", token_norm(F.col("word")).alias("w"), trust.alias("c"))
+    wide = lines.select("track", "idx", (F.col("start_s") - slack).alias("lo"), (F.col("end_s") + slack).alias("hi")).filter("lo < hi").withColumn("b", F.explode(F.sequence(bucket(F.col("lo")), bucket(F.col("hi")))))
+    inside = h.join(wide, ["track", "b"]).filter((mid >= F.col("lo")) & (mid < F.col("hi")))
+    near = inside.groupBy("track", "idx").agg(F.array_sort(F.collect_list(F.struct("start_s", "end_s", "w", "c"))).alias("heard"))
+    w = lines.select("track", "idx", F.col("start_s").alias("line_start"), F.col("end_s").alias("line_end"), "text").join(near, ["track", "idx"], "left")
+    w = w.withColumn("ws", F.filter(F.split("text", r"\s+"), lambda x: x != ""))  # behind the join: a text is smaller than its words
+    timed = w.select("track", F.col("idx").cast("long").alias("idx"), F.arrays_zip("ws", _merged_times(slack)("ws", F.transform("ws", token_norm), "heard", "line_start", "line_end").alias("t")).alias("ws"))
+    each = timed.select("track", "idx", F.posexplode("ws").alias("word_idx", "w"))
+    return each.select("track", "idx", "word_idx", F.col("w.ws").alias("word"), F.round("w.t.start_s", 6).alias("start_s"), F.round("w.t.end_s", 6).alias("end_s"), F.col("w.t.confidence").alias("confidence"))
+
+
+def _merged_times(slack: float):
+    """A function of a line's words, their tokens, what was heard and the line's edges: a time for each word.
+
+    A line is aligned and filled at once, so that neither words nor what was
+    heard is sent anywhere again.
+    """
+    kind = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("confidence", pa.float64())])
+
+    @F.arrow_udf("array<struct<start_s: double, end_s: double, confidence: double>>")
+    def run(ws: pa.Array, tokens: pa.Array, heard: pa.Array, start: pa.Array, end: pa.Array) -> pa.Array:
+        parts = []
+        for i in range(0, len(ws), 256):  # few lines at a time as Python objects
+            rows = zip(*[x.slice(i, 256).to_pylist() for x in (ws, tokens, heard, start, end)], strict=True)
+            parts.append(pa.array([None if w is None else line_times(w, t, h or [], a, b, slack) for w, t, h, a, b in rows], pa.list_(kind)))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(kind))
+
+    return run
+
+
+def line_times(words: list[str], tokens: list[str], heard: list[dict], line_start: float | None, line_end: float | None, slack: float, least: float = 0.06) -> list[dict]:
+    """start_s, end_s and confidence of each word of a line: those of its heard partner, else as in ``fill_gaps`` with a column heard."""
+    plus = lambda x, y: None if x is None or y is None else x + y
+    most = lambda *xs: max((x for x in xs if x is not None), default=None)
+    fewest = lambda *xs: min((x for x in xs if x is not None), default=None)
+    beyond = lambda a, b: a is not None and b is not None and a > b + 1e-4
+    partner = align_lists(tokens, [h["w"] for h in heard])
+    known = [None if k is None else heard[k] for k in partner]
+    out = [None if h is None else {"start_s": h["start_s"], "end_s": h["end_s"], "confidence": 1.0 if h["c"] is None else h["c"]} for h in known]
+    lengths = [max(h["end_s"] - h["start_s"], 0.03) for h in heard if h["end_s"] > h["start_s"]]
+    if lengths:
+        average = functools.reduce(operator.add, lengths) / len(lengths)
+    else:
+        average = most(0.06, None if line_start is None or line_end is None else (line_end - line_start) / max(1, len(words)))
+    first = most(line_start, plus(min(h["start_s"] for h in heard) if heard else line_start, -slack))
+    last = fewest(line_end, plus(max(h["end_s"] for h in heard) if heard else line_end, slack))
+    i = 0
+    while i < len(words):
+        if known[i]:
+            i += 1
+            continue
+        j = i
+        while j < len(words) and not known[j]:
+            j += 1
+        before, after = known[i - 1]["end_s"] if i else None, known[j]["start_s"] if j < len(words) else None
+        inside, total = average * (j - i), sum(map(len, words[i:j]))
+        left = before if before is not None else first if after is None else most(first, after - inside * 1.2)
+        right = after if after is not None else last if before is None else fewest(last, before + inside * 1.2)
+        short = fewest(plus(left, max(least, inside)), after if after is not None else line_end)
+        end = right if beyond(right, left) else short if beyond(short, left) else plus(left, least)
+        upto = 0
+        for k in range(i, j):
+            n = len(words[k])
+            if left is None:
+                start = stop = None
+            else:
+                span = end - left
+                start = left + span * upto / total
+                stop = left + span if k == j - 1 else start + span * n / total * 0.95
+            out[k] = {"start_s": start, "end_s": stop, "confidence": 0.65}
+            upto += n
+        i = j
+    return out
 
 
 def fill_gaps(words: DataFrame, keys: list[str], least: float = 0.06, slack: float = 0.6) -> DataFrame:

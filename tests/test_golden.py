@@ -463,6 +463,18 @@ def test_taps_return_every_word(spark):
     assert {(r["tapped"], r["status"]) for r in out.select("tapped", "status").distinct().collect()} == {(True, "corrected"), (False, "auto")}
 
 
+def test_line_merge_sends_no_line_with_each_word(spark):
+    """What a line heard isn't carried by each of its words through an exchange or a window."""
+    lines = spark.createDataFrame([(1, 0, "aa bb", 0.0, 2.0), (2, 0, None, 0.0, 2.0), (3, 0, "xx yy", None, 2.0), (4, 0, "zz", 3.0, 3.0)], "track long, idx int, text string, start_s double, end_s double")
+    heard = spark.createDataFrame([(1, "bb", 0.8, 1.1)], "track long, word string, start_s double, end_s double")
+    out = L.merge_lines(lines, heard)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.index("Generate") < plan.index("Exchange")
+    got = {(r["track"], r["word"]): (r["start_s"], r["end_s"], r["confidence"]) for r in out.collect()}
+    assert got[1, "bb"] == (0.8, 1.1, 1.0) and got[1, "aa"] == pytest.approx((0.44, 0.8, 0.65)) and got[4, "zz"] == pytest.approx((3.0, 3.06, 0.65))
+    assert set(got) == {(1, "aa"), (1, "bb"), (3, "xx"), (3, "yy"), (4, "zz")}
+
+
 def test_line_merge_limits_gaps_at_edges(spark):
     lines = spark.createDataFrame([(1, 0, "aa bb cc dd", 0.0, 20.0)], "track long, idx int, text string, start_s double, end_s double")
     heard = spark.createDataFrame([(1, "bb", 8.0, 8.5), (1, "cc", 9.0, 9.5)], "track long, word string, start_s double, end_s double")
