@@ -9,10 +9,14 @@ events, not with the square of those that lie close together.
 from __future__ import annotations
 
 import math
+from array import array
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -167,6 +171,101 @@ class Track:
         return (self.n_ref, self.n_det, *[x for m in self.matchers for x in (m.n, m.hits, m.error)])
 
 
+class Onsets:
+    """Matches of one track by time alone, fed with stretches of its events in time order.
+
+    A reference is settled once a detection behind it is free, so only such
+    references wait that no detection has followed yet, and of detections the
+    free ones within the tolerance are held, as plain doubles.
+    """
+
+    def __init__(self, tol: float) -> None:
+        self.tol, self.n = tol, 0
+        self.n_det = self.n_ref = 0
+        self.refs, self.after, self.before = array("d"), array("d"), array("d")  # not settled; detections behind the reference at hand; free ones up to it
+
+    def add(self, t: np.ndarray, is_ref: np.ndarray) -> None:
+        refs = int(np.count_nonzero(is_ref))
+        self.n_ref, self.n_det = self.n_ref + refs, self.n_det + len(t) - refs
+        known = np.isfinite(t)
+        t, is_ref = t[known].astype("f8", copy=False), is_ref[known]
+        if len(t):
+            self.refs.frombytes(t[is_ref].tobytes())
+            self.after.frombytes(t[~is_ref].tobytes())
+            self._settle(float(t[-1]))
+
+    def _settle(self, seen: float) -> None:
+        """Settles the references whose detections are all there, where events up to ``seen`` are."""
+        tol, before, after, refs, j, n = self.tol, self.before, self.after, self.refs, 0, 0
+        end, done = len(after), 0
+        for r in refs:
+            while j < end and after[j] <= r:
+                before.append(after[j])
+                j += 1
+            if j == end and seen - r <= tol:
+                break
+            done += 1
+            e = r - before[-1] if before else math.inf
+            if j < end and (d := after[j] - r) < e:
+                if d <= tol:
+                    j, n = j + 1, n + 1
+            elif e <= tol:
+                if r - math.nextafter(before[-1], -math.inf) == e:  # other times may be at the same rounded distance
+                    before.pop(bisect_left(before, -e, key=lambda t: t - r))  # noqa: B023
+                else:
+                    before.pop()
+                n += 1
+        self.n += n
+        del refs[:done], after[:j]
+        near = refs[0] if refs else seen
+        del before[: bisect_left(before, -tol, key=lambda t: t - near)]
+
+    def row(self) -> tuple[int, int, int]:
+        self._settle(math.inf)
+        return self.n_ref, self.n_det, self.n
+
+
+def onset_counts(events: DataFrame, tol: float) -> DataFrame:
+    """track, n_ref, n_det and matched of each track, by time alone.
+
+    events: track, t, is_ref.  Which of the detections of one time is taken is
+    the same for the counts, so events are ordered by time only.
+    """
+    kind = events.schema["track"].dataType.simpleString()
+    names = ["track", "n_ref", "n_det", "matched"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: Onsets | None = None
+        track = arrow = None
+        done: list[tuple] = []  # of tracks that ended in the batch at hand
+
+        def out() -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*done, strict=True), [arrow, *[pa.int64()] * 3], strict=True)], names)
+            done.clear()
+            return rows
+
+        for b in batches:
+            runs = pc.run_end_encode(b.column("track"))
+            arrow = b.schema.field("track").type
+            t, is_ref = (b.column(c).to_numpy(zero_copy_only=False) for c in ("t", "is_ref"))
+            start = 0
+            for key, stop in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+                if at is None or key != track:
+                    if at is not None:
+                        done.append((track, *at.row()))
+                    at, track = Onsets(tol), key
+                at.add(t[start:stop], is_ref[start:stop])
+                start = stop
+            if done:
+                yield out()
+        if at is not None:
+            done.append((track, *at.row()))
+            yield out()
+
+    ordered = events.select("track", F.col("t").cast("double").alias("t"), "is_ref").repartition("track").sortWithinPartitions("track", "t")
+    return ordered.mapInArrow(run, f"track {kind}, n_ref long, n_det long, matched long")
+
+
 def match_counts(events: DataFrame, variants: list[str], tol: float) -> DataFrame:
     """track, n_ref, n_det and for each variant matched_, pitch_hits_ and error_ of each track.
 

@@ -338,6 +338,47 @@ def test_matching_is_linear_where_events_are_dense():
     assert track.row()[:3] == (40_000, 40_000, 40_000) and time.process_time() - at < 60
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_onsets_in_stretches_equal_brute_force(seed):
+    """Repeated times, equal distances, distances that rounding makes equal: cut anywhere, the counts of all pairs."""
+    import random
+
+    import numpy as np
+
+    from cantus.operators.matching import Onsets
+
+    rng = random.Random(seed)
+    draws = [lambda: rng.randrange(40) / 16, lambda: rng.uniform(0, 5), lambda: rng.randrange(8) * 0.1, lambda: rng.choice([-1, 1]) * (rng.randrange(3) * 0.1 + rng.randrange(4) * 1e-17)]
+    for draw in draws * 50:
+        tol, ds, used, rs = rng.choice([0.0, 0.1, 0.2, 1.0]), sorted(draw() for _ in range(rng.randrange(60))), set(), sorted(draw() for _ in range(rng.randrange(60)))
+        for r in rs:
+            free = [(abs(d - r), i) for i, d in enumerate(ds) if i not in used and abs(d - r) <= tol]
+            used |= {min(free)[1]} if free else set()
+        events = sorted([(d, rng.random(), False) for d in ds] + [(r, rng.random(), True) for r in rs])
+        o = Onsets(tol)
+        while events:
+            part, events = events[: (k := rng.randrange(1, 12))], events[k:]
+            o.add(np.array([t for t, _, _ in part]), np.array([x for _, _, x in part]))
+        assert o.row() == (len(rs), len(ds), len(used))
+
+
+def test_onset_match_of_a_dense_track(spark):
+    """Two million events within one tolerance, a fifth of them references: what is held isn't looked through again."""
+    import time
+
+    e = spark.range(2_000_000).select(F.lit(1).alias("track"), (F.col("id") * 1e-9).alias("t"), (F.col("id") % 5 == 0).alias("ref"))
+    at = time.monotonic()
+    r = E.match_onsets(e.filter("NOT ref"), e.filter("ref"), 0.2).collect()
+    assert [(x["n_ref"], x["n_det"], x["matched"]) for x in r] == [(400_000, 1_600_000, 400_000)] and time.monotonic() - at < 25
+
+
+def test_onset_match_reads_events_once(spark):
+    from cantus.plans.q_eval import QUERIES
+
+    plan = QUERIES["onset_match"][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
 def test_line_merge_falls_back_to_proportional_times(spark):
     lines = spark.createDataFrame([(1, 0, "one two", 0.0, 2.0), (1, 1, "three four", 10.0, 12.0)], "track long, idx int, text string, start_s double, end_s double")
     heard = spark.createDataFrame([(1, "One!", 0.5, 0.8), (1, "two", 1.0, 1.4)], "track long, word string, start_s double, end_s double")
