@@ -379,6 +379,22 @@ def test_onset_match_reads_events_once(spark):
     assert plan.count("FileScan") == 1
 
 
+def test_onset_match_of_odd_events_equals_sql(spark, tmp_path):
+    """Tracks with one side, events without a time or a user."""
+    import duckdb
+
+    from cantus.plans.q_eval import QUERIES
+
+    f, sql = QUERIES["onset_match"]
+    db = duckdb.connect()
+    db.sql(f"""COPY (SELECT event_id, CASE WHEN event_id % 89 > 0 THEN ts END AS ts, CASE WHEN event_id % 97 > 0 THEN user_id END AS user_id, CASE WHEN (user_id % 10, event_type) IN ((3, 'view'), (4, 'click')) THEN 'error' ELSE event_type END AS event_type, value, props
+        FROM '/root/testdata/sf0.01/events.parquet') TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    db.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = f(spark, str(tmp_path))
+    want = sorted(db.sql(sql).select(*got.columns).fetchall(), key=repr)
+    assert len(want) == 8 and sorted(map(tuple, got.collect()), key=repr) == want
+
+
 def test_line_merge_falls_back_to_proportional_times(spark):
     lines = spark.createDataFrame([(1, 0, "one two", 0.0, 2.0), (1, 1, "three four", 10.0, 12.0)], "track long, idx int, text string, start_s double, end_s double")
     heard = spark.createDataFrame([(1, "One!", 0.5, 0.8), (1, "two", 1.0, 1.4)], "track long, word string, start_s double, end_s double")
